@@ -104,7 +104,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_POWERS = np.cumprod(np.concatenate(([1], np.full(63, 0x3C6EF372FE94F82B, U64))).astype(U64), dtype=U64)
+_POWERS = np.full(64, 0x3C6EF372FE94F82B, U64)
+_POWERS[0] = 1
+_POWERS = np.cumprod(_POWERS, dtype=U64)
 
 
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
