@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, mixing, ring_shard, suffix_dedup, telephony, toxicity
+from . import decontam, html_layout, minhash, mixing, ring_shard, secrets, suffix_dedup, telephony, toxicity, url_cascade
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,24 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_all(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path_col="source")
+
+
+def op3_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_layout.extract(_table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", F.length("text").cast("long").alias("n_chars"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.sha2("text", 256).alias("text_sha256"), "text")
+
+
+ALLOW = ["org/", "com/fr/"]
+BLOCK = ["example.org/es/", "example.org/en/1", "com/de/"]
+
+
+def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_cascade.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), ALLOW, BLOCK)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ring_shard.measured(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     placed = ring_shard.assign(docs)
@@ -65,7 +83,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_ring_shards, op6_suffix_dedup, op7_temperature_mix, op8_telephony, op9_minhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_html_layout, op4_url_cascade, op5_ring_shards, op6_suffix_dedup, op7_temperature_mix, op8_telephony, op9_minhash, op10_toxicity)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -83,6 +101,16 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op4_url_cascade": r"""
+WITH rules(rule, verdict) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+fit AS (SELECT s.page_id, r.rule, r.verdict FROM split s, rules r
+        WHERE (s.host = split_part(r.rule, '/', 1) OR ends_with(s.host, '.' || split_part(r.rule, '/', 1)))
+          AND starts_with(s.path, substr(r.rule, instr(r.rule, '/')))),
+best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fit GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN best USING (page_id)""",
     "op7_temperature_mix": r"""
 WITH RECURSIVE t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
 tot AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY source),

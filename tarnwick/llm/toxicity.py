@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Labelled rows in the fit at most, and voters at most.
-SAMPLE, VOTERS = 16_000, 600
+#: Labelled rows in the fit at most; rules considered and voters kept at most.
+SAMPLE, RULES, VOTERS = 16_000, 4_000, 400
 PREFIXES = (3, 4, 5, 6)
-#: Rows that a voter must have spoken on, and the smallest z-value of its association.
-SUPPORT, Z = 8, 5.0
+#: Rows that a voter must have spoken on, its least log-likelihood ratio and its least log odds.
+SUPPORT, RATIO, LIFT = 8, 50.0, 1.0
 GOLD = 0.98  # accuracy of a given label in the label model
 WORDS = re.compile(r"\w+")
 
@@ -72,6 +72,17 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush(seen)
 
 
+def general(found: dict[str, tuple[float, float]]) -> list[tuple[str, float]]:
+    """(rule, lift) without rules that a kept beginning of theirs covers as well, strongest first."""
+    out: dict[str, float] = {}
+    for rule in sorted(found, key=lambda r: (len(r.lstrip("=")) + r.startswith("="), r)):
+        lift, word = found[rule][1], rule.lstrip("=")
+        covers = [out[word[:k]] for k in PREFIXES if k <= len(word) and word[:k] in out and word[:k] != rule]
+        if not any(x * lift > 0 and abs(x) >= 0.8 * abs(lift) for x in covers):
+            out[rule] = lift
+    return sorted(out.items(), key=lambda x: (-found[x[0]][0], x[0]))
+
+
 class Voters:
     """Which voters speak on a text; words' voters are remembered."""
 
@@ -112,7 +123,7 @@ def label_model(votes: np.ndarray, gold: np.ndarray, side: np.ndarray, rounds: i
     return q, own
 
 
-def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, steps: int = 12) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 0.1, steps: int = 12) -> tuple[np.ndarray, float]:
     """Weights and base of a ridge logistic regression on soft labels, by Newton steps."""
     a = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(a.shape[1])
@@ -142,13 +153,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return {"voters": [], "weights": [], "base": math.log((t / n) / (1 - t / n)) if n and 0 < t < n else (40.0 if n and t == n else -40.0)}
     tally = rows.select("text", "toxic").mapInArrow(_tally, "rule string, t long, c long").groupBy("rule").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     tally = tally.where(F.col("t") + F.col("c") >= SUPPORT)
-    a, b = (F.col("t") + 0.5) / (t + 1), (F.col("c") + 0.5) / (n - t + 1)
-    z = F.log(a / b) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    tally = tally.withColumn("z", F.round(z, 6)).withColumn("lift", F.round(F.log(a / b), 6))
-    toxic = tally.where((F.col("z") >= Z) & (F.col("lift") >= 1.5)).orderBy(F.desc("z"), "rule").limit(VOTERS * 5 // 6).collect()
-    clean = tally.where((F.col("z") <= -Z) & (F.col("lift") <= -0.5)).orderBy("z", "rule").limit(VOTERS // 6).collect()
-    names = [r["rule"] for r in [*toxic, *clean]]
-    side = np.array([1] * len(toxic) + [-1] * len(clean))
+    seen = F.col("t") + F.col("c")
+    part = lambda k, total: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) * n / (seen * total))).otherwise(0.0)
+    tally = tally.withColumn("ratio", F.round(2 * (part("t", t) + part("c", n - t)), 6))
+    tally = tally.withColumn("lift", F.round(F.log((F.col("t") + 0.5) * (n - t + 1) / ((F.col("c") + 0.5) * (t + 1))), 6))
+    strong = tally.where((F.col("ratio") >= RATIO) & (F.abs("lift") >= LIFT)).orderBy(F.desc("ratio"), "rule").limit(RULES).collect()
+    kept = general({r["rule"]: (r["ratio"], r["lift"]) for r in strong})[:VOTERS]
+    names = [r for r, _ in kept]
+    side = np.array([1 if lift > 0 else -1 for _, lift in kept])
     if not names:
         return {"voters": [], "weights": [], "base": math.log((t / n) / (1 - t / n))}
 
@@ -163,9 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for i, v in enumerate(got.column("votes").to_pylist()):
         votes[i, v] = 1
     gold = got.column("toxic").to_numpy()
-    posterior, own = label_model(votes, gold, side)
-    weights, base = logistic(votes * own.astype(np.float32), posterior)
-    return {"voters": names, "weights": [float(w) for w in weights * own], "base": base}
+    posterior, _ = label_model(votes, gold, side)
+    weights, base = logistic(votes, posterior)
+    return {"voters": names, "weights": [float(w) for w in weights], "base": base}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
