@@ -155,7 +155,7 @@ def listed_keys(spark: SparkSession, cascade: Cascade, keys: str) -> Column:
         return pd.Series(np.split(flags, np.cumsum(n)[:-1]))
 
     test.__annotations__ = {"h1": pd.Series, "h2": pd.Series, "return": pd.Series}
-    one, two = (F.transform(keys, lambda k, i=i: hashes(k)[i]) for i in (0, 1))
+    one, two = F.transform(keys, lambda k: hashes(k)[0]), F.transform(keys, lambda k: hashes(k)[1])
     flags = F.pandas_udf(test, "array<boolean>")(one, two)
     return F.transform(F.filter(F.arrays_zip(F.col(keys).alias("k"), flags.alias("f")), lambda x: x["f"]), lambda x: x["k"])
 
