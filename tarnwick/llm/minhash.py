@@ -7,11 +7,13 @@ estimate is (matches/128 - 1/4) / (3/4). Candidates whose estimate is 4.3 standa
 the threshold are left out, all others are confirmed on the full sets.
 
 Scale. Equal sets collapse to one class before banding. In a bucket no class meets all others:
-rows stream past the bucket's leaders (classes that resemble no earlier leader), so a bucket of
-near copies yields a star of at most two candidates a row and is held as its leaders only. After
-the stars are confirmed, pairs of a bucket that are still in different components are joined, and
-only those whose estimate passes leave the join; hence no link between components is lost. Texts
-travel only for classes with a candidate. Components are DataFrame joins; nothing is collected.
+rows stream past the bucket's leaders (classes that resemble no earlier leader surely), so a bucket
+of near copies yields a star of one candidate a row and is held as its leaders only. Leaders that
+resemble each other at all, far under the threshold, are of one cluster. Clusters that the confirmed
+stars leave in more than one component are settled exactly: their members' shingles are counted
+against each other in tiles of bounded size, and only links leave a tile, so no pairs are emitted.
+Texts travel only for classes with a candidate. Components are DataFrame joins; nothing is
+collected.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and stays; fewer than
 five words are one shingle; rows that are equal in every column share their result; rows with a
@@ -34,8 +36,8 @@ from .components import connected
 
 PERMUTATIONS, ROWS, BANDS, BITS = 128, 4, 32, 2
 SIMILARITY = 75  # of 100
-#: Estimates from which a candidate is confirmed, and from which a row needs no other leader.
-ASK, SURE = 0.55, 0.85
+#: Estimates from which classes are of one cluster, a candidate is confirmed, and a row needs no other leader.
+LIKE, ASK, SURE = 0.40, 0.55, 0.85
 _MULTIPLY = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * GOLDEN) | U64(1)
 
 
@@ -95,28 +97,40 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates (a, b) of sorted (key, sk, signature) rows: each row and its sure leader, or the likeliest one."""
-    key, lead_sk, lead_sig = None, [], []
+    """Pairs (a, b, ask) of sorted (key, sk, signature) rows.
+
+    To be asked: each row and its sure leader, or the likeliest one. Not to be asked, but of one
+    cluster: a new leader and those earlier ones, one of each cluster, that it resembles at all."""
+    key, lead_sk, lead_sig, group = None, [], [], []
     for frame in frames:
-        out: list[tuple[int, int]] = []
+        out: set[tuple[int, int, bool]] = set()
         keys, sks = frame["key"].to_numpy(), frame["sk"].to_numpy()
         sigs = frame[["s0", "s1", "s2", "s3"]].to_numpy()
         for i in range(len(keys)):
             if keys[i] != key:
-                key, lead_sk, lead_sig = keys[i], [], []
-            if sks[i] in lead_sk[-1:]:
-                continue
+                key, lead_sk, lead_sig, group = keys[i], [], [], []
+            own = len(lead_sk)
             if lead_sk:
                 est = estimates(np.array(lead_sig), sigs[i])
                 sure = np.flatnonzero(est >= SURE)
                 best = int(sure[0]) if len(sure) else int(est.argmax())
-                if est[best] >= ASK and lead_sk[best] != sks[i]:
-                    out.append((lead_sk[best], sks[i]))
+                if lead_sk[best] == sks[i]:
+                    continue
+                if est[best] >= ASK:
+                    out.add((lead_sk[best], sks[i], True))
                 if len(sure):
                     continue
+                like = np.flatnonzero(est >= LIKE)
+                if len(like):
+                    groups = np.array(group)
+                    met, at = np.unique(groups[like], return_index=True)
+                    out.update((lead_sk[j], sks[i], False) for j in like[at])
+                    groups[np.isin(groups, met)] = own
+                    group = groups.tolist()
             lead_sk.append(sks[i])
             lead_sig.append(sigs[i])
-        yield pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+            group.append(own)
+        yield pd.DataFrame(sorted(out), columns=["a", "b", "ask"]).astype({"a": "int64", "b": "int64", "ask": bool})
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,19 +150,47 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
 
+def _across(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between classes (sk, root, text) of different components, by counting shared shingles."""
+    frame = frame.drop_duplicates("sk").sort_values("sk")
+    raw, off = text_bytes(pa.array(frame["text"].to_list(), pa.string()))
+    sets = shingle_sets(raw, off)
+    size = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+    sk, root = frame["sk"].to_numpy(), frame["root"].to_numpy()
+    largest = frame["root"].mode().iloc[0]
+    mark = np.zeros(flat.max() + 1, bool)
+    out = []
+    for i in np.flatnonzero(root != largest):
+        own = flat[starts[i] : starts[i] + size[i]]
+        mark[own] = True
+        both = np.add.reduceat(mark[flat].astype(np.int64), starts)
+        mark[own] = False
+        for j in np.flatnonzero((100 * both >= SIMILARITY * (size + size[i] - both)) & (root != root[i])):
+            out.append((sk[i], sk[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+#: Shingles of a tile: a cluster of more is cut in tiles, and each pair of tiles is one task's work.
+TILE = 400_000
 #: Rows of class keys up to which they are sent to every task (16 bytes each) instead of a shuffle.
 SEND_ROWS = 1_000_000
 
 
-def _links(stash: Stash, texts: DataFrame, reps: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs of classes whose full sets are linked."""
-    pairs = stash.put(pairs.distinct(), f"{name}-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sk")).distinct().join(reps.select("sk", F.col("ruid").alias("uid")), "sk")
+def _texts(stash: Stash, texts: DataFrame, reps: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+    """(sk, text) of the asked classes, one each."""
+    asked = asked.distinct().join(reps.select("sk", F.col("ruid").alias("uid")), "sk")
     asked = stash.put(asked, f"{name}-asked")
     few = asked.count() <= SEND_ROWS
     sent = texts.join(F.broadcast(asked) if few else asked, "uid").dropDuplicates(["sk"]) if not few else texts.join(F.broadcast(asked), "uid")
     sent = stash.put(sent.select("sk", "text"), f"{name}-texts")
-    one = sent.groupBy("sk").agg(F.first("text").alias("text")) if few else sent
+    return sent.groupBy("sk").agg(F.first("text").alias("text")) if few else sent
+
+
+def _links(stash: Stash, texts: DataFrame, reps: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs of classes whose full sets are linked."""
+    one = _texts(stash, texts, reps, pairs.select(F.explode(F.array("a", "b")).alias("sk")), name)
     rows = pairs.join(one.select(F.col("sk").alias("b"), F.col("text").alias("tb")), "b").join(one.select(F.col("sk").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     return stash.put(rows.mapInArrow(_confirm, "a long, b long"), f"{name}-links")
 
@@ -159,24 +201,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stash = Stash(spark, "minhash")
     texts = docs.select(row_key(id_col, text_col).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scan = stash.put(texts.mapInArrow(_scan, "uid long, doc_id long, n long, sk long, s0 long, s1 long, s2 long, s3 long, bands array<long>"), "scan")
-    classes = stash.put(scan.where("n > 0").groupBy("sk").agg(F.min("doc_id").alias("cid"), F.min("uid").alias("ruid")), "classes")
+    classes = stash.put(scan.where("n > 0").groupBy("sk").agg(F.min("doc_id").alias("cid"), F.min("uid").alias("ruid"), F.first("n").alias("n")), "classes")
     reps = scan.where("n > 0").join(classes.select(F.col("sk").alias("rsk"), "ruid"), (F.col("uid") == F.col("ruid")) & (F.col("sk") == F.col("rsk")))
     banded = reps.select("sk", "s0", "s1", "s2", "s3", F.explode("bands").alias("key"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stars = banded.repartition(width, "key").sortWithinPartitions("key", "sk").mapInPandas(_stars, "a long, b long")
+    stars = banded.repartition(width, "key").sortWithinPartitions("key", "sk").mapInPandas(_stars, "a long, b long, ask boolean")
+    stars = stash.put(stars.groupBy("a", "b").agg(F.max("ask").alias("ask")), "pairs")
     only = texts.select("uid", "text")
-    first = _links(stash, only, classes, stars, "stars")
+    first = _links(stash, only, classes, stars.where("ask").select("a", "b"), "stars")
     roots = connected(stash, first, "first")
-    # what is left: pairs of a bucket in different components that have not been asked yet
-    held = banded.join(roots, F.col("sk") == F.col("node"), "left").select("key", "sk", "s0", "s1", "s2", "s3", F.coalesce("root", "sk").alias("root"))
-    split = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = stash.put(held.join(split, "key").distinct(), "open")
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}{t}") for c in ("sk", "s0", "s1", "s2", "s3", "root"))) for t in "xy")
-    apart = F.bit_count((F.col("s0x").bitwiseXOR(F.col("s0y"))).bitwiseOR(F.col("s2x").bitwiseXOR(F.col("s2y")))) + F.bit_count((F.col("s1x").bitwiseXOR(F.col("s1y"))).bitwiseOR(F.col("s3x").bitwiseXOR(F.col("s3y"))))
-    most = PERMUTATIONS * (1 - (ASK * (1 - 1 / 2**BITS) + 1 / 2**BITS))
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("rootx") < F.col("rooty")) & (apart <= most)).select(F.least("skx", "sky").alias("a"), F.greatest("skx", "sky").alias("b")).distinct()
-    asked = stash.spark.read.parquet(f"{stash.root}/stars-pairs").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _links(stash, only, classes, rest.join(asked, ["a", "b"], "left_anti"), "rest")
+    # what is left: clusters of classes that resemble each other but are not one component yet
+    loose = connected(stash, stars.select("a", "b"), "loose").select(F.col("node").alias("sk"), F.col("root").alias("cluster"))
+    loose = stash.put(loose.unionByName(loose.select(F.col("cluster").alias("sk"), "cluster").distinct()).join(roots, F.col("sk") == F.col("node"), "left").select("cluster", "sk", F.coalesce("root", "sk").alias("root")), "clusters")
+    open_ = loose.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cluster")
+    members = loose.join(open_, "cluster").distinct().join(classes.select("sk", "n"), "sk")
+    tiles = members.groupBy("cluster").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("g"))
+    members = stash.put(members.join(tiles, "cluster"), "members")
+    sent = _texts(stash, only, classes, members.select("sk"), "rest")
+    mine = F.pmod(F.xxhash64("sk"), F.col("g")).cast("int")
+    tiled = members.join(sent, "sk").withColumn("t", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    tiled = tiled.select("cluster", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "sk", "root", "text")
+    second = stash.put(tiled.groupBy("cluster", "i", "j").applyInPandas(_across, "a long, b long"), "second")
     roots = connected(stash, first.union(second), "all")
     named = classes.join(roots, F.col("sk") == F.col("node"), "left").select("sk", "cid", F.coalesce("root", "sk").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("cid").alias("component_id")), "root").select("sk", "component_id")
@@ -185,5 +230,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     judged = rows.where("n > 0").join(named, "sk").unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")))
     judged = judged.select(F.col("uid").alias("_uid"), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     judged = stash.put(judged, "judged")
-    stash.drop("stars-texts", "rest-texts", "open", "scan", "stars-pairs", "rest-pairs")
+    stash.drop("stars-texts", "rest-texts", "scan", "pairs", "members", "clusters")
     return docs.withColumn("_uid", row_key(id_col, text_col)).join(judged, "_uid").drop("_uid")
