@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import Stash, lower_ascii, row_key
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are the maximal runs of what is left: digits, letters a-z and all beyond ASCII.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Lists intersected for a window: its rarest terms.
 LISTS = 3
@@ -38,7 +39,7 @@ SEND_ROWS = 500_000
 def words(col: str | Column) -> Column:
     """Lower-cased words of a text; null has none."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.regexp_extract_all(lower_ascii(col.cast("string")), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(lower_ascii(col.cast("string")), BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def send(df: DataFrame, rows: int) -> DataFrame:

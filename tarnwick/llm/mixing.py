@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Stash
 
-WORD = r"[^\x20\x09-\x0D]+"
+BETWEEN = r"[\x20\x09-\x0D]+"
 RANGES, BLOCKS, STEPS = 256, 64, 60
 REPEAT = 1.5
 SEND_ROWS = 2_000
@@ -40,7 +40,7 @@ HASH_BITS = 60
 
 
 def n_tokens(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.size(F.array_remove(F.split(text, BETWEEN), "")), F.lit(0)).cast("long")
 
 
 def order_hash(id_col: str, epoch: Column) -> Column:
