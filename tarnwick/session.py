@@ -24,3 +24,17 @@ def make_session(app: str = "tarnwick", master: str | None = None, shuffle_parti
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(df):
+    """``df`` cut from its lineage by a reliable checkpoint in the shared folder (``spark.checkpoint.dir``)."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            import tempfile
+
+            at = "file://" + tempfile.mkdtemp(prefix="tarnwick-")
+        sc.setCheckpointDir(at)
+    return df.checkpoint()
