@@ -1,0 +1,294 @@
+"""Queries of scoring, top-k, joins, duplicates and the composite search and extract plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tarnwick.functions import text as T
+from tarnwick.functions import urls as U
+from tarnwick.operators import dedup as D
+from tarnwick.operators import rank as R
+from tarnwick.plans import q_scalar as S
+from tarnwick.plans.registry import query, table
+
+TERMS = ["the", "of", "rend", "and"]
+WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
+
+
+def bm25_cte(src: str, key: str, text: str, name: str = "bm") -> str:
+    """SQL of BM25 over a table: CTEs that end in ``name`` (key columns, score)."""
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}'))::DOUBLE AS t{i}" for i, t in enumerate(TERMS))
+    df = ", ".join(f"count(*) FILTER (t{i} > 0) AS d{i}" for i in range(len(TERMS)))
+    score = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * dl / av))" for i in range(len(TERMS)))
+    return f"""{name}w AS (SELECT {key}, {WORDS.format(text)} AS w FROM {src}), {name}t AS (SELECT {key}, len(w)::DOUBLE AS dl, {tf} FROM {name}w),
+{name}s AS (SELECT count(*) AS n, avg(dl) AS av, {df} FROM {name}t), {name}r AS (SELECT {key}, {score} AS s FROM {name}t, {name}s), {name} AS (SELECT {key}, round(s / (1 + s), 6) AS score FROM {name}r)"""
+
+
+PAGES = f"pg AS (SELECT page_id, url, {S.HOST} AS h, {S.TITLE} AS title, {S.TEXT} AS content FROM pages)"
+BLOCKS = f"ch AS (SELECT doc_id, unnest(range(0, len(b)))::INT AS chunk_id, unnest(b) AS chunk FROM (SELECT doc_id, {S._B} AS b FROM documents))"
+
+
+def pages_scored(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "url", U.domain(F.col("url")).alias("h"), T.html_title(F.col("html")).alias("title"), T.strip_tags(F.col("html")).alias("content"))
+    return R.bm25(p, TERMS, "content")
+
+
+def chunks_scored(spark, sf):
+    return R.bm25(S.chunk_blocks(spark, sf), TERMS, "chunk")
+
+
+RANKED = f"WITH {PAGES}, {bm25_cte('pg', 'page_id, h, title', 'content')}, rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, page_id) AS r FROM bm), dv AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY r) AS rnd, min(r) OVER (PARTITION BY h) AS first FROM rk)"
+
+
+@query(RANKED + " SELECT page_id, h AS domain, title, score, row_number() OVER (ORDER BY rnd, first)::INT AS rank FROM dv ORDER BY rnd, first LIMIT 10")
+def search_minimal(spark, sf):
+    p = pages_scored(spark, sf).select("page_id", F.col("h").alias("domain"), "title", "score")
+    top = R.final_rank(p, F.desc("score"), F.col("page_id"), name="r")
+    spread = R.diversify(top, "domain", "r").orderBy("spread").limit(10)
+    return R.final_rank(spread, F.col("spread")).select("page_id", "domain", "title", "score", "rank")
+
+
+@query(f"WITH {bm25_cte('documents', 'doc_id', 'text')} SELECT doc_id, score FROM bm")
+def bm25_score(spark, sf):
+    return R.bm25(table(spark, sf, "documents").select("doc_id", "text"), TERMS).select("doc_id", "score")
+
+
+_CH = f"WITH {BLOCKS}, {bm25_cte('ch', 'doc_id, chunk_id, chunk', 'chunk')}, tk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id)::INT AS rank FROM bm)"
+
+
+def _top_chunks(spark, sf):
+    return R.top_k(chunks_scored(spark, sf), "doc_id", 3, F.desc("score"), F.col("chunk_id"))
+
+
+@query(_CH + " SELECT doc_id, chunk_id, score, rank FROM tk WHERE rank <= 3")
+def topk_chunks(spark, sf):
+    return _top_chunks(spark, sf).select("doc_id", "chunk_id", "score", "rank")
+
+
+@query(_CH + " SELECT doc_id, chunk_id, chunk, score FROM bm WHERE doc_id = 7 ORDER BY score DESC, chunk_id LIMIT 3")
+def doc_topk(spark, sf):
+    return chunks_scored(spark, sf).where("doc_id = 7").orderBy(F.desc("score"), "chunk_id").limit(3).select("doc_id", "chunk_id", "chunk", "score")
+
+
+@query(_CH + " SELECT doc_id, string_agg(chunk, '\n\n[…]\n\n' ORDER BY rank) AS content FROM tk WHERE rank <= 3 GROUP BY doc_id")
+def topk_join(spark, sf):
+    g = _top_chunks(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk"))).alias("c"))
+    return g.select("doc_id", F.array_join(F.transform("c", lambda x: x["chunk"]), T.GAP).alias("content"))
+
+
+@query(_CH + " SELECT doc_id, max(score) AS best FROM bm GROUP BY doc_id")
+def page_best_score(spark, sf):
+    return chunks_scored(spark, sf).groupBy("doc_id").agg(F.max("score").alias("best"))
+
+
+_BEST = _CH + ", be AS (SELECT d.doc_id, b.best FROM documents d LEFT JOIN (SELECT doc_id, max(score) AS best FROM bm GROUP BY doc_id) b USING (doc_id)), pr AS (SELECT *, row_number() OVER (ORDER BY best DESC NULLS LAST, doc_id)::INT AS rank FROM be)"
+
+
+def _ranked(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id").join(page_best_score(spark, sf), "doc_id", "left")
+    return R.final_rank(d, F.desc_nulls_last("best"), F.col("doc_id"))
+
+
+@query(_BEST + " SELECT doc_id, best, rank FROM pr WHERE rank <= 100")
+def page_rank(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id").join(page_best_score(spark, sf), "doc_id", "left")
+    top = d.orderBy(F.desc_nulls_last("best"), "doc_id").limit(100)
+    return R.final_rank(top, F.desc_nulls_last("best"), F.col("doc_id"))
+
+
+@query(_BEST + " SELECT doc_id, best FROM be WHERE best IS NULL OR best >= 0.05")
+def noise_filter(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id").join(page_best_score(spark, sf), "doc_id", "left")
+    return d.where(F.col("best").isNull() | (F.col("best") >= R.NOISE))
+
+
+@query(RANKED + " SELECT page_id, h, rnd::INT AS round, first::INT AS first FROM dv")
+def diversify(spark, sf):
+    r = R.final_rank(pages_scored(spark, sf).select("page_id", "h", "score"), F.desc("score"), F.col("page_id"), name="r")
+    return R.diversify(r, "h", "r").select("page_id", "h", F.col("spread._round").alias("round"), F.col("spread._first").alias("first"))
+
+
+@query(RANKED + " SELECT page_id, r::INT AS rank, CASE WHEN r = 1 THEN 'top' WHEN r <= 3 THEN 'strong' ELSE 'possible' END AS band FROM rk WHERE r <= 20")
+def rank_band(spark, sf):
+    top = pages_scored(spark, sf).select("page_id", "score").orderBy(F.desc("score"), "page_id").limit(20)
+    return R.final_rank(top, F.desc("score"), F.col("page_id")).select("page_id", "rank", T.rank_band(F.col("rank")).alias("band"))
+
+
+@query(RANKED + " SELECT page_id, row_number() OVER (ORDER BY score DESC, page_id)::INT AS rank FROM bm ORDER BY rank LIMIT 10")
+def final_rank(spark, sf):
+    top = pages_scored(spark, sf).select("page_id", "score").orderBy(F.desc("score"), "page_id").limit(10)
+    return R.final_rank(top, F.desc("score"), F.col("page_id")).select("page_id", "rank")
+
+
+@query("WITH m AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id)::INT AS rank FROM m) SELECT label, vec_id, score, rank FROM r WHERE rank <= 3")
+def rerank_compare(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    q = e.where("vec_id = 0").select(F.col("v").alias("q"))  # one row
+    fold = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    s = e.crossJoin(F.broadcast(q)).select("vec_id", "label", F.round(fold("v", "q") / (F.sqrt(fold("v", "v")) * F.sqrt(fold("q", "q"))), 6).alias("score"))
+    return R.top_k(s, "label", 3, F.desc("score"), F.col("vec_id")).select("label", "vec_id", "score", "rank")
+
+
+# joins
+
+
+@query(f"WITH p AS (SELECT page_id, {S.HOST} AS h FROM pages) SELECT page_id, EXISTS (SELECT 1 FROM p q WHERE q.h = p.h AND q.page_id < 100) AS seen FROM p WHERE page_id >= 100")
+def previously_seen(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", U.domain(F.col("url")).alias("h"))
+    old = p.where("page_id < 100").select("h").distinct().withColumn("hit", F.lit(True))
+    return p.where("page_id >= 100").join(old, "h", "left").select("page_id", F.coalesce("hit", F.lit(False)).alias("seen"))
+
+
+@query(f"WITH {PAGES} SELECT p.page_id, CASE WHEN p.page_id % 7 = 0 THEN left(p.title, 200) ELSE left(p.content, 8000) END AS content, p.page_id % 7 <> 0 AS scraped FROM pg p")
+def search_enrich(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
+    got = table(spark, sf, "pages").where("page_id % 7 <> 0").select("page_id", T.strip_tags(F.col("html")).alias("body"))
+    return p.join(got, "page_id", "left").select("page_id", F.coalesce(F.left("body", F.lit(8000)), F.left("title", F.lit(200))).alias("content"), F.col("body").isNotNull().alias("scraped"))
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN c_custkey IS NULL THEN 'error' ELSE 'ok' END AS status, coalesce(c_name, '') AS content, coalesce(length(c_name), 0)::INT AS total FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey")
+def crawl_join(spark, sf):
+    c = table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_name")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return o.select("o_orderkey", "o_custkey", F.when(F.col("c_custkey").isNull(), "error").otherwise("ok").alias("status"), F.coalesce("c_name", F.lit("")).alias("content"), F.coalesce(F.length("c_name"), F.lit(0)).alias("total"))
+
+
+# duplicates
+
+_NU = "WITH n AS (SELECT page_id, normalized FROM (" + S.QUERY_NORMALIZE + ")) "
+
+
+@query(_NU + "SELECT min(page_id) AS page_id, normalized FROM n GROUP BY normalized")
+def url_dedup(spark, sf):
+    n = S.url_normalize(spark, sf)
+    return D.first_of(n, F.col("normalized"), "page_id").select("page_id", "normalized")
+
+
+def _titles(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select("page_id", U.domain(F.col("url")).alias("h"), T.normalize_title(T.html_title(F.col("html"))).alias("t"))
+
+
+_TI = f"ti AS (SELECT page_id, {S.HOST} AS h, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({S.TITLE})), '\\s+', ' ', 'g'), '[^a-z0-9 ]+', '', 'g'), ' +', ' ', 'g')) AS t FROM pages)"
+_PAIRS = f"""{_TI}, cand AS MATERIALIZED (SELECT x.page_id AS a, y.page_id AS b, x.t AS ta, y.t AS tb FROM ti x JOIN ti y ON x.h = y.h AND x.page_id < y.page_id AND x.t <> '' AND y.t <> ''
+ WHERE levenshtein(x.t, y.t) <= 0.03 * (length(x.t) + length(y.t))),
+lcs AS (SELECT a, b, ta, tb, 0 AS i, list_transform(range(0, length(tb) + 1), lambda x: 0) AS row FROM cand
+ UNION ALL SELECT a, b, ta, tb, i + 1, list_transform(range(0, length(tb) + 1), lambda k: list_max(list_transform(range(0, k + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE greatest(row[j + 1], row[j] + CASE WHEN substr(ta, i + 1, 1) = substr(tb, j, 1) THEN 1 ELSE 0 END) END))) FROM lcs WHERE i < length(ta)),
+fz AS (SELECT a, b, round(200.0::DOUBLE * row[length(tb) + 1] / (length(ta) + length(tb)), 6) AS score FROM lcs WHERE i = length(ta))"""
+
+
+@query(f"WITH RECURSIVE {_PAIRS} SELECT a, b, score FROM fz WHERE score >= 97")
+def fuzzy_title_pairs(spark, sf):
+    return D.fuzzy_pairs(_titles(spark, sf), "h", "page_id", "t")
+
+
+def _greedy_pairs(spark, sf):
+    """Pairs (a, b) of pages of one normalised url or of one host and alike titles."""
+    n = S.url_normalize(spark, sf)
+    first = Window.partitionBy("normalized").orderBy("page_id")
+    # only the first kept page of a url counts, so a chain of its pages is enough with the rounds below
+    same = n.withColumn("all", F.collect_list("page_id").over(first.rowsBetween(Window.unboundedPreceding, -1))).select(F.explode("all").alias("a"), F.col("page_id").alias("b"))
+    return same.union(D.fuzzy_pairs(_titles(spark, sf), "h", "page_id", "t").select("a", "b")).distinct()
+
+
+@query(
+    f"""WITH RECURSIVE {_PAIRS}, nn AS (SELECT page_id, normalized FROM ({S.QUERY_NORMALIZE})),
+ed AS (SELECT a, b FROM fz WHERE score >= 97 UNION SELECT x.page_id, y.page_id FROM nn x JOIN nn y ON x.normalized = y.normalized AND x.page_id < y.page_id),
+sq AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS k FROM nn), nb AS (SELECT sq.k, sq.page_id, list(ed.a) FILTER (ed.a IS NOT NULL) AS prev FROM sq LEFT JOIN ed ON ed.b = sq.page_id GROUP BY sq.k, sq.page_id),
+gr AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT gr.k + 1, CASE WHEN list_has_any(coalesce(nb.prev, []), gr.kept) THEN gr.kept ELSE list_append(gr.kept, nb.page_id) END FROM gr JOIN nb ON nb.k = gr.k + 1)
+SELECT unnest(kept) AS page_id FROM gr WHERE k = (SELECT max(k) FROM sq)"""
+)
+def title_dedup(spark, sf):
+    """Pages kept by a sequential first-wins pass over urls and fuzzy titles."""
+    gone = D.first_wins(_greedy_pairs(spark, sf))
+    return table(spark, sf, "pages").select("page_id").join(gone, F.col("page_id") == F.col("id"), "left_anti")
+
+
+@query(
+    "WITH d AS (SELECT doc_id, list_transform(list_distinct("
+    + WORDS.format("text")
+    + "), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT) AS h FROM documents), k AS (SELECT unnest(range(0, 16)) AS i) SELECT doc_id, i::INT AS i, list_min(list_transform(h, lambda x: (x * (2 * i + 1) + 7919 * i + 13) % 4294967291))::BIGINT AS m FROM d, k"
+)
+def minhash_signature(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", D.minhash(T.word_set(F.col("text"))).alias("s"))
+    return d.select("doc_id", F.posexplode("s").alias("i", "m"))
+
+
+_NEAR = (
+    "WITH RECURSIVE d AS (SELECT doc_id, list_distinct("
+    + WORDS.format("text")
+    + ") AS w FROM documents WHERE length(text) >= 200), e AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d), pr AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING count(*) >= 0.75 * (x.n + y.n - count(*))),"
+    " sq AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM d WHERE doc_id IN (SELECT a FROM pr UNION SELECT b FROM pr)), nb AS (SELECT sq.k, sq.doc_id, list(pr.a) FILTER (pr.a IS NOT NULL) AS prev FROM sq LEFT JOIN pr ON pr.b = sq.doc_id GROUP BY sq.k, sq.doc_id),"
+    " gr AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept, []::BIGINT[] AS gone UNION ALL SELECT gr.k + 1, CASE WHEN list_has_any(coalesce(nb.prev, []), gr.kept) THEN gr.kept ELSE list_append(gr.kept, nb.doc_id) END, CASE WHEN list_has_any(coalesce(nb.prev, []), gr.kept) THEN list_append(gr.gone, nb.doc_id) ELSE gr.gone END FROM gr JOIN nb ON nb.k = gr.k + 1)"
+)
+
+
+@query(_NEAR + " SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT unnest(gone) FROM gr WHERE k = (SELECT max(k) FROM sq))")
+def page_neardup(spark, sf):
+    """Documents kept by a first-wins pass over word sets with a similarity of 0.75; short ones pass."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    long = d.where(F.length("text") >= 200).select("doc_id", T.word_set(F.col("text")).alias("w")).where(F.size("w") > 0)
+    gone = D.first_wins(D.similar_sets(long, "doc_id", "w", 0.75))
+    return d.select("doc_id").join(gone, F.col("doc_id") == F.col("id"), "left_anti")
+
+
+@query(
+    "WITH RECURSIVE c AS (SELECT conv_id * 1000 + turn AS id, list_distinct("
+    + WORDS.format("text")
+    + ") AS w FROM conversations), d AS (SELECT * FROM c WHERE len(w) > 0), e AS (SELECT id, len(w) AS n, unnest(w) AS t FROM d), pr AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id, x.n, y.n HAVING count(*) >= 0.75 * (x.n + y.n - count(*))),"
+    " sq AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM d), nb AS (SELECT sq.k, sq.id, list(pr.a) FILTER (pr.a IS NOT NULL) AS prev FROM sq LEFT JOIN pr ON pr.b = sq.id GROUP BY sq.k, sq.id),"
+    " gr AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT gr.k + 1, CASE WHEN list_has_any(coalesce(nb.prev, []), gr.kept) THEN gr.kept ELSE list_append(gr.kept, nb.id) END FROM gr JOIN nb ON nb.k = gr.k + 1) SELECT unnest(kept)::BIGINT AS id FROM gr WHERE k = (SELECT max(k) FROM sq)"
+)
+def chunk_neardup(spark, sf):
+    """Chunks (turns) kept by a first-wins pass; those without words go."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.word_set(F.col("text")).alias("w")).where(F.size("w") > 0)
+    gone = D.first_wins(D.similar_sets(c, "id", "w", 0.75)).select(F.col("id").alias("gone"))
+    return c.select("id").join(gone, F.col("id") == F.col("gone"), "left_anti")
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS canonical FROM documents")
+def content_alias(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.content_hash(F.col("text")).alias("h"))
+    return d.join(d.groupBy("h").agg(F.min("doc_id").alias("canonical")), "h").select("doc_id", "canonical")
+
+
+@query("WITH a AS (SELECT doc_id, sha256(text) AS h, min(doc_id) OVER (PARTITION BY sha256(text)) AS c FROM documents) SELECT x.doc_id, y.doc_id AS found, y.doc_id IS NOT NULL AS hit FROM a x LEFT JOIN a y ON x.c = y.doc_id AND x.h = y.h AND y.doc_id % 5 <> 0 WHERE x.doc_id <> x.c")
+def alias_deref(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.content_hash(F.col("text")).alias("h"))
+    a = d.join(d.groupBy("h").agg(F.min("doc_id").alias("c")), "h")
+    canon = d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("found"), F.col("h").alias("fh"))
+    got = a.where("doc_id <> c").join(canon, (F.col("c") == F.col("found")) & (F.col("h") == F.col("fh")), "left")
+    return got.select("doc_id", "found", F.col("found").isNotNull().alias("hit"))
+
+
+# composites
+
+
+@query(
+    f"WITH {PAGES}, fl AS (SELECT * FROM pg WHERE NOT (h = 'example.net' OR ends_with(h, '.example.net'))), nn AS (SELECT page_id AS nid, normalized FROM ({S.QUERY_NORMALIZE})), dd AS (SELECT fl.* FROM fl JOIN nn ON nid = page_id QUALIFY row_number() OVER (PARTITION BY normalized ORDER BY page_id) = 1),"
+    f" lm AS (SELECT * FROM dd ORDER BY page_id LIMIT 50), {bm25_cte('lm', 'page_id, h, title', 'content')}, ns AS (SELECT * FROM bm WHERE score >= 0.05), rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, page_id) AS r FROM ns), dv AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY r) AS rnd, min(r) OVER (PARTITION BY h) AS first FROM rk), fr AS (SELECT *, row_number() OVER (ORDER BY rnd, first)::INT AS rank FROM dv)"
+    " SELECT page_id, h AS domain, title, score, rank, CASE WHEN rank = 1 THEN 'top' WHEN rank <= 3 THEN 'strong' ELSE 'possible' END AS band FROM fr WHERE rank <= 10"
+)
+def search_pipeline(spark, sf):
+    """Filter, url duplicates, limit, score, noise, rank, spread, final rank and band."""
+    pages = table(spark, sf, "pages")
+    p = pages.select("page_id", "url", U.domain(F.col("url")).alias("h"), T.html_title(F.col("html")).alias("title"), T.strip_tags(F.col("html")).alias("content"))
+    kept = D.first_of(p.where(~U.matches(F.col("h"), "example.net")), U.normalize(F.col("url")), "page_id").orderBy("page_id").limit(50)
+    scored = R.bm25(kept, TERMS, "content").where(F.col("score") >= R.NOISE)
+    ranked = R.final_rank(scored, F.desc("score"), F.col("page_id"), name="r")
+    spread = R.diversify(ranked, "h", "r").orderBy("spread").limit(10)
+    return R.final_rank(spread, F.col("spread")).select("page_id", F.col("h").alias("domain"), "title", "score", "rank", T.rank_band(F.col("rank")).alias("band"))
+
+
+_EX = f"WITH b AS (SELECT doc_id, text, doc_id % 4 AS kind, {S._B} AS bl FROM documents WHERE doc_id < 20)"
+
+
+@query(_EX + " SELECT doc_id, CASE kind WHEN 0 THEN 'handoff' WHEN 1 THEN CASE WHEN length(text) < 400 THEN 'error' ELSE 'ok' END ELSE 'ok' END AS status, CASE kind WHEN 0 THEN 'document' WHEN 2 THEN 'selected' ELSE 'document' END AS chunk_mode, len(bl)::INT AS total_chunks, CASE WHEN kind = 0 THEN '' WHEN kind = 2 THEN array_to_string(list_filter([bl[1], bl[3]], lambda x: x IS NOT NULL), '\n\n[…]\n\n') ELSE array_to_string(list_slice(bl, 1, 3), '\n\n[…]\n\n') END AS content FROM b")
+def extract_pipeline(spark, sf):
+    """Per document: hand-off, error or content; selected chunks or the head, joined with gap marks."""
+    d = table(spark, sf, "documents").where("doc_id < 20").withColumn("kind", F.col("doc_id") % 4).withColumn("bl", T.blocks(F.col("text"), "\n"))
+    status = F.when(F.col("kind") == 0, "handoff").when((F.col("kind") == 1) & (F.length("text") < 400), "error").otherwise("ok")
+    chosen = F.filter(F.array(F.get("bl", F.lit(0)), F.get("bl", F.lit(2))), lambda x: x.isNotNull())
+    content = F.when(F.col("kind") == 0, "").when(F.col("kind") == 2, F.array_join(chosen, T.GAP)).otherwise(F.array_join(F.slice("bl", 1, 3), T.GAP))
+    return d.select("doc_id", status.alias("status"), F.when(F.col("kind") == 2, "selected").otherwise("document").alias("chunk_mode"), F.size("bl").alias("total_chunks"), content.alias("content"))

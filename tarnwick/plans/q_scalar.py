@@ -29,15 +29,16 @@ def tail(host: str, n: int) -> str:
 REG = f"CASE WHEN regexp_full_match(h, '[0-9.]+') THEN h WHEN {tail('h', 2)} IN ({TWO}) THEN {tail('h', 3)} ELSE {tail('h', 2)} END"
 
 
-@query(
-    f"""WITH p AS (SELECT page_id, url, regexp_replace({HOST}, '^www\\.', '') AS h, regexp_replace(regexp_replace({PATH}, ';[^/]*$', ''), '/+$', '') AS pa,
+QUERY_NORMALIZE = f"""WITH p AS (SELECT page_id, url, regexp_replace({HOST}, '^www\\.', '') AS h, regexp_replace(regexp_replace({PATH}, ';[^/]*$', ''), '/+$', '') AS pa,
     list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.') AND split_part(x, '=', 1) NOT IN ({TRACK})) AS q,
     lower(regexp_extract(url, '^([a-z][a-z0-9+.-]*)://', 1)) AS s FROM pages),
     o AS (SELECT page_id, unnest(q) AS kv, generate_subscripts(q, 1) AS i FROM p),
     f AS (SELECT *, min(i) OVER (PARTITION BY page_id, split_part(kv, '=', 1)) AS fi FROM o),
     j AS (SELECT page_id, string_agg(kv, '&' ORDER BY fi, i) AS qs FROM f GROUP BY page_id)
     SELECT page_id, CASE WHEN s = '' THEN url ELSE s || '://' || h || pa || CASE WHEN qs IS NOT NULL THEN '?' || qs ELSE '' END END AS normalized FROM p LEFT JOIN j USING (page_id)"""
-)
+
+
+@query(QUERY_NORMALIZE)
 def url_normalize(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.normalize(F.col("url")).alias("normalized"))
 
