@@ -1,0 +1,269 @@
+"""Queries of limits, unions, counters, keyed state, graphs, evaluation and rendering."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tarnwick.functions import urls as U
+from tarnwick.operators import dedup as D
+from tarnwick.operators import graph as G
+from tarnwick.operators import rank as R
+from tarnwick.operators import state as K
+from tarnwick.plans import q_rank as Q
+from tarnwick.plans import q_scalar as S
+from tarnwick.plans.registry import query, table
+
+
+@query("SELECT page_id, url FROM pages ORDER BY page_id LIMIT 10")
+def limit_results(spark, sf):
+    return table(spark, sf, "pages").select("page_id", "url").orderBy("page_id").limit(10)
+
+
+@query("SELECT page_id, row_number() OVER (ORDER BY page_id) <= 5 AS scrape FROM (SELECT * FROM pages ORDER BY page_id LIMIT 10)")
+def scrape_budget(spark, sf):
+    """The first rows of a result take the expensive branch."""
+    p = limit_results(spark, sf)
+    return R.final_rank(p, F.col("page_id"), name="k").select("page_id", (F.col("k") <= 5).alias("scrape"))
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, {S.HOST} AS h FROM pages), one AS (SELECT * FROM (SELECT * FROM p ORDER BY page_id LIMIT 10) WHERE ends_with(h, 'example.org')),
+two AS (SELECT * FROM p WHERE page_id BETWEEN 10 AND 19 AND ends_with(h, 'example.org') AND (SELECT count(*) FROM one) BETWEEN 1 AND 9) SELECT page_id, h FROM (SELECT * FROM one UNION ALL SELECT * FROM two) ORDER BY page_id LIMIT 10"""
+)
+def page2_union(spark, sf):
+    """The second page of results joins only if the first gave some rows, but too few."""
+    p = table(spark, sf, "pages").select("page_id", U.domain(F.col("url")).alias("h"))
+    one = p.orderBy("page_id").limit(10).where(F.endswith("h", F.lit("example.org")))
+    gate = one.agg(F.count("*").alias("n")).where("n between 1 and 9")  # one row or none
+    two = p.where("page_id between 10 and 19").where(F.endswith("h", F.lit("example.org"))).crossJoin(F.broadcast(gate)).drop("n")
+    return one.unionByName(two).orderBy("page_id").limit(10)
+
+
+
+
+@query(
+    "WITH w AS (SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE event_type END AS engine, CASE event_id % 4 WHEN 1 THEN 'blocked' WHEN 3 THEN NULL ELSE 'timeout' END AS reason FROM events)"
+    " SELECT engine, reason, min(event_id) AS first_seen FROM w WHERE engine IS NOT NULL GROUP BY engine, reason"
+)
+def engine_warnings(spark, sf):
+    """Distinct (engine, reason) of entries that are lists, objects of two spellings, or junk."""
+    k = F.col("event_id") % 4
+    e = F.col("event_type")
+    raw = F.when(k == 0, F.concat(F.lit('["'), e, F.lit('","timeout"]'))).when(k == 1, F.concat(F.lit('{"engine":"'), e, F.lit('","reason":"blocked"}'))).when(k == 2, F.concat(F.lit('{"name":"'), e, F.lit('","error":"timeout"}'))).otherwise("42")
+    v = table(spark, sf, "events").select("event_id", F.try_parse_json(raw).alias("v"))
+    get = lambda *paths: F.coalesce(*[F.try_variant_get("v", p, "string") for p in paths])
+    w = v.select("event_id", get("$[0]", "$.name", "$.engine").alias("engine"), get("$[1]", "$.error", "$.reason").alias("reason"))
+    return w.where("engine is not null and engine <> ''").groupBy("engine", "reason").agg(F.min("event_id").alias("first_seen"))
+
+
+@query("SELECT greatest(count(DISTINCT normalized), 1)::BIGINT AS visited FROM (" + S.QUERY_NORMALIZE + ")")
+def pages_visited(spark, sf):
+    return S.url_normalize(spark, sf).agg(F.greatest(F.count_distinct("normalized"), F.lit(1)).alias("visited"))
+
+
+@query("SELECT user_id, count(*) FILTER (event_type <> 'error')::BIGINT AS succeeded, count(*) FILTER (event_type = 'error')::BIGINT AS failed, count(*)::BIGINT AS total FROM events GROUP BY user_id")
+def status_counts(spark, sf):
+    bad = F.col("event_type") == "error"
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count_if(~bad).alias("succeeded"), F.count_if(bad).alias("failed"), F.count("*").alias("total"))
+
+
+@query("SELECT event_type, CASE event_type WHEN 'error' THEN 'scrape failed: ' || count(*)::VARCHAR || ' pages' WHEN 'signup' THEN 'engine unavailable: ' || count(*)::VARCHAR ELSE event_type || ': ' || count(*)::VARCHAR END AS line FROM events GROUP BY event_type")
+def issue_lines(spark, sf):
+    c = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").cast("string").alias("n"))
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("scrape failed: "), "n", F.lit(" pages"))).when(F.col("event_type") == "signup", F.concat(F.lit("engine unavailable: "), "n")).otherwise(F.concat_ws(": ", "event_type", "n"))
+    return c.select("event_type", line.alias("line"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE length(text) END::BIGINT AS total_chars, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 'sha256:' || sha256(text) END AS content_hash FROM documents")
+def page_envelope(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("content"))
+    return d.select("doc_id", F.when(F.nullif("content", F.lit("")).isNull(), "error").otherwise("ok").alias("status"), F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("total_chars"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("content_hash"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def time_range_filter(spark, sf):
+    e = table(spark, sf, "events")
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    return e.crossJoin(F.broadcast(now)).where("ts >= now - interval 7 days").select("event_id")
+
+
+# keyed state
+
+
+@query("SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) < 3600000000, false) AS seen FROM events")
+def seen_within_ttl(spark, sf):
+    return K.seen_within(table(spark, sf, "events"), ["user_id", "event_type"], ["event_id"]).select("event_id", "seen")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 60 ELSE 3600 END::INT AS ttl FROM events")
+def failure_ttl(spark, sf):
+    return table(spark, sf, "events").select("event_id", K.failure_ttl(F.when(F.col("event_type") == "error", "error").otherwise("ok")).alias("ttl"))
+
+
+_REPLAY = """WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, CASE WHEN event_type = 'error' THEN 60 ELSE 3600 END) AS k, epoch_us(ts)::DOUBLE / 1000000 AS t, CASE WHEN event_type = 'error' THEN 60 ELSE 3600 END AS ttl FROM events),
+r AS (SELECT user_id, k, t + ttl AS until, false AS hit FROM o WHERE k = 1
+UNION ALL SELECT o.user_id, o.k, CASE WHEN o.t < r.until THEN r.until ELSE o.t + o.ttl END, o.t < r.until FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) """
+
+
+def _replay(spark, sf):
+    ttl = F.when(F.col("event_type") == "error", 60).otherwise(3600)
+    return K.replay(table(spark, sf, "events"), ["user_id"], ttl)
+
+
+@query(_REPLAY + "SELECT user_id, count(*) FILTER (hit)::BIGINT AS hits, count(*) FILTER (NOT hit)::BIGINT AS misses FROM r GROUP BY user_id")
+def cache_replay(spark, sf):
+    """Which accesses of a read-through cache hit: hits don't refresh, failures live shorter."""
+    return _replay(spark, sf)
+
+
+@query(_REPLAY + "SELECT count(*) FILTER (hit)::BIGINT AS hits, count(*) FILTER (NOT hit)::BIGINT AS misses FROM r")
+def cache_stats(spark, sf):
+    return _replay(spark, sf).agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
+
+
+# graphs
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey % 50 = 1), g AS (SELECT 'o' || o AS src, 'p' || p AS dst FROM e UNION SELECT 'p' || p, 'o' || o FROM e),
+b AS (SELECT 'o1' AS node, 0 AS depth UNION SELECT g.dst, b.depth + 1 FROM b JOIN g ON g.src = b.node WHERE b.depth < 4) SELECT node, min(depth)::INT AS depth FROM b GROUP BY node"""
+)
+def bfs_depth(spark, sf):
+    e = table(spark, sf, "lineitem").where("l_orderkey % 50 = 1").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("o"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p")).distinct()
+    edges = e.select(F.col("o").alias("src"), F.col("p").alias("dst")).union(e.select(F.col("p").alias("src"), F.col("o").alias("dst")))
+    return G.bfs(edges, spark.createDataFrame([("o1",)], "node string"), 4).select("node", "depth")
+
+
+_TREE = f"WITH {S.LINKS}, t AS (SELECT page_id, url, target, min(pos) AS pos, arg_min(label, pos) AS label FROM r WHERE regexp_matches(target, '^https?://[^/?#]+') AND page_id < 20 GROUP BY page_id, url, target), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) + 1 AS rank FROM t)"
+
+
+def _tree(spark, sf):
+    p = table(spark, sf, "pages").where("page_id < 20")
+    e = S.page_edges(p).withColumn("target", U.resolve(F.col("url"), F.col("href"))).where("target is not null")
+    first = D.first_of(e, F.struct("page_id", "target"), "pos")
+    k = first.withColumn("rank", (F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) + 1).cast("int")).where("rank <= 6")
+    root = p.select("page_id", F.col("url").alias("target"), F.lit(1).alias("rank"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("discovered_from"), F.lit("seed").alias("link_type"), F.lit(None).cast("string").alias("label"))
+    kids = k.select("page_id", "target", "rank", F.lit(1).alias("depth"), F.col("url").alias("discovered_from"), F.lit("internal").alias("link_type"), U.link_label(F.col("label")).alias("label"))
+    return root.unionByName(kids)
+
+
+@query(_TREE + " SELECT page_id, url AS target, 1 AS rank, 0 AS depth, NULL::VARCHAR AS discovered_from, 'seed' AS link_type FROM pages WHERE page_id < 20 UNION ALL SELECT page_id, target, rank::INT, 1, url, 'internal' FROM k WHERE rank <= 6")
+def map_tree(spark, sf):
+    """The bounded link tree of each seed page: root first, then links in page order."""
+    return _tree(spark, sf).drop("label")
+
+
+@query(f"WITH {S.LINKS} SELECT target, min(page_id) AS first_page FROM r WHERE regexp_matches(target, '^https?://[^/?#]+') GROUP BY target")
+def map_dedup(spark, sf):
+    e = S.page_edges(table(spark, sf, "pages")).withColumn("target", U.resolve(F.col("url"), F.col("href"))).where("target is not null")
+    return e.groupBy("target").agg(F.min("page_id").alias("first_page"))
+
+
+_CRAWL = f"WITH {Q.PAGES}, {Q.bm25_cte('pg', 'page_id', 'content')}, j AS (SELECT pg.page_id, CASE WHEN pg.page_id % 6 = 0 THEN NULL ELSE score END AS score, content FROM pg JOIN bm USING (page_id))"
+
+
+@query(_CRAWL + ", k AS (SELECT page_id, score, row_number() OVER (ORDER BY score IS NULL, score DESC, page_id)::INT AS rank FROM j) SELECT * FROM k WHERE rank <= 50")
+def crawl_rank(spark, sf):
+    """Pages with scores first, best first, then the others in order."""
+    s = Q.pages_scored(spark, sf).select("page_id", F.when(F.col("page_id") % 6 != 0, F.col("score")).alias("score"))
+    order = (F.col("score").isNull(), F.desc("score"), F.col("page_id"))
+    return R.final_rank(s.orderBy(*order).limit(50), *order)
+
+
+@query(_CRAWL + ", k AS (SELECT page_id, score, content, row_number() OVER (ORDER BY score IS NULL, score DESC, page_id)::INT AS rank FROM j) SELECT page_id, rank, score, CASE WHEN score IS NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN score IS NULL THEN 0 ELSE length(content) END::BIGINT AS total_chars FROM k WHERE rank <= 20")
+def crawl_pipeline(spark, sf):
+    """The page list left joined with what could be extracted, ordered by relevance and ranked."""
+    pages = table(spark, sf, "pages").select("page_id")
+    docs = Q.pages_scored(spark, sf).where("page_id % 6 <> 0").select("page_id", "score", F.length("content").cast("long").alias("total_chars"))
+    j = pages.join(docs, "page_id", "left").select("page_id", "score", F.when(F.col("total_chars").isNull(), "error").otherwise("ok").alias("status"), F.coalesce("total_chars", F.lit(0)).alias("total_chars"))
+    order = (F.col("score").isNull(), F.desc("score"), F.col("page_id"))
+    return R.final_rank(j.orderBy(*order).limit(20), *order)
+
+
+# evaluation: rows are documents by source as query, language as domain, labels as usefulness
+
+_RES = "WITH q AS (SELECT source AS id, lang AS domain, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, coalesce(quality, 0) AS quality, n_chars FROM documents LEFT JOIN labels USING (doc_id)), f AS (SELECT * FROM q WHERE rank <= 5)"
+
+
+def _results(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("id"), F.col("lang").alias("domain"), "n_chars")
+    d = d.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(0)))
+    return R.top_k(d, "id", 5, F.desc("n_chars"), F.col("doc_id"))
+
+
+def _concentration(rows, n):
+    per = rows.where((F.col("rank") <= n) & (F.col("domain") != "")).groupBy("id", "domain").agg(F.count("*").alias("c"))
+    return per.groupBy("id").agg(F.max("c").alias(f"concentration_{n}"))
+
+
+@query(_RES + ", c AS (SELECT id, domain, count(*) AS c FROM f WHERE domain <> '' GROUP BY id, domain) SELECT id, max(c)::BIGINT AS concentration_5 FROM c GROUP BY id")
+def domain_concentration(spark, sf):
+    return _concentration(_results(spark, sf), 5)
+
+
+@query(_RES + " SELECT id, count(*) FILTER (rank <= 3 AND domain IN ('en', 'de'))::BIGINT AS hits_3, count(*) FILTER (domain IN ('en', 'de'))::BIGINT AS hits_5 FROM f GROUP BY id")
+def eval_domain_hits(spark, sf):
+    hit = F.exists(F.array(F.lit("en"), F.lit("de")), lambda e: (F.col("domain") == e) | F.endswith(F.col("domain"), F.concat(F.lit("."), e)))
+    return _results(spark, sf).groupBy("id").agg(F.count_if(hit & (F.col("rank") <= 3)).alias("hits_3"), F.count_if(hit).alias("hits_5"))
+
+
+_USE = "CASE WHEN {0} >= 2 THEN 2 WHEN {0} = 1 THEN 1 ELSE 0 END::INT"
+
+
+def _useful(hits):
+    return F.when(hits >= 2, 2).when(hits == 1, 1).otherwise(0)
+
+
+@query(_RES + f", u AS (SELECT id, count(*) FILTER (rank <= 3 AND quality = 1) AS h3, count(*) FILTER (quality = 1) AS h5 FROM f GROUP BY id) SELECT id, {_USE.format('h3')} AS usefulness_3, {_USE.format('h5')} AS usefulness_5 FROM u")
+def eval_usefulness(spark, sf):
+    g = F.col("quality") == 1
+    return _results(spark, sf).groupBy("id").agg(_useful(F.count_if(g & (F.col("rank") <= 3))).alias("usefulness_3"), _useful(F.count_if(g)).alias("usefulness_5"))
+
+
+_SUM = _RES + f", c AS (SELECT id, domain, count(*) AS c5, count(*) FILTER (rank <= 3) AS c3 FROM f GROUP BY id, domain), m AS (SELECT id, max(c3)::BIGINT AS concentration_3, max(c5)::BIGINT AS concentration_5 FROM c GROUP BY id), u AS (SELECT id, count(*)::BIGINT AS results, count(*) FILTER (n_chars >= 1000)::BIGINT AS scraped, count(*) FILTER (rank <= 3 AND quality = 1) AS h3, count(*) FILTER (quality = 1) AS h5, round(avg(n_chars), 2) AS latency FROM f GROUP BY id), s AS (SELECT id, results, scraped, latency, concentration_3, concentration_5, {_USE.format('h3')} AS usefulness_3, {_USE.format('h5')} AS usefulness_5, h3 >= 1 AS target_met FROM u JOIN m USING (id))"
+
+
+def _summary(spark, sf):
+    r = _results(spark, sf)
+    g = F.col("quality") == 1
+    base = r.groupBy("id").agg(
+        F.count("*").alias("results"),
+        F.count_if(F.col("n_chars") >= 1000).alias("scraped"),
+        F.round(F.avg("n_chars"), 2).alias("latency"),
+        _useful(F.count_if(g & (F.col("rank") <= 3))).alias("usefulness_3"),
+        _useful(F.count_if(g)).alias("usefulness_5"),
+        (F.count_if(g & (F.col("rank") <= 3)) >= 1).alias("target_met"),
+    )
+    return base.join(_concentration(r, 3), "id").join(_concentration(r, 5), "id")
+
+
+@query(_SUM + " SELECT * FROM s")
+def eval_query_summary(spark, sf):
+    return _summary(spark, sf)
+
+
+@query(_SUM + " SELECT count(*)::BIGINT AS queries, round(avg(results), 2) AS results, round(avg(scraped), 2) AS scraped, round(avg(latency), 2) AS latency, round(avg(concentration_3), 2) AS concentration_3, round(avg(concentration_5), 2) AS concentration_5, round(avg(usefulness_3), 2) AS usefulness_3, round(avg(usefulness_5), 2) AS usefulness_5, count(*) FILTER (target_met)::BIGINT AS targets_met FROM s")
+def eval_aggregate(spark, sf):
+    means = ("results", "scraped", "latency", "concentration_3", "concentration_5", "usefulness_3", "usefulness_5")
+    return _summary(spark, sf).agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 2).alias(c) for c in means], F.count_if("target_met").alias("targets_met"))
+
+
+# rendering
+
+
+@query()
+def tree_render(spark, sf):
+    """The link tree of each seed as indented markdown lines."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- ["), F.coalesce("label", "target"), F.lit("]("), "target", F.lit(")"))
+    g = _tree(spark, sf).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))).alias("ls"))
+    return g.select("page_id", F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("tree"))
+
+
+@query()
+def render_search(spark, sf):
+    """A search result as one markdown text (at most ten rows by then)."""
+    r = Q.search_pipeline(spark, sf)
+    part = F.concat(F.lit("## "), F.col("rank").cast("string"), F.lit(". "), F.coalesce("title", F.lit("untitled")), F.lit("\nsource: "), "domain", F.lit(" | match: "), "band", F.lit(" | score: "), F.format_number("score", 4))
+    g = r.agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))).alias("ps"), F.count("*").alias("n"))
+    return g.select(F.concat(F.lit("results: "), F.col("n").cast("string"), F.lit("\n\n"), F.array_join(F.transform("ps", lambda x: x["p"]), "\n\n---\n\n")).alias("markdown"))
