@@ -265,9 +265,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(row_key(id_col, text_col).alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     records = texts.select("uid", "text").mapInArrow(_emit, "m long, sh long, uid long, start int, size int")
     records = stash.put(records, "records")
-    often = records.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
+    # written first: a join of two plain shuffles lets adaptive execution split the records of a hot hash
+    often = stash.put(records.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"), "often")
     members = stash.put(records.join(often, "m", "left_semi"), "members")
-    stash.drop("records")
+    stash.drop("records", "often")
     classes = stash.put(members.groupBy("m", "sh").agg(F.count("*").alias("c"), F.min(F.struct("uid", "start", "size")).alias("r")).select("m", "sh", "c", "r.*"), "classes")
     mixed = classes.groupBy("m").agg(F.count("*").alias("kinds"), F.sum(F.col("size") + LENGTH - 1).alias("bytes")).where("kinds > 1").select("m", (F.col("bytes") > GROUP_BYTES).alias("wide"))
     asked = stash.put(classes.join(mixed, "m").select("m", "sh", "uid", "start", "size", "wide"), "asked")
