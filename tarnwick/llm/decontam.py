@@ -10,8 +10,8 @@ so "rarest" holds for the corpus and the postings stored are few. Everything is
 expressions; there is no Python on the data path.
 
 Scale. Tokens are joined against the benchmark's terms where they are made, so common words never
-leave their task; counts are summed map-side. Postings of the chosen terms are dealt by (row,
-window, start). The benchmark's tables are broadcast up to ``SEND_ROWS`` rows, else joined by
+leave their task; counts are summed map-side. Postings of the chosen terms are dealt by (row, term,
+place), so no term or row is hot. The benchmark's tables are broadcast up to ``SEND_ROWS`` rows, else joined by
 shuffle. Texts move once, by row key, to be confirmed; a row's candidate starts are bounded by its
 length times the windows that start with the same terms. Shared passages add postings in
 proportion to their copies only.
@@ -77,7 +77,7 @@ def plan_windows(wins: DataFrame, df: DataFrame, lists: int = LISTS) -> DataFram
     at = at.groupBy("win", "n", "term").agg(F.min("offset").alias("offset")).join(df, "term")
     rank = Window.partitionBy("win").orderBy("df", "term")  # a window has ten terms at most
     at = at.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= lists)
-    return at.withColumn("lists", F.count("*").over(Window.partitionBy("win"))).select("win", "n", "term", "offset", "lists")
+    return at.withColumn("lists", F.count("*").over(Window.partitionBy("win"))).select("win", "n", "term", "offset", "rank", "lists")
 
 
 def phrase_hits(docs: DataFrame, wins: DataFrame, stash: Stash, row: str = "_row", text_col: str = "text") -> DataFrame:
@@ -90,8 +90,14 @@ def phrase_hits(docs: DataFrame, wins: DataFrame, stash: Stash, row: str = "_row
     # the stored index: one scan, one posting for each occurrence of a chosen term
     index = stash.put(postings(docs, send(chosen, n_terms), row, text_col), "postings")
     n_plan = plan.count()
-    moved = index.join(send(plan, n_plan), "term").select(row, "win", "lists", (F.col("pos") - F.col("offset")).alias("start"))
-    return moved.where("start >= 0").groupBy(row, "win", "start", "lists").agg(F.count("*").alias("got")).where("got = lists").select(row, "win", "start")
+    # the rarest list leads; each of its places asks the other lists at their offsets
+    lead = index.join(send(plan.where("rank = 1").select("win", "term", "offset", "lists"), n_plan), "term")
+    lead = lead.select(row, "win", "lists", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+    others = plan.where("rank > 1").select("win", "term", "offset")
+    asked = lead.where("lists > 1").join(send(others, n_plan), "win").withColumn("pos", F.col("start") + F.col("offset"))
+    met = asked.join(index, [row, "term", "pos"], "left_semi").groupBy(row, "win", "start", "lists").agg(F.count("*").alias("got"))
+    # rows equal in every column share a key and count together; what that lets through the exact check ends
+    return met.where("got >= lists - 1").select(row, "win", "start").union(lead.where("lists = 1").select(row, "win", "start").distinct())
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
