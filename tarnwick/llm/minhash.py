@@ -18,7 +18,7 @@ collected.
 Defined cases: a null or blank text has an empty set, is linked with nothing and stays; fewer than
 five words are one shingle; rows that are equal in every column share their result; rows with a
 null doc_id are judged, but a component is named by its smallest non-null doc_id. Extra columns
-pass through ``near_duplicates`` untouched.
+pass through; those named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -198,6 +198,7 @@ def _links(stash: Stash, texts: DataFrame, reps: DataFrame, pairs: DataFrame, na
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with n_shingles, component_id and kept (see the module's text)."""
     spark = docs.sparkSession
+    docs = docs.drop("n_shingles", "component_id", "kept")
     stash = Stash(spark, "minhash")
     texts = docs.select(row_key(id_col, text_col).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scan = stash.put(texts.mapInArrow(_scan, "uid long, doc_id long, n long, sk long, s0 long, s1 long, s2 long, s3 long, bands array<long>"), "scan")

@@ -35,6 +35,8 @@ REPEAT = 1.5
 SEND_ROWS = 2_000
 #: Rows of (source, tokens) up to which the bisection is done on the driver; beyond, each step is a small job.
 DRIVER_ROWS = 100_000
+#: Columns that the result or its steps add; extra columns of these names are replaced.
+RESULT = ("n_tokens", "tokens", "weight", "take", "exponent", "epoch", "block", "place", "cut")
 #: Bits of the order hash, 15 hexadecimal digits of an md5.
 HASH_BITS = 60
 
@@ -104,6 +106,7 @@ def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", text_co
     """``docs``, each row as often as the weights ask, with n_tokens, weight, epoch, block and place (order in the block)."""
     spark = docs.sparkSession
     stash = Stash(spark, "mixing")
+    docs = docs.drop(*(c for c in RESULT if c not in (source, id_col, text_col)))
     counted = docs.withColumn("_tokens", n_tokens(text_col)).withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("\x00null")))
     narrow = stash.put(counted.select(F.col(id_col).alias("_id"), "_source", "_tokens"), "tokens")
     plans = stash.put(plan(narrow.withColumnRenamed("_source", source), stash, source, repeat, entropy, budget), "plan")
