@@ -29,12 +29,13 @@ def raw_text(spark: SparkSession, path: str) -> DataFrame:
 def crawl_stream(lines: DataFrame, schema: str = "status string, url string, error string, html string") -> DataFrame:
     """Rows of crawl streams (stream, line_no, value): up to the line that says completed, blanks and
     junk skipped; a failed line before that raises."""
-    parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", schema)).where("r is not null")
+    parsed = lines.where(F.col("value").rlike(r"^\s*\{")).withColumn("r", F.from_json("value", schema)).where("r is not null")
     w = Window.partitionBy("stream")
     end = F.min(F.when(F.col("r.status") == "completed", F.col("line_no"))).over(w)
     kept = parsed.withColumn("_end", end).where("_end is null or line_no < _end").drop("_end")
-    ok = F.when(F.col("r.status") == "failed", F.raise_error(F.concat(F.lit("crawl failed: "), F.coalesce("r.error", F.lit("unknown"))))).otherwise(F.lit(True).cast("void").cast("boolean"))
-    return kept.where(F.coalesce(ok, F.lit(True))).select("stream", "line_no", "r.*")
+    said = F.concat(F.lit("crawl failed: "), F.coalesce("r.error", F.lit("unknown")))
+    ok = F.when(F.col("r.status") == "failed", F.raise_error(said).cast("boolean")).otherwise(F.lit(True))
+    return kept.where(ok).select("stream", "line_no", "r.*")
 
 
 def sniff(first_bytes: Column) -> Column:
