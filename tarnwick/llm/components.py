@@ -20,14 +20,15 @@ def connected(stash: Stash, links: DataFrame, name: str) -> DataFrame:
     mark, step = print_of(edges), 0
     while mark[0]:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # least neighbours are written first: joins of plain shuffles can be split at a hot node
+        low = stash.put(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-low{step}")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stash.put(large.where("u <> v").distinct(), f"{name}-large{step}")
+        low = stash.put(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least{step}")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         step += 1
         edges = stash.put(small.where("u <> v").distinct(), f"{name}{step}")
-        stash.drop(f"{name}{step - 1}")
+        stash.drop(*(f"{name}{x}{step - 1}" for x in ("", "-low", "-large", "-least")))
         new = print_of(edges)
         if new == mark:
             break
