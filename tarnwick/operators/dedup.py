@@ -77,12 +77,11 @@ def bands(rows: int = 128, threshold: float = 0.75) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def minhash(words: Column, permutations: int = 16) -> Column:
-    """Minima of linear hashes of md5 word values, computed in the JVM."""
-    prime = 4294967291
-    h = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
-    return F.array(*[F.array_min(F.transform(h, _linear(2 * i + 1, 7919 * i + 13, prime))) for i in range(permutations)])
-
+def minhash(df: DataFrame, key: str, words: Column, permutations: int = 16) -> DataFrame:
+    """(key, s): minima of linear hashes of md5 word values, summed map-side in generated code.
 
-def _linear(a: int, b: int, p: int):
-    return lambda x: F.pmod(x * a + b, F.lit(p))
+    A word is hashed once for all permutations; a row without words has nulls."""
+    prime = 4294967291
+    each = df.select(key, F.explode_outer(words).alias("w")).select(key, F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long").alias("h"))
+    least = [F.min(F.pmod(F.col("h") * (2 * i + 1) + 7919 * i + 13, F.lit(prime))) for i in range(permutations)]
+    return each.groupBy(key).agg(F.array(*least).alias("s"))

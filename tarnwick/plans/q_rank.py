@@ -211,7 +211,7 @@ def title_dedup(spark, sf):
     + "), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT) AS h FROM documents), k AS (SELECT unnest(range(0, 16)) AS i) SELECT doc_id, i::INT AS i, list_min(list_transform(h, lambda x: (x * (2 * i + 1) + 7919 * i + 13) % 4294967291))::BIGINT AS m FROM d, k"
 )
 def minhash_signature(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", D.minhash(T.word_set(F.col("text"))).alias("s"))
+    d = D.minhash(table(spark, sf, "documents"), "doc_id", T.word_set(F.col("text")))
     return d.select("doc_id", F.posexplode("s").alias("i", "m"))
 
 
