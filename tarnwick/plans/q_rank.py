@@ -229,7 +229,7 @@ def page_neardup(spark, sf):
     """Documents kept by a first-wins pass over word sets with a similarity of 0.75; short ones pass."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     long = d.where(F.length("text") >= 200).select("doc_id", T.word_set(F.col("text")).alias("w")).where(F.size("w") > 0)
-    gone = D.first_wins(D.similar_sets(long, "doc_id", "w", 0.75))
+    gone = D.first_wins_sets(long, "doc_id", "w", 0.75)
     return d.select("doc_id").join(gone, F.col("doc_id") == F.col("id"), "left_anti")
 
 
@@ -243,7 +243,7 @@ def page_neardup(spark, sf):
 def chunk_neardup(spark, sf):
     """Chunks (turns) kept by a first-wins pass; those without words go."""
     c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.word_set(F.col("text")).alias("w")).where(F.size("w") > 0)
-    gone = D.first_wins(D.similar_sets(c, "id", "w", 0.75)).select(F.col("id").alias("gone"))
+    gone = D.first_wins_sets(c, "id", "w", 0.75).select(F.col("id").alias("gone"))
     return c.select("id").join(gone, F.col("id") == F.col("gone"), "left_anti")
 
 

@@ -1,5 +1,7 @@
 """URL, text, chunk and source functions on literal cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,25 @@ def test_crawl_stream(spark):
     bad = files.crawl_stream(spark.createDataFrame([("b", 0, '{"status":"failed","error":"x"}')], "stream string, line_no int, value string"))
     with pytest.raises(Exception, match="crawl failed"):
         bad.collect()
+
+
+def test_similar_sets_and_first_wins_against_brute_force(spark):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.choice([1, 4, 30, 120]))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        words = set(rng.choice(base))
+        for w in rng.sample(sorted(words), rng.randrange(len(words) // 5 + 1)):
+            words.discard(w)
+            words.add(f"x{rng.randrange(300)}")
+        rows.append((i, sorted(words)))
+    df = spark.createDataFrame(rows, "id long, w array<string>").repartition(4)
+    sets = {i: set(w) for i, w in rows}
+    like = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b) for r in dedup.similar_sets(df, "id", "w", 0.75).collect()} == like and len(like) > 100
+    kept: list[int] = []
+    for i in sorted(sets):
+        if not any((k, i) in like for k in kept):
+            kept.append(i)
+    assert {r.id for r in dedup.first_wins_sets(df, "id", "w", 0.75).collect()} == set(sets) - set(kept)
+    assert dedup.first_wins_sets(df.limit(0), "id", "w", 0.75).count() == 0
