@@ -36,11 +36,18 @@ def top_k(df: DataFrame, group: str, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def diversify(df: DataFrame, domain: str, rank: str) -> DataFrame:
-    """``df`` with spread: round-robin over domains in the order of their first appearance."""
+def diversify(df: DataFrame, domain: str, most: int | None, *order: Column) -> DataFrame:
+    """``df`` with spread: round-robin over domains in the order of their best rows (by ``order``, ascending).
+
+    Nothing is ranked globally. A row of round k comes after k - 1 rows of its own domain, so if only
+    the first ``most`` rows are asked for, later rounds are cut off before the shuffle."""
     by = Window.partitionBy(domain)
-    rounds = df.withColumn("_round", F.row_number().over(by.orderBy(rank))).withColumn("_first", F.min(rank).over(by))
-    return rounds.withColumn("spread", F.struct("_round", "_first")).drop("_round", "_first")
+    rounds = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    rounds = rounds.withColumn("_round", F.row_number().over(by.orderBy("_key")))
+    if most is not None:
+        rounds = rounds.where(F.col("_round") <= most)
+    rounds = rounds.withColumn("_first", F.min("_key").over(by))
+    return rounds.withColumn("spread", F.struct("_round", "_first")).drop("_key", "_round", "_first")
 
 
 def final_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:

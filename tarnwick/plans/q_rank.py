@@ -44,8 +44,7 @@ RANKED = f"WITH {PAGES}, {bm25_cte('pg', 'page_id, h, title', 'content')}, rk AS
 @query(RANKED + " SELECT page_id, h AS domain, title, score, row_number() OVER (ORDER BY rnd, first)::INT AS rank FROM dv ORDER BY rnd, first LIMIT 10")
 def search_minimal(spark, sf):
     p = pages_scored(spark, sf).select("page_id", F.col("h").alias("domain"), "title", "score")
-    top = R.final_rank(p, F.desc("score"), F.col("page_id"), name="r")
-    spread = R.diversify(top, "domain", "r").orderBy("spread").limit(10)
+    spread = R.diversify(p, "domain", 10, -F.col("score"), F.col("page_id")).orderBy("spread").limit(10)
     return R.final_rank(spread, F.col("spread")).select("page_id", "domain", "title", "score", "rank")
 
 
@@ -66,9 +65,10 @@ def topk_chunks(spark, sf):
     return _top_chunks(spark, sf).select("doc_id", "chunk_id", "score", "rank")
 
 
-@query(_CH + " SELECT doc_id, chunk_id, chunk, score FROM bm WHERE doc_id = 7 ORDER BY score DESC, chunk_id LIMIT 3")
+@query(_CH + " SELECT doc_id, chunk_id, chunk, score FROM bm ORDER BY score DESC, doc_id, chunk_id LIMIT 3")
 def doc_topk(spark, sf):
-    return chunks_scored(spark, sf).where("doc_id = 7").orderBy(F.desc("score"), "chunk_id").limit(3).select("doc_id", "chunk_id", "chunk", "score")
+    """The best chunks of the whole table, taken as one document."""
+    return chunks_scored(spark, sf).orderBy(F.desc("score"), "doc_id", "chunk_id").limit(3).select("doc_id", "chunk_id", "chunk", "score")
 
 
 @query(_CH + " SELECT doc_id, string_agg(chunk, '\n\n[…]\n\n' ORDER BY rank) AS content FROM tk WHERE rank <= 3 GROUP BY doc_id")
@@ -85,11 +85,6 @@ def page_best_score(spark, sf):
 _BEST = _CH + ", be AS (SELECT d.doc_id, b.best FROM documents d LEFT JOIN (SELECT doc_id, max(score) AS best FROM bm GROUP BY doc_id) b USING (doc_id)), pr AS (SELECT *, row_number() OVER (ORDER BY best DESC NULLS LAST, doc_id)::INT AS rank FROM be)"
 
 
-def _ranked(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id").join(page_best_score(spark, sf), "doc_id", "left")
-    return R.final_rank(d, F.desc_nulls_last("best"), F.col("doc_id"))
-
-
 @query(_BEST + " SELECT doc_id, best, rank FROM pr WHERE rank <= 100")
 def page_rank(spark, sf):
     d = table(spark, sf, "documents").select("doc_id").join(page_best_score(spark, sf), "doc_id", "left")
@@ -103,10 +98,11 @@ def noise_filter(spark, sf):
     return d.where(F.col("best").isNull() | (F.col("best") >= R.NOISE))
 
 
-@query(RANKED + " SELECT page_id, h, rnd::INT AS round, first::INT AS first FROM dv")
+@query(RANKED + " SELECT page_id, h, rnd::INT AS round, first_value(page_id) OVER (PARTITION BY h ORDER BY r) AS first_page FROM dv")
 def diversify(spark, sf):
-    r = R.final_rank(pages_scored(spark, sf).select("page_id", "h", "score"), F.desc("score"), F.col("page_id"), name="r")
-    return R.diversify(r, "h", "r").select("page_id", "h", F.col("spread._round").alias("round"), F.col("spread._first").alias("first"))
+    """Each page's round and the best page of its domain: the round-robin order of all pages."""
+    r = R.diversify(pages_scored(spark, sf).select("page_id", "h", "score"), "h", None, -F.col("score"), F.col("page_id"))
+    return r.select("page_id", "h", F.col("spread._round").alias("round"), F.col("spread._first.k1").alias("first_page"))
 
 
 @query(RANKED + " SELECT page_id, r::INT AS rank, CASE WHEN r = 1 THEN 'top' WHEN r <= 3 THEN 'strong' ELSE 'possible' END AS band FROM rk WHERE r <= 20")
@@ -133,17 +129,26 @@ def rerank_compare(spark, sf):
 # joins
 
 
-@query(f"WITH p AS (SELECT page_id, {S.HOST} AS h FROM pages) SELECT page_id, EXISTS (SELECT 1 FROM p q WHERE q.h = p.h AND q.page_id < 100) AS seen FROM p WHERE page_id >= 100")
+@query(f"WITH p AS (SELECT page_id, {S.HOST} AS h FROM pages) SELECT page_id, EXISTS (SELECT 1 FROM p q WHERE q.h = p.h AND q.page_id < p.page_id) AS seen FROM p")
 def previously_seen(spark, sf):
+    """Pages whose host came up on an earlier page."""
     p = table(spark, sf, "pages").select("page_id", U.domain(F.col("url")).alias("h"))
-    old = p.where("page_id < 100").select("h").distinct().withColumn("hit", F.lit(True))
-    return p.where("page_id >= 100").join(old, "h", "left").select("page_id", F.coalesce("hit", F.lit(False)).alias("seen"))
+    first = p.groupBy("h").agg(F.min("page_id").alias("first"))
+    return p.join(first, "h").select("page_id", (F.col("first") < F.col("page_id")).alias("seen"))
+
 
+SCRAPED = S._WC.format("content") + " >= 60"
 
-@query(f"WITH {PAGES} SELECT p.page_id, CASE WHEN p.page_id % 7 = 0 THEN left(p.title, 200) ELSE left(p.content, 8000) END AS content, p.page_id % 7 <> 0 AS scraped FROM pg p")
+
+def scraped(content):
+    """A page counts as scraped from this many words on; shorter ones stand for failed ones."""
+    return T.word_count(content) >= 60
+
+
+@query(f"WITH {PAGES} SELECT page_id, CASE WHEN {SCRAPED} THEN left(content, 8000) ELSE left(title, 200) END AS content, {SCRAPED} AS scraped FROM pg")
 def search_enrich(spark, sf):
     p = table(spark, sf, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
-    got = table(spark, sf, "pages").where("page_id % 7 <> 0").select("page_id", T.strip_tags(F.col("html")).alias("body"))
+    got = table(spark, sf, "pages").select("page_id", T.strip_tags(F.col("html")).alias("body")).where(scraped(F.col("body")))
     return p.join(got, "page_id", "left").select("page_id", F.coalesce(F.left("body", F.lit(8000)), F.left("title", F.lit(200))).alias("content"), F.col("body").isNotNull().alias("scraped"))
 
 
@@ -253,11 +258,12 @@ def content_alias(spark, sf):
     return d.join(d.groupBy("h").agg(F.min("doc_id").alias("canonical")), "h").select("doc_id", "canonical")
 
 
-@query("WITH a AS (SELECT doc_id, sha256(text) AS h, min(doc_id) OVER (PARTITION BY sha256(text)) AS c FROM documents) SELECT x.doc_id, y.doc_id AS found, y.doc_id IS NOT NULL AS hit FROM a x LEFT JOIN a y ON x.c = y.doc_id AND x.h = y.h AND y.doc_id % 5 <> 0 WHERE x.doc_id <> x.c")
+@query("WITH a AS (SELECT doc_id, sha256(text) AS h, min(doc_id) OVER (PARTITION BY sha256(text)) AS c FROM documents) SELECT x.doc_id, y.doc_id AS found, y.doc_id IS NOT NULL AS hit FROM a x LEFT JOIN (SELECT a.* FROM a JOIN documents USING (doc_id) WHERE n_chars >= 500) y ON x.c = y.doc_id AND x.h = y.h WHERE x.doc_id <> x.c")
 def alias_deref(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.content_hash(F.col("text")).alias("h"))
+    """Copies find their first text where that was long enough to be stored, else they dangle."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", T.content_hash(F.col("text")).alias("h"))
     a = d.join(d.groupBy("h").agg(F.min("doc_id").alias("c")), "h")
-    canon = d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("found"), F.col("h").alias("fh"))
+    canon = d.where("n_chars >= 500").select(F.col("doc_id").alias("found"), F.col("h").alias("fh"))
     got = a.where("doc_id <> c").join(canon, (F.col("c") == F.col("found")) & (F.col("h") == F.col("fh")), "left")
     return got.select("doc_id", "found", F.col("found").isNotNull().alias("hit"))
 
@@ -267,27 +273,26 @@ def alias_deref(spark, sf):
 
 @query(
     f"WITH {PAGES}, fl AS (SELECT * FROM pg WHERE NOT (h = 'example.net' OR ends_with(h, '.example.net'))), nn AS (SELECT page_id AS nid, normalized FROM ({S.QUERY_NORMALIZE})), dd AS (SELECT fl.* FROM fl JOIN nn ON nid = page_id QUALIFY row_number() OVER (PARTITION BY normalized ORDER BY page_id) = 1),"
-    f" lm AS (SELECT * FROM dd ORDER BY page_id LIMIT 50), {bm25_cte('lm', 'page_id, h, title', 'content')}, ns AS (SELECT * FROM bm WHERE score >= 0.05), rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, page_id) AS r FROM ns), dv AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY r) AS rnd, min(r) OVER (PARTITION BY h) AS first FROM rk), fr AS (SELECT *, row_number() OVER (ORDER BY rnd, first)::INT AS rank FROM dv)"
+    f" {bm25_cte('dd', 'page_id, h, title', 'content')}, ns AS (SELECT * FROM bm WHERE score >= 0.05), rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, page_id) AS r FROM ns), dv AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY r) AS rnd, min(r) OVER (PARTITION BY h) AS first FROM rk), fr AS (SELECT *, row_number() OVER (ORDER BY rnd, first)::INT AS rank FROM dv)"
     " SELECT page_id, h AS domain, title, score, rank, CASE WHEN rank = 1 THEN 'top' WHEN rank <= 3 THEN 'strong' ELSE 'possible' END AS band FROM fr WHERE rank <= 10"
 )
 def search_pipeline(spark, sf):
-    """Filter, url duplicates, limit, score, noise, rank, spread, final rank and band."""
+    """Filter, url duplicates, score, noise, rank, spread, the first ten, final rank and band."""
     pages = table(spark, sf, "pages")
     p = pages.select("page_id", "url", U.domain(F.col("url")).alias("h"), T.html_title(F.col("html")).alias("title"), T.strip_tags(F.col("html")).alias("content"))
-    kept = D.first_of(p.where(~U.matches(F.col("h"), "example.net")), U.normalize(F.col("url")), "page_id").orderBy("page_id").limit(50)
+    kept = D.first_of(p.where(~U.matches(F.col("h"), "example.net")), U.normalize(F.col("url")), "page_id")
     scored = R.bm25(kept, TERMS, "content").where(F.col("score") >= R.NOISE)
-    ranked = R.final_rank(scored, F.desc("score"), F.col("page_id"), name="r")
-    spread = R.diversify(ranked, "h", "r").orderBy("spread").limit(10)
+    spread = R.diversify(scored, "h", 10, -F.col("score"), F.col("page_id")).orderBy("spread").limit(10)
     return R.final_rank(spread, F.col("spread")).select("page_id", F.col("h").alias("domain"), "title", "score", "rank", T.rank_band(F.col("rank")).alias("band"))
 
 
-_EX = f"WITH b AS (SELECT doc_id, text, doc_id % 4 AS kind, {S._B} AS bl FROM documents WHERE doc_id < 20)"
+_EX = f"WITH b AS (SELECT doc_id, text, doc_id % 4 AS kind, {S._B} AS bl FROM documents)"
 
 
 @query(_EX + " SELECT doc_id, CASE kind WHEN 0 THEN 'handoff' WHEN 1 THEN CASE WHEN length(text) < 400 THEN 'error' ELSE 'ok' END ELSE 'ok' END AS status, CASE kind WHEN 0 THEN 'document' WHEN 2 THEN 'selected' ELSE 'document' END AS chunk_mode, len(bl)::INT AS total_chunks, CASE WHEN kind = 0 THEN '' WHEN kind = 2 THEN array_to_string(list_filter([bl[1], bl[3]], lambda x: x IS NOT NULL), '\n\n[…]\n\n') ELSE array_to_string(list_slice(bl, 1, 3), '\n\n[…]\n\n') END AS content FROM b")
 def extract_pipeline(spark, sf):
     """Per document: hand-off, error or content; selected chunks or the head, joined with gap marks."""
-    d = table(spark, sf, "documents").where("doc_id < 20").withColumn("kind", F.col("doc_id") % 4).withColumn("bl", T.blocks(F.col("text"), "\n"))
+    d = table(spark, sf, "documents").withColumn("kind", F.col("doc_id") % 4).withColumn("bl", T.blocks(F.col("text"), "\n"))
     status = F.when(F.col("kind") == 0, "handoff").when((F.col("kind") == 1) & (F.length("text") < 400), "error").otherwise("ok")
     chosen = F.filter(F.array(F.get("bl", F.lit(0)), F.get("bl", F.lit(2))), lambda x: x.isNotNull())
     content = F.when(F.col("kind") == 0, "").when(F.col("kind") == 2, F.array_join(chosen, T.GAP)).otherwise(F.array_join(F.slice("bl", 1, 3), T.GAP))

@@ -225,12 +225,12 @@ def strip_table_rows(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(T.strip_table_rows(t), 256).alias("stripped"))
 
 
-_SOUP = "CASE WHEN doc_id % 2 = 0 THEN repeat('[' || lang || '](/' || source || ') ', 3 + (doc_id % 3)::INT) ELSE '[a](b) ' || substr(text, 1, 40) END"
+_SOUP = "CASE WHEN doc_id % 2 = 0 THEN repeat('[' || lang || '](/' || source || ') ', 3 + (doc_id % 3)::INT) ELSE '[a](b) ' || text END"
 
 
 @query(f"WITH d AS (SELECT doc_id, {_SOUP} AS t FROM documents) SELECT doc_id, len(regexp_extract_all(t, '\\[[^\\]]*\\]\\([^)]*\\)')) >= 4 AND length(regexp_replace(regexp_replace(t, '\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '[`*_\\s]', '', 'g')) <= 12 AS soup FROM d")
 def link_soup_lines(spark, sf):
-    t = F.when(F.col("doc_id") % 2 == 0, F.expr("repeat(concat('[', lang, '](/', source, ') '), cast(3 + doc_id % 3 as int))")).otherwise(F.concat(F.lit("[a](b) "), F.substring("text", 1, 40)))
+    t = F.when(F.col("doc_id") % 2 == 0, F.expr("repeat(concat('[', lang, '](/', source, ') '), cast(3 + doc_id % 3 as int))")).otherwise(F.concat(F.lit("[a](b) "), "text"))
     return table(spark, sf, "documents").select("doc_id", T.is_link_soup(t).alias("soup"))
 
 

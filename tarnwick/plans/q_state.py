@@ -126,20 +126,20 @@ def cache_stats(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey % 50 = 1), g AS (SELECT 'o' || o AS src, 'p' || p AS dst FROM e UNION SELECT 'p' || p, 'o' || o FROM e),
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), g AS (SELECT 'o' || o AS src, 'p' || p AS dst FROM e UNION SELECT 'p' || p, 'o' || o FROM e),
 b AS (SELECT 'o1' AS node, 0 AS depth UNION SELECT g.dst, b.depth + 1 FROM b JOIN g ON g.src = b.node WHERE b.depth < 4) SELECT node, min(depth)::INT AS depth FROM b GROUP BY node"""
 )
 def bfs_depth(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_orderkey % 50 = 1").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("o"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p")).distinct()
+    e = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("o"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p")).distinct()
     edges = e.select(F.col("o").alias("src"), F.col("p").alias("dst")).union(e.select(F.col("p").alias("src"), F.col("o").alias("dst")))
     return G.bfs(edges, spark.createDataFrame([("o1",)], "node string"), 4).select("node", "depth")
 
 
-_TREE = f"WITH {S.LINKS}, t AS (SELECT page_id, url, target, min(pos) AS pos, arg_min(label, pos) AS label FROM r WHERE regexp_matches(target, '^https?://[^/?#]+') AND page_id < 20 GROUP BY page_id, url, target), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) + 1 AS rank FROM t)"
+_TREE = f"WITH {S.LINKS}, t AS (SELECT page_id, url, target, min(pos) AS pos, arg_min(label, pos) AS label FROM r WHERE regexp_matches(target, '^https?://[^/?#]+') GROUP BY page_id, url, target), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) + 1 AS rank FROM t)"
 
 
 def _tree(spark, sf):
-    p = table(spark, sf, "pages").where("page_id < 20")
+    p = table(spark, sf, "pages")
     e = S.page_edges(p).withColumn("target", U.resolve(F.col("url"), F.col("href"))).where("target is not null")
     first = D.first_of(e, F.struct("page_id", "target"), "pos")
     k = first.withColumn("rank", (F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) + 1).cast("int")).where("rank <= 6")
@@ -148,7 +148,7 @@ def _tree(spark, sf):
     return root.unionByName(kids)
 
 
-@query(_TREE + " SELECT page_id, url AS target, 1 AS rank, 0 AS depth, NULL::VARCHAR AS discovered_from, 'seed' AS link_type FROM pages WHERE page_id < 20 UNION ALL SELECT page_id, target, rank::INT, 1, url, 'internal' FROM k WHERE rank <= 6")
+@query(_TREE + " SELECT page_id, url AS target, 1 AS rank, 0 AS depth, NULL::VARCHAR AS discovered_from, 'seed' AS link_type FROM pages UNION ALL SELECT page_id, target, rank::INT, 1, url, 'internal' FROM k WHERE rank <= 6")
 def map_tree(spark, sf):
     """The bounded link tree of each seed page: root first, then links in page order."""
     return _tree(spark, sf).drop("label")
@@ -160,13 +160,13 @@ def map_dedup(spark, sf):
     return e.groupBy("target").agg(F.min("page_id").alias("first_page"))
 
 
-_CRAWL = f"WITH {Q.PAGES}, {Q.bm25_cte('pg', 'page_id', 'content')}, j AS (SELECT pg.page_id, CASE WHEN pg.page_id % 6 = 0 THEN NULL ELSE score END AS score, content FROM pg JOIN bm USING (page_id))"
+_CRAWL = f"WITH {Q.PAGES}, {Q.bm25_cte('pg', 'page_id', 'content')}, j AS (SELECT pg.page_id, CASE WHEN {Q.SCRAPED} THEN score END AS score, content FROM pg JOIN bm USING (page_id))"
 
 
 @query(_CRAWL + ", k AS (SELECT page_id, score, row_number() OVER (ORDER BY score IS NULL, score DESC, page_id)::INT AS rank FROM j) SELECT * FROM k WHERE rank <= 50")
 def crawl_rank(spark, sf):
     """Pages with scores first, best first, then the others in order."""
-    s = Q.pages_scored(spark, sf).select("page_id", F.when(F.col("page_id") % 6 != 0, F.col("score")).alias("score"))
+    s = Q.pages_scored(spark, sf).select("page_id", F.when(Q.scraped(F.col("content")), F.col("score")).alias("score"))
     order = (F.col("score").isNull(), F.desc("score"), F.col("page_id"))
     return R.final_rank(s.orderBy(*order).limit(50), *order)
 
@@ -175,7 +175,7 @@ def crawl_rank(spark, sf):
 def crawl_pipeline(spark, sf):
     """The page list left joined with what could be extracted, ordered by relevance and ranked."""
     pages = table(spark, sf, "pages").select("page_id")
-    docs = Q.pages_scored(spark, sf).where("page_id % 6 <> 0").select("page_id", "score", F.length("content").cast("long").alias("total_chars"))
+    docs = Q.pages_scored(spark, sf).where(Q.scraped(F.col("content"))).select("page_id", "score", F.length("content").cast("long").alias("total_chars"))
     j = pages.join(docs, "page_id", "left").select("page_id", "score", F.when(F.col("total_chars").isNull(), "error").otherwise("ok").alias("status"), F.coalesce("total_chars", F.lit(0)).alias("total_chars"))
     order = (F.col("score").isNull(), F.desc("score"), F.col("page_id"))
     return R.final_rank(j.orderBy(*order).limit(20), *order)
