@@ -183,9 +183,9 @@ def _texts(stash: Stash, texts: DataFrame, reps: DataFrame, asked: DataFrame, na
     asked = asked.distinct().join(reps.select("sk", F.col("ruid").alias("uid")), "sk")
     asked = stash.put(asked, f"{name}-asked")
     few = asked.count() <= SEND_ROWS
-    sent = texts.join(F.broadcast(asked) if few else asked, "uid").dropDuplicates(["sk"]) if not few else texts.join(F.broadcast(asked), "uid")
-    sent = stash.put(sent.select("sk", "text"), f"{name}-texts")
-    return sent.groupBy("sk").agg(F.first("text").alias("text")) if few else sent
+    sent = stash.put(texts.join(F.broadcast(asked) if few else asked, "uid").select("sk", "text"), f"{name}-texts")
+    # rows that are equal in every column have each sent theirs
+    return sent.groupBy("sk").agg(F.first("text").alias("text"))
 
 
 def _links(stash: Stash, texts: DataFrame, reps: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
