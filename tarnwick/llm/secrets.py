@@ -1,7 +1,9 @@
 """Secret scans: candidates from patterns, false positives removed by a random forest.
 
-Candidates are words of a text that carry a long key-like run (16 or more of ``A-Z a-z 0-9 + / _ -``
-with a digit). A random forest (``pyspark.ml``, in the JVM) judges them by length, character
+Candidates are all key-like runs of a text (16 or more of ``A-Z a-z 0-9 + / _ -`` with a digit), as
+many as a word has, each with its offset; values below that bar which a name announces (``password=``,
+``"secret": ``, ``apiKey:``); and the headers of PEM private keys. A random forest (``pyspark.ml``, in
+the JVM) judges them by length, character
 transitions, composition and entropy, by how much of the run dictionary words cover, by the path the
 text comes from, and by the words before it. It is trained from labelled findings; ``findings``
 makes a labelled table of public credential shapes and of the usual false positives (digests,
@@ -14,7 +16,10 @@ the coverage of candidates, joined by word piece with AQE's skew handling. Candi
 carry no text. The training table is bounded by ``TRAIN`` rows.
 
 Defined cases: null and empty texts have no candidates; repeated rows give repeated findings; a
-null path has no path features. The candidate itself is not returned, only its SHA-256 and place.
+null path has no path features. The candidate itself is not returned, only its SHA-256, the place of
+its word and its offset there. Of the text around a candidate the nearest ``NEAR`` characters of a word
+are looked at, of an announced value the first 512; a later run of a word is judged by the names
+between it and the run before, or, if there are none (lists), by the words before.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Stash, lower_ascii, row_key
 
-RUN = r"[A-Za-z0-9+/_\-]{16,}"
+RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}"
 #: Rows in the training table at most; trees and depth of the forest.
 TRAIN, TREES, DEPTH = 20_000, 24, 7
 COMMON = 20
@@ -36,23 +41,65 @@ AROUND = 3
 ANNOUNCE = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "credential", "credentials", "auth", "bearer", "aws", "private")
 DENY = ("sha1", "sha256", "md5", "checksum", "commit", "digest", "uuid", "guid", "hash", "revision", "integrity", "etag", "example", "sample", "dummy")
 CALM_PATHS = ("test", "example", "sample", "doc", "fixture", "mock")
+#: A name that announces a value, up to the value; the value; the header of a private key.
+ANNOUNCED = r"(?:(?<![A-Za-z])(?i:" + "|".join(ANNOUNCE) + r")|(?:Password|Passwd|Pwd|Secret|Token|Key|Credential|Auth))s?[\\\"'`]{0,4}\s*+(?:=>|:=|==?|:)\s*+[\\\"'`]{0,4}(?=[^\s\"'`,;&<>\\])"
+VALUE = r"[^\s\"'`,;&<>\\]{0,511}[^\s\"'`,;&<>\\.)\]}]"
+PEM = r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+#: Stands before announced values and headers while words are parted; characters looked at beside a candidate.
+MARK, NEAR = "\u0001", 64
 
 FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "entropy", "hex", "repeat", "vowels", "bigrams", "coverage", "announce", "deny", "assigned", "quoted", "known_prefix", "calm_path", "deep_path"]
 
 
+def _held(*of) -> Column:
+    """The last argument of the columns before it as a struct, worked out once and not at each use in a lambda."""
+    return F.transform(F.array(F.struct(*of[:-1])), of[-1])[0]
+
+
+def _ends(sizes: Column) -> Column:
+    """0 and the running sums."""
+    return F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+
+
+def _keys(p: Column) -> Column:
+    """All key-like runs of a word from its runs, the gaps about them and the ends of both."""
+    gap = lambda k: p["gaps"][k]
+    return F.transform(p["runs"], lambda r, k: F.struct((p["ends"][k] + F.length(gap(k))).alias("offset"), (k == 0).alias("first"), F.right(gap(k), F.lit(NEAR)).alias("gap"), r.alias("run"), F.left(gap(k + 1), F.lit(8)).alias("after")))
+
+
+def _told(p: Column) -> Column:
+    """The announced values of a word from its marked parts and their ends."""
+    n = F.size(p["t"])
+    whole = lambda t, k: F.when(k == n - 1, F.concat_ws(" ", t, "follow")).otherwise(t)
+    made = F.transform(
+        p["t"],
+        lambda t, k: F.struct(p["ends"][k].alias("offset"), (k == 1).alias("first"), F.right(F.get(p["t"], k - 1), F.lit(NEAR)).alias("gap"), F.regexp_extract(whole(t, k), f"^(?:{PEM}|{VALUE})", 0).alias("run"), F.lit("").alias("after")),
+    )
+    return F.slice(made, F.lit(2), n)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """(doc_id, row, path, place, word, run, before): one row for each candidate."""
-    pieces = F.split(F.col(text_col), r"\s+")
+    """(doc_id, row, path, place, offset, word, gap, run, before): one row for each candidate."""
+    text = F.col(text_col)
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    base = docs.where(F.col(text_col).rlike(RUN)).select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), path.alias("path"), pieces.alias("w"))
-    marked = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: (F.length(p["x"]) >= 16) & p["x"].rlike("[0-9]") & p["x"].rlike(RUN))
-    found = base.withColumn("f", marked).where(F.size("f") > 0)
-    before = F.expr(f"transform(f, p -> struct(p.i as place, p.x as word, slice(w, greatest(p.i - {AROUND} + 1, 1), least(p.i, {AROUND})) as before))")
-    rows = found.select("doc_id", "row", "path", F.explode(before).alias("p")).select("doc_id", "row", "path", "p.*")
-    # of a word's runs the longest that has a digit
-    runs = F.filter(F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1)), lambda r: r.rlike("[0-9]"))
-    longest = F.element_at(F.reverse(F.array_sort(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))), 1)["r"]
-    return rows.withColumn("run", longest).where("run is not null").withColumn("before", F.array_join(F.transform("before", lower_ascii), " "))
+    marked = F.regexp_replace(F.translate(text, MARK, "\u0002"), ANNOUNCED, "$0" + MARK)
+    marked = F.regexp_replace(marked, f"{MARK}?({PEM})", MARK + "$1")
+    base = docs.where(text.rlike(RUN) | text.rlike(ANNOUNCED) | text.rlike(PEM)).select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), path.alias("path"), F.split(marked, r"\s+").alias("w"))
+    found = base.withColumn("f", F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"].contains(MARK) | (F.length(p["x"]) >= 16) & p["x"].rlike(RUN))).where(F.size("f") > 0)
+    around = F.expr(f"transform(f, p -> struct(p.i as place, p.x as x, transform(slice(w, greatest(p.i - {AROUND} + 1, 1), least(p.i, {AROUND})), b -> right(b, {NEAR})) as before, array_join(transform(slice(w, p.i + 2, 6), b -> left(b, {NEAR})), ' ') as follow))")
+    rows = found.select("doc_id", "row", "path", F.explode(around).alias("p")).select("doc_id", "row", "path", "p.*")
+    rows = rows.withColumn("before", F.array_join(F.transform("before", lower_ascii), " "))
+    plain = F.translate("x", MARK, "")
+    parts = _held(F.split("x", MARK, -1).alias("t"), lambda p: _held(p["t"].alias("t"), _ends(F.transform(p["t"], F.length)).alias("ends"), _told))
+    runs = _held(
+        F.regexp_extract_all(plain, F.lit(RUN), F.lit(0)).alias("runs"),
+        F.split(plain, RUN, -1).alias("gaps"),
+        lambda p: _held(p["runs"].alias("runs"), p["gaps"].alias("gaps"), _ends(F.transform(p["runs"], lambda r, k: F.length(r) + F.length(p["gaps"][k]))).alias("ends"), _keys),
+    )
+    told = F.filter(parts, lambda c: (c["run"] != "") & ~c["run"].rlike(RUN))
+    each = rows.select("doc_id", "row", "path", "place", "before", F.explode(F.concat(runs, told)).alias("c")).select("doc_id", "row", "path", "place", "before", "c.*")
+    before = F.when(F.col("first") | ~F.col("gap").rlike("[A-Za-z]"), F.col("before")).otherwise("")
+    return each.select("doc_id", "row", "path", "place", "offset", F.concat("gap", "run", "after").alias("word"), "gap", "run", before.alias("before"))
 
 
 def _count(col: Column, pattern: str) -> Column:
@@ -60,11 +107,12 @@ def _count(col: Column, pattern: str) -> Column:
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """``rows`` (run, word, before, path, coverage) with the features."""
+    """``rows`` (run, word, gap, before, path, coverage) with the features; gap is the word up to the run."""
     run, n = F.col("run"), F.length("run").cast("double")
     chars = F.filter(F.split(run, ""), lambda c: c != "")
     lead = lower_ascii(F.regexp_extract("word", r"^([A-Za-z_\-]*)", 1))
-    context = F.concat_ws(" ", "before", lead)
+    gap = lower_ascii(F.regexp_replace("gap", "([a-z])([A-Z])", "$1 $2"))
+    context = F.concat_ws(" ", "before", gap, lead)
     counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
     has = lambda words: F.when(context.rlike(r"(^|[^a-z])(" + "|".join(words) + r")([^a-z]|$)"), 1.0).otherwise(0.0)
     path = lower_ascii(F.coalesce("path", F.lit("")))
@@ -84,9 +132,9 @@ def described(rows: DataFrame) -> DataFrame:
         (_count(run, "(?i)(?=th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt)") / n).alias("bigrams"),
         has(ANNOUNCE).alias("announce"),
         has(DENY).alias("deny"),
-        F.when(F.concat_ws(" ", "before", lower_ascii(F.col("word"))).rlike(r"[=:]\s*[\"']?[a-z0-9+/_\-]*[\"']?[.,;]?$"), 1.0).otherwise(0.0).alias("assigned"),
+        F.when(F.concat_ws(" ", "before", "gap").rlike(r"[=:]>?\s*[\\\"'`]*$"), 1.0).otherwise(0.0).alias("assigned"),
         F.when(F.col("word").rlike("[\"'`]"), 1.0).otherwise(0.0).alias("quoted"),
-        F.when(F.col("word").rlike(r"(^|[^A-Za-z0-9])(AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|sk-|xox[abp]-|AIza|glpat-)"), 1.0).otherwise(0.0).alias("known_prefix"),
+        F.when(F.col("word").rlike(r"(^|[^A-Za-z0-9])(AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|sk-|xox[abp]-|AIza|glpat-|-----BEGIN )"), 1.0).otherwise(0.0).alias("known_prefix"),
         F.when(path.rlike("|".join(CALM_PATHS)), 1.0).otherwise(0.0).alias("calm_path"),
         _count(path, "/").alias("deep_path"),
     )
@@ -133,11 +181,36 @@ def findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         (F.concat(F.lit("AKIA"), F.lit("EXAMPLEEXAMPLE00")), F.concat_ws(" ", pick("5"), F.lit("sample")), F.lit("docs/readme.md"), 0),
         (F.concat(pick("1"), F.lit("_"), pick("2"), F.lit("_"), pick("3"), F.lit("_v2")), F.lit("file"), F.lit("src/main.c"), 0),
     ]
-    case = F.array(*[F.struct(w.alias("word"), b.alias("before"), p.alias("path"), F.lit(float(y)).alias("label")) for w, b, p, y in kinds])
-    made = spark.range(min(rows, TRAIN)).select("id", F.element_at(case, (F.col("id") % len(kinds) + 1).cast("int")).alias("k")).select(F.col("id").alias("row"), "k.*")
-    runs = F.filter(F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1)), lambda r: r.rlike("[0-9]"))
-    longest = F.element_at(F.reverse(F.array_sort(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))), 1)["r"]
-    return made.withColumn("run", F.when(F.size(runs) > 0, longest)).where("run is not null").withColumn("before", lower_ascii(F.col("before")))
+    short = F.concat(F.substring(mixed, 1, 5), F.substring(h("i"), 1, 4))
+    plain = F.concat(pick("8"), F.substring(num, 1, 3))
+    pem = F.concat(F.lit("-----BEGIN "), F.element_at(F.array(*[F.lit(x) for x in ("", "RSA ", "EC ", "OPENSSH ")]), (F.col("id") % 4 + 1).cast("int")), F.lit("PRIVATE KEY-----"))
+    stub = F.element_at(F.array(*[F.lit(x) for x in ("none", "null", "true", "required", "********", "xxxxxxxx", "${TOKEN}", "string", "changeme", "todo")]), (F.pmod(F.xxhash64("id"), F.lit(10)) + 1).cast("int"))
+    # announced below the bar, and runs that are one of many in a word: (gap, run, after, before, path, label)
+    told: list[tuple[Column, Column, Column, Column, Column, int]] = [
+        (F.lit("password="), short, F.lit(""), pick("5"), none, 1),
+        (F.lit('","secret":"'), F.substring(mixed, 1, 12), F.lit('"}'), F.lit(""), none, 1),
+        (F.lit(""), plain, F.lit(""), F.concat_ws(" ", pick("5"), F.lit("password:")), F.lit("conf/settings.ini"), 1),
+        (F.lit(""), pem, F.lit(""), F.lit(""), F.lit("conf/id"), 1),
+        (F.lit('{"id":"'), F.concat(F.lit("AKIA"), F.substring(base32, 1, 16)), F.lit('","secre'), F.lit(""), none, 1),
+        (F.lit('","secret":"'), mixed, F.lit('"}'), F.lit(""), none, 1),
+        (F.lit(";key="), F.substring(mixed, 1, 32), F.lit(";"), F.lit(""), none, 1),
+        (F.lit("token:"), pick("8"), F.lit(""), pick("5"), none, 0),
+        (F.lit(""), pick("8"), F.lit(""), F.concat_ws(" ", pick("5"), F.lit("key:")), none, 0),
+        (F.lit("password="), stub, F.lit(""), pick("5"), F.lit("src/main.c"), 0),
+        (F.lit('"token":"'), stub, F.lit('"'), F.lit(""), none, 0),
+        (F.lit("key="), F.substring(num, 1, 3), F.lit(""), pick("5"), none, 0),
+        (F.lit('","sha1":"'), F.substring(F.concat(h("g"), h("h")), 1, 40), F.lit('","'), F.lit(""), none, 0),
+        (F.lit('","path":"'), F.concat(F.lit("/usr/"), joined, F.lit("/"), pick("6")), F.lit('","'), F.lit(""), none, 0),
+    ]
+    runs = lambda w: F.regexp_extract_all(w, F.lit(RUN), F.lit(0))
+    longest = lambda w: F.element_at(F.reverse(F.array_sort(F.transform(runs(w), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))), 1)["r"]
+    case = F.array(
+        *[F.struct(w.alias("word"), F.lit(None).cast("string").alias("gap"), F.lit(None).cast("string").alias("run"), b.alias("before"), p.alias("path"), F.lit(float(y)).alias("label")) for w, b, p, y in kinds],
+        *[F.struct(F.concat(g, r, a).alias("word"), g.alias("gap"), r.alias("run"), b.alias("before"), p.alias("path"), F.lit(float(y)).alias("label")) for g, r, a, b, p, y in told],
+    )
+    made = spark.range(min(rows, TRAIN)).select("id", F.element_at(case, (F.col("id") % (len(kinds) + len(told)) + 1).cast("int")).alias("k")).select(F.col("id").alias("row"), "k.*")
+    made = made.withColumn("run", F.coalesce("run", F.when(F.size(runs(F.col("word"))) > 0, longest(F.col("word"))))).where("run is not null")
+    return made.withColumn("gap", F.coalesce("gap", F.expr("substring_index(word, run, 1)"))).withColumn("before", lower_ascii(F.col("before")))
 
 
 def _vector(rows: DataFrame) -> DataFrame:
@@ -146,19 +219,21 @@ def _vector(rows: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame, words: DataFrame, seed: int = 7) -> RandomForestClassificationModel:
     """The forest from labelled findings (row, word, run, before, path, label)."""
+    if "gap" not in labelled.columns:
+        labelled = labelled.withColumn("gap", F.expr("substring_index(word, run, 1)"))
     rows = covered(labelled.limit(TRAIN), words, ["row"])
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(_vector(rows).select("features", "label"))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """(doc_id, place, length, run_sha256, score, is_secret) of every candidate."""
+    """(doc_id, place, offset, length, run_sha256, score, is_secret) of every candidate."""
     stash = Stash(docs.sparkSession, "secrets")
     rows = stash.put(candidates(docs, id_col, text_col, path_col), "candidates")
     # coverage is a matter of the run alone
     runs = stash.put(covered(rows.select("run").distinct(), words, ["run"]), "covered")
     judged = model.transform(_vector(rows.join(runs, "run")))
     score = F.round(vector_to_array("probability")[1], 6)
-    return judged.select("doc_id", "place", F.length("run").alias("length"), F.sha2("run", 256).alias("run_sha256"), score.alias("score"), (score >= 0.5).alias("is_secret"))
+    return judged.select("doc_id", "place", "offset", F.length("run").alias("length"), F.sha2("run", 256).alias("run_sha256"), score.alias("score"), (score >= 0.5).alias("is_secret"))
 
 
 def scan_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
