@@ -48,10 +48,13 @@ IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "tfoot": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption"]), frozenset(["table"])),
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
+#: What may stand in a head; anything else ends it.
+HEADED = frozenset("html head base link meta title style script noscript noframes template".split())
 SCOPE = frozenset("table td th caption button html template".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(/?)>", re.S)
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+BLANKS = " \t\r\n\f"
 SPACES = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -85,14 +88,19 @@ def parse(page: str) -> Node:
         if cut is not None:
             del stack[cut:]
 
+    def add(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip(BLANKS):
+            stack.pop()
+        stack[-1].kids.append(text)
+
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at) if page.find(">", at) >= 0 else None
         if m is None:
-            stack[-1].kids.append(html.unescape(page[at:]))
+            add(html.unescape(page[at:]))
             break
         if m.start() > at:
-            stack[-1].kids.append(html.unescape(page[at : m.start()]))
+            add(html.unescape(page[at : m.start()]))
         at = m.end()
         if m[1]:
             tag = m[1].lower()
@@ -108,7 +116,7 @@ def parse(page: str) -> Node:
                 close(frozenset(["p"]), SCOPE)
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
-            if tag in BLOCK and stack[-1].tag == "head":
+            if stack[-1].tag == "head" and tag not in HEADED:
                 stack.pop()
             node = Node(tag, attributes(m[3]) if m[3].strip() else {})
             stack[-1].kids.append(node)

@@ -340,3 +340,15 @@ def test_secrets_of_one_word(spark):
         assert found[k], k
     assert at(1, 0, digest) in found and at(2, 0, key) in found
     assert sum(r.doc_id == 6 for r in rows) == 2000 and sum(r.doc_id == 0 for r in rows) == 3
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>T</title>Hello <b>x</b>", "Hello x"),
+        ("<head><title>T</title><span><div>whole</div> page", "whole\npage"),
+        ("<head><title>T</title> <style>a</style><my-x>a</my-x><p>b", "a\n\nb"),
+    ],
+)
+def test_html_head_ends_at_content(page, text):
+    assert html_layout.page_text(page) == text
