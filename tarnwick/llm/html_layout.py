@@ -2,8 +2,10 @@
 
 The tree builder reads tags, closes what the next tag implies (paragraphs before blocks, items before
 items, cells and rows before cells and rows, all of them at the end of their container), knows void
-and raw-text elements and ignores stray end tags. Visible is what a browser shows: not head, script,
-style, template and the like, nor elements with ``hidden``, ``display:none`` or ``visibility:hidden``.
+and raw-text elements and ignores stray end tags. Text and elements that stand in a table but in no
+cell come before the table; a cell without a row gets one. Visible is what a browser shows: not head, script,
+style, template and the like, nor closed dialogs, the drawing of an svg (its text is shown), the
+options that a closed select doesn't show, nor elements with ``hidden``, ``display:none`` or ``visibility:hidden``.
 
 The renderer keeps block spacing (one blank line around paragraphs, headings, lists and tables; a
 line break between other blocks), bullets and numbers of lists with their indent, quotes, rules,
@@ -29,7 +31,7 @@ from .common import small_batches
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe object audio video canvas svg math datalist noembed noframes area param source track select option dialog".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe object audio video canvas datalist noembed noframes area param source track annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote hr figure form fieldset".split())
 BLOCK = SPACED | frozenset("html body address article aside div footer header hgroup main nav section li dt dd figcaption details summary center legend menu tr caption thead tbody tfoot td th search".split())
 CLOSES_P = (BLOCK - frozenset("html body td th tr caption thead tbody tfoot".split())) | frozenset(["hr"])
@@ -50,6 +52,10 @@ IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 }
 #: What may stand in a head; anything else ends it.
 HEADED = frozenset("html head base link meta title style script noscript noframes template".split())
+#: Open elements of a table that hold no text, and what may stand in them.
+PARTS = frozenset("table tbody thead tfoot tr colgroup".split())
+TABLED = frozenset("caption colgroup col tbody thead tfoot tr td th style script template".split())
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern".split())
 SCOPE = frozenset("table td th caption button html template".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(/?)>", re.S)
@@ -91,7 +97,26 @@ def parse(page: str) -> Node:
     def add(text: str) -> None:
         if stack[-1].tag == "head" and text.strip(BLANKS):
             stack.pop()
-        stack[-1].kids.append(text)
+        if stack[-1].tag in PARTS and text.strip(BLANKS):
+            foster(text)
+        else:
+            stack[-1].kids.append(text)
+
+    def foster(kid: Node | str) -> None:
+        """Put ``kid`` before the open table (or the outermost part, where there is no table)."""
+        i = len(stack) - 1
+        while stack[i].tag != "table" and stack[i - 1].tag in PARTS:
+            i -= 1
+        stack[i - 1].kids.insert(len(stack[i - 1].kids) - 1, kid)
+
+    def clear() -> None:
+        """End what is open above the nearest part of a table, unless a cell or caption is nearer."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in ("td", "th", "caption", "template"):
+                break
+            if stack[i].tag in PARTS:
+                del stack[i if stack[i].tag == "colgroup" else i + 1 :]
+                break
 
     at, end = 0, len(page)
     while at < end:
@@ -112,14 +137,28 @@ def parse(page: str) -> Node:
                     break
         elif m[2]:
             tag = m[2].lower()
+            if tag in TABLED and tag not in ("col", "style", "script", "template"):
+                clear()
+            elif tag == "table" and stack[-1].tag in PARTS:
+                close(frozenset(["table"]), frozenset(["td", "th", "caption", "template"]))
             if tag in CLOSES_P:
                 close(frozenset(["p"]), SCOPE)
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
             if stack[-1].tag == "head" and tag not in HEADED:
                 stack.pop()
+            if tag in ("td", "th") and stack[-1].tag in PARTS and stack[-1].tag != "tr":
+                stack[-1].kids.append(Node("tr"))
+                stack.append(stack[-1].kids[-1])
             node = Node(tag, attributes(m[3]) if m[3].strip() else {})
-            stack[-1].kids.append(node)
+            if stack[-1].tag in PARTS and tag not in TABLED and tag != "form":
+                foster(node)
+            else:
+                stack[-1].kids.append(node)
+                if tag == "form" and stack[-1].tag in PARTS:
+                    continue
+            if m[3].rstrip().endswith("/") and tag not in BLOCK and any(x.tag in ("svg", "math") for x in stack):
+                continue
             if tag in VOID or m[4] and tag not in BLOCK:
                 continue
             if tag in RAW:
@@ -134,12 +173,30 @@ def parse(page: str) -> Node:
 def visible(node: Node) -> bool:
     if node.tag in UNSEEN or "hidden" in node.attrs:
         return False
+    if node.tag == "dialog" and "open" not in node.attrs:
+        return False
     if node.tag == "input" and node.attrs.get("type", "").lower() == "hidden":
         return False
     style = node.attrs.get("style")
     return not style or not re.search(r"(?i)(^|;)\s*(display\s*:\s*none|visibility\s*:\s*(hidden|collapse))", style)
 
 
+def shown(select: Node) -> list[Node | str]:
+    """The texts of the options that a select shows: all of a list, the chosen one of a closed one."""
+    options: list[Node] = []
+    todo: list[Node] = [select]
+    while todo:
+        node = todo.pop()
+        if node.tag == "option" and visible(node):
+            options.append(node)
+        elif node.tag != "option" and (node is select or visible(node)):
+            todo.extend(x for x in reversed(node.kids) if isinstance(x, Node))
+    size = select.attrs.get("size", "")
+    if options and "multiple" not in select.attrs and not (size.isdigit() and int(size) > 1):
+        options = [x for x in options if "selected" in x.attrs][-1:] or options[:1]
+    return [x for o in options for x in (" ", *([o.attrs["label"]] if o.attrs.get("label") else o.kids), " ")]
+
+
 class Lines:
     """Lines of a block in the making: inline text, breaks and the space asked between blocks."""
 
@@ -234,13 +291,21 @@ def render(root: Node) -> str:
             if isinstance(kid, str):
                 if kind in ("pre", "pretop"):
                     extra.append(kid)
-                elif kind not in ("table", "section", "row"):
+                elif kind not in ("table", "section", "row", "svg"):
                     lines.text(kid)
                 continue
             if not visible(kid):
                 continue
             tag = kid.tag
-            if kind in ("pre", "pretop"):
+            if tag == "select":
+                kid = Node("select", {}, shown(kid))
+            if kind == "svg" or tag == "svg" and kind not in ("pre", "pretop"):
+                if tag in ("text", "foreignobject"):
+                    lines.text(" ")
+                    stack.append([Node(tag, {}, [*kid.kids, " "]), 0, lines, "inline", None])
+                elif tag not in UNDRAWN:
+                    stack.append([kid, 0, lines, "svg", None])
+            elif kind in ("pre", "pretop"):
                 if tag == "br":
                     extra.append("\n")
                 stack.append([kid, 0, lines, "pre", extra])

@@ -352,3 +352,21 @@ def test_secrets_of_one_word(spark):
 )
 def test_html_head_ends_at_content(page, text):
     assert html_layout.page_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table>note<tr><td>a<td>b</table>", "note\n\na  b"),
+        ("<table><tr><td>a</td><a>link</a></tr></table>", "link\n\na"),
+        ("<table><tr>text<td>a</table>", "text\n\na"),
+        ("<table><td>a<td>b<tr><td>cc<td>d</table>", "a   b\ncc  d"),
+        ("a<svg><title>n</title><path d='x'/><text>lab</text></svg>b", "a lab b"),
+        ("<math><mi>x</mi><annotation>q</annotation></math>", "x"),
+        ("<select><option>a<option selected>b</select>", "b"),
+        ("<select multiple><option>a<option>b</select>", "a b"),
+        ("<dialog open>o</dialog><dialog>c</dialog>", "o"),
+    ],
+)
+def test_html_shows_what_a_browser_shows(page, text):
+    assert html_layout.page_text(page) == text
