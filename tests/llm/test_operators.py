@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwick.llm import decontam, html_layout, minhash, mixing, ring_shard, secrets, suffix_dedup, telephony, toxicity, url_cascade
+from tarnwick.llm import decontam, html_layout, minhash, mixing, queries, ring_shard, secrets, suffix_dedup, telephony, toxicity, url_cascade
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, tokens int, rank int, uid string"
@@ -370,3 +372,84 @@ def test_html_head_ends_at_content(page, text):
 )
 def test_html_shows_what_a_browser_shows(page, text):
     assert html_layout.page_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<table><td colspan="²">a<td>b</table>', "a  b"),
+        (f'<table><td colspan="{"9" * 5000}">a<td>b</table>', "a  b"),
+        ("<table><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"),
+        ("<table><td rowspan=0>A<td>b<tr><td>c<tbody><tr><td>E</table>", "A  b\n   c\nE"),
+        ("<table><tr><td colspan=2>wide one<td>x<tr><td>1<td>2<td>3</table>", "wide one     x\n1         2  3"),
+        ("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c<tr><td>d<td>e<td>f</table>", "a     b\n      c\nd  e  f"),
+        ("<ol start='²'><li>x</ol><ol start=-1><li>y</ol>", "1. x\n\n-1. y"),
+        ("a<!-- b", "a"),
+        ('<a title="x>y', "y"),
+        ("a < b <3", "a < b <3"),
+    ],
+)
+def test_html_numbers_spans_and_torn_tags(page, text):
+    assert html_layout.page_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 200_000 + "x",
+        "<div>x" + "</p></li>" * 100_000,
+        "<b>" * 20_000 + "</p>" * 200_000 + "x",
+        "<p><table><td>" + "<b>" * 50_000 + "<div>" * 50_000 + "x",
+        "<blockquote><ul><li>" * 30_000 + "x",
+        "<table><td>" * 30_000 + "x",
+        "<br>" * 200_000 + "x",
+        '<a b=">" ' * 20_000 + "x",
+        "<table>" + "<tr><td rowspan=65534>x" * 20_000,
+    ],
+)
+def test_html_is_linear(page):
+    began = time.process_time()
+    assert "x" in html_layout.page_text(page)
+    assert time.process_time() - began < 8
+
+
+class Plain(HTMLParser):
+    """The words of a page outside head, script and style, by the library's walk."""
+
+    def __init__(self):
+        super().__init__()
+        self.off, self.words = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.off += tag in ("head", "script", "style")
+
+    def handle_endtag(self, tag):
+        self.off -= tag in ("head", "script", "style")
+
+    def handle_data(self, data):
+        if not self.off:
+            self.words += data.split()
+
+
+def test_op3_has_all_words_of_a_plain_walk(spark):
+    """Words of pages without hidden parts, in order where no table stands cells side by side."""
+    sf = "/root/testdata/sf0.001"
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = queries.op3_html_layout(spark, sf).collect()
+    assert len(rows) == len(html)
+    marks = re.compile(r"^(\s*(- |\d+\. |> ))+|^-{20}$", re.M)
+    seen = 0
+    for r in rows:
+        page = html[r.page_id] or ""
+        assert (r.n_chars, r.n_lines, r.text_sha256) == (len(r.text), r.text.count("\n") + 1, hashlib.sha256(r.text.encode()).hexdigest())
+        if re.search(r"(?i)hidden|display|<(noscript|template|svg|select|textarea|iframe|img|object|dialog)", page):
+            continue
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        mine, theirs = marks.sub("", r.text).split(), plain.words
+        if "<table" in page or "<li" in page:
+            mine, theirs = sorted("".join(mine)), sorted("".join(theirs))
+        assert "".join(mine) == "".join(theirs), r.page_id
+        seen += 1
+    assert seen >= 10
