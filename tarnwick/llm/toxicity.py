@@ -2,24 +2,32 @@
 
 Voters are lexicon and pattern rules: a word, or any word with a prefix of 3 to 6 letters. They are
 found on labelled rows by their association with the label (words and beginnings that toxic texts
-have far more often, and some that they have less often). A generative label model then estimates,
-by expectation-maximisation, how often each voter speaks on toxic and on clean texts, and from the
-votes' correlation beyond the class how much of a voter's word is its own; a given label is one
-more voter of fixed accuracy. A linear classifier (logistic, with a ridge) is trained on the
-posterior labels with the voters as features, and scores every whole text.
-
-The fit uses a bounded sample: the ``SAMPLE`` labelled rows of smallest hash of their id. All else
-covers all rows. Scoring is row by row; the model is a dictionary of at most ``VOTERS`` entries.
+have far more often, and some that they have less often). From then on the truth is latent. A
+generative label model estimates by expectation-maximisation, over labelled and unlabelled rows, how
+often each voter speaks on toxic and on clean texts (silence is an abstention), and from what the votes have in common beyond the class
+which voters are correlated: those share their word. A given label is one more voter, whose accuracy is
+estimated like the others'; it only anchors which class is which, and clear votes overrule it. A
+linear classifier (logistic, with a ridge) is trained on the labelled rows' posteriors with the voters as
+features, and scores every whole text.
+
+The fit uses bounded samples: of the labelled rows the ``SAMPLE`` of smallest hash of their id, and as
+unlabelled rows those of the ``UNLABELLED`` documents of smallest hash that are not among them. All else
+covers all rows. The model is a dictionary of at most ``VOTERS`` voters (those of the strongest
+association); scoring is row by row.
 
 Defined cases: null and blank texts have no words and get the classifier's base score; labels with
 null are ignored, of several labels of a row the largest counts; without labels of both kinds every
-score is the share of toxic labels, or 0. Labels, language, source and id are no inputs.
+score is the share of toxic labels, or 0. Ids may be of any type and are compared as text; a null id
+has no label. Repeated rows have equal scores, and count each in the sample; ties of association are
+kept in the voters' alphabetical order. An empty table gives an empty result. Extra columns pass through; those named
+score or predicted are replaced. Labels, language, source and id are no inputs of a score.
 """
 
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,14 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Stash, small_batches
 
-#: Labelled rows in the fit at most; rules considered and voters kept at most.
-SAMPLE, RULES, VOTERS = 16_000, 4_000, 400
+#: Labelled and unlabelled rows in the fit at most, and voters of the model at most.
+SAMPLE, UNLABELLED, VOTERS = 16_000, 8_000, 400
 PREFIXES = (3, 4, 5, 6)
 #: Rows that a voter must have spoken on, its least log-likelihood ratio and its least log odds.
 SUPPORT, RATIO, LIFT = 8, 50.0, 1.0
-GOLD = 0.98  # accuracy of a given label in the label model
+#: Rows that the belief in given labels weighs, and that belief; correlations under COMMON are taken for chance.
+BELIEF, RIGHT, COMMON = 10.0, 0.95, 0.05
+#: What a labelled row counts for its given label in a voter's rates, beside 1 for its posterior.
+ANCHOR = 1.0
 WORDS = re.compile(r"\w+")
 
 
@@ -103,24 +114,53 @@ class Voters:
         return sorted(out)
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, side: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each row and each voter's weight from votes (rows x voters, 0/1) and labels."""
-    prior = float(np.clip(gold.mean(), 0.01, 0.99))
-    q = np.where(gold == 1, GOLD, 1 - GOLD)
-    own = np.ones(votes.shape[1])
+@dataclass
+class LabelModel:
+    """What the label model has estimated."""
+
+    posterior: np.ndarray  # of each row
+    accuracy: np.ndarray  # share of each voter's votes that are right
+    correlation: np.ndarray  # of pairs of voters, beyond the class
+    labels: tuple[float, float]  # share of toxic and of clean rows whose given label is right
+
+
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> LabelModel:
+    """The latent classes behind votes (rows x voters: 1 toxic, -1 clean, 0 none) and given labels (1, 0, or -1 for none).
+
+    The first estimates are the labelled rows'; then all rows count by their posterior. A voter that
+    doesn't speak says nothing, so kinds of toxicity with voters of their own don't outvote each other;
+    what speaks is that no voter does. The balance of the classes and that share are the labelled rows',
+    and labels are checked where voters speak: elsewhere nothing could tell them from the truth."""
+    n, m = votes.shape
+    yes, no, has = (votes > 0).astype(np.float32), (votes < 0).astype(np.float32), given >= 0
+    prior = float(np.clip(given[has].mean() if has.any() else 0.5, 0.01, 0.99))
+    q = np.where(given == 1, RIGHT, np.where(given == 0, 1 - RIGHT, prior))
+    seen = has.astype(float) if has.any() else np.ones(n)  # rows that count
+    mute = ~votes.any(1)
+    shares = [((mute & (given == y)).sum() + 1) / ((given == y).sum() + 2) for y in (1, 0)]
+    start = math.log(prior / (1 - prior)) + mute * math.log(shares[0] / shares[1])
+    correlation, own = np.eye(m), np.ones(m)
+    least = max(COMMON, 4 / math.sqrt(n))
     for k in range(rounds):
-        on = (votes.T @ q + 0.5) / (q.sum() + 1)
-        off = (votes.T @ (1 - q) + 0.5) / ((1 - q).sum() + 1)
-        if k == 1:
-            # correlation of the votes that the class leaves: dependent voters share one vote
-            rest = votes - (q[:, None] * on + (1 - q)[:, None] * off)
+        t, c = seen * q, seen * (1 - q)
+        rate = {(v, y): (x.T @ (w + ANCHOR * (given == y)) + 0.5) / (w.sum() + ANCHOR * (given == y).sum() + 1) for v, x in ((1, yes), (-1, no)) for y, w in ((1, t), (0, c))}
+        right = [(w[~mute & (given == y)].sum() + BELIEF * RIGHT) / (w[~mute & has].sum() + BELIEF) for y, w in ((1, t), (0, c))]
+        if k in (1, 5, 10, 20):
+            rest = votes - (q[:, None] * (rate[1, 1] - rate[-1, 1]) + (1 - q)[:, None] * (rate[1, 0] - rate[-1, 0]))
             size = np.sqrt((rest**2).sum(0)) + 1e-9
-            own = 1 / np.maximum(1, (np.maximum((rest.T @ rest) / np.outer(size, size), 0) ** 2).sum(0))
-        # only votes are evidence; silence is counted for clean voters by their prior
-        gain = np.where(side > 0, np.maximum(np.log(on / off), 0), np.minimum(np.log(on / off), 0)) * own
-        score = votes @ gain + math.log(prior / (1 - prior)) + np.where(gold == 1, 1, -1) * math.log(GOLD / (1 - GOLD))
-        q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-    return q, own
+            correlation = (rest.T @ rest) / np.outer(size, size)
+            shared = np.where(correlation >= least, correlation, 0) ** 2
+            np.fill_diagonal(shared, 1)
+            own = 1 / shared.sum(0)
+        score = yes @ (np.log(rate[1, 1] / rate[1, 0]) * own) + no @ (np.log(rate[-1, 1] / rate[-1, 0]) * own) + start
+        said = np.where(given == 1, math.log(right[0] / (1 - right[1])), np.where(given == 0, math.log((1 - right[0]) / right[1]), 0))
+        new = 1 / (1 + np.exp(-np.clip(score + said, -30, 30)))
+        moved, q, seen = np.abs(new - q).max(), new, np.ones(n)
+        if k > 20 and moved < 1e-4:
+            break
+    np.fill_diagonal(correlation, 1)
+    accuracy = (yes.T @ q + no.T @ (1 - q) + 0.5) / (yes.sum(0) + no.sum(0) + 1)
+    return LabelModel(q, accuracy, correlation, (float(right[0]), float(right[1])))
 
 
 def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 0.1, steps: int = 12) -> tuple[np.ndarray, float]:
@@ -140,28 +180,33 @@ def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 0.1, steps: int = 12)
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> dict:
-    """The model {voters, weights, base} from labelled rows that are not held out."""
-    small_batches(docs.sparkSession)
-    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
-    known = known.where("toxic in (0, 1)").orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    # at most SAMPLE rows of two numbers
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "_id")
-    share = known.agg(F.count("*"), F.sum("toxic")).first()
-    n, t = share[0], share[1] or 0
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", most: int = VOTERS) -> dict:
+    """The model {voters, weights, base} from rows that are not held out."""
+    stash = Stash(docs.sparkSession, "toxicity")
+    key, learnt = F.col(id_col).cast("string"), F.col(id_col).isNotNull() & ~held_out(id_col)
+    known = labels.where(F.col(label).isNotNull() & learnt).groupBy(key.alias("_id")).agg(F.max(F.col(label).cast("int")).alias("toxic")).where("toxic in (0, 1)")
+    known = stash.put(known.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE), "known")
+    n, t = known.agg(F.count("*"), F.sum("toxic")).first()
+    t = t or 0
     if not n or t in (0, n):
-        return {"voters": [], "weights": [], "base": math.log((t / n) / (1 - t / n)) if n and 0 < t < n else (40.0 if n and t == n else -40.0)}
-    tally = rows.select("text", "toxic").mapInArrow(_tally, "rule string, t long, c long").groupBy("rule").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        stash.drop("known")
+        return {"voters": [], "weights": [], "base": 40.0 if n and t == n else -40.0}
+    more = docs.where(learnt).select(key.alias("_id")).orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(UNLABELLED)
+    # at most SAMPLE + UNLABELLED rows of two numbers
+    asked = stash.put(known.unionByName(more.distinct().join(known, "_id", "left_anti").withColumn("toxic", F.lit(-1))), "asked")
+    rows = stash.put(docs.select(key.alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(asked), "_id"), "rows")
+    tally = rows.where("toxic >= 0").select("text", "toxic").mapInArrow(_tally, "rule string, t long, c long").groupBy("rule").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     tally = tally.where(F.col("t") + F.col("c") >= SUPPORT)
     seen = F.col("t") + F.col("c")
     part = lambda k, total: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) * n / (seen * total))).otherwise(0.0)
     tally = tally.withColumn("ratio", F.round(2 * (part("t", t) + part("c", n - t)), 6))
     tally = tally.withColumn("lift", F.round(F.log((F.col("t") + 0.5) * (n - t + 1) / ((F.col("c") + 0.5) * (t + 1))), 6))
-    strong = tally.where((F.col("ratio") >= RATIO) & (F.abs("lift") >= LIFT)).orderBy(F.desc("ratio"), "rule").limit(RULES).collect()
-    kept = general({r["rule"]: (r["ratio"], r["lift"]) for r in strong})[:VOTERS]
-    names = [r for r, _ in kept]
-    side = np.array([1 if lift > 0 else -1 for _, lift in kept])
+    # rules of a bounded sample that are far from chance
+    strong = tally.where((F.col("ratio") >= RATIO) & (F.abs("lift") >= LIFT)).collect()
+    kept = general({r["rule"]: (r["ratio"], r["lift"]) for r in strong})[:most]
+    names, side = [r for r, _ in kept], np.array([1 if lift > 0 else -1 for _, lift in kept], np.float32)
     if not names:
+        stash.drop("known", "asked", "rows")
         return {"voters": [], "weights": [], "base": math.log((t / n) / (1 - t / n))}
 
     def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +214,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([voters(x or "") for x in batch.column(2).to_pylist()], pa.list_(pa.int32()))], names=["_id", "toxic", "votes"])
 
-    # SAMPLE rows of at most VOTERS small numbers
-    got = rows.select("_id", "toxic", "text").mapInArrow(speak, "_id long, toxic int, votes array<int>").orderBy("_id").toArrow()
+    # SAMPLE + UNLABELLED rows of at most VOTERS small numbers
+    got = rows.select("_id", "toxic", "text").mapInArrow(speak, "_id string, toxic int, votes array<int>").orderBy("_id", "toxic", "votes").toArrow()
     votes = np.zeros((got.num_rows, len(names)), np.float32)
     for i, v in enumerate(got.column("votes").to_pylist()):
         votes[i, v] = 1
-    gold = got.column("toxic").to_numpy()
-    posterior, _ = label_model(votes, gold, side)
-    weights, base = logistic(votes, posterior)
+    given = got.column("toxic").to_numpy()
+    model = label_model(votes * side, given)
+    # rows without a label teach what voters are worth; where few voters speak their posteriors are too vague to train on
+    weights, base = logistic(votes[given >= 0], model.posterior[given >= 0])
+    stash.drop("known", "asked", "rows")
     return {"voters": names, "weights": [float(w) for w in weights], "base": base}
 
 

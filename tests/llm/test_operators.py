@@ -260,6 +260,63 @@ def test_toxicity(spark):
     assert toxicity.score(docs, none).where("score > 0.01").count() == 0
 
 
+def weak_votes(n=6000, seed=1):
+    """Votes of planted accuracies (a third of them abstentions), the last two voters being one voice, and labels of which a tenth is wrong."""
+    rnd = np.random.default_rng(seed)
+    truth = (rnd.random(n) < 0.4).astype(int)
+    right = np.array([0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.75])
+    votes = np.where(rnd.random((n, len(right))) < right, 2 * truth[:, None] - 1, 1 - 2 * truth[:, None])
+    votes = np.hstack([votes, np.where(rnd.random(n) < 0.95, votes[:, -1], 2 * rnd.integers(0, 2, n) - 1)[:, None]])
+    votes[:, :7] *= rnd.random((n, 7)) < 2 / 3
+    flipped = rnd.random(n) < 0.1
+    return truth, right, votes.astype(np.float32), np.where(flipped, 1 - truth, truth), flipped
+
+
+def test_label_model_recovers_accuracies_and_the_correlated_pair():
+    truth, right, votes, given, _ = weak_votes()
+    given[3000:] = -1
+    m = toxicity.label_model(votes, given)
+    assert np.abs(m.accuracy[:7] - right[:7]).max() < 0.03
+    pairs = np.triu(m.correlation, 1)
+    assert np.unravel_index(pairs.argmax(), pairs.shape) == (7, 8) and pairs.max() > 0.8 and np.sort(pairs.ravel())[-2] < 0.1
+    assert abs(m.labels[0] - 0.9) < 0.04 and abs(m.labels[1] - 0.9) < 0.04
+
+
+def test_label_model_overrules_wrong_labels_and_uses_unlabelled_rows():
+    truth, right, votes, given, flipped = weak_votes()
+    m = toxicity.label_model(votes, given)
+    said = (m.posterior >= 0.5).astype(int)
+    assert (said[flipped] == truth[flipped]).mean() > 0.5 and (said == truth).mean() > 0.95
+    few = given.copy()
+    few[300:] = -1
+    alone, wide = toxicity.label_model(votes[:300], given[:300]), toxicity.label_model(votes, few)
+    off_by = lambda x: np.abs(x.accuracy[:8] - right).mean()
+    assert off_by(wide) < off_by(alone)
+    assert ((wide.posterior >= 0.5) == truth)[300:].mean() > 0.88
+
+
+def test_kinds_of_toxicity_do_not_outvote_each_other():
+    rnd = np.random.default_rng(3)
+    kind = rnd.choice(3, 4000, p=[0.9, 0.07, 0.03])  # clean, and two kinds with voters of their own
+    votes = np.hstack([(rnd.random((4000, 10)) < np.where(kind == 1, 0.5, 0.001)[:, None]), (rnd.random((4000, 10)) < np.where(kind == 2, 0.3, 0.01)[:, None])])
+    given = np.where(rnd.random(4000) < 0.5, (kind > 0).astype(int), -1)
+    m = toxicity.label_model(votes.astype(np.float32), given)
+    spoken = votes.any(1)
+    assert ((m.posterior >= 0.5) == (kind > 0))[given >= 0].mean() > 0.98 and (m.posterior[spoken & (kind == 2)] >= 0.5).mean() > 0.9
+
+
+def test_op10_on_held_out_rows(spark):
+    """The registered query: every row once, and labels that it has not seen."""
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert len(got) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for i, r in got.items())
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None}
+    held = [(got[i].predicted, y) for i, y in truth.items() if i in got and got[i].held_out]
+    assert len(held) > 20 and np.mean([p == y for p, y in held]) > 0.97
+
+
 def test_url_cascade(spark):
     urls = ["http://EXAMPLE.org/en/12?x", "https://a.example.org/es/x", "http://x.com/de/1", "http://x.com/fr/", "http://com/fr/y", "http://none", None, "junk", "http://xorg/es/", "http://b.org", "a://b.org/#x"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("old"))
