@@ -1,15 +1,17 @@
 """What the training-data operators share: the stored stages, row keys and numpy text kernels.
 
 Tables between stages go to the folder named by ``spark.checkpoint.dir`` as Parquet, so a lost
-executor costs a re-read and not a recomputation. Only where that setting is absent (tests, a
-single machine) a temporary folder is made and set.
+executor costs a re-read and not a recomputation. Where that setting is absent, a temporary folder
+serves on a single machine (a ``local`` master); on a cluster that is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +28,23 @@ MIX_B = U64(0x94D049BB133111EB)
 ARROW_ROWS = 500
 
 
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tarnwick-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tarnwick-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        at = _own_dir()
     return at.rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small."""
+    """Keep Arrow batches of whole texts small: the session's bound is lowered to ARROW_ROWS rows (stated in README)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) not in range(1, ARROW_ROWS + 1):
         spark.conf.set(key, str(ARROW_ROWS))
@@ -50,20 +58,44 @@ class Stash:
         small_batches(spark)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table and read it again: its lineage ends here."""
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def _files(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            path, files = self._files(name)
+            files.delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Remove all tables but those that the result still reads."""
+        path, files = self._files()
+        if files.exists(path):
+            for each in files.listStatus(path):
+                if each.getPath().getName() not in names:
+                    files.delete(each.getPath(), True)
+
+
+#: The two columns that name a row.
+ROW = ("__row_a", "__row_b")
+
+
+def row_keys(*cols: str) -> dict[str, Column]:
+    """The 128-bit key of a row as two columns; rows that are equal in these columns share it.
+
+    The seed stands first, so that the halves are independent hashes of the same values."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols]
+    return {name: F.xxhash64(F.lit(seed), *values) for seed, name in enumerate(ROW, 1)}
 
 
-def row_key(*cols: str) -> Column:
-    """A 64-bit key of a row; rows that are equal in these columns share it."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols], F.lit(len(cols)))
+def row_hash(*cols: str) -> Column:
+    """Half of the row key, for places where rows of equal hash may share what they are given."""
+    return row_keys(*cols)[ROW[0]]
 
 
 def lower_ascii(col: Column) -> Column:

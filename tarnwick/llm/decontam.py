@@ -12,13 +12,17 @@ expressions; there is no Python on the data path.
 Scale. Tokens are joined against the benchmark's terms where they are made, so common words never
 leave their task; counts are summed map-side. Postings of the chosen terms are dealt by (row, term,
 place), so no term or row is hot. The benchmark's tables are broadcast up to ``SEND_ROWS`` rows, else joined by
-shuffle. Texts move once, by row key, to be confirmed; a row's candidate starts are bounded by its
-length times the windows that start with the same terms. Shared passages add postings in
+shuffle. The index names rows by a 64-bit hash: rows of equal hash share candidates, and the exact check
+on each text parts them. Texts of rows with a candidate move to be confirmed; a row's candidate starts are bounded by its
+length times the windows that start with the same terms. Items are joined to what is confirmed, one row for each window of a text
+and owner of the window, so owners are never gathered. Shared passages add postings in
 proportion to their copies only.
 
 Defined cases: null has no words; an item without words has no window; an item of fewer words than
-a window is one; repeated items count under each of their ids, repeated rows are judged each; an
-empty benchmark leaves every document clean.
+a window is one; repeated items count under each of their ids, an item with a null id under none; repeated rows are judged each; ties of
+term frequency are broken by the term; an empty benchmark leaves every document clean, and an empty table gives an
+empty result. Ids may be of any type. Extra columns pass through; those named like a result (n_words, n_hit, spans,
+items) are replaced by it.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stash, lower_ascii, row_key
+from .common import ROW, Stash, lower_ascii, row_hash, row_keys
 
 #: Words are the maximal runs of what is left: digits, letters a-z and all beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,8 +55,8 @@ def windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_
     w = items.select(F.col(id_col).cast("string").alias("item"), words(text_col).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     each = w.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("terms"))
-    each = each.withColumn("win", F.md5(F.array_join("terms", " "))).distinct()
-    return each.select("win", "terms").dropDuplicates(["win"]), each.select("win", "item")
+    each = each.withColumn("win", F.md5(F.array_join("terms", " ")))
+    return each.select("win", "terms").dropDuplicates(["win"]), each.select("win", "item").distinct()
 
 
 def tokens(docs: DataFrame, row: str, text_col: str) -> DataFrame:
@@ -101,54 +105,69 @@ def phrase_hits(docs: DataFrame, wins: DataFrame, stash: Stash, row: str = "_row
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with n_words, n_hit, hits array<struct<start, stop, win>> and items (sorted item ids)."""
-    spark = docs.sparkSession
-    stash = Stash(spark, "decontam")
+    """``docs`` with n_words, n_hit, spans array<struct<start, stop>> of the occurrences and items (sorted item ids)."""
+    stash = Stash(docs.sparkSession, "decontam")
     wins, owners = windows(items, size, item_id, item_text)
-    wins, owners = stash.put(wins, "windows"), stash.put(owners, "owners")
+    wins, owners = stash.put(wins, "windows"), stash.put(owners.where("item is not null"), "owners")
     n_wins = wins.count()
-    keyed = docs.withColumn("_row", row_key(id_col, text_col))
-    narrow = keyed.select("_row", text_col)
-    found = stash.put(phrase_hits(narrow, wins, stash, "_row", text_col).join(send(wins, n_wins), "win"), "candidates")
-    # a row's candidates with the ids of the items that own the window
-    owned = owners.groupBy("win").agg(F.collect_list("item").alias("owners"))
-    found = found.join(send(owned, n_wins), "win").groupBy("_row").agg(F.collect_list(F.struct("start", "terms", "owners")).alias("_found"))
-    rows = keyed.join(found, "_row", "left").withColumn("_words", words(text_col))
+    docs = docs.drop(*({"n_words", "n_hit", "spans", "items"} - {id_col, text_col}))
+    keys = row_keys(id_col, text_col)
+    narrow = docs.select(*(k.alias(c) for c, k in keys.items()), row_hash(id_col, text_col).alias("_row"), F.col(text_col).alias("_text"))
+    found = stash.put(phrase_hits(narrow, wins, stash, "_row", "_text").join(send(wins, n_wins), "win"), "candidates")
+    asked = stash.put(found.select("_row").distinct(), "asked")
+    texts = narrow.join(send(asked, asked.count()), "_row", "left_semi").dropDuplicates(list(ROW))
+    each = stash.put(found.groupBy("_row").agg(F.collect_list(F.struct("start", "terms", "win")).alias("_found")), "each")
     # the exact check: the window stands in the text, word by word
-    sure = F.filter(F.coalesce("_found", F.array()), lambda x: F.slice("_words", x["start"] + 1, F.size(x["terms"])) == x["terms"])
-    rows = rows.withColumn("_sure", F.when(F.col("_found").isNotNull(), sure))
+    sure = F.filter("_found", lambda x: F.slice("_words", x["start"] + 1, F.size(x["terms"])) == x["terms"])
+    rows = texts.join(each, "_row").withColumn("_words", words("_text")).withColumn("_sure", sure).where(F.size("_sure") > 0)
     spans = F.array_sort(F.array_distinct(F.transform("_sure", lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.size(x["terms"])).alias("stop")))))
-    rows = rows.withColumn("n_words", F.size("_words").cast("long")).withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<start:int,stop:int>>")))
+    rows = stash.put(rows.select(*ROW, spans.alias("spans"), F.array_distinct(F.transform("_sure", lambda x: x["win"])).alias("wins")), "sure")
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
         lambda acc, x: F.struct((acc["n"] + F.greatest(x["stop"] - F.greatest(x["start"], acc["end"]), F.lit(0))).alias("n"), F.greatest(acc["end"], x["stop"]).alias("end")),
         lambda acc: acc["n"],
     )
-    ids = F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("_sure", lambda x: x["owners"])))), F.array().cast("array<string>"))
-    return rows.withColumn("n_hit", covered).withColumn("items", ids).drop("_row", "_found", "_words", "_sure")
+    met = rows.select(*ROW, F.explode("wins").alias("win")).join(send(owners, owners.count()), "win").groupBy(*ROW).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    judged = stash.put(rows.select(*ROW, "spans", covered.alias("n_hit")).join(met, list(ROW), "left"), "judged")
+    stash.keep("judged")
+    out = docs.withColumns(keys).join(judged, list(ROW), "left").drop(*ROW)
+    return out.withColumns(
+        {
+            "n_words": F.size(words(text_col)).cast("long"),
+            "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
+            "spans": F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")),
+            "items": F.coalesce("items", F.array().cast("array<string>")),
+        }
+    )
 
 
 def proximity(docs: DataFrame, items: DataFrame, span: int, terms: int = 3, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, start): places where the item's ``terms`` rarest distinct terms all stand within ``span`` words.
-
-    ``start`` is the place of the rarest term; each other term has to have a posting less than
-    ``span`` words away, found by slices of positions, so no two lists are multiplied out."""
-    spark = docs.sparkSession
-    stash = Stash(spark, "proximity")
-    narrow = docs.select(row_key(id_col, text_col).alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    each = items.select(F.col(item_id).alias("item_id"), F.explode(F.array_distinct(words(item_text))).alias("term"))
+    """(doc_id, item_id, start): places of an item's rarest term with all its distinct terms within ``span`` consecutive words.
+
+    The ``terms`` rarest terms give the candidates: each of them has to have a posting less than
+    ``span`` words from ``start``, found by slices of positions, so no two lists are multiplied out. All
+    terms of the item are then looked for on the text."""
+    stash = Stash(docs.sparkSession, "proximity")
+    narrow = docs.select(row_hash(id_col, text_col).alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    wanted = stash.put(items.select(F.col(item_id).alias("item_id"), F.array_distinct(words(item_text)).alias("terms")).where(F.size("terms") > 0).dropDuplicates(), "wanted")
+    wanted = stash.put(wanted.withColumn("k", F.md5(F.to_json(F.struct("item_id", "terms")))), "items")
+    each = wanted.select("k", F.explode("terms").alias("term"))
     vocabulary = stash.put(each.select("term").distinct(), "vocabulary")
     df = stash.put(frequencies(narrow, send(vocabulary, vocabulary.count()), "_row", "text"), "frequencies")
-    rank = Window.partitionBy("item_id").orderBy("df", "term")
+    rank = Window.partitionBy("k").orderBy("df", "term")
     plan = each.join(df, "term").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= terms)
-    plan = stash.put(plan.withColumn("need", F.count("*").over(Window.partitionBy("item_id"))).select("item_id", "term", "rank", "need"), "plan")
+    plan = stash.put(plan.withColumn("need", F.count("*").over(Window.partitionBy("k"))).select("k", "term", "rank", "need"), "plan")
     chosen = plan.select("term").distinct()
     index = stash.put(postings(narrow, send(chosen, chosen.count()), "_row", "text"), "postings").join(send(plan, plan.count()), "term")
     slot = (F.col("pos") / span).cast("int")
-    lead = index.where("rank = 1").select("_row", "item_id", "need", F.col("pos").alias("start"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
-    rest = index.where("rank > 1").groupBy("_row", "item_id", "rank", slot.alias("slot")).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.sort_array(F.collect_set("pos")).alias("at"))
-    near = lead.join(rest, ["_row", "item_id", "slot"]).where(F.exists("at", lambda p: F.abs(p - F.col("start")) < span))
-    full = near.groupBy("_row", "item_id", "need", "start").agg(F.count_distinct("rank").alias("got")).where("got = need - 1").select("_row", "item_id", "start")
-    alone = index.where("need = 1").select("_row", "item_id", F.col("pos").alias("start"))
-    return narrow.select("_row", "doc_id").distinct().join(full.union(alone), "_row").select("doc_id", "item_id", "start")
+    lead = index.where("rank = 1").select("_row", "k", "need", F.col("pos").alias("start"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
+    rest = index.where("rank > 1").groupBy("_row", "k", "rank", slot.alias("slot")).agg(F.sort_array(F.collect_set("pos")).alias("at"))  # span places at most
+    near = lead.join(rest, ["_row", "k", "slot"]).where(F.exists("at", lambda p: F.abs(p - F.col("start")) < span))
+    full = near.groupBy("_row", "k", "need", "start").agg(F.count_distinct("rank").alias("got")).where("got = need - 1").select("_row", "k", "start")
+    found = stash.put(full.union(index.where("need = 1").select("_row", "k", F.col("pos").alias("start"))).distinct().join(send(wanted, wanted.count()), "k"), "found")
+    rows = narrow.join(found, "_row").withColumn("w", words("text"))
+    # a span of words that has the rarest term at start and all the others somewhere
+    begins = F.sequence(F.greatest(F.col("start") - span + 1, F.lit(0)), F.col("start"))
+    there = F.get("w", F.col("start")).isNotNull() & F.exists(begins, lambda b: F.size(F.array_except("terms", F.slice("w", b + 1, span))) == 0)
+    return rows.where(there).select("doc_id", "item_id", "start")

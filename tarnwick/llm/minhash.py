@@ -6,19 +6,23 @@ are packed in four 64-bit words; equal bits happen by chance in a quarter of the
 estimate is (matches/128 - 1/4) / (3/4). Candidates whose estimate is 4.3 standard deviations under
 the threshold are left out, all others are confirmed on the full sets.
 
-Scale. Equal sets collapse to one class before banding. In a bucket no class meets all others:
-rows stream past the bucket's leaders (classes that resemble no earlier leader surely), so a bucket
-of near copies yields a star of one candidate a row and is held as its leaders only. Leaders that
-resemble each other at all, far under the threshold, are of one cluster. Clusters that the confirmed
-stars leave in more than one component are settled exactly: their members' shingles are counted
-against each other in tiles of bounded size, and only links leave a tile, so no pairs are emitted.
-Texts travel only for classes with a candidate. Components are DataFrame joins; nothing is
+Scale. Equal sets collapse to one class before banding; a class is named by its number in the
+written table of classes, so no hash stands for it. In a bucket no class meets all others: rows
+stream past the bucket's leaders (classes that resemble no earlier leader surely), so a bucket of
+near copies yields a star of one candidate a row and is held as its leaders only. Hot buckets are
+parted by a hash of the class first, and only the parts' leaders meet, in as many rounds as are needed. Leaders that
+resemble each other at all, far under the threshold, are of one cluster. Candidates are confirmed beside their leader,
+whose text is sent once for ``FOLLOWERS`` of them. Clusters that the confirmed
+stars leave in more than one component are settled exactly: the classes outside the cluster's largest component
+are counted against all of its members in tiles of bounded size, and only links leave a tile, so no pairs
+are emitted. Texts travel only for classes with a candidate. Components are DataFrame joins; nothing is
 collected.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and stays; fewer than
-five words are one shingle; rows that are equal in every column share their result; rows with a
-null doc_id are judged, but a component is named by its smallest non-null doc_id. Extra columns
-pass through; those named like a result are replaced by it.
+five words are one shingle; rows that are equal in id and text share their result; ids may be of any
+type that has an order (a tie of copies goes to the smallest); rows with a null id are judged, but a component
+is named by its smallest non-null id. An empty table gives an empty result. Extra columns
+pass through; those named like a result (n_shingles, component_id, kept) are replaced by it.
 """
 
 from __future__ import annotations
@@ -31,14 +35,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, Stash, blocks, mix, row_key, shingle_sets, text_bytes
+from .common import GOLDEN, MIX_A, ROW, U64, Stash, blocks, mix, row_keys, shingle_sets, text_bytes
 from .components import connected
 
 PERMUTATIONS, ROWS, BANDS, BITS = 128, 4, 32, 2
 SIMILARITY = 75  # of 100
 #: Estimates from which classes are of one cluster, a candidate is confirmed, and a row needs no other leader.
 LIKE, ASK, SURE = 0.40, 0.55, 0.85
+#: Rows of a bucket from which it is parted, and the share of classes that is looked at to find such buckets.
+BUCKET, LOOK = 4096, 64
+#: Followers that are confirmed beside one copy of their leader's text.
+FOLLOWERS = 256
+#: Shingles of a side of a tile: strays and members of a cluster are cut in so many, and two sides are one task's work.
+TILE = 40_000
+#: Rows of keys up to which they are sent to every task (at most 40 bytes each) instead of a shuffle.
+SEND_ROWS = 1_000_000
 _MULTIPLY = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * GOLDEN) | U64(1)
+SIGNATURE = ("s0", "s1", "s2", "s3")
 
 
 def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,24 +77,26 @@ def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row key, id, text) to (row key, id, set size, 128-bit set key, signature, band keys)."""
     for batch in batches:
-        raw, off = text_bytes(batch.column(2))
+        raw, off = text_bytes(batch.column(3))
         for lo, hi in blocks(off, 4 << 20):
             sets = shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             n = np.array([len(s) for s in sets], np.int64)
             full = [s for s in sets if len(s)]
             at = np.flatnonzero(n)
-            sk = np.zeros(len(sets), np.int64)
+            ka, kb = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
             low, keys = np.zeros((len(sets), 4), np.int64), np.zeros((0, BANDS), np.int64)
             if full:
-                sk[at] = mix(np.array([np.bitwise_xor.reduce(mix(s ^ GOLDEN)) for s in full], U64) + n[at].astype(U64) * GOLDEN).view(np.int64)
+                flat, cuts = np.concatenate(full), np.cumsum(n[at])[:-1]
+                starts, size = np.concatenate(([0], cuts)).astype(np.int64), n[at].astype(U64) * GOLDEN
+                ka[at] = mix(np.bitwise_xor.reduceat(mix(flat ^ GOLDEN), starts) + size).view(np.int64)
+                kb[at] = mix(np.add.reduceat(mix(flat ^ MIX_A), starts) ^ size).view(np.int64)
                 low[at], keys = sketch(full)
             ends = np.concatenate(([0], np.cumsum((n > 0) * BANDS))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(sk), *(pa.array(np.ascontiguousarray(low[:, i])) for i in range(4)), bands],
-                names=["uid", "doc_id", "n", "sk", "s0", "s1", "s2", "s3", "bands"],
-            )
+            same = [batch.column(i).slice(lo, hi - lo) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(n), pa.array(ka), pa.array(kb), *(pa.array(np.ascontiguousarray(low[:, i])) for i in range(4)), bands], names=[*ROW, "id", "n", "ka", "kb", *SIGNATURE, "bands"])
 
 
 _COUNT = np.array([bin(i).count("1") for i in range(65536)], np.uint8)
@@ -96,140 +111,235 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((1 - apart / PERMUTATIONS) - chance) / (1 - chance)
 
 
-def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b, ask) of sorted (key, sk, signature) rows.
+class Bucket:
+    """The leaders of a bucket, and what meets them."""
 
-    To be asked: each row and its sure leader, or the likeliest one. Not to be asked, but of one
-    cluster: a new leader and those earlier ones, one of each cluster, that it resembles at all."""
-    key, lead_sk, lead_sig, group = None, [], [], []
-    for frame in frames:
-        out: set[tuple[int, int, bool]] = set()
-        keys, sks = frame["key"].to_numpy(), frame["sk"].to_numpy()
-        sigs = frame[["s0", "s1", "s2", "s3"]].to_numpy()
-        for i in range(len(keys)):
-            if keys[i] != key:
-                key, lead_sk, lead_sig, group = keys[i], [], [], []
-            own = len(lead_sk)
-            if lead_sk:
-                est = estimates(np.array(lead_sig), sigs[i])
-                sure = np.flatnonzero(est >= SURE)
-                best = int(sure[0]) if len(sure) else int(est.argmax())
-                if lead_sk[best] == sks[i]:
-                    continue
+    def __init__(self) -> None:
+        self.lead, self.sigs, self.group = np.zeros(0, np.int64), np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
+
+    def feed(self, ids: np.ndarray, sigs: np.ndarray, out: list[tuple[np.ndarray, np.ndarray, bool]]) -> None:
+        """Judge rows in their order; pairs (a, b, ask) go to ``out``.
+
+        To be asked: each row and its first sure leader, or the likeliest one. Not to be asked, but of
+        one cluster: a new leader and those earlier ones, one of each cluster, that it resembles at all."""
+        n = len(ids)
+        met = [estimates(sigs[:, None], self.sigs[None])] if len(self.lead) else []
+        first = np.full(n, -1)  # the first sure leader of each row
+        if met:
+            sure = met[0] >= SURE
+            first = np.where(sure.any(1), sure.argmax(1), -1)
+        i = 0
+        while True:
+            rest = np.flatnonzero(first[i:] < 0)
+            if not len(rest):
+                break
+            i += int(rest[0])
+            est = np.concatenate([m[i] for m in met]) if met else np.zeros(0)
+            if len(est):
+                best = int(est.argmax())
                 if est[best] >= ASK:
-                    out.add((lead_sk[best], sks[i], True))
-                if len(sure):
-                    continue
+                    out.append((self.lead[best : best + 1], ids[i : i + 1], True))
                 like = np.flatnonzero(est >= LIKE)
                 if len(like):
-                    groups = np.array(group)
-                    met, at = np.unique(groups[like], return_index=True)
-                    out.update((lead_sk[j], sks[i], False) for j in like[at])
-                    groups[np.isin(groups, met)] = own
-                    group = groups.tolist()
-            lead_sk.append(sks[i])
-            lead_sig.append(sigs[i])
-            group.append(own)
-        yield pd.DataFrame(sorted(out), columns=["a", "b", "ask"]).astype({"a": "int64", "b": "int64", "ask": bool})
+                    groups, at = np.unique(self.group[like], return_index=True)
+                    out.append((self.lead[like[at]], np.full(len(at), ids[i]), False))
+                    self.group[np.isin(self.group, groups)] = len(self.lead)
+            own = len(self.lead)
+            self.lead, self.sigs, self.group = np.append(self.lead, ids[i]), np.vstack([self.sigs, sigs[i : i + 1]]), np.append(self.group, own)
+            col = estimates(sigs, sigs[i])
+            met.append(col[:, None])
+            later = np.arange(i + 1, n)
+            first[later[(first[later] < 0) & (col[later] >= SURE)]] = own
+            first[i] = own
+            i += 1
+        follow = self.lead[first] != ids
+        out.append((self.lead[first][follow], ids[follow], True))
+
+
+PAIRS = "a long, b long, ask boolean, key long, s0 long, s1 long, s2 long, s3 long"
+
+
+def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows (key, part, c, signature, parted) to pairs, and of parted buckets the leaders (b is null)."""
+    bucket, key, parted = Bucket(), None, False
+
+    def leaders() -> list[pd.DataFrame]:
+        if not parted or not len(bucket.lead):
+            return []
+        return [pd.DataFrame({"a": bucket.lead, "b": pd.NA, "ask": False, "key": key[0]} | {s: bucket.sigs[:, k] for k, s in enumerate(SIGNATURE)})]
+
+    def table(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        whole = pd.concat(parts) if parts else pd.DataFrame(columns=["a", "b", "ask", "key", *SIGNATURE])
+        return whole.astype({"a": "int64", "b": "Int64", "ask": bool, "key": "Int64"} | dict.fromkeys(SIGNATURE, "Int64"))
+
+    for frame in frames:
+        keys, part = frame["key"].to_numpy(), frame["part"].to_numpy()
+        ids, sigs = frame["c"].to_numpy(), frame[list(SIGNATURE)].to_numpy()
+        cut = np.flatnonzero((keys[1:] != keys[:-1]) | (part[1:] != part[:-1])) + 1
+        lo, hi = np.concatenate(([0], cut)), np.append(cut, len(keys))
+        # a row alone in its bucket meets nobody; the first and last bucket may go on in other frames
+        some = np.flatnonzero((hi - lo > 1) | frame["parted"].to_numpy()[lo])
+        some = np.unique(np.concatenate(([0], some, [len(lo) - 1])))
+        pairs: list[tuple[np.ndarray, np.ndarray, bool]] = []
+        made: list[pd.DataFrame] = []
+        for g in some:
+            this = (keys[lo[g]], part[lo[g]])
+            if this != key:
+                made += leaders()
+                bucket, key, parted = Bucket(), this, bool(frame["parted"].iat[lo[g]])
+            for k in range(lo[g], hi[g], 1024):
+                bucket.feed(ids[k : min(k + 1024, hi[g])], sigs[k : min(k + 1024, hi[g])], pairs)
+        for ask in (True, False):
+            ab = [np.concatenate([p[x] for p in pairs if p[2] is ask] or [np.zeros(0, np.int64)]) for x in (0, 1)]
+            made.append(pd.DataFrame({"a": ab[0], "b": ab[1], "ask": ask, "key": pd.NA} | dict.fromkeys(SIGNATURE, pd.NA)).drop_duplicates(["a", "b"]))
+        yield table([m for m in made if len(m)])
+    if last := leaders():
+        yield table(last)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, text of a, text of b): those whose full sets are similar enough."""
+    """Sorted rows (a, part, c, text), the leader (c = a) first in each part: pairs whose full sets are similar enough."""
+    held, lead, before = None, None, None
     for batch in batches:
-        left, right = (text_bytes(batch.column(i)) for i in (2, 3))
-        ok = np.zeros(batch.num_rows, bool)
-        known, last = None, None
-        a = batch.column(0).to_numpy()
-        for i in range(batch.num_rows):
-            (x, xo), (y, yo) = left, right
-            if a[i] != known:
-                known, last = a[i], shingle_sets(x[xo[i] : xo[i + 1]], np.array([0, xo[i + 1] - xo[i]]))[0]
-            other = shingle_sets(y[yo[i] : yo[i + 1]], np.array([0, yo[i + 1] - yo[i]]))[0]
-            both = len(np.intersect1d(last, other, assume_unique=True))
-            ok[i] = 100 * both >= SIMILARITY * (len(last) + len(other) - both) and both > 0
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+        raw, off = text_bytes(batch.column(3))
+        a, part, c = (batch.column(i).to_pylist() for i in range(3))
+        follows = [x is None for x in c]
+        left, right = [], []
+        for lo, hi in blocks(off, 1 << 20):
+            sets = shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            for i, own in enumerate(sets, lo):
+                if follows[i]:  # the leader's row
+                    held, lead, before = (a[i], part[i]), own, None
+                    continue
+                if held != (a[i], part[i]) or c[i] == before:  # rows that are equal in every column sent theirs twice
+                    continue
+                before = c[i]
+                both = len(np.intersect1d(lead, own, assume_unique=True))
+                if both and 100 * both >= SIMILARITY * (len(lead) + len(own) - both):
+                    left.append(a[i])
+                    right.append(c[i])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
 def _across(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between classes (sk, root, text) of different components, by counting shared shingles."""
-    frame = frame.drop_duplicates("sk").sort_values("sk")
+    """Links between the strays and the members of a tile (stray, c, root, text) that are of different components."""
+    out: set[tuple[int, int]] = set()
+    frame = frame.drop_duplicates(["stray", "c"]).sort_values(["stray", "c"])
     raw, off = text_bytes(pa.array(frame["text"].to_list(), pa.string()))
     sets = shingle_sets(raw, off)
-    size = np.array([len(s) for s in sets])
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-    sk, root = frame["sk"].to_numpy(), frame["root"].to_numpy()
-    largest = frame["root"].mode().iloc[0]
-    mark = np.zeros(flat.max() + 1, bool)
-    out = []
-    for i in np.flatnonzero(root != largest):
-        own = flat[starts[i] : starts[i] + size[i]]
-        mark[own] = True
-        both = np.add.reduceat(mark[flat].astype(np.int64), starts)
-        mark[own] = False
-        for j in np.flatnonzero((100 * both >= SIMILARITY * (size + size[i] - both)) & (root != root[i])):
-            out.append((sk[i], sk[j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-#: Shingles of a tile: a cluster of more is cut in tiles, and each pair of tiles is one task's work.
-TILE = 400_000
-#: Rows of class keys up to which they are sent to every task (16 bytes each) instead of a shuffle.
-SEND_ROWS = 1_000_000
+    stray = frame["stray"].to_numpy()
+    c, root = frame["c"].to_numpy(), frame["root"].to_numpy()
+    member = np.flatnonzero(~stray)
+    if len(member) and stray.any():
+        size = np.array([len(sets[i]) for i in member])
+        _, flat = np.unique(np.concatenate([sets[i] for i in member] + [sets[i] for i in np.flatnonzero(stray)]), return_inverse=True)
+        mine, starts = flat[: size.sum()], np.concatenate(([0], np.cumsum(size)[:-1]))
+        mark, at = np.zeros(int(flat.max()) + 1, np.int64), int(size.sum())
+        for i in np.flatnonzero(stray):
+            own = flat[at : at + len(sets[i])]
+            at += len(sets[i])
+            mark[own] = 1
+            both = np.add.reduceat(mark[mine], starts)
+            mark[own] = 0
+            for j in member[(100 * both >= SIMILARITY * (size + len(own) - both)) & (root[member] != root[i])]:
+                out.add((int(c[i]), int(c[j])))
+    return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+
+
+def _candidates(stash: Stash, reps: DataFrame) -> DataFrame:
+    """(a, b, ask) of the classes that meet in a bucket."""
+    todo = reps.select("c", *SIGNATURE, F.explode("bands").alias("key"))
+    pieces, before, step = [], None, 0
+    look = todo.where(F.pmod(F.xxhash64("c", F.lit(3)), F.lit(LOOK)) == 0).groupBy("key").agg((F.count("*") * LOOK).alias("rows"))
+    while True:
+        hot = stash.put(look.where(F.col("rows") >= BUCKET).select("key", F.ceil(F.col("rows") / BUCKET).alias("parts")), f"hot{step}")
+        n, most = hot.agg(F.count("*"), F.max("parts")).first()
+        if n and (before is None or most <= before / 2):
+            salted = todo.join(F.broadcast(hot) if n <= SEND_ROWS else hot, "key", "left")
+            part = F.pmod(F.xxhash64("c", F.lit(step)), F.coalesce("parts", F.lit(1)))
+            salted = salted.select("key", part.alias("part"), "c", *SIGNATURE, F.col("parts").isNotNull().alias("parted"))
+        else:  # none is hot, or their rows are so unlike that parts don't make them fewer
+            n = 0
+            salted = todo.select("key", F.lit(0).cast("long").alias("part"), "c", *SIGNATURE, F.lit(False).alias("parted"))
+        made = stash.put(salted.repartition("key", "part").sortWithinPartitions("key", "part", "c").mapInPandas(_stars, PAIRS), f"met{step}")
+        pieces.append(made.where("b is not null").select("a", "b", "ask"))
+        if not n:
+            break
+        before, step = most, step + 1
+        todo = made.where("b is null").select(F.col("a").alias("c"), *SIGNATURE, "key")
+        look = todo.groupBy("key").agg(F.count("*").alias("rows"))
+    pairs = pieces[0]
+    for piece in pieces[1:]:
+        pairs = pairs.union(piece)
+    pairs = stash.put(pairs.groupBy("a", "b").agg(F.max("ask").alias("ask")), "pairs")
+    stash.drop(*(f"{x}{k}" for x in ("hot", "met") for k in range(step + 1)))
+    return pairs
+
+
+def _sent(stash: Stash, texts: DataFrame, reps: DataFrame, to: DataFrame, name: str) -> DataFrame:
+    """``to`` (c and other columns) with the classes' texts."""
+    to = stash.put(to.join(reps.select("c", *ROW), "c"), f"{name}-to")
+    few = to.count() <= SEND_ROWS
+    return stash.put(texts.join(F.broadcast(to) if few else to, list(ROW)).drop(*ROW), f"{name}-texts")
 
 
-def _texts(stash: Stash, texts: DataFrame, reps: DataFrame, asked: DataFrame, name: str) -> DataFrame:
-    """(sk, text) of the asked classes, one each."""
-    asked = asked.distinct().join(reps.select("sk", F.col("ruid").alias("uid")), "sk")
-    asked = stash.put(asked, f"{name}-asked")
-    few = asked.count() <= SEND_ROWS
-    sent = stash.put(texts.join(F.broadcast(asked) if few else asked, "uid").select("sk", "text"), f"{name}-texts")
-    # rows that are equal in every column have each sent theirs
-    return sent.groupBy("sk").agg(F.first("text").alias("text"))
+def _links(stash: Stash, texts: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (leader a, follower b) whose full sets are linked."""
+    parts = stash.put(pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts")), "parts")
+    follow = pairs.join(parts, "a").select(F.col("b").alias("c"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("lead"))
+    lead = parts.select(F.col("a").alias("c"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"))
+    rows = _sent(stash, texts, reps, follow.union(lead), "stars")
+    rows = rows.select("a", "part", F.when(~F.col("lead"), F.col("c")).alias("c"), "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("c"))
+    return stash.put(rows.mapInArrow(_confirm, "a long, b long").distinct(), "links")
 
 
-def _links(stash: Stash, texts: DataFrame, reps: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs of classes whose full sets are linked."""
-    one = _texts(stash, texts, reps, pairs.select(F.explode(F.array("a", "b")).alias("sk")), name)
-    rows = pairs.join(one.select(F.col("sk").alias("b"), F.col("text").alias("tb")), "b").join(one.select(F.col("sk").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return stash.put(rows.mapInArrow(_confirm, "a long, b long"), f"{name}-links")
+def _settled(stash: Stash, texts: DataFrame, reps: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Links that the stars have left open: between classes of one cluster that are not one component yet."""
+    roots = connected(stash, links, "first")
+    loose = connected(stash, pairs.select("a", "b"), "loose").select(F.col("node").alias("c"), F.col("root").alias("cluster"))
+    loose = loose.unionByName(loose.select(F.col("cluster").alias("c"), "cluster").distinct())
+    loose = stash.put(loose.join(roots, F.col("c") == F.col("node"), "left").select("cluster", "c", F.coalesce("root", "c").alias("root")), "clusters")
+    sized = stash.put(loose.join(reps.select("c", "n"), "c"), "sized")
+    each = stash.put(sized.groupBy("cluster", "root").agg(F.sum("n").alias("n")), "each")
+    open_ = each.groupBy("cluster").agg(F.count("*").alias("k"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("k > 1")
+    open_ = open_.select("cluster", F.col("most.root").alias("most"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"), F.ceil((F.col("n") - F.col("most.n")) / TILE).cast("int").alias("sides"))
+    open_ = stash.put(open_, "open")
+    members = stash.put(sized.join(open_, "cluster"), "members")
+    # each member goes to the sides of the strays, each stray to the tiles of the members; sides and tiles are of bounded size
+    tile, side = (F.pmod(F.xxhash64("c", F.lit(k)), F.col(x)).cast("int") for k, x in ((1, "tiles"), (2, "sides")))
+    every = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+    to = members.select("c", "cluster", "root", tile.alias("i"), every("sides").alias("j"), F.lit(False).alias("stray"))
+    to = to.unionByName(members.where("root <> most").select("c", "cluster", "root", every("tiles").alias("i"), side.alias("j"), F.lit(True).alias("stray")))
+    tiles = _sent(stash, texts, reps, to, "tiles").select("cluster", "i", "j", "stray", "c", "root", "text")
+    return stash.put(tiles.groupBy("cluster", "i", "j").applyInPandas(_across, "a long, b long"), "second")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with n_shingles, component_id and kept (see the module's text)."""
-    spark = docs.sparkSession
-    docs = docs.drop("n_shingles", "component_id", "kept")
-    stash = Stash(spark, "minhash")
-    texts = docs.select(row_key(id_col, text_col).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scan = stash.put(texts.mapInArrow(_scan, "uid long, doc_id long, n long, sk long, s0 long, s1 long, s2 long, s3 long, bands array<long>"), "scan")
-    classes = stash.put(scan.where("n > 0").groupBy("sk").agg(F.min("doc_id").alias("cid"), F.min("uid").alias("ruid"), F.first("n").alias("n")), "classes")
-    reps = scan.where("n > 0").join(classes.select(F.col("sk").alias("rsk"), "ruid"), (F.col("uid") == F.col("ruid")) & (F.col("sk") == F.col("rsk")))
-    banded = reps.select("sk", "s0", "s1", "s2", "s3", F.explode("bands").alias("key"))
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stars = banded.repartition(width, "key").sortWithinPartitions("key", "sk").mapInPandas(_stars, "a long, b long, ask boolean")
-    stars = stash.put(stars.groupBy("a", "b").agg(F.max("ask").alias("ask")), "pairs")
-    only = texts.select("uid", "text")
-    first = _links(stash, only, classes, stars.where("ask").select("a", "b"), "stars")
-    roots = connected(stash, first, "first")
-    # what is left: clusters of classes that resemble each other but are not one component yet
-    loose = connected(stash, stars.select("a", "b"), "loose").select(F.col("node").alias("sk"), F.col("root").alias("cluster"))
-    loose = stash.put(loose.unionByName(loose.select(F.col("cluster").alias("sk"), "cluster").distinct()).join(roots, F.col("sk") == F.col("node"), "left").select("cluster", "sk", F.coalesce("root", "sk").alias("root")), "clusters")
-    open_ = loose.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cluster")
-    members = loose.join(open_, "cluster").distinct().join(classes.select("sk", "n"), "sk")
-    tiles = members.groupBy("cluster").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("g"))
-    members = stash.put(members.join(tiles, "cluster"), "members")
-    sent = _texts(stash, only, classes, members.select("sk"), "rest")
-    mine = F.pmod(F.xxhash64("sk"), F.col("g")).cast("int")
-    tiled = members.join(sent, "sk").withColumn("t", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    tiled = tiled.select("cluster", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "sk", "root", "text")
-    second = stash.put(tiled.groupBy("cluster", "i", "j").applyInPandas(_across, "a long, b long"), "second")
-    roots = connected(stash, first.union(second), "all")
-    named = classes.join(roots, F.col("sk") == F.col("node"), "left").select("sk", "cid", F.coalesce("root", "sk").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("cid").alias("component_id")), "root").select("sk", "component_id")
+    stash = Stash(docs.sparkSession, "minhash")
+    docs = docs.drop(*({"n_shingles", "component_id", "kept"} - {id_col, text_col}))
+    keys = row_keys(id_col, text_col)
+    texts = docs.select(*(k.alias(c) for c, k in keys.items()), F.col(text_col).cast("string").alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(*(k.alias(c) for c, k in keys.items()), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    scan = stash.put(rows.mapInArrow(_scan, f"{ROW[0]} long, {ROW[1]} long, id {kind}, n long, ka long, kb long, s0 long, s1 long, s2 long, s3 long, bands array<long>"), "scan")
+    some = scan.where("n > 0")
+    # numbered as written: the number of a class is its name
+    classes = some.groupBy("ka", "kb").agg(F.min("id").alias("cid"), F.min(ROW[0]).alias("rep"))
+    classes = stash.put(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    reps = some.join(classes.select("c", "ka", "kb", F.col("rep").alias(ROW[0])), ["ka", "kb", ROW[0]])
+    # of repeated rows one
+    reps = stash.put(reps.select("c", *ROW, "n", *SIGNATURE, "bands").dropDuplicates(["c"]), "reps")
+    pairs = _candidates(stash, reps)
+    links = _links(stash, texts, reps, pairs.where("ask").select("a", "b"))
+    second = _settled(stash, texts, reps, pairs, links)
+    roots = connected(stash, links.union(second), "all")
+    named = stash.put(classes.join(roots, F.col("c") == F.col("node"), "left").select("ka", "kb", "cid", F.coalesce("root", "c").alias("root")), "named")
+    least = stash.put(named.groupBy("root").agg(F.min("cid").alias("component_id")), "least")
+    named = stash.put(named.join(least, "root").select("ka", "kb", "component_id"), "components")
     # empty sets are their own component
-    rows = scan.select("uid", "doc_id", "n", "sk").distinct()
-    judged = rows.where("n > 0").join(named, "sk").unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")))
-    judged = judged.select(F.col("uid").alias("_uid"), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    judged = stash.put(judged, "judged")
-    stash.drop("stars-texts", "rest-texts", "scan", "pairs", "members", "clusters")
-    return docs.withColumn("_uid", row_key(id_col, text_col)).join(judged, "_uid").drop("_uid")
+    judged = scan.where("n > 0").select(*ROW, "id", "n", "ka", "kb").join(named, ["ka", "kb"]).select(*ROW, "id", "n", "component_id")
+    judged = judged.unionByName(scan.where("n = 0").select(*ROW, "id", "n", F.col("id").alias("component_id"))).dropDuplicates(list(ROW))
+    judged = stash.put(judged.select(*ROW, F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "judged")
+    stash.keep("judged")
+    return docs.withColumns(keys).join(judged, list(ROW)).drop(*ROW)

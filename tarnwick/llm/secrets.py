@@ -30,7 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, lower_ascii, row_key
+from .common import Stash, lower_ascii, row_hash
 
 RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}"
 #: Rows in the training table at most; trees and depth of the forest.
@@ -84,7 +84,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     marked = F.regexp_replace(F.translate(text, MARK, "\u0002"), ANNOUNCED, "$0" + MARK)
     marked = F.regexp_replace(marked, f"{MARK}?({PEM})", MARK + "$1")
-    base = docs.where(text.rlike(RUN) | text.rlike(ANNOUNCED) | text.rlike(PEM)).select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), path.alias("path"), F.split(marked, r"\s+").alias("w"))
+    base = docs.where(text.rlike(RUN) | text.rlike(ANNOUNCED) | text.rlike(PEM)).select(F.col(id_col).alias("doc_id"), row_hash(id_col, text_col).alias("row"), path.alias("path"), F.split(marked, r"\s+").alias("w"))
     found = base.withColumn("f", F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"].contains(MARK) | (F.length(p["x"]) >= 16) & p["x"].rlike(RUN))).where(F.size("f") > 0)
     around = F.expr(f"transform(f, p -> struct(p.i as place, p.x as x, transform(slice(w, greatest(p.i - {AROUND} + 1, 1), least(p.i, {AROUND})), b -> right(b, {NEAR})) as before, array_join(transform(slice(w, p.i + 2, 6), b -> left(b, {NEAR})), ' ') as follow))")
     rows = found.select("doc_id", "row", "path", F.explode(around).alias("p")).select("doc_id", "row", "path", "p.*")

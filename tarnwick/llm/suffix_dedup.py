@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX_A, MIX_B, U64, Stash, blocks, mix, row_key, text_bytes
+from .common import GOLDEN, MIX_A, MIX_B, U64, Stash, blocks, mix, row_hash, text_bytes
 
 LENGTH, GRAM = 200, 32
 #: Bytes of text in one suffix array, and of one hash's classes, at most.
@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, spans array<struct<start, stop>>, kept binary) of each row."""
     spark = docs.sparkSession
     stash = Stash(spark, "suffix")
-    texts = docs.select(row_key(id_col, text_col).alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(row_hash(id_col, text_col).alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     records = texts.select("uid", "text").mapInArrow(_emit, "m long, sh long, uid long, start int, size int")
     records = stash.put(records, "records")
     # written first: a join of two plain shuffles lets adaptive execution split the records of a hot hash

@@ -72,6 +72,70 @@ def test_proximity(spark):
     assert {r.doc_id for r in decontam.proximity(docs, items, span=8).collect()} == {1}
 
 
+def test_proximity_needs_all_terms_within_one_span(spark):
+    rnd = random.Random(9)
+    vocab = list("abcdefghij")
+    texts = [(i, " ".join(rnd.choice(vocab + ["x"] * 10) for _ in range(120))) for i in range(60)] + [(60, None), (61, "")]
+    items = [(1, "a b c d e"), (2, "f"), (3, "g h"), (4, None), (2, "i j a")]
+    got = {(r.doc_id, r.item_id, r.start) for r in decontam.proximity(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), span=9).collect()}
+    count = {v: sum((t or "").split().count(v) for _, t in texts) for v in vocab}
+    want = set()
+    for i, t in texts:
+        w = (t or "").split()
+        for k, item in items:
+            terms = set((item or "").split())
+            if not terms:
+                continue
+            rare = min(terms, key=lambda v: (count[v], v))
+            want |= {(i, k, p) for p in range(len(w)) if w[p] == rare and any(terms <= set(w[b : b + 9]) for b in range(max(0, p - 8), p + 1))}
+    assert got == want and len(want) > 20
+
+
+@pytest.fixture
+def far(monkeypatch):
+    """Every size-switched way of the operators is the one for large tables."""
+    for module in (decontam, minhash, mixing):
+        monkeypatch.setattr(module, "SEND_ROWS", 0)
+    monkeypatch.setattr(mixing, "DRIVER_ROWS", 0)
+    for name, value in {"BUCKET": 3, "LOOK": 1, "FOLLOWERS": 2, "TILE": 150}.items():
+        monkeypatch.setattr(minhash, name, value)
+
+
+def test_far_decontamination(spark, texts, far):
+    test_decontamination(spark, texts)
+
+
+def test_far_near_duplicates(spark, texts, far):
+    test_near_duplicates(spark, texts)
+    test_sure_and_loose_near_duplicates_meet_in_tiles(spark)
+
+
+def test_far_mixing(spark, far):
+    test_mixing(spark)
+    test_mixing_meets_an_entropy(spark)
+
+
+def test_bucket_of_unlike_rows():
+    """A bucket's pairs by blocks of rows are those of one row after the other."""
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(-(2**63), 2**63 - 1, (6, 4))
+    sigs = base[rnd.integers(0, 6, 400)] ^ (1 << rnd.integers(0, 62, (400, 4))) * (rnd.random((400, 4)) < 0.8)
+    whole, parts = [], []
+    minhash.Bucket().feed(np.arange(400), sigs, whole)
+    b = minhash.Bucket()
+    for k in range(0, 400, 7):
+        b.feed(np.arange(k, min(k + 7, 400)), sigs[k : k + 7], parts)
+    pairs = lambda out: {(int(x), int(y), ask) for a, c, ask in out for x, y in zip(a, c, strict=True)}
+    assert pairs(whole) == pairs(parts) and len(b.lead) < 60
+    sure = minhash.estimates(sigs[:, None], sigs[b.lead][None]) >= minhash.SURE
+    assert sure.any(1).all()
+
+
+def test_near_duplicates_with_text_ids(spark):
+    docs = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), ("c", None), (None, "x y")], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()} == {("a", "a", True), ("b", "a", False), ("c", "c", True), (None, None, True)}
+
+
 def test_near_duplicates(spark, texts):
     rows = [*texts, texts[0]]
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(table(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()}
