@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -50,6 +51,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+#: Rows of an Arrow batch that holds numbers only.
+NUMBERS = 20_000
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of another size for the jobs that run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Stash:
     """Tables written to the shared folder by one run of an operator."""
 
@@ -98,6 +115,20 @@ def row_hash(*cols: str) -> Column:
     return row_keys(*cols)[ROW[0]]
 
 
+def apart(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with the columns that an operator doesn't read under names that it can't clash with, and the way back.
+
+    The way back takes the worked table and the names of the results: the columns of ``docs`` as they
+    were, but for those named like a result, and then the results."""
+    hidden = {c: f"__in_{k}" for k, c in enumerate(docs.columns) if c not in used}
+    before = docs.columns
+
+    def back(out: DataFrame, *results: str) -> DataFrame:
+        return out.select(*(F.col(hidden.get(c, c)).alias(c) for c in before if c not in results), *results)
+
+    return docs.withColumnsRenamed(hidden), back
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX_A, ROW, U64, Stash, blocks, mix, row_keys, shingle_sets, text_bytes
+from .common import GOLDEN, MIX_A, NUMBERS, ROW, U64, Stash, batch_rows, blocks, mix, row_keys, shingle_sets, text_bytes
 from .components import connected
 
 PERMUTATIONS, ROWS, BANDS, BITS = 128, 4, 32, 2
@@ -123,6 +123,9 @@ class Bucket:
         To be asked: each row and its first sure leader, or the likeliest one. Not to be asked, but of
         one cluster: a new leader and those earlier ones, one of each cluster, that it resembles at all."""
         n = len(ids)
+        if n == 1 and not len(self.lead):
+            self.lead, self.sigs, self.group = ids, sigs, np.zeros(1, np.int64)
+            return
         met = [estimates(sigs[:, None], self.sigs[None])] if len(self.lead) else []
         first = np.full(n, -1)  # the first sure leader of each row
         if met:
@@ -159,42 +162,38 @@ class Bucket:
 PAIRS = "a long, b long, ask boolean, key long, s0 long, s1 long, s2 long, s3 long"
 
 
-def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows (key, part, c, signature, parted) to pairs, and of parted buckets the leaders (b is null)."""
-    bucket, key, parted = Bucket(), None, False
-
-    def leaders() -> list[pd.DataFrame]:
-        if not parted or not len(bucket.lead):
-            return []
-        return [pd.DataFrame({"a": bucket.lead, "b": pd.NA, "ask": False, "key": key[0]} | {s: bucket.sigs[:, k] for k, s in enumerate(SIGNATURE)})]
+def _rows(a: np.ndarray, b: np.ndarray | None, ask: np.ndarray, key: int, sigs: np.ndarray | None) -> pa.RecordBatch:
+    """Pairs, or the leaders of a parted bucket (b is null)."""
+    n = len(a)
+    none = pa.nulls(n, pa.int64())
+    kept = [none] * 5 if sigs is None else [pa.array(np.full(n, key)), *(pa.array(np.ascontiguousarray(sigs[:, k])) for k in range(4))]
+    return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), pa.array(ask), *kept], names=["a", "b", "ask", "key", *SIGNATURE])
 
-    def table(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        whole = pd.concat(parts) if parts else pd.DataFrame(columns=["a", "b", "ask", "key", *SIGNATURE])
-        return whole.astype({"a": "int64", "b": "Int64", "ask": bool, "key": "Int64"} | dict.fromkeys(SIGNATURE, "Int64"))
 
-    for frame in frames:
-        keys, part = frame["key"].to_numpy(), frame["part"].to_numpy()
-        ids, sigs = frame["c"].to_numpy(), frame[list(SIGNATURE)].to_numpy()
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (key, part, c, signature, parted) to pairs, and of parted buckets the leaders."""
+    bucket, key, parted = Bucket(), None, False
+    for batch in batches:
+        keys, part, ids, s0, s1, s2, s3 = (batch.column(i).to_numpy() for i in range(7))
+        sigs, hot = np.stack([s0, s1, s2, s3], axis=1), batch.column(7).to_numpy(zero_copy_only=False)
         cut = np.flatnonzero((keys[1:] != keys[:-1]) | (part[1:] != part[:-1])) + 1
         lo, hi = np.concatenate(([0], cut)), np.append(cut, len(keys))
-        # a row alone in its bucket meets nobody; the first and last bucket may go on in other frames
-        some = np.flatnonzero((hi - lo > 1) | frame["parted"].to_numpy()[lo])
-        some = np.unique(np.concatenate(([0], some, [len(lo) - 1])))
+        # a row alone in its bucket meets nobody; the first and last bucket may go on in other batches
+        some = np.flatnonzero((hi - lo > 1) | hot[lo])
         pairs: list[tuple[np.ndarray, np.ndarray, bool]] = []
-        made: list[pd.DataFrame] = []
-        for g in some:
+        for g in np.unique(np.concatenate(([0], some, [len(lo) - 1]))):
             this = (keys[lo[g]], part[lo[g]])
             if this != key:
-                made += leaders()
-                bucket, key, parted = Bucket(), this, bool(frame["parted"].iat[lo[g]])
+                if parted and len(bucket.lead):
+                    yield _rows(bucket.lead, None, np.zeros(len(bucket.lead), bool), key[0], bucket.sigs)
+                bucket, key, parted = Bucket(), this, bool(hot[lo[g]])
             for k in range(lo[g], hi[g], 1024):
                 bucket.feed(ids[k : min(k + 1024, hi[g])], sigs[k : min(k + 1024, hi[g])], pairs)
-        for ask in (True, False):
-            ab = [np.concatenate([p[x] for p in pairs if p[2] is ask] or [np.zeros(0, np.int64)]) for x in (0, 1)]
-            made.append(pd.DataFrame({"a": ab[0], "b": ab[1], "ask": ask, "key": pd.NA} | dict.fromkeys(SIGNATURE, pd.NA)).drop_duplicates(["a", "b"]))
-        yield table([m for m in made if len(m)])
-    if last := leaders():
-        yield table(last)
+        if pairs:
+            a, b = (np.concatenate([p[x] for p in pairs]) for x in (0, 1))
+            yield _rows(a, b, np.concatenate([np.full(len(p[0]), p[2]) for p in pairs]), 0, None)
+    if parted and len(bucket.lead):
+        yield _rows(bucket.lead, None, np.zeros(len(bucket.lead), bool), key[0], bucket.sigs)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +260,8 @@ def _candidates(stash: Stash, reps: DataFrame) -> DataFrame:
         else:  # none is hot, or their rows are so unlike that parts don't make them fewer
             n = 0
             salted = todo.select("key", F.lit(0).cast("long").alias("part"), "c", *SIGNATURE, F.lit(False).alias("parted"))
-        made = stash.put(salted.repartition("key", "part").sortWithinPartitions("key", "part", "c").mapInPandas(_stars, PAIRS), f"met{step}")
+        with batch_rows(stash.spark, NUMBERS):
+            made = stash.put(salted.repartition("key", "part").sortWithinPartitions("key", "part", "c").mapInArrow(_stars, PAIRS), f"met{step}")
         pieces.append(made.where("b is not null").select("a", "b", "ask"))
         if not n:
             break

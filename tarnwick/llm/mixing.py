@@ -16,7 +16,9 @@ of all rows isn't ordered in one task. The cut is one hash per source and pass;
 place and texts never move. Tables of sources are broadcast up to ``SEND_ROWS`` rows, else joined.
 
 Defined cases: null is a source of its own; sources without tokens are read once; rows with equal
-ids stand or fall together in a part pass; an empty table gives an empty result.
+ids stand or fall together in a part pass (ties of the order hash likewise), and share their block; repeated rows are
+read as often each; ids may be of any type, null is one. An empty table gives an empty result. Extra columns pass
+through; those named like a result (n_tokens, weight, epoch, block, place) are replaced by it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, apart
 
 BETWEEN = r"[\x20\x09-\x0D]+"
 RANGES, BLOCKS, STEPS = 256, 64, 60
@@ -35,8 +37,8 @@ REPEAT = 1.5
 SEND_ROWS = 2_000
 #: Rows of (source, tokens) up to which the bisection is done on the driver; beyond, each step is a small job.
 DRIVER_ROWS = 100_000
-#: Columns that the result or its steps add; extra columns of these names are replaced.
-RESULT = ("n_tokens", "tokens", "weight", "take", "exponent", "epoch", "block", "place", "cut")
+#: Columns that the result adds.
+RESULT = ("n_tokens", "weight", "epoch", "block", "place")
 #: Bits of the order hash, 15 hexadecimal digits of an md5.
 HASH_BITS = 60
 
@@ -106,7 +108,7 @@ def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", text_co
     """``docs``, each row as often as the weights ask, with n_tokens, weight, epoch, block and place (order in the block)."""
     spark = docs.sparkSession
     stash = Stash(spark, "mixing")
-    docs = docs.drop(*(c for c in RESULT if c not in (source, id_col, text_col)))
+    docs, back = apart(docs, source, id_col, text_col)
     counted = docs.withColumn("_tokens", n_tokens(text_col)).withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("\x00null")))
     narrow = stash.put(counted.select(F.col(id_col).alias("_id"), "_source", "_tokens"), "tokens")
     plans = stash.put(plan(narrow.withColumnRenamed("_source", source), stash, source, repeat, entropy, budget), "plan")
@@ -132,4 +134,5 @@ def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", text_co
     out = out.where("cut is null or place <= cut")
     at = F.col("epoch") * F.col("tokens") + F.element_at("_begins", range_of)
     block = F.when(F.col("take") > 0, F.least(F.floor(at * blocks / F.col("take")), F.lit(blocks - 1))).otherwise(0).cast("int")
-    return out.withColumn("block", block).withColumnRenamed("_tokens", "n_tokens").drop("_source", "_id", "tokens", "take", "exponent", "cut", "_begins")
+    stash.keep("plan", "cuts")
+    return back(out.withColumn("block", block).withColumnRenamed("_tokens", "n_tokens"), *RESULT)

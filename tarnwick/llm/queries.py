@@ -26,6 +26,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents have no path; the source is what they say of where a text comes from
     return secrets.scan_all(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path_col="source")
 
 
@@ -64,12 +65,13 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = mixing.mix(docs)
-    return out.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "epoch", "place")
+    return out.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "epoch", "block", "place")
 
 
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return telephony.decode_media(telephony.encode_texts(docs), keep_pcm=False).drop("pcm")
+    media = telephony.decode_media(telephony.encode_texts(docs))
+    return media.withColumns({"pcm_bytes": F.octet_length("pcm").cast("long"), "pcm_sha256": F.sha2("pcm", 256)}).drop("pcm")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,5 +129,10 @@ passes AS (SELECT t.*, w.tokens, w.take, w.weight, unnest(range(0, CASE WHEN tok
            FROM t JOIN w ON t.source IS NOT DISTINCT FROM w.source),
 placed AS (SELECT *, ('0x' || substr(md5(doc_id::VARCHAR || '#' || epoch::VARCHAR), 1, 15))::BIGINT AS place FROM passes),
 summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed)
-SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, epoch, place FROM summed WHERE tokens = 0 OR upto <= take - epoch * tokens""",
+ranges AS (SELECT source, epoch, r, sum(s) OVER (PARTITION BY source, epoch ORDER BY r) - s AS begins
+           FROM (SELECT source, epoch, place >> 52 AS r, sum(n_tokens) AS s FROM placed GROUP BY ALL))
+SELECT doc_id, summed.source, n_tokens, round(weight, 6) AS weight, summed.epoch, place,
+       CASE WHEN take > 0 THEN least(floor((summed.epoch * tokens + begins) * 64 / take), 63)::INT ELSE 0 END AS block
+FROM summed JOIN ranges ON summed.source IS NOT DISTINCT FROM ranges.source AND summed.epoch = ranges.epoch AND place >> 52 = r
+WHERE tokens = 0 OR upto <= take - summed.epoch * tokens""",
 }

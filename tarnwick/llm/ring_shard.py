@@ -12,8 +12,10 @@ needs its rank within its arc: arcs are cut into ``cells`` equal parts of the ke
 window covers 1/(arcs x cells) of the rows, and cell counts give the offsets. Keys are hashed, so
 copies of a text or a hot source don't gather in an arc.
 
-Defined cases: a null id is a key like any other; rows with equal ids are ordered by size and CRC;
-null text has size 8; an empty table gives an empty result.
+Defined cases: rows without an id are keyed by their size and CRC; rows with equal ids are one key, ordered by
+size and CRC, and repeated rows get slots of their own in any order; ids may be of any type;
+null text has size 8; an empty table gives an empty result. Extra columns pass through; those named like a result
+(shard, slot; size, text_crc32 of ``measured``) are replaced by it.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import apart
+
 SHARDS, VNODES, CELLS = 24, 64, 16
 
 
@@ -89,8 +93,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, vnodes
     spark = docs.sparkSession
     points = ring(shards, vnodes)
     places = [p for p, _ in points]
-    place = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null")))
-    rows = docs.withColumn("_place", place)
+    more = [c for c in ("size", "text_crc32") if c in docs.columns]
+    docs, back = apart(docs, id_col, *more)
+    rows = docs.withColumn("_place", F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"))).otherwise(F.xxhash64(F.lit("\x00null"), *more)))
     rows = rows.withColumn("_arc", _steps(places)(F.col("_place"))).withColumn("_cell", F.pmod(F.shiftrightunsigned("_place", 7), F.lit(CELLS)).cast("int"))
     cells = rows.groupBy("_arc", "_cell").agg(F.count("*").alias("n")).collect()  # shards x vnodes x cells rows at most
     counts = [0] * len(points)
@@ -108,13 +113,13 @@ def assign(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, vnodes
     offsets = spark.createDataFrame(first or [(0, 0, 0)], "_arc int, _cell int, _first long")
     spread_df = spark.createDataFrame(spread or [(0, 0, 0, 0, 0)], "_arc int, _lo long, _hi long, shard int, _slot long")
     parts = spread_df.groupBy("_arc").agg(F.sort_array(F.collect_list(F.struct("_lo", "_hi", "shard", "_slot"))).alias("_parts"))
-    order = Window.partitionBy("_arc", "_cell").orderBy("_place", *[c for c in (id_col, "size", "text_crc32") if c in docs.columns])
+    order = Window.partitionBy("_arc", "_cell").orderBy("_place", id_col, *more)
     ranked = rows.withColumn("_rank", F.row_number().over(order) - 1)
     # both tables have at most shards x vnodes x cells rows
     ranked = ranked.join(F.broadcast(offsets), ["_arc", "_cell"]).join(F.broadcast(parts), "_arc").withColumn("_rank", F.col("_rank") + F.col("_first"))
     hit = F.element_at(F.filter("_parts", lambda p: (p["_lo"] <= F.col("_rank")) & (F.col("_rank") < p["_hi"])), 1)
     out = ranked.withColumn("_hit", hit).withColumn("shard", F.col("_hit.shard")).withColumn("slot", F.col("_hit._slot") + F.col("_rank") - F.col("_hit._lo"))
-    return out.drop("_place", "_arc", "_cell", "_rank", "_first", "_parts", "_hit")
+    return back(out, "shard", "slot")
 
 
 def _steps(places: list[int]):

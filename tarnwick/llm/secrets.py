@@ -9,14 +9,16 @@ text comes from, and by the words before it. It is trained from labelled finding
 makes a labelled table of public credential shapes and of the usual false positives (digests,
 identifiers, placeholders, joined words, dates, numbers) for where no reviewed findings exist.
 
-The dictionary is counted over all texts: words of 4 to 12 letters in at least ``COMMON`` rows.
+The dictionary is counted over all texts: words of 4 to 12 letters in at least a ``COMMON`` share of the rows (3 at
+least). A run is parted where a capital follows a small letter; its letters that lie in any dictionary word are covered.
 
 Scale. All row by row in Catalyst expressions but two sums: the dictionary's counts (map-side) and
 the coverage of candidates, joined by word piece with AQE's skew handling. Candidates are few and
 carry no text. The training table is bounded by ``TRAIN`` rows.
 
 Defined cases: null and empty texts have no candidates; repeated rows give repeated findings; a
-null path has no path features. The candidate itself is not returned, only its SHA-256, the place of
+null path has no path features; a score of exactly one half is a finding; an empty table gives an empty result. Results have
+the columns named at ``scan`` only, whatever extra columns the texts have; ids may be of any type. The candidate itself is not returned, only its SHA-256, the place of
 its word and its offset there. Of the text around a candidate the nearest ``NEAR`` characters of a word
 are looked at, of an announced value the first 512; a later run of a word is judged by the names
 between it and the run before, or, if there are none (lists), by the words before.
@@ -24,10 +26,12 @@ between it and the run before, or, if there are none (lists), by the words befor
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stash, lower_ascii, row_hash
@@ -35,7 +39,7 @@ from .common import Stash, lower_ascii, row_hash
 RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}"
 #: Rows in the training table at most; trees and depth of the forest.
 TRAIN, TREES, DEPTH = 20_000, 24, 7
-COMMON = 20
+COMMON = 1e-4
 AROUND = 3
 # Words that announce a secret, words that announce something else, path parts of no concern.
 ANNOUNCE = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "credential", "credentials", "auth", "bearer", "aws", "private")
@@ -140,16 +144,23 @@ def described(rows: DataFrame) -> DataFrame:
     )
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", common: int = COMMON) -> DataFrame:
-    """(piece): words of 4 to 12 small letters that many rows have."""
+def dictionary(docs: DataFrame, text_col: str = "text", common: float = COMMON) -> DataFrame:
+    """(piece): words of 4 to 12 small letters that a share of the rows has."""
     w = docs.select(F.explode(F.array_distinct(F.split(lower_ascii(F.col(text_col)), "[^a-z]+"))).alias("piece")).where(F.length("piece").between(4, 12))
-    return w.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= common).select("piece")
+    least = max(3, math.ceil(common * docs.count()))
+    return w.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("piece")
 
 
 def covered(rows: DataFrame, words: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` with coverage: the share of the run in letter pieces that are dictionary words."""
-    pieces = rows.select(*key, F.length("run").alias("n"), F.explode(F.regexp_extract_all(lower_ascii(F.col("run")), F.lit("[a-z]{4,12}"), F.lit(0))).alias("piece"))
-    got = pieces.join(words, "piece").groupBy(*key).agg((F.sum(F.length("piece")) / F.first("n")).alias("coverage"))
+    """``rows`` with coverage: the share of the run's characters that lie in a dictionary word."""
+    split = lower_ascii(F.regexp_replace("run", "(?<=[a-z])(?=[A-Z])", " "))
+    pieces = rows.select(*key, F.length("run").alias("n"), F.posexplode(F.regexp_extract_all(split, F.lit("[a-z]{4,}"), F.lit(0))).alias("at", "part"))
+    places = pieces.select("*", F.explode(F.sequence(F.lit(1), F.length("part") - 3)).alias("i"))
+    parts = places.select(*key, "n", "at", "i", F.explode(F.transform(F.sequence(F.lit(4), F.least(F.lit(12), F.length("part") - F.col("i") + 1)), lambda k: F.substring("part", F.col("i"), k))).alias("piece"))
+    # the longest word from each place; then places that no earlier word reaches count
+    reach = parts.join(words, "piece").groupBy(*key, "at", "i").agg(F.first("n").alias("n"), F.max(F.col("i") + F.length("piece")).alias("end"))
+    before = F.coalesce(F.max("end").over(Window.partitionBy(*key, "at").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    got = reach.withColumn("new", F.greatest(F.col("end") - F.greatest(before, "i"), F.lit(0))).groupBy(*key).agg((F.sum("new") / F.first("n")).alias("coverage"))
     return rows.join(got, key, "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
 
 
@@ -158,55 +169,64 @@ def findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     h = lambda salt: F.md5(F.concat(F.col("id").cast("string"), F.lit(salt)))
     base32 = F.upper(F.translate(F.concat(h("a"), h("b")), "01289", "GHJKQ"))
     mixed = F.concat(F.substring(F.translate(h("c"), "0123456789abcdef", "Qw7eRt2yUi9oPaS4"), 1, 20), F.substring(F.translate(h("d"), "0123456789abcdef", "zX3cVb8nM1kLjH5g"), 1, 20))
-    words = F.array(*[F.lit(w) for w in "the order there thing estionen heitkeit ciones mente which ther under stream table value anden threeding ingoren elleaux tionoi".split()])
-    pick = lambda salt: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(salt)), F.size(words)) + 1).cast("int"))
+    # plain words, and words made of syllables by hash: prose may be in any tongue
+    words = F.array(*[F.lit(w) for w in "the order there thing which under stream table value user account name handler update request buffer index version default module".split()])
+    syllables = F.array(*[F.lit(x + y) for x in "bdfgklmnprstv" for y in "aeiou"])
+    some = lambda of, salt: F.element_at(of, (F.pmod(F.xxhash64("id", F.lit(salt)), F.size(of)) + 1).cast("int"))
+    made_up = lambda salt: F.concat(*[some(syllables, f"{salt}/{k}") for k in range(3)])
+    pick = lambda salt: F.when(F.pmod(F.xxhash64("id", F.lit(salt + "?")), F.lit(3)) == 0, made_up(salt)).otherwise(some(words, salt))
+    # where a finding was: half of all have no path; calm ones are more often harmless, but paths decide nothing alone
+    paths = F.array(*[F.lit(x) for x in ("app/deploy.py", "conf/settings.ini", "src/ci/run.sh", "a/b/c.yaml", "web", "data/load.sql")])
+    calm = F.array(*[F.lit(x) for x in ("test/unit.py", "docs/readme.md", "example/main.c", "spec/fixture.json")])
+    chance = F.pmod(F.xxhash64("id", F.lit("path")), F.lit(100))
+    place = lambda y: F.when(chance < 50, F.lit(None).cast("string")).when(chance < (62 if y else 80), some(calm, "calm")).otherwise(some(paths, "where"))
     joined = F.concat(pick("1"), pick("2"), pick("3"), pick("4"), F.substring(h("n"), 1, 1), F.lit("7"))
     num = F.translate(h("e"), "abcdef", "012345")
-    q, none = F.lit('"'), F.lit(None).cast("string")
-    kinds: list[tuple[Column, Column, Column, int]] = [
-        (F.concat(F.lit("AKIA"), F.substring(base32, 1, 16)), F.concat_ws(" ", pick("5"), pick("6"), pick("7")), F.lit("app/deploy.py"), 1),
-        (F.concat(F.lit("password="), F.substring(h("f"), 1, 18)), F.concat_ws(" ", pick("5"), pick("6")), none, 1),
-        (F.concat(q, F.substring(F.concat(h("g"), h("h")), 1, 40), q), F.lit("token ="), none, 1),
-        (F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), F.concat_ws(" ", pick("5"), F.lit("token:")), F.lit("src/ci/run.sh"), 1),
-        (F.concat(q, mixed, q), F.lit("aws secret ="), F.lit("conf/settings.ini"), 1),
-        (F.concat(F.lit("api_key:"), F.substring(mixed, 1, 24)), pick("5"), F.lit("a/b/c.yaml"), 1),
-        (F.substring(F.concat(h("g"), h("h")), 1, 40), F.lit("commit"), none, 0),
-        (F.concat(F.lit("sha256:"), h("g"), h("h")), F.lit("digest"), F.lit("doc/releases.md"), 0),
-        (F.concat_ws("-", F.substring(h("g"), 1, 8), F.substring(h("g"), 9, 4), F.substring(h("g"), 13, 4), F.substring(h("g"), 17, 4), F.substring(h("g"), 21, 12)), F.lit("uuid"), none, 0),
-        (joined, F.concat_ws(" ", pick("5"), pick("6"), pick("7")), none, 0),
-        (F.concat(F.lit("https://www."), pick("1"), F.lit(".com/"), joined, F.lit("/"), F.substring(num, 1, 5)), pick("6"), none, 0),
-        (F.substring(num, 1, 20), F.concat_ws(" ", pick("5"), pick("6")), none, 0),
-        (F.concat(F.lit("2024-"), F.substring(num, 1, 2), F.lit("-"), F.substring(num, 3, 2), F.lit("T"), F.substring(num, 5, 2), F.lit("-"), F.substring(num, 7, 6)), F.lit("at"), none, 0),
-        (F.concat(F.lit("password="), F.repeat(F.substring(h("f"), 1, 1), 12), F.lit("1234")), F.lit("example"), F.lit("test/example.py"), 0),
-        (F.concat(F.lit("AKIA"), F.lit("EXAMPLEEXAMPLE00")), F.concat_ws(" ", pick("5"), F.lit("sample")), F.lit("docs/readme.md"), 0),
-        (F.concat(pick("1"), F.lit("_"), pick("2"), F.lit("_"), pick("3"), F.lit("_v2")), F.lit("file"), F.lit("src/main.c"), 0),
+    q = F.lit('"')
+    kinds: list[tuple[Column, Column, int]] = [
+        (F.concat(F.lit("AKIA"), F.substring(base32, 1, 16)), F.concat_ws(" ", pick("5"), pick("6"), pick("7")), 1),
+        (F.concat(F.lit("password="), F.substring(h("f"), 1, 18)), F.concat_ws(" ", pick("5"), pick("6")), 1),
+        (F.concat(q, F.substring(F.concat(h("g"), h("h")), 1, 40), q), F.lit("token ="), 1),
+        (F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), F.concat_ws(" ", pick("5"), F.lit("token:")), 1),
+        (F.concat(q, mixed, q), F.lit("aws secret ="), 1),
+        (F.concat(F.lit("api_key:"), F.substring(mixed, 1, 24)), pick("5"), 1),
+        (F.substring(F.concat(h("g"), h("h")), 1, 40), F.lit("commit"), 0),
+        (F.concat(F.lit("sha256:"), h("g"), h("h")), F.lit("digest"), 0),
+        (F.concat_ws("-", F.substring(h("g"), 1, 8), F.substring(h("g"), 9, 4), F.substring(h("g"), 13, 4), F.substring(h("g"), 17, 4), F.substring(h("g"), 21, 12)), F.lit("uuid"), 0),
+        (joined, F.concat_ws(" ", pick("5"), pick("6"), pick("7")), 0),
+        (F.concat(F.lit("https://www."), pick("1"), F.lit(".com/"), joined, F.lit("/"), F.substring(num, 1, 5)), pick("6"), 0),
+        (F.substring(num, 1, 20), F.concat_ws(" ", pick("5"), pick("6")), 0),
+        (F.concat(F.lit("2024-"), F.substring(num, 1, 2), F.lit("-"), F.substring(num, 3, 2), F.lit("T"), F.substring(num, 5, 2), F.lit("-"), F.substring(num, 7, 6)), F.lit("at"), 0),
+        (F.concat(F.lit("password="), F.repeat(F.substring(h("f"), 1, 1), 12), F.lit("1234")), F.lit("example"), 0),
+        (F.concat(F.lit("AKIA"), F.lit("EXAMPLEEXAMPLE00")), F.concat_ws(" ", pick("5"), F.lit("sample")), 0),
+        (F.concat(pick("1"), F.lit("_"), pick("2"), F.lit("_"), pick("3"), F.lit("_v2")), F.lit("file"), 0),
     ]
     short = F.concat(F.substring(mixed, 1, 5), F.substring(h("i"), 1, 4))
     plain = F.concat(pick("8"), F.substring(num, 1, 3))
     pem = F.concat(F.lit("-----BEGIN "), F.element_at(F.array(*[F.lit(x) for x in ("", "RSA ", "EC ", "OPENSSH ")]), (F.col("id") % 4 + 1).cast("int")), F.lit("PRIVATE KEY-----"))
     stub = F.element_at(F.array(*[F.lit(x) for x in ("none", "null", "true", "required", "********", "xxxxxxxx", "${TOKEN}", "string", "changeme", "todo")]), (F.pmod(F.xxhash64("id"), F.lit(10)) + 1).cast("int"))
-    # announced below the bar, and runs that are one of many in a word: (gap, run, after, before, path, label)
-    told: list[tuple[Column, Column, Column, Column, Column, int]] = [
-        (F.lit("password="), short, F.lit(""), pick("5"), none, 1),
-        (F.lit('","secret":"'), F.substring(mixed, 1, 12), F.lit('"}'), F.lit(""), none, 1),
-        (F.lit(""), plain, F.lit(""), F.concat_ws(" ", pick("5"), F.lit("password:")), F.lit("conf/settings.ini"), 1),
-        (F.lit(""), pem, F.lit(""), F.lit(""), F.lit("conf/id"), 1),
-        (F.lit('{"id":"'), F.concat(F.lit("AKIA"), F.substring(base32, 1, 16)), F.lit('","secre'), F.lit(""), none, 1),
-        (F.lit('","secret":"'), mixed, F.lit('"}'), F.lit(""), none, 1),
-        (F.lit(";key="), F.substring(mixed, 1, 32), F.lit(";"), F.lit(""), none, 1),
-        (F.lit("token:"), pick("8"), F.lit(""), pick("5"), none, 0),
-        (F.lit(""), pick("8"), F.lit(""), F.concat_ws(" ", pick("5"), F.lit("key:")), none, 0),
-        (F.lit("password="), stub, F.lit(""), pick("5"), F.lit("src/main.c"), 0),
-        (F.lit('"token":"'), stub, F.lit('"'), F.lit(""), none, 0),
-        (F.lit("key="), F.substring(num, 1, 3), F.lit(""), pick("5"), none, 0),
-        (F.lit('","sha1":"'), F.substring(F.concat(h("g"), h("h")), 1, 40), F.lit('","'), F.lit(""), none, 0),
-        (F.lit('","path":"'), F.concat(F.lit("/usr/"), joined, F.lit("/"), pick("6")), F.lit('","'), F.lit(""), none, 0),
+    # announced below the bar, and runs that are one of many in a word: (gap, run, after, before, label)
+    told: list[tuple[Column, Column, Column, Column, int]] = [
+        (F.lit("password="), short, F.lit(""), pick("5"), 1),
+        (F.lit('","secret":"'), F.substring(mixed, 1, 12), F.lit('"}'), F.lit(""), 1),
+        (F.lit(""), plain, F.lit(""), F.concat_ws(" ", pick("5"), F.lit("password:")), 1),
+        (F.lit(""), pem, F.lit(""), F.lit(""), 1),
+        (F.lit('{"id":"'), F.concat(F.lit("AKIA"), F.substring(base32, 1, 16)), F.lit('","secre'), F.lit(""), 1),
+        (F.lit('","secret":"'), mixed, F.lit('"}'), F.lit(""), 1),
+        (F.lit(";key="), F.substring(mixed, 1, 32), F.lit(";"), F.lit(""), 1),
+        (F.lit("token:"), pick("8"), F.lit(""), pick("5"), 0),
+        (F.lit(""), pick("8"), F.lit(""), F.concat_ws(" ", pick("5"), F.lit("key:")), 0),
+        (F.lit("password="), stub, F.lit(""), pick("5"), 0),
+        (F.lit('"token":"'), stub, F.lit('"'), F.lit(""), 0),
+        (F.lit("key="), F.substring(num, 1, 3), F.lit(""), pick("5"), 0),
+        (F.lit('","sha1":"'), F.substring(F.concat(h("g"), h("h")), 1, 40), F.lit('","'), F.lit(""), 0),
+        (F.lit('","path":"'), F.concat(F.lit("/usr/"), joined, F.lit("/"), pick("6")), F.lit('","'), F.lit(""), 0),
     ]
     runs = lambda w: F.regexp_extract_all(w, F.lit(RUN), F.lit(0))
     longest = lambda w: F.element_at(F.reverse(F.array_sort(F.transform(runs(w), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))), 1)["r"]
     case = F.array(
-        *[F.struct(w.alias("word"), F.lit(None).cast("string").alias("gap"), F.lit(None).cast("string").alias("run"), b.alias("before"), p.alias("path"), F.lit(float(y)).alias("label")) for w, b, p, y in kinds],
-        *[F.struct(F.concat(g, r, a).alias("word"), g.alias("gap"), r.alias("run"), b.alias("before"), p.alias("path"), F.lit(float(y)).alias("label")) for g, r, a, b, p, y in told],
+        *[F.struct(w.alias("word"), F.lit(None).cast("string").alias("gap"), F.lit(None).cast("string").alias("run"), b.alias("before"), place(y).alias("path"), F.lit(float(y)).alias("label")) for w, b, y in kinds],
+        *[F.struct(F.concat(g, r, a).alias("word"), g.alias("gap"), r.alias("run"), b.alias("before"), place(y).alias("path"), F.lit(float(y)).alias("label")) for g, r, a, b, y in told],
     )
     made = spark.range(min(rows, TRAIN)).select("id", F.element_at(case, (F.col("id") % (len(kinds) + len(told)) + 1).cast("int")).alias("k")).select(F.col("id").alias("row"), "k.*")
     made = made.withColumn("run", F.coalesce("run", F.when(F.size(runs(F.col("word"))) > 0, longest(F.col("word"))))).where("run is not null")
@@ -221,7 +241,7 @@ def train(labelled: DataFrame, words: DataFrame, seed: int = 7) -> RandomForestC
     """The forest from labelled findings (row, word, run, before, path, label)."""
     if "gap" not in labelled.columns:
         labelled = labelled.withColumn("gap", F.expr("substring_index(word, run, 1)"))
-    rows = covered(labelled.limit(TRAIN), words, ["row"])
+    rows = covered(labelled.orderBy(F.xxhash64("row"), "row").limit(TRAIN), words, ["row"])
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(_vector(rows).select("features", "label"))
 
 

@@ -19,7 +19,9 @@ the removal, and once, for classes only, for step 3. A hash whose different clas
 their own 128-bit hashes and counted, exactly like the rest. Nothing is collected.
 
 Defined cases: null is the empty text; a text of fewer than LENGTH bytes keeps all; rows equal in
-every column are documents of their own, so such rows of LENGTH bytes or more lose everything.
+every column are documents of their own, so such rows of LENGTH bytes or more lose everything. Ids may be of any
+type and null. An empty table gives an empty result. Results have the columns named at ``remove_repeats`` only: extra
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX_A, MIX_B, U64, Stash, blocks, mix, row_hash, text_bytes
+from .common import GOLDEN, MIX_A, MIX_B, ROW, U64, Stash, blocks, mix, row_keys, text_bytes
 
 LENGTH, GRAM = 200, 32
+#: An odd constant for the second hash.
+OTHER = U64(0xD6E8FEB86659FD93)
 #: Bytes of text in one suffix array, and of one hash's classes, at most.
 ARRAY_BYTES, GROUP_BYTES = 1 << 20, 3 << 19
 #: Class rows up to which they are sent to all tasks (40 bytes each) instead of moving texts to them.
@@ -47,15 +51,15 @@ def _shift(x: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def gram_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gram_hashes(raw: np.ndarray, begin: U64 = GOLDEN, step: U64 = MIX_B) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the 32 and of the 128 bytes from each place; those past the end mean nothing."""
-    h = (raw.astype(U64) + U64(1)) * GOLDEN
+    h = (raw.astype(U64) + U64(1)) * begin
     h ^= h >> U64(29)
     size, short = 1, h
     while size < 128:
         if size == GRAM:
             short = h
-        nxt = h * MIX_B
+        nxt = h * step
         nxt += _shift(h, size)
         nxt ^= nxt >> U64(29)
         nxt *= MIX_A
@@ -63,15 +67,20 @@ def gram_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return short, h
 
 
-def window_hash(h128: np.ndarray, at: np.ndarray, salt: int = 0) -> np.ndarray:
-    return mix((h128[at] + U64(salt)) * GOLDEN + h128[at + LENGTH - 128])
+def second_hashes(raw: np.ndarray) -> np.ndarray:
+    """Hashes of the 128 bytes from each place, independent of the first."""
+    return gram_hashes(raw, OTHER, GOLDEN)[1]
+
+
+def window_hash(h128: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(h128[at] * GOLDEN + h128[at + LENGTH - 128])
 
 
 def segments(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(least hash, content hash, row, start in the row, windows) of the segments of concatenated rows."""
+    """(least hash, 128-bit content hash, row, start in the row, windows) of the segments of concatenated rows."""
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     grams, h128 = gram_hashes(raw)
     grams = mix(grams)
     least, size = grams, 1
@@ -85,7 +94,7 @@ def segments(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     base = np.concatenate(([0], np.cumsum(np.maximum(lens - LENGTH + 1, 0))))
     at = np.arange(len(row)) - base[row] + off[row]  # the places where windows start
     if not len(at):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     low = least[at]
     new = np.ones(len(at), bool)
     # a least gram that is left behind ends a segment even if another follows: periodic windows part
@@ -93,17 +102,18 @@ def segments(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(at)))  # at most LENGTH - GRAM + 1, so first and last window cover a segment
     first, last = at[begin], at[begin + size - 1]
-    same = mix(window_hash(h128, first) * MIX_A + window_hash(h128, last) + size.astype(U64))
-    return low[begin].view(np.int64), same.view(np.int64), row[begin], first - off[row[begin]], size
+    same = [mix(window_hash(h, first) * MIX_A + window_hash(h, last) + size.astype(U64)).view(np.int64) for h in (h128, second_hashes(raw))]
+    return low[begin].view(np.int64), *same, row[begin], first - off[row[begin]], size
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, off = text_bytes(batch.column(1))
-        uid = batch.column(0).to_numpy()
+        raw, off = text_bytes(batch.column(2))
+        key = [batch.column(i).to_numpy() for i in range(2)]
         for lo, hi in blocks(off, 1 << 18):
-            m, sh, row, start, size = segments(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(sh), pa.array(uid[lo:hi][row] if len(row) else row), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=["m", "sh", "uid", "start", "size"])
+            m, sh, sk, row, start, size = segments(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            keys = [pa.array(k[lo:hi][row] if len(row) else row) for k in key]
+            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(sh), pa.array(sk), *keys, pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=["m", "sh", "sk", *ROW, "start", "size"])
 
 
 def _names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -191,7 +201,7 @@ def _runs(flag: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes (m, sh, size, body), those of an m one after the other: runs of repeated windows."""
+    """Classes (m, c, size, body), those of an m one after the other: runs of repeated windows."""
     held: list[tuple[int, int, int, bytes]] = []
     total = 0
 
@@ -200,8 +210,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate(([0], np.cumsum([len(x[3]) for x in held])[:-1])).astype(np.int64)
         sizes = np.array([x[2] for x in held], np.int64)
         piece, lo, hi = _runs(repeated_windows(text, starts, sizes), sizes)
-        m, sh = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(m[piece]), pa.array(sh[piece]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["m", "sh", "lo", "hi"])
+        c = np.array([x[1] for x in held], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c[piece]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["c", "lo", "hi"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -215,24 +225,24 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of classes (m, sh, size, body) as 128-bit hashes."""
+    """All windows of classes (c, size, body) as 128-bit hashes."""
     for batch in batches:
-        for m, sh, size, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for c, size, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             raw = np.frombuffer(body, np.uint8)
-            _, h = gram_hashes(raw)
             at = np.arange(size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, m)), pa.array(np.full(size, sh)), pa.array(at.astype(np.int32)), pa.array(window_hash(h, at).view(np.int64)), pa.array(window_hash(h, at, 0x51ED270B).view(np.int64))], names=["m", "sh", "lo", "w1", "w2"])
+            w = [pa.array(window_hash(h, at).view(np.int64)) for h in (gram_hashes(raw)[1], second_hashes(raw))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, c)), pa.array(at.astype(np.int32)), *w], names=["c", "lo", "w1", "w2"])
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their classes: (m, sh, size, body)."""
+    """Texts with their classes: (m, c, size, body)."""
     for batch in batches:
         raw, off = text_bytes(batch.column(0))
         wanted = batch.column(1).to_pylist()
-        out = [(x["m"], x["sh"], x["size"], raw[off[i] + x["start"] : off[i] + x["start"] + x["size"] + LENGTH - 1].tobytes()) for i, each in enumerate(wanted) for x in each]
+        out = [(x["m"], x["c"], x["size"], raw[off[i] + x["start"] : off[i] + x["start"] + x["size"] + LENGTH - 1].tobytes()) for i, each in enumerate(wanted) for x in each]
         for k in range(0, len(out), 4000):
             cols = list(zip(*out[k : k + 4000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["m", "sh", "size", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["m", "c", "size", "body"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,36 +270,41 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, stop>>, kept binary) of each row."""
-    spark = docs.sparkSession
-    stash = Stash(spark, "suffix")
-    texts = docs.select(row_hash(id_col, text_col).alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    records = texts.select("uid", "text").mapInArrow(_emit, "m long, sh long, uid long, start int, size int")
+    stash = Stash(docs.sparkSession, "suffix")
+    texts = docs.select(*(k.alias(c) for c, k in row_keys(id_col, text_col).items()), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    key = f"{ROW[0]} long, {ROW[1]} long"
+    records = texts.select(*ROW, "text").mapInArrow(_emit, f"m long, sh long, sk long, {key}, start int, size int")
     records = stash.put(records, "records")
     # written first: a join of two plain shuffles lets adaptive execution split the records of a hot hash
-    often = stash.put(records.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"), "often")
+    often = stash.put(records.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"), "often")
     members = stash.put(records.join(often, "m", "left_semi"), "members")
     stash.drop("records", "often")
-    classes = stash.put(members.groupBy("m", "sh").agg(F.count("*").alias("c"), F.min(F.struct("uid", "start", "size")).alias("r")).select("m", "sh", "c", "r.*"), "classes")
+    # numbered as written: the number of a class is its name
+    classes = members.groupBy("m", "sh", "sk").agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "start", "size")).alias("r"))
+    classes = stash.put(classes.select("m", "sh", "sk", "n", "r.*").withColumn("c", F.monotonically_increasing_id()), "classes")
     mixed = classes.groupBy("m").agg(F.count("*").alias("kinds"), F.sum(F.col("size") + LENGTH - 1).alias("bytes")).where("kinds > 1").select("m", (F.col("bytes") > GROUP_BYTES).alias("wide"))
-    asked = stash.put(classes.join(mixed, "m").select("m", "sh", "uid", "start", "size", "wide"), "asked")
-    per_text = asked.groupBy("uid").agg(F.collect_list(F.struct("m", "sh", "start", "size", "wide")).alias("wanted"))
+    mixed = stash.put(mixed, "mixed")
+    asked = stash.put(classes.join(mixed, "m").select("m", "c", *ROW, "start", "size", "wide"), "asked")
+    per_text = asked.groupBy(*ROW).agg(F.collect_list(F.struct("m", "c", "start", "size")).alias("wanted"))
     if asked.count() <= SEND_ROWS:
         per_text = F.broadcast(per_text)
     # rows that are equal in every column share a key: one of their bodies is enough
-    found = texts.join(per_text, "uid").select("text", "wanted").mapInArrow(_bodies, "m long, sh long, size int, body binary")
-    bodies = stash.put(found, "bodies").join(asked.select("m", "wide").distinct(), "m")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = bodies.where("not wide").select("m", "sh", "size", "body").repartition(width, "m").sortWithinPartitions("m", "sh")
-    runs = narrow.mapInArrow(_dedup_then_settle, "m long, sh long, lo int, hi int")
-    windows = stash.put(bodies.where("wide").select("m", "sh", "size", "body").mapInArrow(_windows, "m long, sh long, lo int, w1 long, w2 long").distinct(), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    wide = windows.join(twice, ["w1", "w2"], "left_semi").select("m", "sh", "lo", (F.col("lo") + 1).alias("hi"))
-    whole = classes.where("c > 1").select("m", "sh", F.lit(0).alias("lo"), F.col("size").alias("hi"))
-    single = classes.where("c = 1").select("m", "sh")
-    parts = stash.put(runs.union(wide).join(single, ["m", "sh"], "left_semi").union(whole), "parts")
-    at = members.join(parts, ["m", "sh"]).select("uid", F.struct((F.col("start") + F.col("lo")).cast("long").alias("lo"), (F.col("start") + F.col("hi") + LENGTH - 1).cast("long").alias("hi")).alias("run"))
-    gone = at.groupBy("uid").agg(F.collect_list("run").alias("runs"))
-    return texts.join(gone, "uid", "left").select("doc_id", "text", "runs").mapInArrow(_cut, docs.select(F.col(id_col).alias("doc_id")).schema.simpleString()[7:-1].replace(":", " ") + ", n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    found = texts.join(per_text, list(ROW)).select("text", "wanted").mapInArrow(_bodies, "m long, c long, size int, body binary")
+    bodies = stash.put(found, "bodies").join(asked.select("c", "wide"), "c")
+    narrow = bodies.where("not wide").select("m", "c", "size", "body").repartition("m").sortWithinPartitions("m", "c")
+    runs = narrow.mapInArrow(_dedup_then_settle, "c long, lo int, hi int")
+    windows = stash.put(bodies.where("wide").select("c", "size", "body").mapInArrow(_windows, "c long, lo int, w1 long, w2 long").distinct(), "windows")
+    twice = stash.put(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "twice")
+    wide = windows.join(twice, ["w1", "w2"], "left_semi").select("c", "lo", (F.col("lo") + 1).alias("hi"))
+    parts = runs.union(wide).join(classes.where("n = 1").select("m", "sh", "sk", "c"), "c").select("m", "sh", "sk", "lo", "hi")
+    whole = classes.where("n > 1").select("m", "sh", "sk", F.lit(0).alias("lo"), F.col("size").alias("hi"))
+    parts = stash.put(parts.union(whole), "parts")
+    at = members.join(parts, ["m", "sh", "sk"]).select(*ROW, F.struct((F.col("start") + F.col("lo")).cast("long").alias("lo"), (F.col("start") + F.col("hi") + LENGTH - 1).cast("long").alias("hi")).alias("run"))
+    # a row's runs are bounded by its length; repeated rows have the same
+    gone = stash.put(at.distinct().groupBy(*ROW).agg(F.collect_list("run").alias("runs")), "runs")
+    stash.keep("runs")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return texts.join(gone, list(ROW), "left").select("doc_id", "text", "runs").mapInArrow(_cut, f"doc_id {kind}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
 
 
 def _dedup_then_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,12 @@ byte (two nibbles) of an ADPCM block whose header is the zero state. Reading par
 WAVE bytes; nothing is taken from the writer.
 
 Everything is row by row (no shuffle); a batch is worked in pieces of bounded size, so a task's
-memory follows its longest row. Null is the empty text; any bytes are legal sound. Equal texts give
-equal values: the codec is chosen by the payload's CRC.
+memory follows its longest row.
+
+Defined cases: null is the empty text; any bytes are legal sound. Equal texts give
+equal values: the codec is chosen by the payload's CRC. Ids may be of any type and null; repeated rows are worked each;
+an empty table gives an empty result. Results have only the columns named at the functions: extra columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -196,8 +200,8 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 media = [carry(payload_of(raw[off[i] : off[i + 1]].tobytes(), unit)) for i in range(lo, hi)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off[lo : hi + 1])), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def decode_media(media: DataFrame, to_rate: int = TARGET_RATE, keep_pcm: bool = True) -> DataFrame:
@@ -224,4 +228,4 @@ def decode_media(media: DataFrame, to_rate: int = TARGET_RATE, keep_pcm: bool =
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=["doc_id", "n_bytes", *out])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")

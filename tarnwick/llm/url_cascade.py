@@ -14,7 +14,9 @@ that bound is checked (``MAX_BITS``) before they are sent out. Universe and leve
 distributed filters and summed bits; only bit words come to the driver. Judging a url is row by row.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, hence no key and the
-verdict for what is not listed; an empty list blocks nothing; repeated rows are judged each.
+verdict for what is not listed; an empty list blocks nothing; repeated rows are judged each. Of rules of equal
+length (one allowed, one blocked: the same rule) the allowing one applies. An empty table gives an empty result. Extra
+columns pass through; those named like a result (host, path, rule, verdict) are replaced by it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, apart
 
 #: Bits of one level at most (256 MB); a longer list has to be split by key hash into several cascades.
 MAX_BITS = 1 << 31
@@ -140,6 +142,7 @@ def build(listed: DataFrame, universe: DataFrame, key: str = "key") -> Cascade:
         cascade.levels.append(level)
         wrong = stash.put(others.where(_contains(spark, level)), f"wrong{k}")
         take, others, n, k = wrong, take, wrong.count(), k + 1
+    stash.keep()
     return cascade
 
 
@@ -165,6 +168,7 @@ def judge(urls: DataFrame, allow: list[str], block: list[str], url_col: str = "u
     spark = urls.sparkSession
     stash = Stash(spark, "urls")
     lengths = sorted({len(r) - r.index("/") for r in [*allow, *block]})
+    urls, back = apart(urls, url_col)
     parts = urls.withColumn("host", host_of(url_col)).withColumn("path", path_of(url_col))
     keyed = parts.withColumn("_keys", keys_of(F.col("host"), F.col("path"), lengths))
     universe = stash.put(keyed.select(F.explode("_keys").alias("key")).distinct(), "universe")
@@ -176,4 +180,5 @@ def judge(urls: DataFrame, allow: list[str], block: list[str], url_col: str = "u
     allowed = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.col("_a.n") >= F.col("_b.n")))
     rule = F.when(allowed, F.col("_a.k")).otherwise(F.col("_b.k"))
     verdict = F.when(allowed, "allow").when(F.col("_b").isNotNull(), "block").otherwise(default)
-    return keyed.withColumn("rule", rule).withColumn("verdict", verdict).drop("_keys", "_allow", "_block", "_a", "_b")
+    stash.drop("universe")
+    return back(keyed.withColumn("rule", rule).withColumn("verdict", verdict), "host", "path", "rule", "verdict")
