@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 NON_WORD = r"[^\p{L}\p{N}_]+"
 TABLE_RULE = r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
 LINK = r"\[[^\]]*\]\([^)]*\)"
-LOGIN = r"(?i)(sign in|log in|sign up|create (an )?account|forgot (your )?password|subscribe to continue|members only)"
+# Fixed value: phrases that cluster on login pages.
+LOGIN = r"(?i)\b(log\s?in|sign\s?in|sign\s?up|forgot\s+(?:your\s+)?(?:password|account)|create\s+(?:new\s+)?account|email\s+or\s+phone(?:\s+number)?)\b"
 GAP = "\n\n[…]\n\n"
 
 
@@ -87,7 +88,102 @@ def blocks(text: Column, by: str = "\n\n") -> Column:
 
 
 def rank_band(rank: Column) -> Column:
-    return F.when(rank == 1, "top").when(rank <= 3, "strong").otherwise("possible")
+    return F.when(rank == 1, "top match").when(rank <= 3, "strong match").otherwise("possible match")
+
+
+# What is said of a warning of each type, before its detail and after it.
+ISSUES = {
+    "scrape_failed": ("partial scrape: ", " — snippet used instead"),
+    "low_relevance_filtered": ("filtered low-relevance results: ", ""),
+    "search_failed": ("search backend failed: ", ""),
+    "rerank_failed": ("reranker failed: ", ""),
+    "engine_unresponsive": ("upstream engine unavailable: ", ""),
+}
+
+
+def issue_line(kind: Column, detail: Column) -> Column:
+    out = F.when(kind == "no_results", "no results found")
+    for name, (before, after) in ISSUES.items():
+        out = out.when(kind == name, F.concat(F.lit(before), detail, F.lit(after)))
+    return out.otherwise(detail)
+
+
+def issues_block(label: str, lines: Column) -> Column:
+    """A label and a list of lines; null without lines."""
+    return F.when(F.size(lines) > 0, F.concat(F.lit(f"{label}:\n- "), F.array_join(lines, "\n- ")))
+
+
+def kv_block(*pairs: tuple[str, Column]) -> Column:
+    """Lines ``key: value`` of what is neither null nor empty."""
+    return F.concat_ws("\n", *[F.when(F.nullif(v, F.lit("")).isNotNull(), F.concat(F.lit(f"{k}: "), v)) for k, v in pairs])
+
+
+def spans(ids: Column) -> Column:
+    """Numbers as runs ``a..b`` and single ones, or null."""
+    d = F.array_sort(F.array_distinct(ids))
+    starts = F.filter(d, lambda x: ~F.array_contains(d, x - 1))
+    ends = F.filter(d, lambda x: ~F.array_contains(d, x + 1))
+    runs = F.zip_with(starts, ends, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit(".."), b.cast("string"))))
+    return F.nullif(F.array_join(runs, ", "), F.lit(""))
+
+
+def meta_line(file_type: Column, content_type: Column, shown_ids: Column, total_chunks: Column, mode: Column, chars_shown: Column, total_chars: Column) -> Column:
+    """What a document section says of type, chunks, mode and length; null if nothing."""
+    last = F.concat(F.lit("0.."), (total_chunks - 1).cast("string"))
+    kind = F.when((file_type != "html") & (file_type != ""), F.concat(F.lit("type: "), file_type)).when((content_type != "text/html") & (content_type != ""), F.concat(F.lit("content_type: "), content_type))
+    span = spans(shown_ids)
+    chunks = F.when(total_chunks > 0, F.concat(F.lit("chunks: "), F.coalesce(F.concat(span, F.lit(" of "), last), last)))
+    how = F.when(mode.isin("relevant", "document", "selected"), F.concat(F.lit("mode: "), mode))
+    chars = F.when((total_chars > 0) & (chars_shown > 0), F.concat(F.format_number(chars_shown, 0), F.lit(" of "), F.format_number(total_chars, 0), F.lit(" chars")))
+    return F.nullif(F.concat_ws(" | ", kind, chunks, how, chars), F.lit(""))
+
+
+def tree_line(title: Column, link_text: Column, url: Column, depth: Column, link_type: Column) -> Column:
+    name = F.coalesce(F.nullif(title, F.lit("")), F.nullif(link_text, F.lit("")), url)
+    return F.concat(F.repeat(F.lit("  "), depth), F.lit("- ["), name, F.lit("]("), url, F.lit(")"), F.when(link_type == "external", " (ext)").otherwise(""))
+
+
+def document_section(title: Column, url: Column, status: Column, content: Column, error: Column, file_type: Column, handler: Column, reason: Column, meta: Column) -> Column:
+    """One document as markdown: error, hand-off or content under its title; ``meta`` (or null) stands first."""
+    head = F.concat(F.lit("## ["), F.coalesce(F.nullif(title, F.lit("")), F.lit("Untitled")), F.lit("]("), url, F.lit(")"))
+    handed = F.concat(F.lit("**Handoff:** `"), F.coalesce(file_type, F.lit("file")), F.lit("` content should be handled by the `"), F.coalesce(handler, F.lit("files")), F.lit("` MCP.\n\n"), F.coalesce(reason, F.lit("delegated to another MCP")))
+    body = F.when(status == "error", F.concat(F.lit("**Error:** "), F.coalesce(error, F.lit("extraction failed")))).when(status == "handoff", handed).otherwise(F.nullif(content, F.lit("")))
+    return F.concat_ws("\n\n", head, F.concat(F.lit("_"), meta, F.lit("_")), body)
+
+
+def search_section(title: Column, url: Column, rank: Column, domain: Column, date: Column, scraped: Column, content: Column) -> Column:
+    """One search result as markdown."""
+    text = F.nullif(content, F.lit(""))
+    line = F.nullif(F.concat_ws(" | ", F.nullif(domain, F.lit("")), F.nullif(date, F.lit("")), rank_band(rank), F.when(~scraped & text.isNotNull(), "snippet only")), F.lit(""))
+    head = F.concat(F.lit("## "), rank.cast("string"), F.lit(". ["), F.coalesce(title, F.lit("Untitled")), F.lit("]("), url, F.lit(")"))
+    return F.concat_ws("\n\n", head, F.concat(F.lit("_"), line, F.lit("_")), text)
+
+
+def html_meta(html: Column, *names: str) -> Column:
+    """The content of the first meta element of one of these names or properties, in their order."""
+    found = []
+    for name in names:
+        key = name.replace(".", r"\.")
+        for rx in (rf"(?is)<meta[^>]*\b(?:name|property)\s*=\s*[\"']{key}[\"'][^>]*\bcontent\s*=\s*[\"']([^\"']*)", rf"(?is)<meta[^>]*\bcontent\s*=\s*[\"']([^\"']*)[\"'][^>]*\b(?:name|property)\s*=\s*[\"']{key}[\"']"):
+            found.append(F.nullif(F.trim(F.regexp_extract(html, rx, 1)), F.lit("")))
+    return F.coalesce(*found)
+
+
+def html_citation(html: Column) -> Column:
+    """author, date, site_name and description as a page's head states them."""
+    date = F.nullif(F.regexp_extract(F.coalesce(html_meta(html, "article:published_time", "date", "dc.date"), F.lit("")), r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+    return F.struct(html_meta(html, "author", "article:author", "dc.creator").alias("author"), date.alias("date"), html_meta(html, "og:site_name", "application-name").alias("site_name"), html_meta(html, "description", "og:description").alias("description"))
+
+
+def preview(text: Column, limit: int = 120) -> Column:
+    """A text on one line, cut with dots."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit - 1)), F.lit("…"))).otherwise(flat)
+
+
+def header_value(markdown: Column, key: str) -> Column:
+    """The value of a ``key: value`` line before the first rule, or null."""
+    return F.nullif(F.regexp_extract(F.substring_index(markdown, "\n---", 1), rf"(?m)^{key}: (.*)$", 1), F.lit(""))
 
 
 def lcs_length(a: Column, b: Column) -> Column:

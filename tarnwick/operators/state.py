@@ -19,14 +19,50 @@ def seen_within(df: DataFrame, keys: list[str], order: list[str], ttl: int = TTL
     return df.withColumn("seen", F.coalesce(gap < ttl, F.lit(False)))
 
 
-def replay(df: DataFrame, keys: list[str], ttl: Column, ts: str = "ts") -> DataFrame:
-    """(keys, hits, misses) of a read-through cache: a miss writes, hits don't refresh.
-
-    Per key one fold over its sorted times; the times of a key travel as one array of numbers."""
-    t = df.select(*keys, F.struct(seconds(ts).alias("t"), ttl.alias("ttl")).alias("e")).groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    zero = F.struct(F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("misses"), F.lit(-1e18).alias("until"))
-    step = lambda acc, e: F.when(e["t"] < acc["until"], F.struct((acc["hits"] + 1).alias("hits"), acc["misses"].alias("misses"), acc["until"].alias("until"))).otherwise(F.struct(acc["hits"].alias("hits"), (acc["misses"] + 1).alias("misses"), (e["t"] + e["ttl"]).alias("until")))
-    return t.withColumn("s", F.aggregate("es", zero, step)).select(*keys, "s.hits", "s.misses")
+def replayed(df: DataFrame, keys: list[str], ttl: Column, order: list[str], ts: str = "ts") -> DataFrame:
+    """(keys, order columns, hit) of each access to a read-through cache: a miss writes, hits don't refresh.
+
+    Accesses of a key stream past in their order and only the entry's end is held, so no key's
+    events are gathered."""
+    rows = df.select(*keys, *order, seconds(ts).alias("_t"), ttl.cast("double").alias("_ttl"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "_t", *order)
+    n = len(keys)
+
+    def run(frames):
+        last, until = None, float("-inf")
+        for frame in frames:
+            hit = []
+            columns = [frame[c].tolist() for c in keys]
+            for *key, t, life in zip(*columns, frame["_t"].tolist(), frame["_ttl"].tolist(), strict=True):
+                if key != last:
+                    last, until = key, float("-inf")
+                hit.append(t < until)
+                if t >= until:
+                    until = t + life
+            yield frame[keys + order].assign(hit=hit)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: n + len(order)])
+    return dealt.mapInPandas(run, fields + ", hit boolean")
+
+
+def replay(df: DataFrame, keys: list[str], ttl: Column, ts: str = "ts", order: list[str] | None = None) -> DataFrame:
+    """(keys, hits, misses) of a read-through cache; accesses of one moment are taken with the shortest life first."""
+    each = replayed(df.withColumn("_life", ttl), keys, F.col("_life"), ["_life"] + (order or []), ts)
+    return each.groupBy(*keys).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+def keyed_values(calls: DataFrame, keys: list[str], op: str, value: Column, own_ttl: Column, order: list[str], ttl: int = TTL, ts: str = "ts") -> DataFrame:
+    """``calls`` (op get, set, delete or contains) with ttl and found: what each call finds under its key.
+
+    The last write before a call counts: a set until its time is over (an own time to live wins over
+    the default, zero writes nothing), a delete for good. A default of zero disables the store."""
+    resolved = F.lit(0) if ttl == 0 else F.coalesce(own_ttl, F.lit(ttl)).cast("int")
+    rows = calls.withColumn("ttl", F.when(F.col(op) == "set", resolved))
+    write = F.when((F.col(op) == "delete") | ((F.col(op) == "set") & (F.col("ttl") > 0)), F.struct(F.col(op).alias("op"), (seconds(ts) + F.coalesce("ttl", F.lit(0))).alias("until"), value.alias("value")))
+    before = Window.partitionBy(*keys).orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_last", F.last(write, ignorenulls=True).over(before))
+    alive = (F.col("_last.op") == "set") & (seconds(ts) < F.col("_last.until"))
+    return rows.withColumn("found", F.when(alive, F.col("_last.value"))).drop("_last")
 
 
 def failure_ttl(status: Column, ttl: int = TTL, short: int = FAILURE_TTL) -> Column:

@@ -85,11 +85,10 @@ def page_best_score(spark, sf):
 _BEST = _CH + ", be AS (SELECT d.doc_id, b.best FROM documents d LEFT JOIN (SELECT doc_id, max(score) AS best FROM bm GROUP BY doc_id) b USING (doc_id)), pr AS (SELECT *, row_number() OVER (ORDER BY best DESC NULLS LAST, doc_id)::INT AS rank FROM be)"
 
 
-@query(_BEST + " SELECT doc_id, best, rank FROM pr WHERE rank <= 100")
+@query(_BEST + " SELECT doc_id, best, rank FROM pr")
 def page_rank(spark, sf):
     d = table(spark, sf, "documents").select("doc_id").join(page_best_score(spark, sf), "doc_id", "left")
-    top = d.orderBy(F.desc_nulls_last("best"), "doc_id").limit(100)
-    return R.final_rank(top, F.desc_nulls_last("best"), F.col("doc_id"))
+    return R.ranked(d, F.desc_nulls_last("best"), F.col("doc_id"))
 
 
 @query(_BEST + " SELECT doc_id, best FROM be WHERE best IS NULL OR best >= 0.05")
@@ -105,10 +104,10 @@ def diversify(spark, sf):
     return r.select("page_id", "h", F.col("spread._round").alias("round"), F.col("spread._first.k1").alias("first_page"))
 
 
-@query(RANKED + " SELECT page_id, r::INT AS rank, CASE WHEN r = 1 THEN 'top' WHEN r <= 3 THEN 'strong' ELSE 'possible' END AS band FROM rk WHERE r <= 20")
+@query(RANKED + " SELECT page_id, r::INT AS rank, CASE WHEN r = 1 THEN 'top match' WHEN r <= 3 THEN 'strong match' ELSE 'possible match' END AS band FROM rk")
 def rank_band(spark, sf):
-    top = pages_scored(spark, sf).select("page_id", "score").orderBy(F.desc("score"), "page_id").limit(20)
-    return R.final_rank(top, F.desc("score"), F.col("page_id")).select("page_id", "rank", T.rank_band(F.col("rank")).alias("band"))
+    top = pages_scored(spark, sf).select("page_id", "score")
+    return R.ranked(top, F.desc("score"), F.col("page_id")).select("page_id", "rank", T.rank_band(F.col("rank")).alias("band"))
 
 
 @query(RANKED + " SELECT page_id, row_number() OVER (ORDER BY score DESC, page_id)::INT AS rank FROM bm ORDER BY rank LIMIT 10")
@@ -274,7 +273,7 @@ def alias_deref(spark, sf):
 @query(
     f"WITH {PAGES}, fl AS (SELECT * FROM pg WHERE NOT (h = 'example.net' OR ends_with(h, '.example.net'))), nn AS (SELECT page_id AS nid, normalized FROM ({S.QUERY_NORMALIZE})), dd AS (SELECT fl.* FROM fl JOIN nn ON nid = page_id QUALIFY row_number() OVER (PARTITION BY normalized ORDER BY page_id) = 1),"
     f" {bm25_cte('dd', 'page_id, h, title', 'content')}, ns AS (SELECT * FROM bm WHERE score >= 0.05), rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, page_id) AS r FROM ns), dv AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY r) AS rnd, min(r) OVER (PARTITION BY h) AS first FROM rk), fr AS (SELECT *, row_number() OVER (ORDER BY rnd, first)::INT AS rank FROM dv)"
-    " SELECT page_id, h AS domain, title, score, rank, CASE WHEN rank = 1 THEN 'top' WHEN rank <= 3 THEN 'strong' ELSE 'possible' END AS band FROM fr WHERE rank <= 10"
+    " SELECT page_id, h AS domain, title, score, rank, CASE WHEN rank = 1 THEN 'top match' WHEN rank <= 3 THEN 'strong match' ELSE 'possible match' END AS band FROM fr WHERE rank <= 10"
 )
 def search_pipeline(spark, sf):
     """Filter, url duplicates, score, noise, rank, spread, the first ten, final rank and band."""

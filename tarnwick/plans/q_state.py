@@ -68,13 +68,6 @@ def status_counts(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.count_if(~bad).alias("succeeded"), F.count_if(bad).alias("failed"), F.count("*").alias("total"))
 
 
-@query("SELECT event_type, CASE event_type WHEN 'error' THEN 'scrape failed: ' || count(*)::VARCHAR || ' pages' WHEN 'signup' THEN 'engine unavailable: ' || count(*)::VARCHAR ELSE event_type || ': ' || count(*)::VARCHAR END AS line FROM events GROUP BY event_type")
-def issue_lines(spark, sf):
-    c = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").cast("string").alias("n"))
-    line = F.when(F.col("event_type") == "error", F.concat(F.lit("scrape failed: "), "n", F.lit(" pages"))).when(F.col("event_type") == "signup", F.concat(F.lit("engine unavailable: "), "n")).otherwise(F.concat_ws(": ", "event_type", "n"))
-    return c.select("event_type", line.alias("line"))
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE length(text) END::BIGINT AS total_chars, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 'sha256:' || sha256(text) END AS content_hash FROM documents")
 def page_envelope(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("content"))
@@ -163,12 +156,12 @@ def map_dedup(spark, sf):
 _CRAWL = f"WITH {Q.PAGES}, {Q.bm25_cte('pg', 'page_id', 'content')}, j AS (SELECT pg.page_id, CASE WHEN {Q.SCRAPED} THEN score END AS score, content FROM pg JOIN bm USING (page_id))"
 
 
-@query(_CRAWL + ", k AS (SELECT page_id, score, row_number() OVER (ORDER BY score IS NULL, score DESC, page_id)::INT AS rank FROM j) SELECT * FROM k WHERE rank <= 50")
+@query(_CRAWL + ", k AS (SELECT page_id, score, row_number() OVER (ORDER BY score IS NULL, score DESC, page_id)::INT AS rank FROM j) SELECT * FROM k")
 def crawl_rank(spark, sf):
     """Pages with scores first, best first, then the others in order."""
     s = Q.pages_scored(spark, sf).select("page_id", F.when(Q.scraped(F.col("content")), F.col("score")).alias("score"))
     order = (F.col("score").isNull(), F.desc("score"), F.col("page_id"))
-    return R.final_rank(s.orderBy(*order).limit(50), *order)
+    return R.ranked(s, *order)
 
 
 @query(_CRAWL + ", k AS (SELECT page_id, score, content, row_number() OVER (ORDER BY score IS NULL, score DESC, page_id)::INT AS rank FROM j) SELECT page_id, rank, score, CASE WHEN score IS NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN score IS NULL THEN 0 ELSE length(content) END::BIGINT AS total_chars FROM k WHERE rank <= 20")
@@ -181,15 +174,23 @@ def crawl_pipeline(spark, sf):
     return R.final_rank(j.orderBy(*order).limit(20), *order)
 
 
-# evaluation: rows are documents by source as query, language as domain, labels as usefulness
+# evaluation: documents of a source are the results of a query, their language is the domain
+
+_RES = """WITH j AS (SELECT DISTINCT source AS id, CASE WHEN source LIKE '%5' THEN [] ELSE ['en', 'de'] END AS expected, source LIKE '%3' AS fresh, CASE WHEN source LIKE '%7' THEN NULL ELSE 2 END::INT AS target FROM documents),
+q AS (SELECT source AS id, lang AS domain, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, n_chars, n_chars >= 1000 AS scraped FROM documents), f AS (SELECT q.*, expected, list_contains(expected, domain) AS hit FROM q JOIN j USING (id) WHERE rank <= 5)"""
 
-_RES = "WITH q AS (SELECT source AS id, lang AS domain, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, coalesce(quality, 0) AS quality, n_chars FROM documents LEFT JOIN labels USING (doc_id)), f AS (SELECT * FROM q WHERE rank <= 5)"
+
+def _judgments(spark, sf):
+    """(id, expected, fresh, target): what is known of each query."""
+    s = table(spark, sf, "documents").select(F.col("source").alias("id")).distinct()
+    none = F.array().cast("array<string>")
+    return s.select("id", F.when(F.endswith("id", F.lit("5")), none).otherwise(F.array(F.lit("en"), F.lit("de"))).alias("expected"), F.endswith("id", F.lit("3")).alias("fresh"), F.when(~F.endswith("id", F.lit("7")), 2).alias("target"))
 
 
 def _results(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("id"), F.col("lang").alias("domain"), "n_chars")
-    d = d.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(0)))
-    return R.top_k(d, "id", 5, F.desc("n_chars"), F.col("doc_id"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("id"), F.col("lang").alias("domain"), "n_chars", (F.col("n_chars") >= 1000).alias("scraped"))
+    top = R.top_k(d, "id", 5, F.desc("n_chars"), F.col("doc_id")).join(_judgments(spark, sf).select("id", "expected"), "id")
+    return top.withColumn("hit", F.exists("expected", lambda e: (F.col("domain") == e) | F.endswith(F.col("domain"), F.concat(F.lit("."), e))))
 
 
 def _concentration(rows, n):
@@ -202,51 +203,72 @@ def domain_concentration(spark, sf):
     return _concentration(_results(spark, sf), 5)
 
 
-@query(_RES + " SELECT id, count(*) FILTER (rank <= 3 AND domain IN ('en', 'de'))::BIGINT AS hits_3, count(*) FILTER (domain IN ('en', 'de'))::BIGINT AS hits_5 FROM f GROUP BY id")
+@query(_RES + " SELECT id, count(*) FILTER (rank <= 3 AND hit)::BIGINT AS hits_3, count(*) FILTER (hit)::BIGINT AS hits_5 FROM f GROUP BY id")
 def eval_domain_hits(spark, sf):
-    hit = F.exists(F.array(F.lit("en"), F.lit("de")), lambda e: (F.col("domain") == e) | F.endswith(F.col("domain"), F.concat(F.lit("."), e)))
-    return _results(spark, sf).groupBy("id").agg(F.count_if(hit & (F.col("rank") <= 3)).alias("hits_3"), F.count_if(hit).alias("hits_5"))
+    return _results(spark, sf).groupBy("id").agg(F.count_if(F.col("hit") & (F.col("rank") <= 3)).alias("hits_3"), F.count_if("hit").alias("hits_5"))
 
 
-_USE = "CASE WHEN {0} >= 2 THEN 2 WHEN {0} = 1 THEN 1 ELSE 0 END::INT"
+_USE = "CASE WHEN count(*) FILTER (rank <= {0}) = 0 THEN 0 WHEN len(any_value(expected)) > 0 THEN least(count(*) FILTER (rank <= {0} AND hit), 2) WHEN count(*) FILTER (rank <= {0} AND scraped) >= least(2, {0}) THEN 2 ELSE least(count(*) FILTER (rank <= {0} AND scraped), 1) END::INT"
 
 
-def _useful(hits):
-    return F.when(hits >= 2, 2).when(hits == 1, 1).otherwise(0)
+def _useful(n):
+    """0 to 2: by expected domains where some are named, else by scraped results with content."""
+    top = F.col("rank") <= n
+    hits, got = F.count_if(top & F.col("hit")), F.count_if(top & F.col("scraped") & (F.col("n_chars") > 0))
+    band = lambda x, full: F.when(x >= full, 2).when(x >= 1, 1).otherwise(0)
+    return F.when(F.count_if(top) == 0, 0).when(F.size(F.first("expected")) > 0, band(hits, 2)).otherwise(band(got, min(2, n)))
 
 
-@query(_RES + f", u AS (SELECT id, count(*) FILTER (rank <= 3 AND quality = 1) AS h3, count(*) FILTER (quality = 1) AS h5 FROM f GROUP BY id) SELECT id, {_USE.format('h3')} AS usefulness_3, {_USE.format('h5')} AS usefulness_5 FROM u")
+@query(_RES + f" SELECT id, {_USE.format(3)} AS usefulness_3, {_USE.format(5)} AS usefulness_5 FROM f GROUP BY id")
 def eval_usefulness(spark, sf):
-    g = F.col("quality") == 1
-    return _results(spark, sf).groupBy("id").agg(_useful(F.count_if(g & (F.col("rank") <= 3))).alias("usefulness_3"), _useful(F.count_if(g)).alias("usefulness_5"))
+    return _results(spark, sf).groupBy("id").agg(_useful(3).alias("usefulness_3"), _useful(5).alias("usefulness_5"))
 
 
-_SUM = _RES + f", c AS (SELECT id, domain, count(*) AS c5, count(*) FILTER (rank <= 3) AS c3 FROM f GROUP BY id, domain), m AS (SELECT id, max(c3)::BIGINT AS concentration_3, max(c5)::BIGINT AS concentration_5 FROM c GROUP BY id), u AS (SELECT id, count(*)::BIGINT AS results, count(*) FILTER (n_chars >= 1000)::BIGINT AS scraped, count(*) FILTER (rank <= 3 AND quality = 1) AS h3, count(*) FILTER (quality = 1) AS h5, round(avg(n_chars), 2) AS latency FROM f GROUP BY id), s AS (SELECT id, results, scraped, latency, concentration_3, concentration_5, {_USE.format('h3')} AS usefulness_3, {_USE.format('h5')} AS usefulness_5, h3 >= 1 AS target_met FROM u JOIN m USING (id))"
+_SUM = (
+    _RES
+    + f""", c AS (SELECT id, domain, count(*) AS c5, count(*) FILTER (rank <= 3) AS c3 FROM f WHERE domain <> '' GROUP BY id, domain), m AS (SELECT id, max(c3)::BIGINT AS concentration_3, max(c5)::BIGINT AS concentration_5 FROM c GROUP BY id),
+u AS (SELECT id, 'query ' || id AS query, count(*)::BIGINT AS results_returned, count(*) FILTER (scraped)::BIGINT AS scraped_results, bool_or(NOT scraped) AS degraded, count(*) FILTER (NOT scraped)::BIGINT AS warnings, sum(n_chars)::BIGINT AS latency_ms, count(*) FILTER (rank <= 3 AND hit)::BIGINT AS hits_3, count(*) FILTER (hit)::BIGINT AS hits_5, {_USE.format(3)} AS usefulness_3, {_USE.format(5)} AS usefulness_5 FROM f GROUP BY id),
+s AS (SELECT u.*, concentration_3, concentration_5, fresh AS freshness_sensitive, target AS target_3, target AS target_5, coalesce(usefulness_3 >= target, false) AS met_3, coalesce(usefulness_5 >= target, false) AS met_5 FROM u JOIN m USING (id) JOIN j USING (id))"""
+)
 
 
 def _summary(spark, sf):
     r = _results(spark, sf)
-    g = F.col("quality") == 1
+    top = F.col("rank") <= 3
     base = r.groupBy("id").agg(
-        F.count("*").alias("results"),
-        F.count_if(F.col("n_chars") >= 1000).alias("scraped"),
-        F.round(F.avg("n_chars"), 2).alias("latency"),
-        _useful(F.count_if(g & (F.col("rank") <= 3))).alias("usefulness_3"),
-        _useful(F.count_if(g)).alias("usefulness_5"),
-        (F.count_if(g & (F.col("rank") <= 3)) >= 1).alias("target_met"),
+        F.count("*").alias("results_returned"),
+        F.count_if("scraped").alias("scraped_results"),
+        F.bool_or(~F.col("scraped")).alias("degraded"),
+        F.count_if(~F.col("scraped")).alias("warnings"),
+        F.sum("n_chars").alias("latency_ms"),
+        F.count_if(top & F.col("hit")).alias("hits_3"),
+        F.count_if("hit").alias("hits_5"),
+        _useful(3).alias("usefulness_3"),
+        _useful(5).alias("usefulness_5"),
     )
-    return base.join(_concentration(r, 3), "id").join(_concentration(r, 5), "id")
+    s = base.join(_concentration(r, 3), "id").join(_concentration(r, 5), "id").join(_judgments(spark, sf).drop("expected"), "id")
+    s = s.withColumns({"query": F.concat(F.lit("query "), "id"), "freshness_sensitive": F.col("fresh"), "target_3": F.col("target"), "target_5": F.col("target")})
+    met = {f"met_{n}": F.coalesce(F.col(f"usefulness_{n}") >= F.col(f"target_{n}"), F.lit(False)) for n in (3, 5)}
+    return s.withColumns(met).drop("fresh", "target")
 
 
 @query(_SUM + " SELECT * FROM s")
 def eval_query_summary(spark, sf):
+    """All measures of each query."""
     return _summary(spark, sf)
 
 
-@query(_SUM + " SELECT count(*)::BIGINT AS queries, round(avg(results), 2) AS results, round(avg(scraped), 2) AS scraped, round(avg(latency), 2) AS latency, round(avg(concentration_3), 2) AS concentration_3, round(avg(concentration_5), 2) AS concentration_5, round(avg(usefulness_3), 2) AS usefulness_3, round(avg(usefulness_5), 2) AS usefulness_5, count(*) FILTER (target_met)::BIGINT AS targets_met FROM s")
+MEANS = ("latency_ms", "results_returned", "scraped_results", "concentration_3", "concentration_5", "hits_3", "hits_5", "usefulness_3", "usefulness_5")
+
+
+@query(
+    _SUM
+    + " SELECT count(*)::BIGINT AS queries, round(avg(latency_ms), 2) AS latency_ms, round(avg(results_returned), 2) AS results_returned, round(avg(scraped_results), 2) AS scraped_results, round(avg(concentration_3), 2) AS concentration_3, round(avg(concentration_5), 2) AS concentration_5, round(avg(hits_3), 2) AS hits_3, round(avg(hits_5), 2) AS hits_5, round(avg(usefulness_3), 2) AS usefulness_3, round(avg(usefulness_5), 2) AS usefulness_5,"
+    " count(*) FILTER (degraded)::BIGINT AS degraded_queries, count(*) FILTER (met_3)::BIGINT AS targets_met_3, count(*) FILTER (met_5)::BIGINT AS targets_met_5, count(*) FILTER (freshness_sensitive)::BIGINT AS freshness_sensitive_queries FROM s"
+)
 def eval_aggregate(spark, sf):
-    means = ("results", "scraped", "latency", "concentration_3", "concentration_5", "usefulness_3", "usefulness_5")
-    return _summary(spark, sf).agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 2).alias(c) for c in means], F.count_if("target_met").alias("targets_met"))
+    counts = {"degraded_queries": "degraded", "targets_met_3": "met_3", "targets_met_5": "met_5", "freshness_sensitive_queries": "freshness_sensitive"}
+    return _summary(spark, sf).agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 2).alias(c) for c in MEANS], *[F.count_if(c).alias(n) for n, c in counts.items()])
 
 
 # rendering

@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return take
 
 
-from tarnwick.plans import q_rank, q_scalar, q_state  # noqa: E402, F401
+from tarnwick.plans import q_params, q_rank, q_render, q_scalar, q_state  # noqa: E402, F401

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from functools import cache
+
 from pyspark.sql import SparkSession
 
 
@@ -26,15 +30,24 @@ def make_session(app: str = "tarnwick", master: str | None = None, shuffle_parti
     return spark
 
 
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tarnwick-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one on a single machine only."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        at = _own_dir()
+    return at.rstrip("/")
+
+
 def checkpointed(df):
     """``df`` cut from its lineage by a reliable checkpoint in the shared folder (``spark.checkpoint.dir``)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            import tempfile
-
-            at = "file://" + tempfile.mkdtemp(prefix="tarnwick-")
-        sc.setCheckpointDir(at)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

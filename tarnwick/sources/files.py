@@ -47,3 +47,22 @@ def sniff(first_bytes: Column) -> Column:
 def retryable(status: Column, error: Column) -> Column:
     """Server errors and transport errors are tried again."""
     return F.coalesce(status >= 500, F.lit(False)) | F.coalesce(error.isin("timeout", "transport"), F.lit(False))
+
+
+def conform(df: DataFrame, schema: str) -> DataFrame:
+    """``df`` in a closed schema: columns cast and in its order, missing ones null, others dropped."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    there = set(df.columns)
+    fields = _parse_datatype_string(schema).fields
+    return df.select(*[(F.col(f.name) if f.name in there else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def unwrap(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with result, a variant: of each answer's envelope the first of ``results``, else ``result``, else itself.
+
+    Answers without JSON, with an empty list, or whose result is no object, have no row."""
+    v = df.withColumn("_v", F.try_parse_json(value)).where("_v is not null")
+    listed = F.schema_of_variant(F.try_variant_get("_v", "$.results", "variant")).startswith("ARRAY")
+    one = F.when(F.coalesce(listed, F.lit(False)), F.try_variant_get("_v", "$.results[0]", "variant")).otherwise(F.coalesce(F.try_variant_get("_v", "$.result", "variant"), F.col("_v")))
+    return v.withColumn("result", one).where(F.schema_of_variant("result").startswith("OBJECT")).drop("_v")
