@@ -83,17 +83,33 @@ def first_wins_sets(df: DataFrame, key: str, words: str, threshold: float) -> Da
     return first_wins(similar_sets(keyed.join(firsts, "id", "left_semi"), "id", "w", threshold)).unionByName(copies)
 
 
-def fuzzy_pairs(df: DataFrame, group: str, key: str, title: str, least: float = 97.0) -> DataFrame:
+def fuzzy_pairs(df: DataFrame, group: str, key: str, title: str, least: float = 97.0, gram: int = 3) -> DataFrame:
     """(a, b, score) of titles of one group whose similarity is at least ``least`` percent.
 
-    Titles are equal or few edits apart, so Levenshtein (never more than insertions plus deletions)
-    is a sound filter before the exact subsequence; it is cut off at that bound."""
-    t = df.where(F.col(title) != "").select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(title).alias("t"))
-    x, y = t.select("g", F.col("k").alias("a"), F.col("t").alias("ta")), t.select("g", F.col("k").alias("b"), F.col("t").alias("tb"))
+    Such titles are equal but for a few insertions and deletions, and each of those changes ``gram``
+    of the title's distinct grams at most. So two of them share one of the first (edits x gram + 1) grams of
+    either, taken from rare to frequent: only titles that share such a gram are compared, once for
+    each spelling. Levenshtein (never more than insertions plus deletions) is cut off at the bound
+    before the exact subsequence."""
     share = 1 - least / 100
+    t = checkpointed(df.where(F.col(title) != "").select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(title).alias("t")))
+    spelled = t.select("g", "t").distinct()
+    padded = F.concat(F.repeat(F.lit("\u0001"), F.lit(gram - 1)), "t")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring(padded, i, F.lit(gram))))
+    each = spelled.select("g", "t", F.explode(grams).alias("w"))
+    freq = each.groupBy("w").agg(F.count("*").alias("f"))
+    ordered = each.join(freq, "w").groupBy("g", "t").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("s"))
+    # edits that the longest fitting partner allows
+    edits = F.floor(F.lit(2 * share / (1 - share)) * F.length("t")).cast("int")
+    prefix = checkpointed(ordered.select("g", "t", F.explode(F.slice("s", F.lit(1), edits * gram + 1)).alias("x")).select("g", "t", "x.w"))
+    x, y = prefix.select("g", "w", F.col("t").alias("ta")), prefix.select("g", "w", F.col("t").alias("tb"))
     longest = F.length("ta") + F.length("tb")
-    near = x.join(y, "g").where((F.col("a") < F.col("b")) & (F.abs(F.length("ta") - F.length("tb")) <= share * longest) & (F.levenshtein("ta", "tb") <= share * longest))
-    return near.select("a", "b", F.round(T.ratio(F.col("ta"), F.col("tb")), 6).alias("score")).where(F.col("score") >= least)
+    near = (F.abs(F.length("ta") - F.length("tb")) <= share * longest) & (F.levenshtein("ta", "tb") <= share * longest)
+    met = x.join(y, ["g", "w"]).where(F.col("ta") < F.col("tb")).select("g", "ta", "tb").distinct().where(near)
+    alike = met.withColumn("score", F.round(T.ratio(F.col("ta"), F.col("tb")), 6)).where(F.col("score") >= least)
+    alike = alike.unionByName(alike.select("g", F.col("tb").alias("ta"), F.col("ta").alias("tb"), "score")).unionByName(spelled.select("g", F.col("t").alias("ta"), F.col("t").alias("tb"), F.lit(100.0).alias("score")))
+    left, right = t.select("g", F.col("k").alias("a"), F.col("t").alias("ta")), t.select("g", F.col("k").alias("b"), F.col("t").alias("tb"))
+    return left.join(alike, ["g", "ta"]).join(right, ["g", "tb"]).where("a < b").select("a", "b", "score")
 
 
 def bands(rows: int = 128, threshold: float = 0.75) -> tuple[int, int]:
@@ -108,11 +124,13 @@ def bands(rows: int = 128, threshold: float = 0.75) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def minhash(df: DataFrame, key: str, words: Column, permutations: int = 16) -> DataFrame:
-    """(key, s): minima of linear hashes of md5 word values, summed map-side in generated code.
+def minhash(df: DataFrame, key: str, words: Column, permutations: int = 128) -> DataFrame:
+    """(key, s): minima of linear hashes of md5 word values, row by row; a row without words has nulls.
 
-    A word is hashed once for all permutations; a row without words has nulls."""
+    A word is hashed once for all permutations, and nothing is shuffled."""
     prime = 4294967291
-    each = df.select(key, F.explode_outer(words).alias("w")).select(key, F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long").alias("h"))
-    least = [F.min(F.pmod(F.col("h") * (2 * i + 1) + 7919 * i + 13, F.lit(prime))) for i in range(permutations)]
-    return each.groupBy(key).agg(F.array(*least).alias("s"))
+    hashed = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long"))
+    least = lambda h, i: F.array_min(F.transform(h, lambda x: F.pmod(x * (i * 2 + 1) + i * 7919 + 13, F.lit(prime))))
+    # the hashes are bound to a variable, so that they are not worked out anew at each permutation
+    return df.select(key, F.get(F.transform(F.array(hashed), lambda h: F.transform(places, lambda i: least(h, i))), F.lit(0)).alias("s"))

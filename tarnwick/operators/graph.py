@@ -11,7 +11,9 @@ from tarnwick.session import checkpointed
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, depth, parent) reachable from ``seeds`` (node) in at most ``depth`` steps along (src, dst).
 
-    One frontier join and one anti-join a level; the parent is the smallest that reaches a node first."""
+    One frontier join and one anti-join a level; the parent is the smallest that reaches a node first. The edges
+    are stored once, not made anew at each level."""
+    edges = checkpointed(edges.select("src", "dst"))
     seen = frontier = checkpointed(seeds.select("node", F.lit(0).alias("depth"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent")).distinct())
     for level in range(1, depth + 1):
         step = edges.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))

@@ -15,16 +15,18 @@ NOISE = 0.05
 def bm25(docs: DataFrame, terms: list[str], text: str = "text", decimals: int = 6) -> DataFrame:
     """``docs`` with score in [0, 1): BM25 over whole texts, squashed by s / (1 + s).
 
-    Two scans: corpus statistics (one row) and scores; no token is exploded or shuffled."""
-    counted = docs.withColumn("_w", T.words(F.col(text)))
-    tf = [F.size(F.filter("_w", _is(t))) for t in terms]
-    stats = counted.agg(F.count("*").alias("_n"), F.avg(F.size("_w")).alias("_avg"), *[F.count_if(x > 0).alias(f"_df{i}") for i, x in enumerate(tf)])
+    Texts are parted into words once: the rows are stored with their term counts, from which the
+    corpus statistics (one row) and the scores are taken. No token is exploded or shuffled."""
+    words = docs.withColumn("_w", T.words(F.col(text)))
+    tf = [f"_t{i}" for i in range(len(terms))]
+    counted = checkpointed(words.withColumns({n: F.size(F.filter("_w", _is(t))) for n, t in zip(tf, terms, strict=True)}).withColumn("_len", F.size("_w")).drop("_w"))
+    stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(n) > 0).alias(f"_d{n}") for n in tf])
     joined = counted.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
-    for i, x in enumerate(tf):
-        idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
-        score = score + idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.size("_w") / F.col("_avg")))
-    return joined.withColumn("score", F.round(score / (1 + score), decimals)).drop("_w", "_n", "_avg", *[f"_df{i}" for i in range(len(terms))])
+    for n in tf:
+        idf = F.log(1 + (F.col("_n") - F.col(f"_d{n}") + 0.5) / (F.col(f"_d{n}") + 0.5))
+        score = score + idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
+    return joined.withColumn("score", F.round(score / (1 + score), decimals)).drop("_len", "_n", "_avg", *tf, *[f"_d{n}" for n in tf])
 
 
 def _is(term: str):

@@ -10,7 +10,8 @@ from tarnwick.functions import urls as U
 from tarnwick.operators import dedup as D
 from tarnwick.operators import rank as R
 from tarnwick.plans import q_scalar as S
-from tarnwick.plans.registry import query, table
+from tarnwick.plans.registry import ORACLE, query, table
+from tarnwick.session import checkpointed
 
 TERMS = ["the", "of", "rend", "and"]
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
@@ -212,7 +213,7 @@ def title_dedup(spark, sf):
 @query(
     "WITH d AS (SELECT doc_id, list_transform(list_distinct("
     + WORDS.format("text")
-    + "), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT) AS h FROM documents), k AS (SELECT unnest(range(0, 16)) AS i) SELECT doc_id, i::INT AS i, list_min(list_transform(h, lambda x: (x * (2 * i + 1) + 7919 * i + 13) % 4294967291))::BIGINT AS m FROM d, k"
+    + "), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT) AS h FROM documents), k AS (SELECT unnest(range(0, 128)) AS i) SELECT doc_id, i::INT AS i, list_min(list_transform(h, lambda x: (x * (2 * i + 1) + 7919 * i + 13) % 4294967291))::BIGINT AS m FROM d, k"
 )
 def minhash_signature(spark, sf):
     d = D.minhash(table(spark, sf, "documents"), "doc_id", T.word_set(F.col("text")))
@@ -270,29 +271,82 @@ def alias_deref(spark, sf):
 # composites
 
 
-@query(
-    f"WITH {PAGES}, fl AS (SELECT * FROM pg WHERE NOT (h = 'example.net' OR ends_with(h, '.example.net'))), nn AS (SELECT page_id AS nid, normalized FROM ({S.QUERY_NORMALIZE})), dd AS (SELECT fl.* FROM fl JOIN nn ON nid = page_id QUALIFY row_number() OVER (PARTITION BY normalized ORDER BY page_id) = 1),"
-    f" {bm25_cte('dd', 'page_id, h, title', 'content')}, ns AS (SELECT * FROM bm WHERE score >= 0.05), rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, page_id) AS r FROM ns), dv AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY r) AS rnd, min(r) OVER (PARTITION BY h) AS first FROM rk), fr AS (SELECT *, row_number() OVER (ORDER BY rnd, first)::INT AS rank FROM dv)"
-    " SELECT page_id, h AS domain, title, score, rank, CASE WHEN rank = 1 THEN 'top match' WHEN rank <= 3 THEN 'strong match' ELSE 'possible match' END AS band FROM fr WHERE rank <= 10"
-)
+def _near_sql(source: str) -> str:
+    """Ids of ``source`` (id, w) that a first-wins pass over word sets drops."""
+    return f"""(WITH RECURSIVE d AS (SELECT id, w FROM {source} WHERE len(w) > 0), e AS (SELECT id, len(w) AS n, unnest(w) AS t FROM d),
+pr AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id, x.n, y.n HAVING count(*) >= 0.75 * (x.n + y.n - count(*))),
+sq AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM d WHERE id IN (SELECT a FROM pr UNION SELECT b FROM pr)), nb AS (SELECT sq.k, sq.id, list(pr.a) FILTER (pr.a IS NOT NULL) AS prev FROM sq LEFT JOIN pr ON pr.b = sq.id GROUP BY sq.k, sq.id),
+gr AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept, []::BIGINT[] AS gone UNION ALL SELECT gr.k + 1, CASE WHEN list_has_any(coalesce(nb.prev, []), gr.kept) THEN gr.kept ELSE list_append(gr.kept, nb.id) END, CASE WHEN list_has_any(coalesce(nb.prev, []), gr.kept) THEN list_append(gr.gone, nb.id) ELSE gr.gone END FROM gr JOIN nb ON nb.k = gr.k + 1)
+SELECT unnest(gone) AS id FROM gr WHERE k = (SELECT coalesce(max(k), 0) FROM sq))"""
+
+
+_SENTENCES = "list_filter(list_transform(string_split(content, '. '), lambda x: trim(x)), lambda x: x <> '')"
+_SEARCH = f"""WITH RECURSIVE {PAGES}, nn AS (SELECT page_id, normalized FROM ({S.QUERY_NORMALIZE})), keep AS (SELECT page_id FROM ({ORACLE["title_dedup"]}) AS t),
+fl AS (SELECT pg.* FROM pg JOIN keep USING (page_id) WHERE NOT (h = 'example.net' OR ends_with(h, '.example.net'))),
+en AS (SELECT page_id, url, h, title, {SCRAPED} AS scraped, CASE WHEN {SCRAPED} THEN left(content, 8000) ELSE left(title, 200) END AS content FROM fl),
+ch AS (SELECT page_id, unnest(range(0, len(l)))::BIGINT AS chunk_id, unnest(l) AS chunk FROM (SELECT page_id, {_SENTENCES} AS l FROM en)),
+cw AS (SELECT page_id * 1000000 + chunk_id AS id, page_id, chunk_id, chunk, list_distinct({WORDS.format("chunk")}) AS w FROM ch),
+kc AS (SELECT page_id, chunk_id, chunk FROM cw WHERE len(w) > 0 AND id NOT IN {_near_sql("cw")}),
+{bm25_cte("kc", "page_id, chunk_id, chunk", "chunk")}, tk AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, chunk_id) AS r FROM bm),
+be AS (SELECT page_id, max(score) AS best, string_agg(chunk, E'\n\n[…]\n\n' ORDER BY r) AS content FROM tk WHERE r <= 3 GROUP BY page_id),
+rk AS (SELECT en.page_id, url, h, title, scraped, best, coalesce(be.content, en.content) AS content, row_number() OVER (ORDER BY best DESC NULLS LAST, en.page_id) AS r FROM en LEFT JOIN be USING (page_id) WHERE best IS NULL OR best >= 0.05),
+dv AS (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(h, ''), url) ORDER BY r) AS rnd, min(r) OVER (PARTITION BY coalesce(nullif(h, ''), url)) AS first FROM rk),
+fr AS (SELECT *, row_number() OVER (ORDER BY rnd, first)::INT AS rank FROM dv)
+SELECT page_id, h AS domain, title, best AS score, scraped, content, rank, CASE WHEN rank = 1 THEN 'top match' WHEN rank <= 3 THEN 'strong match' ELSE 'possible match' END AS band,
+ EXISTS (SELECT 1 FROM nn x JOIN nn y ON x.normalized = y.normalized WHERE x.page_id = fr.page_id AND y.page_id % 3 = 0) AS previously_seen FROM fr WHERE rank <= 10"""
+
+
+@query(_SEARCH)
 def search_pipeline(spark, sf):
-    """Filter, url duplicates, score, noise, rank, spread, the first ten, final rank and band."""
+    """The whole search: domain filter, url and title duplicates, page texts or snippets, chunks, near-copies of chunks,
+    scores, the best chunks of a page, noise, order, spread over domains, the first ten, their rank and whether seen before."""
     pages = table(spark, sf, "pages")
-    p = pages.select("page_id", "url", U.domain(F.col("url")).alias("h"), T.html_title(F.col("html")).alias("title"), T.strip_tags(F.col("html")).alias("content"))
-    kept = D.first_of(p.where(~U.matches(F.col("h"), "example.net")), U.normalize(F.col("url")), "page_id")
-    scored = R.bm25(kept, TERMS, "content").where(F.col("score") >= R.NOISE)
-    spread = R.diversify(scored, "h", 10, -F.col("score"), F.col("page_id")).orderBy("spread").limit(10)
-    return R.final_rank(spread, F.col("spread")).select("page_id", F.col("h").alias("domain"), "title", "score", "rank", T.rank_band(F.col("rank")).alias("band"))
-
-
-_EX = f"WITH b AS (SELECT doc_id, text, doc_id % 4 AS kind, {S._B} AS bl FROM documents)"
-
-
-@query(_EX + " SELECT doc_id, CASE kind WHEN 0 THEN 'handoff' WHEN 1 THEN CASE WHEN length(text) < 400 THEN 'error' ELSE 'ok' END ELSE 'ok' END AS status, CASE kind WHEN 0 THEN 'document' WHEN 2 THEN 'selected' ELSE 'document' END AS chunk_mode, len(bl)::INT AS total_chunks, CASE WHEN kind = 0 THEN '' WHEN kind = 2 THEN array_to_string(list_filter([bl[1], bl[3]], lambda x: x IS NOT NULL), '\n\n[…]\n\n') ELSE array_to_string(list_slice(bl, 1, 3), '\n\n[…]\n\n') END AS content FROM b")
+    p = pages.select("page_id", "url", U.domain(F.col("url")).alias("h"), T.html_title(F.col("html")).alias("title"), T.strip_tags(F.col("html")).alias("body"))
+    kept = p.where(~U.matches(F.col("h"), "example.net")).join(title_dedup(spark, sf), "page_id", "left_semi")
+    got = scraped(F.col("body"))
+    entries = checkpointed(kept.select("page_id", "url", "h", "title", got.alias("scraped"), F.when(got, F.left("body", F.lit(8000))).otherwise(F.left("title", F.lit(200))).alias("content")))
+    chunks = entries.select("page_id", F.posexplode(T.blocks(F.col("content"), r"\. ")).alias("chunk_id", "chunk"))
+    chunks = chunks.withColumn("id", F.col("page_id") * 1000000 + F.col("chunk_id")).withColumn("w", T.word_set(F.col("chunk"))).where(F.size("w") > 0)
+    gone = D.first_wins_sets(chunks, "id", "w", 0.75).select(F.col("id").alias("gone"))
+    chunks = chunks.join(gone, F.col("id") == F.col("gone"), "left_anti").select("page_id", "chunk_id", "chunk")
+    top = R.top_k(R.bm25(chunks, TERMS, "chunk"), "page_id", 3, F.desc("score"), F.col("chunk_id"))
+    best = top.groupBy("page_id").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(F.struct("rank", "chunk"))).alias("c"))
+    best = best.select("page_id", "score", F.array_join(F.transform("c", lambda x: x["chunk"]), T.GAP).alias("top"))
+    found = entries.join(best, "page_id", "left").where(F.col("score").isNull() | (F.col("score") >= R.NOISE))
+    found = found.withColumn("content", F.coalesce("top", "content")).withColumn("k", F.coalesce(F.nullif("h", F.lit("")), "url"))
+    # rows without a score come last
+    spread = R.diversify(found, "k", 10, F.coalesce(-F.col("score"), F.lit(1.0)), F.col("page_id")).orderBy("spread").limit(10)
+    ranked = R.final_rank(spread, F.col("spread"))
+    state = pages.where("page_id % 3 = 0").select(U.normalize(F.col("url")).alias("n")).distinct().withColumn("previously_seen", F.lit(True))
+    out = ranked.withColumn("n", U.normalize(F.col("url"))).join(state, "n", "left")
+    return out.select("page_id", F.col("h").alias("domain"), "title", "score", "scraped", "content", "rank", T.rank_band(F.col("rank")).alias("band"), F.coalesce("previously_seen", F.lit(False)).alias("previously_seen"))
+
+
+_FILES = f"""WITH {PAGES}, ty AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' ELSE CASE WHEN contains(url, '.html') THEN 'html' WHEN page_id % 5 = 2 THEN 'text' ELSE 'unknown' END END AS file_type FROM pages),
+ex AS (SELECT page_id, file_type, CASE WHEN file_type IN ('pdf', 'unknown') THEN 'handoff' WHEN {S._WC.format("content")} < 20 THEN 'error' ELSE 'ok' END AS status, content FROM pg JOIN ty USING (page_id)),
+ch AS (SELECT page_id, unnest(range(0, len(l)))::INT AS chunk_id, unnest(l) AS chunk FROM (SELECT page_id, {_SENTENCES} AS l FROM ex WHERE status = 'ok')),
+{bm25_cte("ch", "page_id, chunk_id, chunk", "chunk")}, tk AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, chunk_id) AS r, count(*) OVER (PARTITION BY page_id) AS total FROM bm),
+md AS (SELECT *, CASE page_id % 3 WHEN 0 THEN 'selected' WHEN 1 THEN 'relevant' ELSE 'document' END AS mode, CASE page_id % 3 WHEN 1 THEN r ELSE chunk_id END AS o FROM tk),
+sh AS (SELECT page_id, mode, max(total)::INT AS total_chunks, string_agg(chunk, E'\n\n[…]\n\n' ORDER BY o) AS content, string_agg(chunk_id::VARCHAR, ',' ORDER BY o) AS shown FROM md WHERE CASE mode WHEN 'selected' THEN chunk_id IN (0, 2) WHEN 'relevant' THEN r <= 3 ELSE chunk_id < 3 END GROUP BY page_id, mode)
+SELECT ex.page_id, file_type, status, mode, coalesce(total_chunks, 0)::INT AS total_chunks, coalesce(shown, '') AS shown_chunk_ids, coalesce(sh.content, '') AS content, CASE WHEN status = 'ok' THEN length(ex.content) ELSE 0 END::INT AS total_chars, CASE WHEN status = 'ok' THEN 'sha256:' || sha256(ex.content) END AS content_hash FROM ex LEFT JOIN sh USING (page_id)"""
+
+
+@query(_FILES)
 def extract_pipeline(spark, sf):
-    """Per document: hand-off, error or content; selected chunks or the head, joined with gap marks."""
-    d = table(spark, sf, "documents").withColumn("kind", F.col("doc_id") % 4).withColumn("bl", T.blocks(F.col("text"), "\n"))
-    status = F.when(F.col("kind") == 0, "handoff").when((F.col("kind") == 1) & (F.length("text") < 400), "error").otherwise("ok")
-    chosen = F.filter(F.array(F.get("bl", F.lit(0)), F.get("bl", F.lit(2))), lambda x: x.isNotNull())
-    content = F.when(F.col("kind") == 0, "").when(F.col("kind") == 2, F.array_join(chosen, T.GAP)).otherwise(F.array_join(F.slice("bl", 1, 3), T.GAP))
-    return d.select("doc_id", status.alias("status"), F.when(F.col("kind") == 2, "selected").otherwise("document").alias("chunk_mode"), F.size("bl").alias("total_chunks"), content.alias("content"))
+    """Per page: its file type, hand-off, error or text; the chunks asked for by id, the most relevant ones, or the head."""
+    none = F.lit(None).cast("string")
+    p = table(spark, sf, "pages").select("page_id", U.detected(F.col("url"), S._content_type(), F.lit(None).cast("binary"), F.lit(200)).alias("file_type"), T.strip_tags(F.col("html")).alias("body"))
+    status = F.when(F.col("file_type").isin("pdf", "docx", "xlsx", "pptx", "unknown"), "handoff").when(T.word_count(F.col("body")) < 20, "error").otherwise("ok")
+    docs = p.withColumn("status", status)
+    good = F.when(F.col("status") == "ok", F.col("body"))
+    chunks = docs.where("status = 'ok'").select("page_id", F.posexplode(T.blocks(F.col("body"), r"\. ")).alias("chunk_id", "chunk"))
+    mode = F.when(F.col("page_id") % 3 == 0, "selected").when(F.col("page_id") % 3 == 1, "relevant").otherwise("document")
+    by = Window.partitionBy("page_id")  # the chunks of one page
+    scored = R.bm25(chunks, TERMS, "chunk").withColumns({"r": F.row_number().over(by.orderBy(F.desc("score"), "chunk_id")), "total": F.count("*").over(by), "mode": mode})
+    shown = scored.where(F.when(F.col("mode") == "selected", F.col("chunk_id").isin(0, 2)).when(F.col("mode") == "relevant", F.col("r") <= 3).otherwise(F.col("chunk_id") < 3))
+    shown = shown.withColumn("o", F.when(F.col("mode") == "relevant", F.col("r")).otherwise(F.col("chunk_id")))
+    shown = shown.groupBy("page_id", "mode").agg(F.max("total").cast("int").alias("total_chunks"), F.array_sort(F.collect_list(F.struct("o", "chunk_id", "chunk"))).alias("c"))
+    shown = shown.select("page_id", "mode", "total_chunks", F.array_join(F.transform("c", lambda x: x["chunk"]), T.GAP).alias("content"), F.array_join(F.transform("c", lambda x: x["chunk_id"].cast("string")), ",").alias("shown"))
+    out = docs.join(shown, "page_id", "left")
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return out.select("page_id", "file_type", "status", F.coalesce("mode", none).alias("mode"), F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), empty(F.col("shown")).alias("shown_chunk_ids"), empty(F.col("content")).alias("content"), F.coalesce(F.length(good), F.lit(0)).alias("total_chars"), T.content_hash(good).alias("content_hash"))

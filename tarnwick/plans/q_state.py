@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tarnwick.functions import text as T
 from tarnwick.functions import urls as U
 from tarnwick.operators import dedup as D
 from tarnwick.operators import graph as G
@@ -13,6 +14,7 @@ from tarnwick.operators import state as K
 from tarnwick.plans import q_rank as Q
 from tarnwick.plans import q_scalar as S
 from tarnwick.plans.registry import query, table
+from tarnwick.session import checkpointed
 
 
 @query("SELECT page_id, url FROM pages ORDER BY page_id LIMIT 10")
@@ -29,14 +31,15 @@ def scrape_budget(spark, sf):
 
 @query(
     f"""WITH p AS (SELECT page_id, {S.HOST} AS h FROM pages), one AS (SELECT * FROM (SELECT * FROM p ORDER BY page_id LIMIT 10) WHERE ends_with(h, 'example.org')),
-two AS (SELECT * FROM p WHERE page_id BETWEEN 10 AND 19 AND ends_with(h, 'example.org') AND (SELECT count(*) FROM one) BETWEEN 1 AND 9) SELECT page_id, h FROM (SELECT * FROM one UNION ALL SELECT * FROM two) ORDER BY page_id LIMIT 10"""
+two AS (SELECT * FROM (SELECT * FROM p ORDER BY page_id LIMIT 10 OFFSET 10) WHERE ends_with(h, 'example.org') AND (SELECT count(*) FROM one) BETWEEN 1 AND 9) SELECT page_id, h FROM (SELECT * FROM one UNION ALL SELECT * FROM two) ORDER BY page_id LIMIT 10"""
 )
 def page2_union(spark, sf):
     """The second page of results joins only if the first gave some rows, but too few."""
     p = table(spark, sf, "pages").select("page_id", U.domain(F.col("url")).alias("h"))
     one = p.orderBy("page_id").limit(10).where(F.endswith("h", F.lit("example.org")))
     gate = one.agg(F.count("*").alias("n")).where("n between 1 and 9")  # one row or none
-    two = p.where("page_id between 10 and 19").where(F.endswith("h", F.lit("example.org"))).crossJoin(F.broadcast(gate)).drop("n")
+    second = R.final_rank(p.orderBy("page_id").limit(20), F.col("page_id")).where("rank > 10").drop("rank")
+    two = second.where(F.endswith("h", F.lit("example.org"))).crossJoin(F.broadcast(gate)).drop("n")
     return one.unionByName(two).orderBy("page_id").limit(10)
 
 
@@ -128,6 +131,21 @@ def bfs_depth(spark, sf):
     return G.bfs(edges, spark.createDataFrame([("o1",)], "node string"), 4).select("node", "depth")
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS n, s_suppkey AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 10 = 0), g AS (SELECT 'n' || n AS src, 's' || s AS dst FROM e UNION SELECT 's' || s, 'r' || n_regionkey FROM e JOIN nation ON n = n_nationkey UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation),
+b AS (SELECT 'r1' AS node, 0 AS depth UNION SELECT g.dst, b.depth + 1 FROM b JOIN g ON g.src = b.node WHERE b.depth < 3), d AS (SELECT node, min(depth) AS depth FROM b GROUP BY node)
+SELECT d.node, d.depth::INT AS depth, min(p.node) AS parent FROM d LEFT JOIN (SELECT g.dst, d.node, d.depth FROM g JOIN d ON d.node = g.src) p ON p.dst = d.node AND p.depth = d.depth - 1 GROUP BY d.node, d.depth"""
+)
+def bfs_parent(spark, sf):
+    """Nodes with the least of the parents that reach them first."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nation = table(spark, sf, "nation")
+    c = table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_nationkey").alias("k")).distinct()
+    e = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k")).join(c, "k").join(nation.select(F.col("n_nationkey").alias("k"), "n_regionkey"), "k")
+    edges = e.select(name("n", "k").alias("src"), name("s", "s_suppkey").alias("dst")).union(e.select(name("s", "s_suppkey"), name("r", "n_regionkey"))).union(nation.select(name("r", "n_regionkey"), name("n", "n_nationkey"))).distinct()
+    return G.bfs(edges, spark.createDataFrame([("r1",)], "node string"), 3).select("node", "depth", "parent")
+
+
 _TREE = f"WITH {S.LINKS}, t AS (SELECT page_id, url, target, min(pos) AS pos, arg_min(label, pos) AS label FROM r WHERE regexp_matches(target, '^https?://[^/?#]+') GROUP BY page_id, url, target), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) + 1 AS rank FROM t)"
 
 
@@ -164,14 +182,55 @@ def crawl_rank(spark, sf):
     return R.ranked(s, *order)
 
 
-@query(_CRAWL + ", k AS (SELECT page_id, score, content, row_number() OVER (ORDER BY score IS NULL, score DESC, page_id)::INT AS rank FROM j) SELECT page_id, rank, score, CASE WHEN score IS NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN score IS NULL THEN 0 ELSE length(content) END::BIGINT AS total_chars FROM k WHERE rank <= 20")
+_SITE = f"""{S.LINKS}, nn AS (SELECT page_id, normalized FROM ({S.QUERY_NORMALIZE})),
+tn AS (SELECT DISTINCT target FROM r WHERE regexp_matches(target, '^https?://[^/?#]+')), pages2 AS (SELECT row_number() OVER (ORDER BY target) AS page_id, target AS url FROM tn),
+t2 AS (SELECT url AS target, normalized AS tn FROM ({S.QUERY_NORMALIZE.replace("FROM pages)", "FROM pages2)", 1)}) x JOIN pages2 USING (page_id)),
+ed AS (SELECT nn.normalized AS sn, r.page_id AS sid, r.url AS surl, r.pos, r.target, t2.tn, nullif(trim(r.label), '') AS label FROM r JOIN t2 USING (target) JOIN nn ON nn.page_id = r.page_id),
+hs AS (SELECT target, {S.HOST.replace("url", "target")} AS h FROM t2 UNION SELECT url, {S.HOST} FROM pages), dom AS (SELECT target, {S.REG} AS d FROM hs),
+one AS (SELECT sid AS seed, 1 AS depth, pos AS p1, 0 AS p2, ed.target, tn, surl AS parent FROM ed JOIN dom a ON a.target = ed.target JOIN dom b ON b.target = surl WHERE a.d = b.d),
+ar AS (SELECT sn, arg_min(sid, sid) AS sid FROM ed GROUP BY sn),
+two AS (SELECT one.seed, 2 AS depth, one.p1, ed.pos AS p2, ed.target, ed.tn, one.target AS parent FROM (SELECT seed, tn, min(p1) AS p1, arg_min(target, p1) AS target FROM one GROUP BY seed, tn) one JOIN ar ON ar.sn = one.tn JOIN ed ON ed.sid = ar.sid JOIN dom a ON a.target = ed.target JOIN pages sp ON sp.page_id = one.seed JOIN dom b ON b.target = sp.url WHERE a.d = b.d),
+al AS (SELECT page_id AS seed, 0 AS depth, 0 AS p1, 0 AS p2, url AS target, normalized AS tn, NULL AS parent FROM pages JOIN nn USING (page_id) UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two),
+fi AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY seed, tn ORDER BY depth, p1, p2) = 1),
+tr AS (SELECT seed, target, tn, depth::INT AS depth, parent AS discovered_from, row_number() OVER (PARTITION BY seed ORDER BY depth, p1, p2)::INT AS rank FROM fi QUALIFY rank <= 6)"""
+
+
+def site_tree(spark, sf, budget: int = 6):
+    """(seed, target, n, rank, depth, discovered_from): breadth-first link trees of two steps from every page,
+    held to the seed's registrable domain, one row for each normalised url, ``budget`` rows with the root."""
+    p = table(spark, sf, "pages")
+    links = S.page_edges(p).withColumn("target", U.resolve(F.col("url"), F.col("href"))).where("target is not null")
+    reg = lambda c: U.registrable_domain(U.domain(F.col(c)))
+    edges = checkpointed(links.select("page_id", "url", "pos", "target", U.normalize(F.col("target")).alias("n"), reg("target").alias("d")))
+    roots = p.select(F.col("page_id").alias("seed"), "url", U.normalize(F.col("url")).alias("n"), reg("url").alias("home"))
+    node = ("seed", "home", "depth", "p1", "p2", "target", "n", "discovered_from")
+    zero = roots.select("seed", "home", F.lit(0).alias("depth"), F.lit(0).alias("p1"), F.lit(0).alias("p2"), F.col("url").alias("target"), "n", F.lit(None).cast("string").alias("discovered_from"))
+    one = edges.join(roots.select(F.col("seed").alias("page_id"), "seed", "home"), "page_id").where("d = home").select("seed", "home", F.lit(1).alias("depth"), F.col("pos").alias("p1"), F.lit(0).alias("p2"), "target", "n", F.col("url").alias("discovered_from"))
+    # a found url is followed where its page is there: of pages with one spelling the first with links
+    first = one.groupBy("seed", "home", "n").agg(F.min(F.struct("p1", "target")).alias("x")).select("seed", "home", F.col("n").alias("sn"), "x.p1", F.col("x.target").alias("parent"))
+    there = edges.select("page_id").distinct().join(roots.select(F.col("seed").alias("page_id"), F.col("n").alias("sn")), "page_id").groupBy("sn").agg(F.min("page_id").alias("page_id"))
+    two = first.join(there, "sn").join(edges, "page_id").where("d = home").select("seed", "home", F.lit(2).alias("depth"), "p1", F.col("pos").alias("p2"), "target", "n", F.col("parent").alias("discovered_from"))
+    nodes = zero.select(*node).unionByName(one.select(*node)).unionByName(two.select(*node))
+    once = nodes.withColumn("k", F.row_number().over(Window.partitionBy("seed", "n").orderBy("depth", "p1", "p2"))).where("k = 1")
+    return R.top_k(once, "seed", budget, F.col("depth"), F.col("p1"), F.col("p2")).select("seed", "target", "n", "rank", "depth", "discovered_from")
+
+
+@query(f"WITH {_SITE} SELECT seed, target, rank, depth, discovered_from FROM tr")
+def site_map(spark, sf):
+    return site_tree(spark, sf).drop("n")
+
+
+@query(
+    f"WITH {Q.PAGES}, {Q.bm25_cte('pg', 'page_id, content', 'content')}, {_SITE}, ex AS (SELECT nn.normalized AS n, min(page_id) AS page_id FROM nn GROUP BY nn.normalized), dc AS (SELECT ex.n, score, content FROM ex JOIN bm USING (page_id) WHERE {Q.SCRAPED}),"
+    " j AS (SELECT seed, target, depth, tr.rank AS found, score, content FROM tr LEFT JOIN dc ON dc.n = tr.tn) SELECT seed, target, depth, score, CASE WHEN content IS NULL THEN 'error' ELSE 'ok' END AS status, coalesce(length(content), 0)::INT AS total_chars, row_number() OVER (PARTITION BY seed ORDER BY score IS NULL, score DESC, found)::INT AS rank FROM j"
+)
 def crawl_pipeline(spark, sf):
-    """The page list left joined with what could be extracted, ordered by relevance and ranked."""
-    pages = table(spark, sf, "pages").select("page_id")
-    docs = Q.pages_scored(spark, sf).where(Q.scraped(F.col("content"))).select("page_id", "score", F.length("content").cast("long").alias("total_chars"))
-    j = pages.join(docs, "page_id", "left").select("page_id", "score", F.when(F.col("total_chars").isNull(), "error").otherwise("ok").alias("status"), F.coalesce("total_chars", F.lit(0)).alias("total_chars"))
-    order = (F.col("score").isNull(), F.desc("score"), F.col("page_id"))
-    return R.final_rank(j.orderBy(*order).limit(20), *order)
+    """Each seed's tree, its urls joined with what was extracted from them, the relevant ones first."""
+    tree = site_tree(spark, sf).withColumnRenamed("rank", "found")
+    pages = Q.pages_scored(spark, sf).withColumn("n", U.normalize(F.col("url")))
+    docs = D.first_of(pages, F.col("n"), "page_id").where(Q.scraped(F.col("content"))).select("n", "score", F.length("content").alias("total_chars"))
+    j = tree.join(docs, "n", "left").select("seed", "target", "depth", "found", "score", F.when(F.col("total_chars").isNull(), "error").otherwise("ok").alias("status"), F.coalesce("total_chars", F.lit(0)).alias("total_chars"))
+    return R.top_k(j, "seed", 6, F.col("score").isNull(), F.desc("score"), F.col("found")).drop("found")
 
 
 # evaluation: documents of a source are the results of a query, their language is the domain
@@ -274,18 +333,13 @@ def eval_aggregate(spark, sf):
 # rendering
 
 
-@query()
-def tree_render(spark, sf):
-    """The link tree of each seed as indented markdown lines."""
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- ["), F.coalesce("label", "target"), F.lit("]("), "target", F.lit(")"))
-    g = _tree(spark, sf).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))).alias("ls"))
-    return g.select("page_id", F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("tree"))
-
-
-@query()
+@query(
+    f"WITH s AS ({Q._SEARCH}), u AS (SELECT s.*, p.url FROM s JOIN pages p USING (page_id)) SELECT E'query: x\nresults: ' || count(*)::VARCHAR || E'\n\nissues:\n- no results found\n\n---\n\n' || string_agg('## ' || rank::VARCHAR || '. [' || coalesce(title, 'Untitled') || '](' || url || E')\n\n_' || CASE WHEN domain <> '' THEN domain || ' | ' ELSE '' END || band || CASE WHEN NOT scraped AND content <> '' THEN ' | snippet only' ELSE '' END || '_' || CASE WHEN content <> '' THEN E'\n\n' || content ELSE '' END, E'\n\n---\n\n' ORDER BY rank) AS markdown FROM u"
+)
 def render_search(spark, sf):
-    """A search result as one markdown text (at most ten rows by then)."""
-    r = Q.search_pipeline(spark, sf)
-    part = F.concat(F.lit("## "), F.col("rank").cast("string"), F.lit(". "), F.coalesce("title", F.lit("untitled")), F.lit("\nsource: "), "domain", F.lit(" | match: "), "band", F.lit(" | score: "), F.format_number("score", 4))
+    """A search's answer as one markdown text (ten results at most): header, issues, sections."""
+    r = Q.search_pipeline(spark, sf).join(table(spark, sf, "pages").select("page_id", "url"), "page_id")
+    part = T.search_section(F.col("title"), F.col("url"), F.col("rank"), F.col("domain"), F.lit(None).cast("string"), F.col("scraped"), F.col("content"))
     g = r.agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))).alias("ps"), F.count("*").alias("n"))
-    return g.select(F.concat(F.lit("results: "), F.col("n").cast("string"), F.lit("\n\n"), F.array_join(F.transform("ps", lambda x: x["p"]), "\n\n---\n\n")).alias("markdown"))
+    head = F.concat_ws("\n\n", T.kv_block(("query", F.lit("x")), ("results", F.col("n").cast("string"))), T.issues_block("issues", F.array(T.issue_line(F.lit("no_results"), F.lit("")))))
+    return g.select(F.concat(head, F.lit("\n\n---\n\n"), F.array_join(F.transform("ps", lambda x: x["p"]), "\n\n---\n\n")).alias("markdown"))
