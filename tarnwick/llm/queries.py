@@ -128,7 +128,7 @@ w AS (SELECT *, p / (SELECT sum(p) FROM plan) AS weight FROM plan),
 passes AS (SELECT t.*, w.tokens, w.take, w.weight, unnest(range(0, CASE WHEN tokens > 0 THEN ceil(take / tokens)::INT ELSE 1 END))::INT AS epoch
            FROM t JOIN w ON t.source IS NOT DISTINCT FROM w.source),
 placed AS (SELECT *, ('0x' || substr(md5(doc_id::VARCHAR || '#' || epoch::VARCHAR), 1, 15))::BIGINT AS place FROM passes),
-summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed)
+summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed),
 ranges AS (SELECT source, epoch, r, sum(s) OVER (PARTITION BY source, epoch ORDER BY r) - s AS begins
            FROM (SELECT source, epoch, place >> 52 AS r, sum(n_tokens) AS s FROM placed GROUP BY ALL))
 SELECT doc_id, summed.source, n_tokens, round(weight, 6) AS weight, summed.epoch, place,
