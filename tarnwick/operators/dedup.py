@@ -124,13 +124,15 @@ def bands(rows: int = 128, threshold: float = 0.75) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def minhash(df: DataFrame, key: str, words: Column, permutations: int = 128) -> DataFrame:
-    """(key, s): minima of linear hashes of md5 word values, row by row; a row without words has nulls.
+def minhash(df: DataFrame, key: str, words: Column, permutations: int = 128, block: int = 16) -> DataFrame:
+    """(key, s): minima of linear hashes of md5 word values, summed map-side in generated code.
 
-    A word is hashed once for all permutations, and nothing is shuffled."""
+    A word is hashed once; its row is then repeated for each block of permutations, so that the
+    aggregation's code stays small enough to be compiled. A row without words has nulls."""
     prime = 4294967291
-    hashed = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
-    places = F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long"))
-    least = lambda h, i: F.array_min(F.transform(h, lambda x: F.pmod(x * (i * 2 + 1) + i * 7919 + 13, F.lit(prime))))
-    # the hashes are bound to a variable, so that they are not worked out anew at each permutation
-    return df.select(key, F.get(F.transform(F.array(hashed), lambda h: F.transform(places, lambda i: least(h, i))), F.lit(0)).alias("s"))
+    each = df.select(key, F.explode_outer(words).alias("w")).select(key, F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long").alias("h"))
+    each = each.select(key, "h", F.explode(F.array(*[F.lit(i) for i in range(0, permutations, block)])).alias("i"))
+    of = lambda j: F.pmod(F.col("h") * ((F.col("i") + j) * 2 + 1) + (F.col("i") + j) * 7919 + 13, F.lit(prime))
+    parts = each.groupBy(key, "i").agg(F.array(*[F.min(of(j)) for j in range(block)]).alias("m"))
+    rows = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("p"))
+    return rows.select(key, F.flatten(F.transform("p", lambda x: x["m"])).alias("s"))
