@@ -94,7 +94,7 @@ def test_proximity_needs_all_terms_within_one_span(spark):
 @pytest.fixture
 def far(monkeypatch):
     """Every size-switched way of the operators is the one for large tables."""
-    for module in (decontam, minhash, mixing):
+    for module in (decontam, minhash, mixing, suffix_dedup):
         monkeypatch.setattr(module, "SEND_ROWS", 0)
     monkeypatch.setattr(mixing, "DRIVER_ROWS", 0)
     for name, value in {"BUCKET": 3, "LOOK": 1, "FOLLOWERS": 2, "TILE": 150}.items():
@@ -110,6 +110,12 @@ def test_far_near_duplicates(spark, texts, far):
     test_sure_and_loose_near_duplicates_meet_in_tiles(spark)
 
 
+def test_far_suffix_dedup(spark, texts, far):
+    rows = texts[:40]
+    got = suffix_dedup.remove_repeats(table(spark, rows)).select("doc_id", "n_bytes", F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == brute_repeats(rows)
+
+
 def test_far_mixing(spark, far):
     test_mixing(spark)
     test_mixing_meets_an_entropy(spark)
