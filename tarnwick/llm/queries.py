@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_layout, minhash, mixing, ring_shard, secrets, suffix_dedup, telephony, toxicity, url_cascade
+from . import decontam, html_layout, merkle, minhash, mixing, ring_shard, secrets, sort_means, subwords, suffix_dedup, telephony, toxicity, url_cascade
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +85,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_html_layout, op4_url_cascade, op5_ring_shards, op6_suffix_dedup, op7_temperature_mix, op8_telephony, op9_minhash, op10_toxicity)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proofs = merkle.prove(_table(spark, sf_dir, "documents"), claims=merkle.counted_up())
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = subwords.fit(docs, _table(spark, sf_dir, "labels"))
+    return subwords.score(docs, model).select("doc_id", subwords.held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_secrets, op3_html_layout, op4_url_cascade, op5_ring_shards, op6_suffix_dedup, op7_temperature_mix, op8_telephony, op9_minhash, op10_toxicity, op11_merkle, op12_sort_means, op13_quality)
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -135,4 +153,47 @@ SELECT doc_id, summed.source, n_tokens, round(weight, 6) AS weight, summed.epoch
        CASE WHEN take > 0 THEN least(floor((summed.epoch * tokens + begins) * 64 / take), 63)::INT ELSE 0 END AS block
 FROM summed JOIN ranges ON summed.source IS NOT DISTINCT FROM ranges.source AND summed.epoch = ranges.epoch AND place >> 52 = r
 WHERE tokens = 0 OR upto <= take - summed.epoch * tokens""",
+    "op11_merkle": r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT *, coalesce(lang, '') AS l, lang IS NOT NULL AS has, doc_id::VARCHAR AS i FROM documents),
+marked AS (SELECT d.*, coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(i) + 1), lambda k: ascii(i[k])::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 7 = 0, false) AS forged FROM d, crc),
+leaves AS (SELECT doc_id, l, has, forged, n_chars,
+  coalesce(strlen(i) || ':' || i, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS front,
+  coalesce(strlen(text) || ':' || text, '-') AS back FROM marked),
+hashed AS (SELECT doc_id, l, has, sha256(front || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || back) AS leaf,
+  sha256(front || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen((n_chars + forged::INT)::VARCHAR) || ':' || (n_chars + forged::INT) END || back) AS claim FROM leaves),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY has, l ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+tree AS (SELECT has, l, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM ranked GROUP BY has, l
+  UNION ALL SELECT has, l, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda k: sha256(nodes[k] || coalesce(nodes[k + 1], ''))) FROM tree WHERE len(nodes) > 1),
+subs AS (SELECT has, l, nodes[1] AS subroot, row_number() OVER (ORDER BY has, encode(l)) - 1 AS g FROM tree WHERE len(nodes) = 1),
+upper AS (SELECT 0 AS level, list(subroot ORDER BY g) AS nodes FROM subs
+  UNION ALL SELECT level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda k: sha256(nodes[k] || coalesce(nodes[k + 1], ''))) FROM upper WHERE len(nodes) > 1),
+depth AS (SELECT has, l, max(level) AS h FROM tree GROUP BY has, l),
+steps AS (
+  SELECT has, l, level, unnest(range(len(nodes))) AS spot, nodes, -1 AS g FROM tree WHERE len(nodes) > 1
+  UNION ALL SELECT s.has, s.l, h + u.level, -1, u.nodes, s.g FROM upper u, subs s JOIN depth USING (has, l) WHERE len(u.nodes) > 1),
+way AS (SELECT has, l, level, spot, CASE WHEN g < 0 THEN spot ELSE g >> (level - h) END AS own, nodes FROM steps JOIN depth USING (has, l)),
+step AS (SELECT has, l, level, spot, own % 2 = 1 AS l_side, nodes[xor(own, 1) + 1] AS sibling FROM way),
+fold AS (SELECT has, l, pos, 0 AS level, claim AS node, '' AS proof FROM ranked
+  UNION ALL SELECT f.has, f.l, f.pos, f.level + 1, sha256(CASE WHEN l_side THEN sibling || node ELSE node || coalesce(sibling, '') END), proof || coalesce(sibling, '')
+  FROM fold f JOIN step s ON f.has = s.has AND f.l = s.l AND f.level = s.level AND (s.spot = -1 OR s.spot = f.pos >> f.level)),
+done AS (SELECT has, l, pos, arg_max(node, level) AS folded_root, arg_max(proof, level) AS proof FROM fold GROUP BY ALL),
+whole AS (SELECT nodes[1] AS root FROM upper WHERE len(nodes) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM ranked JOIN subs USING (has, l) JOIN done USING (has, l, pos), whole""",
+    "op12_sort_means": """
+WITH kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x) AND abs(x) < 1048576)) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM kept ORDER BY c LIMIT 16),""",
 }
+
+_ASSIGN = """
+a{0} AS (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - o.v[i]) * (k.v[i] - o.v[i])))::BIGINT AS d FROM kept k, c{0} o) GROUP BY r),"""
+_MOVE = """
+s{0} AS (SELECT c, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{0} JOIN kept USING (r)) GROUP BY c, i),
+m{0} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{0} GROUP BY c),
+c{1} AS (SELECT c, coalesce(m{0}.v, c{0}.v) AS v FROM c{0} LEFT JOIN m{0} USING (c)),"""
+ORACLE["op12_sort_means"] += "".join(_ASSIGN.format(k) + _MOVE.format(k, k + 1) for k in range(3)) + _ASSIGN.format(3).rstrip(",") + """
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN kept USING (r) JOIN c3 USING (c)"""
