@@ -140,7 +140,7 @@ def _descended(blocks: DataFrame, block: int) -> DataFrame:
     return blocks.mapInArrow(run, PATHS)
 
 
-def top_tree(nodes: list[tuple[str, int, str]]) -> tuple[list[tuple[str, int, str, str]], str]:
+def top_tree(nodes: list[tuple[str, int, str]]) -> tuple[list[tuple[str, int, str, str]], str | None]:
     """(grp, pos, subroot, path) of all remaining nodes of all groups, and the root."""
     groups: dict[str, list[str]] = {}
     for grp, _, node in sorted(nodes, key=lambda n: (n[0].encode(), n[1])):
@@ -151,15 +151,15 @@ def top_tree(nodes: list[tuple[str, int, str]]) -> tuple[list[tuple[str, int, st
     for g, (grp, tree) in enumerate(trees.items()):
         above = steps(upper, g)
         out += [(grp, i, tree[-1][0], ",".join([*steps(tree, i), *above])) for i in range(len(tree[0]))]
-    return out, upper[-1][0]
+    return out, upper[-1][0] if groups else None
 
 
 def _sized(paths: DataFrame, rows: int, top: int) -> DataFrame:
     return F.broadcast(paths) if rows <= top else paths
 
 
-def _climb(stash: Stash, nodes: DataFrame, tier: int, block: int, top: int) -> tuple[DataFrame, int, str]:
-    """The paths from ``nodes`` (grp, pos, total, digest; stored) to the root, how many they are, and the root."""
+def _climb(stash: Stash, nodes: DataFrame, tier: int, block: int, top: int) -> tuple[DataFrame, int, str | None]:
+    """The paths from ``nodes`` (grp, pos, total, digest; stored) to the root, how many they are, and the root (null of no nodes)."""
     count, widest = nodes.agg(F.count("*"), F.max("total")).first()
     if count <= top:
         paths, root = top_tree([tuple(n) for n in nodes.select("grp", "pos", "digest").collect()])

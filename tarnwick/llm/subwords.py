@@ -14,7 +14,7 @@ The fit uses at most ``SAMPLE`` labelled rows, those of smallest id hash; each w
 scoring covers all rows. Labels, language, source and id are no inputs of a score.
 
 Defined cases: texts that are null or have no words get the score of the bias alone. Null labels and labels other than 0 and 1
-are ignored, of several labels of a row the largest counts; a null id has no label. Without labels of both kinds every score is the
+are ignored, of several labels of a row the largest counts; a null id has no label. Where the sample's documents don't have labels of both kinds, every score is the
 share of label 1, or 0. Repeated rows count each in the sample and get equal scores. An empty table gives an empty result. Extra
 columns pass through; those named score or predicted are replaced.
 """
@@ -175,13 +175,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     key = F.col(id_col).cast("string")
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(key.alias("_id")).agg(F.max(F.col(label).cast("int")).alias("label")).where("label in (0, 1)")
     known = stash.put(known.orderBy(F.xxhash64("_id"), "_id").limit(sample), "known")
-    n, good = known.agg(F.count("*"), F.sum("label")).first()
-    if not n or good in (0, n):
-        stash.keep()
-        return {"weights": None, "bias": 40.0 if n and good == n else -40.0}
     place = F.xxhash64("_id", F.lit(1))
     rows = docs.select(key.alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "_id")  # at most ``sample`` rows of two numbers
     rows = stash.put(rows.select(F.pmod(place, F.lit(SHARDS)).cast("int").alias("shard"), place.alias("place"), "label", "text"), "rows")
+    n, good = rows.agg(F.count("*"), F.sum("label")).first()
+    if not n or good in (0, n):
+        stash.keep()
+        return {"weights": None, "bias": 40.0 if n and good == n else -40.0}
     found = stash.put(rows.mapInArrow(_bags, "shard int, place long, label int, buckets array<int>, times array<int>"), "bags")
     vectors, soft = start()
     passes = -(-LOOKS // (n * ROUNDS))  # over 1 only where a shard is LOOKS / ROUNDS / SHARDS documents or less
