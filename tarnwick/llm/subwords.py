@@ -5,8 +5,8 @@ with marks for a word's ends, and its pairs of neighbouring words, all hashed to
 vectors are averaged, a softmax over the two classes stands on the average, and all is learnt by stochastic
 gradient descent in numpy. A pair of one word with itself is named by the repetition, whatever the word.
 
-Training runs on ``SHARDS`` shares of the sample: tasks descend document by document from the same model,
-which is their mean of the round before, and the step falls with the rounds. What a shard holds is streamed, so a task needs
+Training runs on ``SHARDS`` shares of the stored sample, dealt by id hash: tasks descend document by document from the same model,
+which is their mean of the round before, and the step falls with the rounds. A share is streamed, so a task needs
 the model (4 MB) and one batch. For scoring the model folds to one number a bucket, as both
 averaging and the difference of the two classes are linear.
 
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, MIX_A, MIX_B, U64, Stash, mix, small_batches
 
 #: Labelled rows in the fit at most.
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Hash buckets, width of the vectors, lengths of character n-grams.
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (3, 4, 5)
-#: Shares of the sample, rounds, first step, and documents that are looked at in all at least (small samples again and again).
+#: Shares of the sample at most, rounds, first step, and documents that are looked at in all at least (small samples again and again).
 SHARDS, ROUNDS, STEP, LOOKS = 4, 6, 0.5, 24_000
 #: Score from which a document is good.
 GOOD = 0.3
@@ -146,7 +146,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = bags(part)
             rows = batch.slice(at, len(part))
             at += len(part)
-            yield pa.RecordBatch.from_arrays([rows.column("shard"), rows.column("place"), rows.column("label"), pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32()))], names=["shard", "place", "label", "buckets", "times"])
+            yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32()))], names=["label", "buckets", "times"])
 
 
 def start(width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -177,14 +177,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = stash.put(known.orderBy(F.xxhash64("_id"), "_id").limit(sample), "known")
     place = F.xxhash64("_id", F.lit(1))
     rows = docs.select(key.alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "_id")  # at most ``sample`` rows of two numbers
-    rows = stash.put(rows.select(F.pmod(place, F.lit(SHARDS)).cast("int").alias("shard"), place.alias("place"), "label", "text"), "rows")
+    rows = rows.select(place.alias("place"), "label", "text").repartition(4 * SHARDS, "place").sortWithinPartitions("place", "text")
+    rows = stash.put(rows.select("label", "text"), "rows")
     n, good = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or good in (0, n):
         stash.keep()
         return {"weights": None, "bias": 40.0 if n and good == n else -40.0}
-    found = stash.put(rows.mapInArrow(_bags, "shard int, place long, label int, buckets array<int>, times array<int>"), "bags")
+    found = stash.put(rows.mapInArrow(_bags, "label int, buckets array<int>, times array<int>"), "bags")
     vectors, soft = start()
-    passes = -(-LOOKS // (n * ROUNDS))  # over 1 only where a shard is LOOKS / ROUNDS / SHARDS documents or less
+    passes = -(-LOOKS // (n * ROUNDS))  # over 1 only for samples of LOOKS / ROUNDS documents or less
 
     def round_of(vectors: np.ndarray, soft: np.ndarray, step: float):
         def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return share
 
     for r in range(ROUNDS):
-        ordered = found.repartition("shard").sortWithinPartitions("shard", "place", "buckets").groupBy("shard")
-        parts = ordered.applyInArrow(round_of(vectors, soft, STEP * (1 - r / ROUNDS)), "v binary, s binary").collect()  # SHARDS models
+        # SHARDS models at most; the stored bags are read where they lie, without a shuffle
+        parts = found.coalesce(SHARDS).mapInArrow(round_of(vectors, soft, STEP * (1 - r / ROUNDS)), "v binary, s binary").collect()
         vectors = np.mean([np.frombuffer(p.v, np.float32).reshape(vectors.shape) for p in parts], 0, dtype=np.float32)
         soft = np.mean([np.frombuffer(p.s, np.float32).reshape(soft.shape) for p in parts], 0, dtype=np.float32)
     stash.keep()
