@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
 from tarnwick.functions import urls as U
-from tarnwick.functions.chunks import chunk_recursive as split_udf
 from tarnwick.plans import q_scalar as S
 from tarnwick.plans.registry import query, table
 
@@ -61,15 +60,11 @@ def header_lines(spark, sf):
     return table(spark, sf, "events").select("event_id", T.header_value(text, "engine").alias("engine"), warning.rlike("^[^ :]+:").alias("engine_warning"))
 
 
-_PARA = "list_filter(list_transform(string_split(replace(text, '\n', '\n\n'), '\n\n'), lambda b: trim(b)), lambda b: b <> '')"
-
-
-@query(f"SELECT doc_id, unnest(range(0, len(b)))::INT AS chunk_id, unnest(b) AS chunk FROM (SELECT doc_id, {_PARA} AS b FROM documents WHERE len(list_filter({_PARA}, lambda x: length(x) > 1000)) = 0)")
+@query(f"WITH pg AS (SELECT doc_id, replace(text, '\n', E'\\n\\n') AS t FROM documents), {S.chunks_sql('pg', 'doc_id', 't')} SELECT doc_id, unnest(range(0, len(b)))::INT AS chunk_id, unnest(b) AS chunk FROM rc")
 def chunk_paragraphs(spark, sf):
-    """Blocks parted by blank lines, whole up to 1000 characters, of documents that have no longer one."""
-    d = table(spark, sf, "documents").withColumn("t", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    d = d.where(~F.exists(T.blocks(F.col("t")), lambda b: F.length(b) > 1000))
-    return d.select("doc_id", F.posexplode(split_udf("t")).alias("chunk_id", "chunk"))
+    """Lines taken as paragraphs: whole up to 1000 characters, longer ones split."""
+    d = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("t"))
+    return S.recursive_rows(d, "t")
 
 
 # renderers

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
 from tarnwick.functions import urls as U
-from tarnwick.functions.chunks import chunk_recursive as split_udf
+from tarnwick.functions.chunks import chunk_recursive as recursive_chunks
 from tarnwick.plans.registry import query, table
 
 HOST = "lower(regexp_extract(regexp_extract(url, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^(?:.*@)?([^:@]*)', 1))"
@@ -278,9 +278,33 @@ def chunk_blocks(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(T.blocks(F.col("text"), "\n")).alias("chunk_id", "chunk"))
 
 
-@query()
+def _packed_sql(pieces: str) -> str:
+    """Neighbouring pieces of a list joined while they are 1000 characters together."""
+    return f"list_reduce(list_transform({pieces}, lambda p: [p]), lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) > 1000 THEN a || x ELSE list_slice(a, 1, len(a) - 1) || [a[-1] || x[1]] END)"
+
+
+def chunks_sql(source: str, key: str, text: str, name: str = "rc") -> str:
+    """CTEs that end in ``name`` (key, b: chunks): paragraphs, then one level for each mark over pieces that are too long."""
+    marks = ["\\n#{1,6} ", "```\\n", "\\n\\*\\*\\*+\\n", "\\n---+\\n", "\\n___+\\n", "\\n", " "]
+    bare = "regexp_replace({0}, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')"
+    level = f"{name}0 AS (SELECT {key}, list_filter(list_transform(string_split(replace({text}, chr(31), ' '), E'\\n\\n'), lambda t: {bare.format('t')}), lambda t: t <> '') AS b FROM {source})"
+    for k, mark in enumerate(marks):
+        pieces = f"list_filter(string_split(regexp_replace(t, '({mark})', chr(31) || '\\1', 'g'), chr(31)), lambda p: p <> '')"
+        level += f",\n{name}{k + 1} AS (SELECT {key}, flatten(list_transform(b, lambda t: CASE WHEN length(t) > 1000 THEN {_packed_sql(pieces)} ELSE [t] END)) AS b FROM {name}{k})"
+    cut = "list_transform(range(0, ((length(t) + 999) // 1000)::BIGINT), lambda i: substr(t, i * 1000 + 1, 1000))"
+    return level + f",\n{name} AS (SELECT {key}, list_filter(list_transform(flatten(list_transform(b, lambda t: {cut})), lambda t: {bare.format('t')}), lambda t: t <> '') AS b FROM {name}{len(marks)})"
+
+
+@query(f"WITH {chunks_sql('documents', 'doc_id', 'text')} SELECT doc_id, unnest(range(0, len(b)))::INT AS chunk_id, unnest(b) AS chunk FROM rc")
 def chunk_recursive(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(split_udf("text")).alias("chunk_id", "chunk"))
+    """All documents in chunks of at most 1000 characters, by the marks of markdown from coarse to fine."""
+    return recursive_rows(table(spark, sf, "documents").select("doc_id", "text"), "text")
+
+
+def recursive_rows(df, text):
+    """``df`` without ``text``, a row for each chunk of it. The outer form, as the plain one works its array out once more to filter empty ones."""
+    rows = df.select(*[c for c in df.columns if c != text], F.posexplode_outer(recursive_chunks(text)).alias("chunk_id", "chunk"))
+    return rows.where("chunk_id is not null")
 
 
 @query(f"SELECT doc_id, i::INT AS chunk_id, b[i + 1] AS chunk FROM (SELECT doc_id, {_B} AS b, unnest([0, 2, 5]) AS i FROM documents) WHERE i < len(b)")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
 from tarnwick.functions import urls as U
-from tarnwick.functions.chunks import split_text
 from tarnwick.operators import dedup
 from tarnwick.sources import files
 
@@ -77,13 +76,6 @@ def test_text(spark):
     assert one(spark, T.login_wall(F.col("t")), t="Sign in. Login. Create new account.") is True
 
 
-def test_split_text_keeps_pieces_small():
-    text = "word " * 900 + "\n\n" + "x" * 2500 + "\n\nshort\n\n\n\n" + "line one.\n" * 300
-    pieces = split_text(text)
-    assert max(map(len, pieces)) <= 1000 and "short" in pieces and split_text(None) == [] and split_text(" \n\n ") == []
-    assert "".join("".join(pieces).split()) == "".join(text.split())
-
-
 def test_first_wins_is_sequential(spark):
     pairs = [(1, 2), (2, 3), (3, 4), (4, 5), (1, 7), (6, 7)]
     kept, gone = [], set()
