@@ -320,10 +320,9 @@ def result_counts(spark, sf):
     return e.groupBy("user_id").agg(F.count_if(F.col("content").isNull()).alias("scrape_failures"), F.count("*").alias("num_results"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
 
 
-@query("WITH w AS (SELECT user_id, event_id, event_type FROM events WHERE event_type IN ('error', 'signup') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 20) SELECT user_id, string_agg(event_type || '@' || event_id::VARCHAR, ';' ORDER BY event_id) AS warnings FROM w GROUP BY user_id")
+@query("WITH w AS (SELECT user_id, event_id, event_type FROM events WHERE event_type IN ('error', 'signup')) SELECT user_id, string_agg(event_type || '@' || event_id::VARCHAR, ';' ORDER BY event_id) AS warnings FROM w GROUP BY user_id")
 def warning_list(spark, sf):
-    """Warnings of a request in the order in which they came up; a request has at most 20."""
+    """All warnings of a request in the order in which they came up."""
     w = table(spark, sf, "events").where(F.col("event_type").isin("error", "signup"))
-    w = w.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("n <= 20")
     g = w.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("l"))
     return g.select("user_id", F.array_join(F.transform("l", lambda x: F.concat_ws("@", x["event_type"], x["event_id"].cast("string"))), ";").alias("warnings"))

@@ -132,7 +132,7 @@ def bfs_depth(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS n, s_suppkey AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 10 = 0), g AS (SELECT 'n' || n AS src, 's' || s AS dst FROM e UNION SELECT 's' || s, 'r' || n_regionkey FROM e JOIN nation ON n = n_nationkey UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation),
+    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS n, s_suppkey AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey), g AS (SELECT 'n' || n AS src, 's' || s AS dst FROM e UNION SELECT 's' || s, 'r' || n_regionkey FROM e JOIN nation ON n = n_nationkey UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation),
 b AS (SELECT 'r1' AS node, 0 AS depth UNION SELECT g.dst, b.depth + 1 FROM b JOIN g ON g.src = b.node WHERE b.depth < 3), d AS (SELECT node, min(depth) AS depth FROM b GROUP BY node)
 SELECT d.node, d.depth::INT AS depth, min(p.node) AS parent FROM d LEFT JOIN (SELECT g.dst, d.node, d.depth FROM g JOIN d ON d.node = g.src) p ON p.dst = d.node AND p.depth = d.depth - 1 GROUP BY d.node, d.depth"""
 )
@@ -140,7 +140,7 @@ def bfs_parent(spark, sf):
     """Nodes with the least of the parents that reach them first."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nation = table(spark, sf, "nation")
-    c = table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_nationkey").alias("k")).distinct()
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).distinct()
     e = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k")).join(c, "k").join(nation.select(F.col("n_nationkey").alias("k"), "n_regionkey"), "k")
     edges = e.select(name("n", "k").alias("src"), name("s", "s_suppkey").alias("dst")).union(e.select(name("s", "s_suppkey"), name("r", "n_regionkey"))).union(nation.select(name("r", "n_regionkey"), name("n", "n_nationkey"))).distinct()
     return G.bfs(edges, spark.createDataFrame([("r1",)], "node string"), 3).select("node", "depth", "parent")
@@ -182,51 +182,81 @@ def crawl_rank(spark, sf):
     return R.ranked(s, *order)
 
 
-_SITE = f"""{S.LINKS}, nn AS (SELECT page_id, normalized FROM ({S.QUERY_NORMALIZE})),
+def trees_sql(depth: int) -> str:
+    """CTEs that end in tr: the search of each seed level by level, over ed (page, pos, target, key, scope), th (key, page) and sd (seed, page, target, key, scope, budget)."""
+    out = "v0 AS (SELECT seed, key, target, 0 AS depth, 1::BIGINT AS rank, NULL::VARCHAR AS parent, page, scope, budget FROM sd WHERE budget >= 1)"
+    for d in range(1, depth + 1):
+        out += f""",
+c{d} AS (SELECT v.seed, e.key, any_value(v.scope) AS scope, any_value(v.budget) AS budget, min(v.rank) AS r, arg_min(e.pos, (v.rank, e.pos)) AS pos, arg_min(e.target, (v.rank, e.pos)) AS target, arg_min(v.target, (v.rank, e.pos)) AS parent
+ FROM v{d - 1} v JOIN ed e ON e.page = v.page WHERE v.depth = {d - 1} AND (v.scope IS NULL OR v.scope = e.scope) GROUP BY v.seed, e.key),
+n{d} AS (SELECT c.*, row_number() OVER (PARTITION BY seed ORDER BY r, pos, key) + (SELECT max(rank) FROM v{d - 1} m WHERE m.seed = c.seed) AS k FROM c{d} c WHERE NOT EXISTS (SELECT 1 FROM v{d - 1} m WHERE m.seed = c.seed AND m.key = c.key)),
+v{d} AS (SELECT * FROM v{d - 1} UNION ALL SELECT seed, n.key, n.target, {d}, k, parent, th.page, n.scope, budget FROM n{d} n LEFT JOIN th ON th.key = n.key WHERE k <= budget)"""
+    return out + f", tr AS (SELECT seed, key, target, depth::INT AS depth, rank::INT AS rank, parent FROM v{depth})"
+
+
+_LINKED = f"""{S.LINKS}, nn AS (SELECT page_id, normalized FROM ({S.QUERY_NORMALIZE})),
 tn AS (SELECT DISTINCT target FROM r WHERE regexp_matches(target, '^https?://[^/?#]+')), pages2 AS (SELECT row_number() OVER (ORDER BY target) AS page_id, target AS url FROM tn),
 t2 AS (SELECT url AS target, normalized AS tn FROM ({S.QUERY_NORMALIZE.replace("FROM pages)", "FROM pages2)", 1)}) x JOIN pages2 USING (page_id)),
-ed AS (SELECT nn.normalized AS sn, r.page_id AS sid, r.url AS surl, r.pos, r.target, t2.tn, nullif(trim(r.label), '') AS label FROM r JOIN t2 USING (target) JOIN nn ON nn.page_id = r.page_id),
 hs AS (SELECT target, {S.HOST.replace("url", "target")} AS h FROM t2 UNION SELECT url, {S.HOST} FROM pages), dom AS (SELECT target, {S.REG} AS d FROM hs),
-one AS (SELECT sid AS seed, 1 AS depth, pos AS p1, 0 AS p2, ed.target, tn, surl AS parent FROM ed JOIN dom a ON a.target = ed.target JOIN dom b ON b.target = surl WHERE a.d = b.d),
-ar AS (SELECT sn, arg_min(sid, sid) AS sid FROM ed GROUP BY sn),
-two AS (SELECT one.seed, 2 AS depth, one.p1, ed.pos AS p2, ed.target, ed.tn, one.target AS parent FROM (SELECT seed, tn, min(p1) AS p1, arg_min(target, p1) AS target FROM one GROUP BY seed, tn) one JOIN ar ON ar.sn = one.tn JOIN ed ON ed.sid = ar.sid JOIN dom a ON a.target = ed.target JOIN pages sp ON sp.page_id = one.seed JOIN dom b ON b.target = sp.url WHERE a.d = b.d),
-al AS (SELECT page_id AS seed, 0 AS depth, 0 AS p1, 0 AS p2, url AS target, normalized AS tn, NULL AS parent FROM pages JOIN nn USING (page_id) UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two),
-fi AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY seed, tn ORDER BY depth, p1, p2) = 1),
-tr AS (SELECT seed, target, tn, depth::INT AS depth, parent AS discovered_from, row_number() OVER (PARTITION BY seed ORDER BY depth, p1, p2)::INT AS rank FROM fi QUALIFY rank <= 6)"""
+ed AS (SELECT r.page_id AS page, r.pos, r.target, t2.tn AS key, dom.d AS scope FROM r JOIN t2 USING (target) JOIN dom USING (target)),
+th AS (SELECT normalized AS key, min(page_id) AS page FROM nn WHERE page_id IN (SELECT page FROM ed) GROUP BY normalized)"""
+_SEEDS = "sd AS (SELECT page_id AS seed, page_id AS page, url AS target, normalized AS key, dom.d AS scope, {0} AS budget FROM pages JOIN nn USING (page_id) JOIN dom ON dom.target = pages.url)"
+_SITE = f"{_LINKED}, {_SEEDS.format(6)}, {trees_sql(2)}"
 
 
-def site_tree(spark, sf, budget: int = 6):
-    """(seed, target, n, rank, depth, discovered_from): breadth-first link trees of two steps from every page,
-    held to the seed's registrable domain, one row for each normalised url, ``budget`` rows with the root."""
+def site_tree(spark, sf, depth: int = 2, budget=6):
+    """(seed, key, target, depth, rank, parent): breadth-first link trees from every page, held to the seed's
+    registrable domain, one row for each normalised url, ``budget`` rows with the root."""
     p = table(spark, sf, "pages")
     links = S.page_edges(p).withColumn("target", U.resolve(F.col("url"), F.col("href"))).where("target is not null")
     reg = lambda c: U.registrable_domain(U.domain(F.col(c)))
-    edges = checkpointed(links.select("page_id", "url", "pos", "target", U.normalize(F.col("target")).alias("n"), reg("target").alias("d")))
-    roots = p.select(F.col("page_id").alias("seed"), "url", U.normalize(F.col("url")).alias("n"), reg("url").alias("home"))
-    node = ("seed", "home", "depth", "p1", "p2", "target", "n", "discovered_from")
-    zero = roots.select("seed", "home", F.lit(0).alias("depth"), F.lit(0).alias("p1"), F.lit(0).alias("p2"), F.col("url").alias("target"), "n", F.lit(None).cast("string").alias("discovered_from"))
-    one = edges.join(roots.select(F.col("seed").alias("page_id"), "seed", "home"), "page_id").where("d = home").select("seed", "home", F.lit(1).alias("depth"), F.col("pos").alias("p1"), F.lit(0).alias("p2"), "target", "n", F.col("url").alias("discovered_from"))
+    edges = checkpointed(links.select(F.col("page_id").alias("page"), "pos", "target", U.normalize(F.col("target")).alias("key"), reg("target").alias("scope")))
+    roots = checkpointed(p.select(F.col("page_id").alias("seed"), F.col("page_id").alias("page"), F.col("url").alias("target"), U.normalize(F.col("url")).alias("key"), reg("url").alias("scope")))
     # a found url is followed where its page is there: of pages with one spelling the first with links
-    first = one.groupBy("seed", "home", "n").agg(F.min(F.struct("p1", "target")).alias("x")).select("seed", "home", F.col("n").alias("sn"), "x.p1", F.col("x.target").alias("parent"))
-    there = edges.select("page_id").distinct().join(roots.select(F.col("seed").alias("page_id"), F.col("n").alias("sn")), "page_id").groupBy("sn").agg(F.min("page_id").alias("page_id"))
-    two = first.join(there, "sn").join(edges, "page_id").where("d = home").select("seed", "home", F.lit(2).alias("depth"), "p1", F.col("pos").alias("p2"), "target", "n", F.col("parent").alias("discovered_from"))
-    nodes = zero.select(*node).unionByName(one.select(*node)).unionByName(two.select(*node))
-    once = nodes.withColumn("k", F.row_number().over(Window.partitionBy("seed", "n").orderBy("depth", "p1", "p2"))).where("k = 1")
-    return R.top_k(once, "seed", budget, F.col("depth"), F.col("p1"), F.col("p2")).select("seed", "target", "n", "rank", "depth", "discovered_from")
+    there = roots.join(edges.select("page").distinct(), "page", "left_semi").groupBy("key").agg(F.min("page").alias("page"))
+    return G.trees(edges, there, roots.withColumn("budget", F.lit(budget) if isinstance(budget, int) else budget), depth)
 
 
-@query(f"WITH {_SITE} SELECT seed, target, rank, depth, discovered_from FROM tr")
+@query(f"WITH {_SITE} SELECT seed, target, rank, depth, parent AS discovered_from FROM tr")
 def site_map(spark, sf):
-    return site_tree(spark, sf).drop("n")
+    return site_tree(spark, sf).select("seed", "target", "rank", "depth", F.col("parent").alias("discovered_from"))
+
+
+@query(f"WITH {_LINKED}, {_SEEDS.format('1 + page_id % 50')}, {trees_sql(4)} SELECT seed, target, rank, depth, parent AS discovered_from FROM tr")
+def site_map_deep(spark, sf):
+    """Link trees of up to four steps, each seed with a budget of its own, from 1 to 50."""
+    deep = site_tree(spark, sf, 4, 1 + F.col("seed") % 50)
+    return deep.select("seed", "target", "rank", "depth", F.col("parent").alias("discovered_from"))
+
+
+@query(
+    "WITH ed AS (SELECT 'n' || c_nationkey AS page, c_custkey AS pos, 'c' || c_custkey AS target, target AS key, c_mktsegment AS scope FROM customer UNION ALL SELECT 'c' || o_custkey, o_orderkey, 'o' || o_orderkey, 'o' || o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey"
+    " UNION ALL SELECT 'o' || l_orderkey, l_linenumber, 'p' || l_partkey, 'p' || l_partkey, c_mktsegment FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),"
+    " th AS (SELECT DISTINCT page AS key, page FROM ed), sd AS (SELECT DISTINCT c_nationkey || c_mktsegment AS seed, 'n' || c_nationkey AS page, 'n' || c_nationkey AS target, target AS key, c_mktsegment AS scope, 1 + 7 * c_nationkey AS budget FROM customer),"
+    + trees_sql(3)
+    + " SELECT seed, target, rank, depth, parent FROM tr"
+)
+def bfs_budget(spark, sf):
+    """Customers, orders and parts reached from each nation within one market segment, with budgets from 1 to 169."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("scope"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    edge = lambda df, src, pos, dst: df.select(src.alias("page"), F.col(pos).cast("long").alias("pos"), dst.alias("target"), dst.alias("key"), "scope")
+    edges = edge(customer, name("n", "c_nationkey"), "c_custkey", name("c", "c_custkey")).unionByName(edge(orders, name("c", "o_custkey"), "o_orderkey", name("o", "o_orderkey"))).unionByName(edge(lines, name("o", "l_orderkey"), "l_linenumber", name("p", "l_partkey")))
+    node = name("n", "c_nationkey")
+    seeds = customer.select("c_nationkey", "scope").distinct()
+    seeds = seeds.select(F.concat(F.col("c_nationkey").cast("string"), "scope").alias("seed"), node.alias("page"), node.alias("target"), node.alias("key"), "scope", (1 + 7 * F.col("c_nationkey")).alias("budget"))
+    return G.trees(edges, edges.select(F.col("page").alias("key"), "page").distinct(), seeds, 3).select("seed", "target", "rank", "depth", "parent")
 
 
 @query(
     f"WITH {Q.PAGES}, {Q.bm25_cte('pg', 'page_id, content', 'content')}, {_SITE}, ex AS (SELECT nn.normalized AS n, min(page_id) AS page_id FROM nn GROUP BY nn.normalized), dc AS (SELECT ex.n, score, content FROM ex JOIN bm USING (page_id) WHERE {Q.SCRAPED}),"
-    " j AS (SELECT seed, target, depth, tr.rank AS found, score, content FROM tr LEFT JOIN dc ON dc.n = tr.tn) SELECT seed, target, depth, score, CASE WHEN content IS NULL THEN 'error' ELSE 'ok' END AS status, coalesce(length(content), 0)::INT AS total_chars, row_number() OVER (PARTITION BY seed ORDER BY score IS NULL, score DESC, found)::INT AS rank FROM j"
+    " j AS (SELECT seed, target, depth, tr.rank AS found, score, content FROM tr LEFT JOIN dc ON dc.n = tr.key) SELECT seed, target, depth, score, CASE WHEN content IS NULL THEN 'error' ELSE 'ok' END AS status, coalesce(length(content), 0)::INT AS total_chars, row_number() OVER (PARTITION BY seed ORDER BY score IS NULL, score DESC, found)::INT AS rank FROM j"
 )
 def crawl_pipeline(spark, sf):
     """Each seed's tree, its urls joined with what was extracted from them, the relevant ones first."""
-    tree = site_tree(spark, sf).withColumnRenamed("rank", "found")
+    tree = site_tree(spark, sf).withColumnsRenamed({"rank": "found", "key": "n"})
     pages = Q.pages_scored(spark, sf).withColumn("n", U.normalize(F.col("url")))
     docs = D.first_of(pages, F.col("n"), "page_id").where(Q.scraped(F.col("content"))).select("n", "score", F.length("content").alias("total_chars"))
     j = tree.join(docs, "n", "left").select("seed", "target", "depth", "found", "score", F.when(F.col("total_chars").isNull(), "error").otherwise("ok").alias("status"), F.coalesce("total_chars", F.lit(0)).alias("total_chars"))
