@@ -12,7 +12,7 @@ from tarnwick.functions import urls as U
 from tarnwick.functions import validate as V
 from tarnwick.operators import state as K
 from tarnwick.plans import q_scalar as S
-from tarnwick.plans.registry import query, table
+from tarnwick.plans.base import query, table
 from tarnwick.session import shared_dir
 from tarnwick.sources import files
 
@@ -182,12 +182,12 @@ def single_flight(spark, sf):
     return e.join(lead, ["event_type", "m"]).select("event_id", "ts", "leader", (F.col("event_id") != F.col("leader")).alias("shared"))
 
 
-@query(f"WITH n AS (SELECT page_id, normalized FROM ({S.QUERY_NORMALIZE})) SELECT page_id, coalesce(normalized IN (SELECT normalized FROM n WHERE page_id % 3 = 0), false) AS previously_seen FROM n WHERE page_id % 3 <> 0")
+@query(f"WITH n AS (SELECT page_id, normalized FROM ({S.QUERY_NORMALIZE})) SELECT page_id, coalesce(normalized IN (SELECT normalized FROM n WHERE page_id % 3 = 0), false) AS previously_seen FROM n")
 def seen_mark(spark, sf):
-    """Results whose normalised url is in the stored state, a third of the pages."""
+    """All pages, and whether their normalised url is in the stored state, which a third of them has been put into."""
     n = S.url_normalize(spark, sf)
     state = n.where("page_id % 3 = 0").select("normalized").distinct().withColumn("there", F.lit(True))
-    return n.where("page_id % 3 <> 0").join(state, "normalized", "left").select("page_id", F.coalesce("there", F.lit(False)).alias("previously_seen"))
+    return n.join(state, "normalized", "left").select("page_id", F.coalesce("there", F.lit(False)).alias("previously_seen"))
 
 
 # connectors

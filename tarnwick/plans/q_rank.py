@@ -10,7 +10,7 @@ from tarnwick.functions import urls as U
 from tarnwick.operators import dedup as D
 from tarnwick.operators import rank as R
 from tarnwick.plans import q_scalar as S
-from tarnwick.plans.registry import ORACLE, query, table
+from tarnwick.plans.base import ORACLE, query, table
 from tarnwick.session import checkpointed
 
 TERMS = ["the", "of", "rend", "and"]

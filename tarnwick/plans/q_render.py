@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnwick.functions import text as T
 from tarnwick.functions import urls as U
 from tarnwick.plans import q_scalar as S
-from tarnwick.plans.registry import query, table
+from tarnwick.plans.base import query, table
 
 # metadata
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnwick.functions import text as T
 from tarnwick.functions import urls as U
 from tarnwick.functions.chunks import chunk_recursive as recursive_chunks
-from tarnwick.plans.registry import query, table
+from tarnwick.plans.base import query, table
 
 HOST = "lower(regexp_extract(regexp_extract(url, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^(?:.*@)?([^:@]*)', 1))"
 PATH = "regexp_extract(url, '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"

@@ -13,7 +13,7 @@ from tarnwick.operators import rank as R
 from tarnwick.operators import state as K
 from tarnwick.plans import q_rank as Q
 from tarnwick.plans import q_scalar as S
-from tarnwick.plans.registry import query, table
+from tarnwick.plans.base import query, table
 from tarnwick.session import checkpointed
 
 
