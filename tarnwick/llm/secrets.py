@@ -14,13 +14,14 @@ least). A run is parted where a capital follows a small letter; its letters that
 
 Scale. All row by row in Catalyst expressions but two sums: the dictionary's counts (map-side) and
 the coverage of candidates, joined by word piece with AQE's skew handling. Candidates are few and
-carry no text. The training table is bounded by ``TRAIN`` rows.
+carry no text. The training table is bounded by ``TRAIN`` rows. What stays in the shared folder for the result to read holds hashes and
+numbers only; tables with the runs in clear are removed before the operator returns.
 
 Defined cases: null and empty texts have no candidates; repeated rows give repeated findings; a
 null path has no path features; a score of exactly one half is a finding; an empty table gives an empty result. Results have
 the columns named at ``scan`` only, whatever extra columns the texts have; ids may be of any type. The candidate itself is not returned, only its SHA-256, the place of
 its word and its offset there. Of the text around a candidate the nearest ``NEAR`` characters of a word
-are looked at, of an announced value the first 512; a later run of a word is judged by the names
+are looked at, values and runs are taken whole; a later run of a word is judged by the names
 between it and the run before, or, if there are none (lists), by the words before.
 """
 
@@ -47,7 +48,7 @@ DENY = ("sha1", "sha256", "md5", "checksum", "commit", "digest", "uuid", "guid",
 CALM_PATHS = ("test", "example", "sample", "doc", "fixture", "mock")
 #: A name that announces a value, up to the value; the value; the header of a private key.
 ANNOUNCED = r"(?:(?<![A-Za-z])(?i:" + "|".join(ANNOUNCE) + r")|(?:Password|Passwd|Pwd|Secret|Token|Key|Credential|Auth))s?[\\\"'`]{0,4}\s*+(?:=>|:=|==?|:)\s*+[\\\"'`]{0,4}(?=[^\s\"'`,;&<>\\])"
-VALUE = r"[^\s\"'`,;&<>\\]{0,511}[^\s\"'`,;&<>\\.)\]}]"
+VALUE = r"[^\s\"'`,;&<>\\]*[^\s\"'`,;&<>\\.)\]}]"
 PEM = r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
 #: Stands before announced values and headers while words are parted; characters looked at beside a candidate.
 MARK, NEAR = "\u0001", 64
@@ -251,9 +252,13 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, words: DataFra
     rows = stash.put(candidates(docs, id_col, text_col, path_col), "candidates")
     # coverage is a matter of the run alone
     runs = stash.put(covered(rows.select("run").distinct(), words, ["run"]), "covered")
-    judged = model.transform(_vector(rows.join(runs, "run")))
+    known = _vector(rows.join(runs, "run")).select("doc_id", "place", "offset", F.length("run").alias("length"), F.sha2("run", 256).alias("run_sha256"), "features")
+    known = stash.put(known, "described")
+    # the runs and the words around them were in clear: nothing but hashes and numbers is left
+    stash.keep("described")
+    judged = model.transform(known)
     score = F.round(vector_to_array("probability")[1], 6)
-    return judged.select("doc_id", "place", "offset", F.length("run").alias("length"), F.sha2("run", 256).alias("run_sha256"), score.alias("score"), (score >= 0.5).alias("is_secret"))
+    return judged.select("doc_id", "place", "offset", "length", "run_sha256", score.alias("score"), (score >= 0.5).alias("is_secret"))
 
 
 def scan_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
@@ -262,4 +267,6 @@ def scan_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     stash = Stash(spark, "secret-words")
     words = stash.put(dictionary(docs, text_col), "words")
     labelled = stash.put(findings(spark), "findings")
-    return scan(docs, train(labelled, words), words, id_col, text_col, path_col)
+    found = scan(docs, train(labelled, words), words, id_col, text_col, path_col)
+    stash.keep()
+    return found
