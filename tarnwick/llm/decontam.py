@@ -131,10 +131,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     met = rows.select(*ROW, F.explode("wins").alias("win")).join(send(owners, owners.count()), "win").groupBy(*ROW).agg(F.sort_array(F.collect_set("item")).alias("items"))
     judged = stash.put(rows.select(*ROW, "spans", covered.alias("n_hit")).join(met, list(ROW), "left"), "judged")
     stash.keep("judged")
-    out = docs.withColumns(keys).join(judged, list(ROW), "left").drop(*ROW)
+    # words are counted before the join: a text that isn't asked for needn't move
+    out = docs.withColumns(keys | {"n_words": F.size(words(text_col)).cast("long")}).join(judged, list(ROW), "left").drop(*ROW)
     return out.withColumns(
         {
-            "n_words": F.size(words(text_col)).cast("long"),
             "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
             "spans": F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")),
             "items": F.coalesce("items", F.array().cast("array<string>")),
