@@ -126,13 +126,26 @@ def suffix(url: Column) -> Column:
     return F.lower(F.regexp_extract(part(url, 3), r"\.([^.]*)$", 1))
 
 
+_NAMES = [name for name, _, _ in TYPES]
+
+
+def _places(column: int) -> Column:
+    """Each mime type (1) or suffix (2) with the place of the first type that names it."""
+    first: dict[str, int] = {}
+    for place, kind in enumerate(TYPES):
+        for word in kind[column]:
+            first.setdefault(word, place)
+    return F.create_map(*[F.lit(v) for pair in first.items() for v in pair])
+
+
+def _typed(m: Column, s: Column) -> Column:
+    """The type by mime and suffix: of the two types that these name the one that stands first."""
+    place = F.least(F.try_element_at(_places(1), m), F.try_element_at(_places(2), s))
+    return F.coalesce(F.get(F.array(*map(F.lit, _NAMES)), place), F.when(F.startswith(m, F.lit("text/")) | s.isin(*TEXT_SUFFIXES), "text"), F.lit("unknown"))
+
+
 def file_type(url: Column, content_type: Column) -> Column:
-    m, s = mime(content_type), suffix(url)
-    out = None
-    for name, mimes, ends in TYPES:
-        cond = m.isin(*mimes) | s.isin(*ends)
-        out = F.when(cond, name) if out is None else out.when(cond, name)
-    return out.when(F.startswith(m, F.lit("text/")), "text").when(s.isin(*TEXT_SUFFIXES), "text").otherwise("unknown")
+    return _once(F.struct(mime(content_type).alias("m"), suffix(url).alias("s")), lambda x: _typed(x["m"], x["s"]))
 
 
 def ip_number(ip: Column) -> Column:
@@ -190,20 +203,25 @@ SNIFFED = 8192
 
 def sniffed(content: Column, status: Column) -> Column:
     """The type that the first bytes of a partial answer tell; null for whole answers and beyond ``SNIFFED`` bytes."""
-    head = F.lower(F.hex(F.substring(content, 1, 16)))
-    text = F.lower(F.decode(F.substring(content, 1, 256), "ISO-8859-1"))
-    out = None
-    for mark, name in SIGNATURES:
-        out = F.when(F.startswith(head, F.lit(mark)), name) if out is None else out.when(F.startswith(head, F.lit(mark)), name)
-    out = out.when(text.rlike(r"^\s*<(!doctype html|html)"), "text/html").when(text.rlike(r"^\s*<\?xml"), "text/xml").when(text.rlike(r"^\s*[\[{]"), "application/json")
-    return F.when((status == 206) & (F.octet_length(content) <= SNIFFED), out)
+
+    def told(x: Column) -> Column:
+        out = None
+        for mark, name in SIGNATURES:
+            out = F.when(F.startswith(x["head"], F.lit(mark)), name) if out is None else out.when(F.startswith(x["head"], F.lit(mark)), name)
+        return out.when(x["text"].rlike(r"^\s*<(!doctype html|html)"), "text/html").when(x["text"].rlike(r"^\s*<\?xml"), "text/xml").when(x["text"].rlike(r"^\s*[\[{]"), "application/json")
+
+    first = F.struct(F.lower(F.hex(F.substring(content, 1, 16))).alias("head"), F.lower(F.decode(F.substring(content, 1, 256), "ISO-8859-1")).alias("text"))
+    return F.when((status == 206) & (F.octet_length(content) <= SNIFFED), _once(first, told))
 
 
 def detected(url: Column, head: Column, content: Column, status: Column) -> Column:
     """The file type by the announced type, else by the suffix, else by the first bytes."""
-    announced = F.when(mime(head) != "application/octet-stream", mime(head))
-    by_suffix = file_type(url, F.lit(None).cast("string"))
-    return F.when(announced.isNull() & (by_suffix == "unknown"), file_type(url, sniffed(content, status))).otherwise(file_type(url, announced))
+    def judged(x: Column) -> Column:
+        known = F.nullif(x["m"], F.lit("application/octet-stream"))
+        by_suffix = _typed(F.lit(None).cast("string"), x["s"])
+        return F.when(known.isNotNull(), _typed(known, x["s"])).when(by_suffix != "unknown", by_suffix).otherwise(_typed(sniffed(content, status), x["s"]))
+
+    return _once(F.struct(mime(head).alias("m"), suffix(url).alias("s")), judged)
 
 
 def scope_globs(root: str, same_domain: bool = True) -> list[str]:

@@ -27,7 +27,7 @@ def first_wins(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while open_.head(1):
         later = open_.select(F.col("b").alias("a")).distinct()
         kept = open_.select("a").distinct().join(later, "a", "left_anti")
-        gone = open_.join(kept, "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        gone = checkpointed(open_.join(kept, "a", "left_semi").select(F.col("b").alias("id")).distinct())
         dropped = gone if dropped is None else dropped.union(gone)
         left = open_.join(kept, "a", "left_anti").join(gone, F.col("a") == F.col("id"), "left_anti").join(gone, F.col("b") == F.col("id"), "left_anti")
         open_ = checkpointed(left)
@@ -83,8 +83,8 @@ def first_wins_sets(df: DataFrame, key: str, words: str, threshold: float) -> Da
     return first_wins(similar_sets(keyed.join(firsts, "id", "left_semi"), "id", "w", threshold)).unionByName(copies)
 
 
-def fuzzy_pairs(df: DataFrame, group: str, key: str, title: str, least: float = 97.0, gram: int = 3) -> DataFrame:
-    """(a, b, score) of titles of one group whose similarity is at least ``least`` percent.
+def fuzzy_titles(spelled: DataFrame, least: float = 97.0, gram: int = 3) -> DataFrame:
+    """(g, ta, tb, score), ta < tb, of the distinct titles (g, t) of one group whose similarity is at least ``least`` percent.
 
     Such titles are equal but for a few insertions and deletions, and each of those changes ``gram``
     of the title's distinct grams at most. So two of them share one of the first (edits x gram + 1) grams of
@@ -92,8 +92,6 @@ def fuzzy_pairs(df: DataFrame, group: str, key: str, title: str, least: float =
     each spelling. Levenshtein (never more than insertions plus deletions) is cut off at the bound
     before the exact subsequence."""
     share = 1 - least / 100
-    t = checkpointed(df.where(F.col(title) != "").select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(title).alias("t")))
-    spelled = t.select("g", "t").distinct()
     padded = F.concat(F.repeat(F.lit("\u0001"), F.lit(gram - 1)), "t")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring(padded, i, F.lit(gram))))
     each = spelled.select("g", "t", F.explode(grams).alias("w"))
@@ -105,13 +103,46 @@ def fuzzy_pairs(df: DataFrame, group: str, key: str, title: str, least: float =
     x, y = prefix.select("g", "w", F.col("t").alias("ta")), prefix.select("g", "w", F.col("t").alias("tb"))
     longest = F.length("ta") + F.length("tb")
     near = (F.abs(F.length("ta") - F.length("tb")) <= share * longest) & (F.levenshtein("ta", "tb") <= share * longest)
-    met = x.join(y, ["g", "w"]).where(F.col("ta") < F.col("tb")).select("g", "ta", "tb").distinct().where(near)
-    alike = met.withColumn("score", F.round(T.ratio(F.col("ta"), F.col("tb")), 6)).where(F.col("score") >= least)
+    # stored, as the planner would else ask for the dear ratio before the cheap bounds, for every pair of the join
+    met = checkpointed(x.join(y, ["g", "w"]).where(F.col("ta") < F.col("tb")).select("g", "ta", "tb").distinct().where(near))
+    return met.withColumn("score", F.round(T.ratio(F.col("ta"), F.col("tb")), 6)).where(F.col("score") >= least)
+
+
+def fuzzy_pairs(df: DataFrame, group: str, key: str, title: str, least: float = 97.0) -> DataFrame:
+    """(a, b, score) of all rows a < b of one group whose titles are alike; equal titles make all their pairs."""
+    t = checkpointed(df.where(F.col(title) != "").select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(title).alias("t")))
+    spelled = t.select("g", "t").distinct()
+    alike = fuzzy_titles(spelled, least)
     alike = alike.unionByName(alike.select("g", F.col("tb").alias("ta"), F.col("ta").alias("tb"), "score")).unionByName(spelled.select("g", F.col("t").alias("ta"), F.col("t").alias("tb"), F.lit(100.0).alias("score")))
     left, right = t.select("g", F.col("k").alias("a"), F.col("t").alias("ta")), t.select("g", F.col("k").alias("b"), F.col("t").alias("tb"))
     return left.join(alike, ["g", "ta"]).join(right, ["g", "tb"]).where("a < b").select("a", "b", "score")
 
 
+def first_wins_titles(rows: DataFrame, least: float = 97.0) -> DataFrame:
+    """Rows (id) kept of (id, u, g, t) by a sequential pass: a row goes if an earlier kept one has its url u or, in its group g, a title like its t.
+
+    No pair of rows is made. A url and a title are classes of which one row at most is kept, and only distinct titles
+    are compared. In each round a row is kept that is the first open one of its url, of its title and of all titles
+    like it; then all open rows of those classes go. So a round is sums by class and joins to them, and copies by the
+    hundred thousand go in one. Rows of a null or empty title are held to their url alone, those of a null url to their title."""
+    open_ = checkpointed(rows.select("id", "u", "g", F.when(F.col("t") != "", F.col("t")).alias("t")))
+    half = fuzzy_titles(open_.where("t is not null and g is not null").select("g", "t").distinct(), least).select("g", "ta", "tb")
+    alike = checkpointed(half.unionByName(half.select("g", F.col("tb").alias("ta"), F.col("ta").alias("tb"))))
+    kept = None
+    while open_.head(1):
+        url, title = open_.groupBy("u").agg(F.min("id").alias("mu")), open_.where("t is not null").groupBy("g", "t").agg(F.min("id").alias("mt"))
+        near = alike.join(title.withColumnRenamed("t", "tb"), ["g", "tb"]).groupBy("g", F.col("ta").alias("t")).agg(F.min("mt").alias("mn"))
+        told = open_.join(url, "u", "left").join(title, ["g", "t"], "left").join(near, ["g", "t"], "left")
+        first = F.coalesce(F.col("id") <= F.col("mu"), F.lit(True)) & F.coalesce(F.col("id") <= F.col("mt"), F.lit(True)) & F.coalesce(F.col("id") < F.col("mn"), F.lit(True))
+        new = checkpointed(told.where(first).select("id", "u", "g", "t"))
+        kept = new.select("id") if kept is None else kept.unionByName(new.select("id"))
+        taken = new.where("t is not null and g is not null").select("g", "t")
+        taken = taken.unionByName(taken.withColumnRenamed("t", "ta").join(alike, ["g", "ta"]).select("g", F.col("tb").alias("t"))).distinct()
+        rest = open_.join(new.select("id"), "id", "left_anti").join(new.select("u").distinct(), "u", "left_anti").join(taken, ["g", "t"], "left_anti")
+        open_ = checkpointed(rest.select("id", "u", "g", "t"))
+    return kept if kept is not None else rows.select("id").limit(0)
+
+
 def bands(rows: int = 128, threshold: float = 0.75) -> tuple[int, int]:
     """(bands, rows) that weigh false positives and negatives alike at a threshold."""
     best = (math.inf, 1, 1)

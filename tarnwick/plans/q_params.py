@@ -249,20 +249,19 @@ def retryable_errors(spark, sf):
     return table(spark, sf, "events").select("event_id", U.retryable(status, error).alias("retry"))
 
 
-@query(f"SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' WHEN 2 THEN 'text' ELSE CASE WHEN page_id % 2 = 0 THEN 'html' ELSE 'unknown' END END AS file_type, {S._CT} AS head FROM pages WHERE NOT contains(url, '.html')")
+@query(f"SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' ELSE CASE WHEN contains(url, '.html') THEN 'html' WHEN page_id % 5 = 2 THEN 'text' WHEN page_id % 2 = 0 AND strlen(html) <= 8192 THEN 'html' ELSE 'unknown' END END AS file_type, {S._CT} AS head FROM pages")
 def detect_type(spark, sf):
-    """Types by the head's answer; without one by the suffix, and then by the first bytes of a partial answer."""
+    """Types by the head's answer; without one by the suffix, and then by the first bytes of a partial answer, unless that is too long."""
     head = S._content_type()
-    p = table(spark, sf, "pages").where(~F.contains("url", F.lit(".html")))
-    first = F.encode(F.left("html", F.lit(4000)), "UTF-8")
-    return p.select("page_id", U.detected(F.col("url"), F.nullif(F.trim(head), F.lit("")), first, F.when(F.col("page_id") % 2 == 0, 206).otherwise(200)).alias("file_type"), head.alias("head"))
+    p = table(spark, sf, "pages")
+    return p.select("page_id", U.detected(F.col("url"), F.nullif(F.trim(head), F.lit("")), F.encode("html", "UTF-8"), F.when(F.col("page_id") % 2 == 0, 206).otherwise(200)).alias("file_type"), head.alias("head"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE page_id % 6 WHEN 0 THEN 'application/pdf' WHEN 2 THEN 'image/png' ELSE 'text/html' END END AS sniffed FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE page_id % 6 WHEN 0 THEN 'application/pdf' WHEN 2 THEN 'image/png' ELSE CASE WHEN strlen(html) <= 8192 THEN 'text/html' END END END AS sniffed FROM pages")
 def sniff_type(spark, sf):
-    """Signatures of the first bytes, of partial answers only."""
+    """Signatures of the first bytes, of partial answers of up to 8,192 bytes only."""
     k = F.col("page_id") % 6
-    body = F.when(k == 0, F.unhex(F.lit("255044462D312E37"))).when(k == 2, F.unhex(F.lit("89504E470D0A1A0A00"))).otherwise(F.encode(F.left("html", F.lit(3000)), "UTF-8"))
+    body = F.when(k == 0, F.unhex(F.lit("255044462D312E37"))).when(k == 2, F.unhex(F.lit("89504E470D0A1A0A00"))).otherwise(F.encode("html", "UTF-8"))
     return table(spark, sf, "pages").select("page_id", U.sniffed(body, F.when(F.col("page_id") % 2 == 0, 206).otherwise(200)).alias("sniffed"))
 
 

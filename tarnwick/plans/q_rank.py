@@ -188,15 +188,6 @@ def fuzzy_title_pairs(spark, sf):
     return D.fuzzy_pairs(_titles(spark, sf), "h", "page_id", "t")
 
 
-def _greedy_pairs(spark, sf):
-    """Pairs (a, b) of pages of one normalised url or of one host and alike titles."""
-    n = S.url_normalize(spark, sf)
-    first = Window.partitionBy("normalized").orderBy("page_id")
-    # only the first kept page of a url counts, so a chain of its pages is enough with the rounds below
-    same = n.withColumn("all", F.collect_list("page_id").over(first.rowsBetween(Window.unboundedPreceding, -1))).select(F.explode("all").alias("a"), F.col("page_id").alias("b"))
-    return same.union(D.fuzzy_pairs(_titles(spark, sf), "h", "page_id", "t").select("a", "b")).distinct()
-
-
 @query(
     f"""WITH RECURSIVE {_PAIRS}, nn AS (SELECT page_id, normalized FROM ({S.QUERY_NORMALIZE})),
 ed AS (SELECT a, b FROM fz WHERE score >= 97 UNION SELECT x.page_id, y.page_id FROM nn x JOIN nn y ON x.normalized = y.normalized AND x.page_id < y.page_id),
@@ -206,8 +197,12 @@ SELECT unnest(kept) AS page_id FROM gr WHERE k = (SELECT max(k) FROM sq)"""
 )
 def title_dedup(spark, sf):
     """Pages kept by a sequential first-wins pass over urls and fuzzy titles."""
-    gone = D.first_wins(_greedy_pairs(spark, sf))
-    return table(spark, sf, "pages").select("page_id").join(gone, F.col("page_id") == F.col("id"), "left_anti")
+    return _kept_pages(table(spark, sf, "pages"))
+
+
+def _kept_pages(pages):
+    rows = pages.select(F.col("page_id").alias("id"), U.normalize(F.col("url")).alias("u"), U.domain(F.col("url")).alias("g"), T.normalize_title(T.html_title(F.col("html"))).alias("t"))
+    return D.first_wins_titles(rows).select(F.col("id").alias("page_id"))
 
 
 @query(
