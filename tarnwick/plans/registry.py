@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwick.plans import q_learn, q_params, q_rank, q_render, q_scalar, q_state  # noqa: F401
+from tarnwick.plans import q_content, q_learn, q_params, q_rank, q_render, q_scalar, q_state  # noqa: F401
 from tarnwick.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
