@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
 from tarnwick.functions import urls as U
 from tarnwick.operators import dedup as D
+from tarnwick.operators import lsh
 from tarnwick.operators import rank as R
 from tarnwick.plans import q_scalar as S
 from tarnwick.plans.base import ORACLE, query, table
-from tarnwick.session import checkpointed
+from tarnwick.session import checkpointed, shared_dir
 
 TERMS = ["the", "of", "rend", "and"]
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
@@ -233,6 +236,17 @@ def page_neardup(spark, sf):
     return d.select("doc_id").join(gone, F.col("doc_id") == F.col("id"), "left_anti")
 
 
+@query(_NEAR + " SELECT doc_id FROM d WHERE doc_id NOT IN (SELECT unnest(gone) FROM gr WHERE k = (SELECT max(k) FROM sq))")
+def neardup_index(spark, sf):
+    """Long documents, fed to a stored index in two batches: those that it keeps."""
+    d = table(spark, sf, "documents").where(F.length("text") >= 200).select(F.col("doc_id").alias("id"), T.word_set(F.col("text")).alias("w"))
+    last = d.agg(F.max("id")).first()[0] or 0
+    index, out = lsh.LshIndex(spark, f"{shared_dir(spark)}/neardup-{uuid.uuid4().hex}"), []
+    for k in range(2):
+        out.append(index.add(d.where(F.floor(F.col("id") * 2 / (last + 1)) == k)))
+    return out[0].unionByName(out[1]).select(F.col("id").alias("doc_id"))
+
+
 @query(
     "WITH RECURSIVE c AS (SELECT conv_id * 1000 + turn AS id, list_distinct("
     + WORDS.format("text")
