@@ -21,6 +21,17 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(body, r"[ \t\r\n\f]+", " "))
 
 
+ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
+HREF = r"(?i)(?:^|[\s\"'])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+
+
+def anchors(html: Column) -> Column:
+    """(href, label) of all anchors with an href, quoted in either way or not at all; tags inside a label go."""
+    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("attrs"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("inner"))
+    href = lambda a: F.concat(*[F.regexp_extract(a, HREF, k) for k in (1, 2, 3)])
+    return F.transform(F.filter(found, lambda x: x["attrs"].rlike(HREF)), lambda x: F.struct(href(x["attrs"]).alias("href"), F.regexp_replace(x["inner"], "<[^>]*>", "").alias("label")))
+
+
 def html_title(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
 

@@ -243,11 +243,14 @@ def scope_globs(root: str, same_domain: bool = True) -> list[str]:
 
 def in_scope(url: Column, root: str, same_domain: bool = True, include: list[str] | None = None) -> Column:
     """Whether a crawl may follow a url: within the scope of the root and any of the include globs."""
-    ok = F.lit(True)
-    for globs in (scope_globs(root, same_domain), include or []):
-        if globs:
-            ok = ok & url_matches(url, globs)
-    return ok
+    def fits(u: Column) -> Column:
+        ok = F.lit(True)
+        for globs in (scope_globs(root, same_domain), include or []):
+            if globs:
+                ok = ok & url_matches(u, globs)
+        return ok
+
+    return _once(url, fits)
 
 
 def retryable(status: Column, error: Column) -> Column:

@@ -148,17 +148,17 @@ def page_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.coalesce(F.when(F.col("page_id") % 3 != 0, T.html_title(F.col("html"))), F.lit("untitled")).alias("title"))
 
 
-_A = '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
-
-
 def page_edges(pages):
-    """(page_id, pos, url, href, label) of all links with their text."""
-    found = F.arrays_zip(F.regexp_extract_all("html", F.lit(_A), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(_A), F.lit(2)).alias("label"))
-    return pages.select("page_id", "url", F.posexplode(found).alias("pos", "l")).select("page_id", "pos", "url", "l.href", "l.label")
+    """(page_id, pos, url, href, label) of all links with their text, however the anchor is written."""
+    return pages.select("page_id", "url", F.posexplode(T.anchors(F.col("html"))).alias("pos", "l")).select("page_id", "pos", "url", "l.href", "l.label")
 
 
+_A = "(?is)<a\\b([^>]*)>(.*?)</a>"
+_HREF = "(?i)(?:^|[\\s\"''])href\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))"
 _ROOT = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
-LINKS = f"""l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{_A}', 1)) AS href, unnest(regexp_extract_all(html, '{_A}', 2)) AS label, unnest(range(0, len(regexp_extract_all(html, '{_A}', 1)))) AS pos FROM pages),
+LINKS = f"""la AS (SELECT page_id, url, list_filter(list_transform(list_zip(regexp_extract_all(html, '{_A}', 1), regexp_extract_all(html, '{_A}', 2)), lambda x: {{'ok': regexp_matches(x[1], '{_HREF}'),
+ 'href': regexp_extract(x[1], '{_HREF}', 1) || regexp_extract(x[1], '{_HREF}', 2) || regexp_extract(x[1], '{_HREF}', 3), 'label': regexp_replace(x[2], '<[^>]*>', '', 'g')}}), lambda x: x.ok) AS f FROM pages),
+l AS (SELECT page_id, url, o.href AS href, o.label AS label, pos FROM (SELECT page_id, url, unnest(f) AS o, unnest(range(0, len(f))) AS pos FROM la)),
 r AS (SELECT page_id, pos::INT AS pos, url, label, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-z]+)', 1) || ':' || href
  WHEN starts_with(href, '/') THEN {_ROOT} || href WHEN starts_with(href, '#') THEN regexp_replace(url, '#.*$', '') || href
  ELSE {_ROOT} || coalesce(nullif(regexp_replace({PATH}, '[^/]*$', ''), ''), '/') || href END AS target FROM l)"""

@@ -76,6 +76,15 @@ def test_text(spark):
     assert one(spark, T.login_wall(F.col("t")), t="Sign in. Login. Create new account.") is True
 
 
+def test_anchors_of_all_spellings(spark):
+    html = """<a href="/a">A</a> <A class=x HREF='/b?x=1'> <b>B</b>old </A><a href=/c>c</a><a name="n">no</a><a data-href="/d">no</a><a
+    target="_blank"
+    href = "/e"><img alt="<"></a><a href="">self</a><abbr href="/f">no</abbr><a href="/open">open"""
+    df = spark.createDataFrame([(html,), (None,)], "h string")
+    got = [r.a for r in df.select(T.anchors(F.col("h")).alias("a")).collect()]
+    assert [(x.href, x.label.strip()) for x in got[0]] == [("/a", "A"), ("/b?x=1", "Bold"), ("/c", "c"), ("/e", ""), ("", "self")] and got[1] is None
+
+
 def test_first_wins_is_sequential(spark):
     pairs = [(1, 2), (2, 3), (3, 4), (4, 5), (1, 7), (6, 7)]
     kept, gone = [], set()
