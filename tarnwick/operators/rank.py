@@ -44,13 +44,14 @@ def diversify(df: DataFrame, domain: str, most: int | None, *order: Column) -> D
 
     Nothing is ranked globally. A row of round k comes after k - 1 rows of its own domain, so if only
     the first ``most`` rows are asked for, later rounds are cut off before the shuffle."""
-    by = Window.partitionBy(domain)
-    rounds = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    rounds = rounds.withColumn("_round", F.row_number().over(by.orderBy("_key")))
-    if most is not None:
-        rounds = rounds.where(F.col("_round") <= most)
-    rounds = rounds.withColumn("_first", F.min("_key").over(by))
-    return rounds.withColumn("spread", F.struct("_round", "_first")).drop("_key", "_round", "_first")
+    keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    if most is None:  # whole domains may be large: no window holds one
+        rounds = ranked_within(keyed, domain, F.col("_key"), name="_round")
+    else:
+        rounds = keyed.withColumn("_round", F.row_number().over(Window.partitionBy(domain).orderBy("_key"))).where(F.col("_round") <= most)
+    firsts = rounds.where("_round = 1").select(F.col(domain).alias("_d"), F.col("_key").alias("_first"))
+    rounds = rounds.join(firsts, F.col(domain).eqNullSafe(F.col("_d")))
+    return rounds.withColumn("spread", F.struct("_round", "_first")).drop("_key", "_round", "_first", "_d")
 
 
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
@@ -68,6 +69,20 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return out.withColumn(name, (F.col("_at").bitwiseAND(F.lit(2**33 - 1)) + F.col("_before") + 1).cast("int")).drop("_at", "_part", "_before")
 
 
+def ranked_within(df: DataFrame, group: str, *order: Column, name: str = "rank") -> DataFrame:
+    """``df`` with the place of each row in its group, without a window of a group's rows.
+
+    Rows are dealt by ranges of group and order, so a group of half of all rows lies in many partitions; each run of a
+    group in a partition is counted, and the runs before it (a row for each partition and group) give its offset. Nulls are a group; ties need an order that ends in a key."""
+    dealt = df.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    marked = checkpointed(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    runs = marked.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.withColumn("_before", before).drop("n")
+    out = marked.join(runs, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return out.withColumn(name, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int")).drop("_at", "_part", "_g", "_p", "_first", "_before")
+
+
 def final_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Dense output ranks over a result that is small by then (after a limit)."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))

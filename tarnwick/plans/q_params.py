@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
 from tarnwick.functions import urls as U
 from tarnwick.functions import validate as V
+from tarnwick.operators import rank as R
 from tarnwick.operators import state as K
 from tarnwick.plans import q_scalar as S
 from tarnwick.plans.base import query, table
@@ -300,7 +300,7 @@ def engine_fusion(spark, sf):
     rows = [(name, weight, i) for i, (name, weight) in enumerate(sorted(ENGINES.items()))]
     engines = spark.createDataFrame(rows, "engine string, weight double, i long")
     asked = table(spark, sf, "pages").select("page_id", F.explode(F.array_distinct(F.array(F.col("page_id") % 13, F.col("page_id") % 11))).alias("i"))
-    hits = asked.join(F.broadcast(engines), "i").withColumn("pos", F.row_number().over(Window.partitionBy("engine").orderBy("page_id")))
+    hits = R.ranked_within(asked.join(F.broadcast(engines), "i"), "engine", F.col("page_id"), name="pos")
     return hits.groupBy("page_id").agg(F.round(F.sum(F.col("weight") / F.col("pos")), 6).alias("score"), F.count("*").alias("engines"))
 
 
