@@ -65,5 +65,29 @@ def keyed_values(calls: DataFrame, keys: list[str], op: str, value: Column, own_
     return rows.withColumn("found", F.when(alive, F.col("_last.value"))).drop("_last")
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], value: str, ts: str = "ts", width: int = 3600) -> DataFrame:
+    """``left`` with what ``right`` last held under the same keys: the value and time (``{value}``, ``{value}_ts``) of its latest row not after ``ts``.
+
+    Both sides are merged by time buckets of ``width`` seconds. Inside a bucket of a key a window looks back; what a bucket leaves is
+    carried to the later ones over a table with a row for each key and bucket. So no task orders a key's rows, only a bucket's, and a key with
+    half of all rows is dealt by its buckets. Of right rows of one moment the largest value holds. Rows of null keys or times find nothing."""
+    bucket = F.floor(seconds(ts) / width)
+    asked = left.withColumns({"_at": F.unix_micros(F.col(ts).cast("timestamp")), "_bucket": bucket, "_row": F.monotonically_increasing_id()})
+    held = right.groupBy(*keys, F.col(ts)).agg(F.max(value).alias("_value")).dropna(subset=[*keys, ts])
+    held = held.withColumns({"_at": F.unix_micros(F.col(ts).cast("timestamp")), "_bucket": bucket})
+    entry = F.struct(F.col("_at").alias("at"), F.col(ts).alias("ts"), F.col("_value").alias("value"))
+    both = asked.withColumn("_entry", F.lit(None).cast(held.select(entry.alias("e")).schema["e"].dataType))
+    both = both.unionByName(held.select(*keys, "_at", "_bucket", entry.alias("_entry")), allowMissingColumns=True)
+    # right rows stand before left ones of their moment
+    look = Window.partitionBy(*keys, "_bucket").orderBy("_at", F.col("_entry").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.withColumn("_last", F.last("_entry", ignorenulls=True).over(look)).where("_row is not null").drop("_entry")
+    ends = held.groupBy(*keys, "_bucket").agg(F.max(entry).alias("_end"))
+    marks = ends.unionByName(asked.select(*keys, "_bucket").distinct(), allowMissingColumns=True).groupBy(*keys, "_bucket").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket of a key
+    carried = marks.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    out = inside.join(carried, [*keys, "_bucket"], "left").withColumn("_found", F.coalesce("_last", "_carry"))
+    return out.select(*left.columns, F.col("_found.value").alias(value), F.col("_found.ts").alias(f"{value}_ts"))
+
+
 def failure_ttl(status: Column, ttl: int = TTL, short: int = FAILURE_TTL) -> Column:
     return F.when(status == "ok", ttl).otherwise(min(short, ttl))

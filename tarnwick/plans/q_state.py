@@ -92,6 +92,17 @@ def seen_within_ttl(spark, sf):
     return K.seen_within(table(spark, sf, "events"), ["user_id", "event_type"], ["event_id"]).select("event_id", "seen")
 
 
+@query(
+    "SELECT e.event_id, s.stored, coalesce(epoch_us(e.ts) - epoch_us(s.ts) < 3600000000, false) AS seen FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS stored FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY user_id, ts) s ON e.user_id = s.user_id AND e.ts >= s.ts"
+)
+def asof_seen(spark, sf):
+    """Each event with the last entry that its user's store held by then, and whether that was still alive."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    store = e.where(F.col("event_type").isin("signup", "purchase")).select("user_id", "ts", F.col("event_id").alias("stored"))
+    got = K.as_of(e, store, ["user_id"], "stored")
+    return got.select("event_id", "stored", F.coalesce(K.seconds("ts") - K.seconds("stored_ts") < K.TTL, F.lit(False)).alias("seen"))
+
+
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN 60 ELSE 3600 END::INT AS ttl FROM events")
 def failure_ttl(spark, sf):
     return table(spark, sf, "events").select("event_id", K.failure_ttl(F.when(F.col("event_type") == "error", "error").otherwise("ok")).alias("ttl"))
