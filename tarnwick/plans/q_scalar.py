@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarnwick.functions import text as T
 from tarnwick.functions import urls as U
 from tarnwick.functions.chunks import chunk_recursive as recursive_chunks
+from tarnwick.operators import suffixes
 from tarnwick.plans.base import query, table
 
 HOST = "lower(regexp_extract(regexp_extract(url, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^(?:.*@)?([^:@]*)', 1))"
@@ -52,6 +53,23 @@ def canonical_host(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.canonical_host(U.domain(F.col("url"))).alias("host"))
 
 
+#: Rules of the three kinds, in the list's form.
+RULES = ("// rules", "com", "org", "net", "*.example.net", "!blog.example.net", "co.uk", "*.blog.example.com")
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, url, regexp_replace({HOST}, '^www\\.', '') AS h FROM pages), l AS (SELECT *, string_split(h, '.') AS w FROM p), r(ending, kind) AS (VALUES ('com', 0), ('org', 0), ('net', 0), ('example.net', 1), ('blog.example.net', 2), ('co.uk', 0), ('blog.example.com', 1)),
+e AS (SELECT page_id, h, len(w) AS n, unnest(range(1, len(w) + 1)) AS k, w FROM l), f AS (SELECT page_id, n, kind = 2 AS x, CASE kind WHEN 0 THEN k WHEN 1 THEN CASE WHEN n > k THEN k + 1 END ELSE k - 1 END AS s FROM e JOIN r ON ending = array_to_string(w[n - k + 1:], '.')),
+b AS (SELECT page_id, arg_max(s, (x, s)) AS s FROM f WHERE s IS NOT NULL GROUP BY page_id)
+SELECT page_id, CASE WHEN s IS NULL OR s >= len(w) THEN h ELSE array_to_string(w[len(w) - s:], '.') END AS registrable FROM l LEFT JOIN b USING (page_id)"""
+)
+def registrable_rules(spark, sf):
+    """Each page's registrable domain by a table of suffix rules with wildcards and exceptions."""
+    rules = suffixes.parsed(spark.createDataFrame([(r,) for r in RULES], "line string"))
+    p = table(spark, sf, "pages").select("page_id", U.domain(F.col("url")).alias("h"))
+    return suffixes.registrable(p, "h", rules).select("page_id", "registrable")
+
+
 @query(f"WITH p AS (SELECT page_id, {HOST} AS h FROM pages) SELECT page_id, {REG} AS registrable FROM p")
 def registrable_domain(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.registrable_domain(U.domain(F.col("url"))).alias("registrable"))
