@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NON_WORD = r"[^\p{L}\p{N}_]+"
+# The rule row of a table and a link, in markdown.
 TABLE_RULE = r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
 LINK = r"\[[^\]]*\]\([^)]*\)"
 # Fixed value: phrases that cluster on login pages.
