@@ -124,6 +124,11 @@ class LabelModel:
     labels: tuple[float, float]  # share of toxic and of clean rows whose given label is right
 
 
+def parts(rows: int, each: int = 2_000) -> list[slice]:
+    """Rows by the thousand: the driver holds a few MB of what is worked out from them, not as much as all votes again."""
+    return [slice(k, k + each) for k in range(0, rows, each)]
+
+
 def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> LabelModel:
     """The latent classes behind votes (rows x voters: 1 toxic, -1 clean, 0 none) and given labels (1, 0, or -1 for none).
 
@@ -146,9 +151,13 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> Label
         rate = {(v, y): (x.T @ (w + ANCHOR * (given == y)) + 0.5) / (w.sum() + ANCHOR * (given == y).sum() + 1) for v, x in ((1, yes), (-1, no)) for y, w in ((1, t), (0, c))}
         right = [(w[~mute & (given == y)].sum() + BELIEF * RIGHT) / (w[~mute & has].sum() + BELIEF) for y, w in ((1, t), (0, c))]
         if k in (1, 5, 10, 20):
-            rest = votes - (q[:, None] * (rate[1, 1] - rate[-1, 1]) + (1 - q)[:, None] * (rate[1, 0] - rate[-1, 0]))
-            size = np.sqrt((rest**2).sum(0)) + 1e-9
-            correlation = (rest.T @ rest) / np.outer(size, size)
+            common = np.zeros((m, m))
+            for part in parts(n):
+                p = q[part, None]
+                rest = votes[part] - (p * (rate[1, 1] - rate[-1, 1]) + (1 - p) * (rate[1, 0] - rate[-1, 0]))
+                common += rest.T @ rest
+            size = np.sqrt(np.diag(common)) + 1e-9
+            correlation = common / np.outer(size, size)
             shared = np.where(correlation >= least, correlation, 0) ** 2
             np.fill_diagonal(shared, 1)
             own = 1 / shared.sum(0)
@@ -165,14 +174,16 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> Label
 
 def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 0.1, steps: int = 12) -> tuple[np.ndarray, float]:
     """Weights and base of a ridge logistic regression on soft labels, by Newton steps."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(a.shape[1])
-    r = np.full(a.shape[1], ridge)
+    w = np.zeros(x.shape[1] + 1)
+    r = np.full(len(w), ridge)
     r[-1] = 1e-3
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - q) + r * w
-        h = (a * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ a + np.diag(r)
+        g, h = r * w, np.diag(r)
+        for part in parts(len(x)):
+            a = np.hstack([x[part], np.ones((len(x[part]), 1))])
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            g += a.T @ (p - q[part])
+            h += (a * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ a
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -217,10 +228,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # SAMPLE + UNLABELLED rows of at most VOTERS small numbers
     got = rows.select("_id", "toxic", "text").mapInArrow(speak, "_id string, toxic int, votes array<int>").orderBy("_id", "toxic", "votes").toArrow()
     votes = np.zeros((got.num_rows, len(names)), np.float32)
-    for i, v in enumerate(got.column("votes").to_pylist()):
-        votes[i, v] = 1
+    heard = got.column("votes").combine_chunks()
+    votes[np.repeat(np.arange(got.num_rows), np.diff(heard.offsets.to_numpy())), heard.flatten().to_numpy()] = 1
     given = got.column("toxic").to_numpy()
-    model = label_model(votes * side, given)
+    votes *= side
+    model = label_model(votes, given)
+    np.abs(votes, out=votes)
     # rows without a label teach what voters are worth; where few voters speak their posteriors are too vague to train on
     weights, base = logistic(votes[given >= 0], model.posterior[given >= 0])
     stash.drop("known", "asked", "rows")
