@@ -38,7 +38,7 @@ SHARDS, ROUNDS, STEP, LOOKS = 4, 6, 0.5, 24_000
 #: Score from which a document is good.
 GOOD = 0.3
 #: Words that a task remembers, and characters of the texts that it works at a time.
-REMEMBERED, AT_ONCE = 200_000, 4_000_000
+REMEMBERED, AT_ONCE = 200_000, 500_000
 _REPEAT = int(mix(np.array([1], U64))[0] % U64(BUCKETS))
 
 
