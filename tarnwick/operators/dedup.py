@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
+from tarnwick.operators.similar import SEND_ROWS, Similar, numbers
 from tarnwick.session import checkpointed
 
 
@@ -34,41 +35,22 @@ def first_wins(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return dropped.distinct() if dropped is not None else pairs.select(F.col(b).alias("id")).limit(0)
 
 
-#: Long integers in a parity signature, 64 bits each.
-SIGNATURE = 8
-
-
-def parity(word: str) -> list[Column]:
-    """Aggregates over a set's words: each word flips one bit, so sets differ in no fewer words than their signatures in bits."""
-    at = F.pmod(F.xxhash64(word), F.lit(64 * SIGNATURE)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)))
-    return [F.bit_xor(F.when(F.shiftright(at, 6) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(SIGNATURE)]
+def _named(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, both) of pairs (x, y, both) of row numbers, a < b."""
+    names = sets.select("c", "id")
+    full = pairs.join(names.select(F.col("c").alias("x"), F.col("id").alias("i")), "x").join(names.select(F.col("c").alias("y"), F.col("id").alias("j")), "y")
+    return full.where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "both")
 
 
 def similar_sets(df: DataFrame, key: str, words: str, threshold: float) -> DataFrame:
     """(a, b, both) of rows a < b whose word sets have a Jaccard similarity of ``threshold`` or more.
 
-    Exact prefix filter: words are ordered from rare to frequent; similar sets share one of their
-    first n - ceil(t n) + 1 words, so only those are joined. In the join itself pairs go whose
-    lengths, the shared word's places or parity signatures leave too few common words; what is left
-    is counted on the sets."""
-    each = df.select(F.col(key).alias("id"), F.size(words).alias("n"), F.explode(words).alias("w"))
-    freq = each.groupBy("w").agg(F.count("*").alias("f"))
-    ordered = each.join(freq, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("s"), *parity("w"))
-    signature = [f"p{k}" for k in range(SIGNATURE)]
-    ordered = checkpointed(ordered.select("id", "n", F.transform("s", lambda x: x["w"]).alias("s"), *signature))
-    prefix = ordered.select("id", "n", *signature, F.posexplode(F.expr(f"slice(s, 1, n - cast(ceil({threshold} * n) as int) + 1)")).alias("at", "w"))
-    side = lambda x: prefix.select("w", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "at", *signature)))
-    total = F.col("n_a") + F.col("n_b")
-    common = threshold / (1 + threshold) * total - 1e-6  # words that similar sets share at least
-    possible = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    apart = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(1, SIGNATURE)), F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
-    fitting = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (possible >= common) & (apart <= total - 2 * common)
-    cand = side("a").join(side("b"), "w").where(fitting).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    sets = ordered.select("id", "s")
-    full = cand.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return full.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("all")).where(F.col("both") >= threshold * F.col("all")).select("a", "b", "both")
+    Exact (see ``similar``): words are 64-bit hashes, the rarest of a set are joined, and what places and counts by cell leave is counted on the sets."""
+    join = Similar(df.sparkSession, threshold)
+    sets = join.stored(df.select(F.col(key).alias("id"), numbers(words).alias("w")))
+    pairs = join.pairs(sets)
+    join.park.keep("sets", "pairs")
+    return _named(pairs, sets)
 
 
 def first_wins_sets(df: DataFrame, key: str, words: str, threshold: float) -> DataFrame:
@@ -76,11 +58,15 @@ def first_wins_sets(df: DataFrame, key: str, words: str, threshold: float) -> Da
 
     Later rows of an equal set always go: whatever keeps or drops the first drops them. So a group of
     copies is one row in the similarity join and emits no pairs."""
-    keyed = df.select(F.col(key).alias("id"), F.col(words).alias("w"), F.sha2(F.array_join(F.sort_array(words), " "), 256).alias("h"))
-    keyed = checkpointed(keyed)
-    firsts = keyed.groupBy("h").agg(F.min("id").alias("id")).select("id")
-    copies = keyed.select("id").join(firsts, "id", "left_anti")
-    return first_wins(similar_sets(keyed.join(firsts, "id", "left_semi"), "id", "w", threshold)).unionByName(copies)
+    join = Similar(df.sparkSession, threshold)
+    sets = join.stored(df.select(F.col(key).alias("id"), F.sort_array(numbers(words)).alias("w")))
+    named = sets.select("id", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("g"))
+    firsts = named.groupBy("h", "g").agg(F.min("id").alias("id")).select("id")
+    copies = join.park.put(named.select("id").join(firsts, "id", "left_anti"), "copies")
+    once = sets.join(F.broadcast(copies) if copies.count() <= SEND_ROWS else copies, "id", "left_anti")
+    gone = first_wins(_named(join.pairs(once), sets))
+    join.park.keep("copies")
+    return gone.unionByName(copies)
 
 
 def fuzzy_titles(spelled: DataFrame, least: float = 97.0, gram: int = 3) -> DataFrame:

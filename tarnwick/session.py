@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -51,3 +52,24 @@ def checkpointed(df):
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+class Parked:
+    """Tables that one run of an operator writes to the shared folder, as compressed Parquet: smaller than checkpoints of the same rows."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def put(self, df, name: str, **options: str):
+        """Write a table and read it again: its lineage ends here."""
+        df.write.options(compression="zstd", **options).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def keep(self, *names: str) -> None:
+        """Remove all tables but those that the result still reads."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if files.exists(path):
+            for each in files.listStatus(path):
+                if each.getPath().getName() not in names:
+                    files.delete(each.getPath(), True)
