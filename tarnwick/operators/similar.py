@@ -35,6 +35,8 @@ SIGNATURE = [f"s{k}" for k in range(CELLS // 16)]
 SEND_ROWS, SEND_BYTES = 1_000_000, 64_000_000
 #: Sets of a cluster that one task holds; larger clusters are cut, and two parts are one task's work.
 TILE = 4096
+#: Words come again and again: a large dictionary makes sets of their hashes small.
+DICTIONARY = {"parquet.dictionary.page.size": str(16 << 20)}
 U64 = np.uint64
 
 
@@ -67,7 +69,7 @@ def packed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([held.tobytes()])], names=["block", "bytes"])
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+def flat_numbers(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all rows as unsigned ones, and the rows' offsets."""
     off = column.offsets.to_numpy().astype(np.int64)
     return column.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(U64), off - off[0]
@@ -92,7 +94,7 @@ def prefixes(threshold: float, sketch: Callable[[], bytes]) -> Callable[[Iterato
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
-                flat, off = _flat(batch.column(1))
+                flat, off = flat_numbers(batch.column(1))
                 n = np.diff(off)
                 rows = len(n)
                 row = np.repeat(np.arange(rows), n)
@@ -200,7 +202,7 @@ def cells_of(cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                flat, off = _flat(batch.column(1))
+                flat, off = flat_numbers(batch.column(1))
                 row = np.repeat(np.arange(batch.num_rows), np.diff(off))
                 sig = _cells(flat, row, batch.num_rows, cells)
                 out = [x.tobytes() for x in sig[:, ::2] | (sig[:, 1::2] << 4)]
@@ -246,7 +248,7 @@ def counted(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, rows = None, []
         for batch in batches:
-            flat, off = _flat(batch.column(3))
+            flat, off = flat_numbers(batch.column(3))
             for k, (tile, part, c, partners) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True)):
                 if (tile, part) != here:
                     yield pairs(rows)
@@ -269,8 +271,8 @@ class Similar:
         self.spark, self.threshold, self.park = spark, threshold, Parked(spark, "similar")
 
     def stored(self, df: DataFrame) -> DataFrame:
-        """(id, w) with its rows numbered, written once. Words come again and again: large dictionaries make them small."""
-        return self.park.put(df.withColumn("c", F.monotonically_increasing_id()), "sets", **{"parquet.dictionary.page.size": str(16 << 20)})
+        """(id, w) with its rows numbered, written once."""
+        return self.park.put(df.withColumn("c", F.monotonically_increasing_id()), "sets", **DICTIONARY)
 
     def _sketch(self, sets: DataFrame) -> bytes:
         each = sets.select(F.explode("w").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(SKETCH - 1)).cast("int").alias("b")).agg(F.count("*").alias("rows"))

@@ -69,3 +69,21 @@ def test_an_empty_batch(spark, tmp_path):
     index = lsh.LshIndex(spark, f"file://{tmp_path}/e")
     assert index.add(spark.createDataFrame([], "id int, w array<string>")).collect() == []
     assert index.add(spark.createDataFrame([(1, ["a", "b"]), (1, ["a", "b"]), (None, ["a"])], "id int, w array<string>")).count() == 1
+
+
+def test_sets_travel_only_for_candidates(spark, tmp_path):
+    """Unlike rows that share frequent words cost their bands, not their sets."""
+    rng = random.Random(12)
+    rows = [(i, [f"common{k}" for k in range(60)] + [f"w{rng.randrange(10**9)}" for _ in range(340)]) for i in range(800)]
+    batch, sc = spark.createDataFrame(rows, "id int, w array<string>").repartition(4), spark._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    batch.write.format("noop").mode("overwrite").save()
+    before = written()
+    batch.write.format("noop").mode("overwrite").save()
+    once = written() - before
+    assert lsh.LshIndex(spark, f"file://{tmp_path}/t").add(batch).count() == 800
+    assert written() - before - once < 2 * once
