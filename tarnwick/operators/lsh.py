@@ -31,7 +31,7 @@ from tarnwick.operators.similar import DICTIONARY, SEND_ROWS, U64, _mixed, flat_
 from tarnwick.session import Parked
 
 BANDS, WIDTH = 32, 4
-#: Rounds before the rest is paired within buckets.
+#: A batch takes one round before the rest is paired within buckets; not a setting any more.
 ROUNDS = 1
 
 
