@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
+from tarnwick.operators import windows
 from tarnwick.operators.similar import SEND_ROWS, Similar, numbers
 from tarnwick.session import checkpointed
 
@@ -69,28 +70,23 @@ def first_wins_sets(df: DataFrame, key: str, words: str, threshold: float) -> Da
     return gone.unionByName(copies)
 
 
-def fuzzy_titles(spelled: DataFrame, least: float = 97.0, gram: int = 3) -> DataFrame:
+def fuzzy_titles(spelled: DataFrame, least: float = 97.0) -> DataFrame:
     """(g, ta, tb, score), ta < tb, of the distinct titles (g, t) of one group whose similarity is at least ``least`` percent.
 
-    Such titles are equal but for a few insertions and deletions, and each of those changes ``gram``
-    of the title's distinct grams at most. So two of them share one of the first (edits x gram + 1) grams of
-    either, taken from rare to frequent: only titles that share such a gram are compared, once for
-    each spelling. Levenshtein (never more than insertions plus deletions) is cut off at the bound
-    before the exact subsequence."""
+    Such titles are equal but for a few insertions and deletions, so only those are compared that share a window of
+    characters which stands in all titles so near (see ``windows``), once for each spelling. Levenshtein (never more than
+    insertions plus deletions) is cut off at the bound before the exact subsequence."""
     share = 1 - least / 100
-    padded = F.concat(F.repeat(F.lit("\u0001"), F.lit(gram - 1)), "t")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring(padded, i, F.lit(gram))))
-    each = spelled.select("g", "t", F.explode(grams).alias("w"))
-    freq = each.groupBy("w").agg(F.count("*").alias("f"))
-    ordered = each.join(freq, "w").groupBy("g", "t").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("s"))
-    # edits that the longest fitting partner allows
-    edits = F.floor(F.lit(2 * share / (1 - share)) * F.length("t")).cast("int")
-    prefix = checkpointed(ordered.select("g", "t", F.explode(F.slice("s", F.lit(1), edits * gram + 1)).alias("x")).select("g", "t", "x.w"))
-    x, y = prefix.select("g", "w", F.col("t").alias("ta")), prefix.select("g", "w", F.col("t").alias("tb"))
-    longest = F.length("ta") + F.length("tb")
-    near = (F.abs(F.length("ta") - F.length("tb")) <= share * longest) & (F.levenshtein("ta", "tb") <= share * longest)
+    if not 0 <= share < 1 / 3:
+        raise ValueError("least has to be over 66.7 percent, and 100 at most")
+    long = spelled.where(F.length("t") >= windows.shortest(share)) if share else spelled.limit(0)
+    strings = checkpointed(long.select(F.monotonically_increasing_id().alias("c"), "g", "t"))
+    x, y = (strings.select(F.col("c").alias(c), F.col("g").alias(f"g{c}"), F.col("t").alias(f"t{c}")) for c in ("x", "y"))
+    met = (windows.candidates(strings, share) if share else strings.select(F.col("c").alias("x"), F.col("c").alias("y"))).join(x, "x").join(y, "y").where("gx = gy")
+    bound = F.floor(share * (F.length("tx") + F.length("ty")) + 1e-9).cast("int")
+    met = met.select(F.col("gx").alias("g"), F.least("tx", "ty").alias("ta"), F.greatest("tx", "ty").alias("tb"), bound.alias("bound")).where("levenshtein(ta, tb, bound) >= 0")
     # stored, as the planner would else ask for the dear ratio before the cheap bounds, for every pair of the join
-    met = checkpointed(x.join(y, ["g", "w"]).where(F.col("ta") < F.col("tb")).select("g", "ta", "tb").distinct().where(near))
+    met = checkpointed(met.drop("bound"))
     return met.withColumn("score", F.round(T.ratio(F.col("ta"), F.col("tb")), 6)).where(F.col("score") >= least)
 
 

@@ -264,6 +264,17 @@ def numbers(words: Column | str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def sketched(each: DataFrame) -> bytes:
+    """The counts of numbers (w) by bucket, as bytes."""
+    each = each.groupBy(F.col("w").bitwiseAND(F.lit(SKETCH - 1)).cast("int").alias("b")).agg(F.count("*").alias("rows"))
+    each = each.select(F.shiftright("b", PACK.bit_length() - 1).alias("block"), F.col("b").bitwiseAND(F.lit(PACK - 1)).alias("at"), "rows")
+    out = np.zeros(SKETCH, np.uint8)
+    # 1,024 rows of 4 KB, whatever the input
+    for r in each.repartition("block").sortWithinPartitions("block").mapInArrow(packed_counts, "block int, bytes binary").collect():
+        out[r.block * PACK : (r.block + 1) * PACK] = np.frombuffer(bytes(r["bytes"]), np.uint8)
+    return out.tobytes()
+
+
 class Similar:
     """The similarity join of (id, c, w): c numbers the rows, w are distinct numbers. Its tables lie in a folder of their own."""
 
@@ -274,15 +285,6 @@ class Similar:
         """(id, w) with its rows numbered, written once."""
         return self.park.put(df.withColumn("c", F.monotonically_increasing_id()), "sets", **DICTIONARY)
 
-    def _sketch(self, sets: DataFrame) -> bytes:
-        each = sets.select(F.explode("w").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(SKETCH - 1)).cast("int").alias("b")).agg(F.count("*").alias("rows"))
-        each = each.select(F.shiftright("b", PACK.bit_length() - 1).alias("block"), F.col("b").bitwiseAND(F.lit(PACK - 1)).alias("at"), "rows")
-        out = np.zeros(SKETCH, np.uint8)
-        # 1,024 rows of 4 KB, whatever the input
-        for r in each.repartition("block").sortWithinPartitions("block").mapInArrow(packed_counts, "block int, bytes binary").collect():
-            out[r.block * PACK : (r.block + 1) * PACK] = np.frombuffer(bytes(r["bytes"]), np.uint8)
-        return out.tobytes()
-
     def _large(self, sets: DataFrame) -> tuple[bytes, bytes]:
         """Names and cells of the largest sets, in the order of the names: some 250,000 at most."""
         octaves = sets.where(F.size("w") >= LARGE).groupBy(F.floor(F.log2(F.size("w")) * 8).alias("o")).agg(F.min(F.size("w")).alias("n"), F.count("*").alias("rows")).collect()
@@ -303,7 +305,7 @@ class Similar:
     def pairs(self, sets: DataFrame) -> DataFrame:
         """(x, y, both): the numbers of the rows that are similar, x < y."""
         park, sets = self.park, sets.where(F.size("w") > 0)
-        sketch = self.spark.sparkContext.broadcast(self._sketch(sets))
+        sketch = self.spark.sparkContext.broadcast(sketched(sets.select(F.explode("w").alias("w"))))
         large = self.spark.sparkContext.broadcast(self._large(sets))
         schema = "key long, n int, at int, c long, " + ", ".join(f"{s} long" for s in SIGNATURE)
         first = sets.select("c", "w").mapInArrow(prefixes(self.threshold, lambda: sketch.value), schema)
