@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
 from tarnwick.operators import windows
-from tarnwick.operators.similar import SEND_ROWS, Similar, numbers
-from tarnwick.session import checkpointed
+from tarnwick.operators.similar import DICTIONARY, SEND_ROWS, Similar, few, numbers
+from tarnwick.session import Parked, checkpointed
 
 
 def first_of(df: DataFrame, key: Column, pos: str) -> DataFrame:
@@ -59,15 +59,29 @@ def first_wins_sets(df: DataFrame, key: str, words: str, threshold: float) -> Da
 
     Later rows of an equal set always go: whatever keeps or drops the first drops them. So a group of
     copies is one row in the similarity join and emits no pairs."""
+    join, _, gone, copies = _sets_passed(df, key, words, threshold)
+    join.park.keep("copies")
+    return gone.unionByName(copies)
+
+
+def first_wins_kept(df: DataFrame, key: str, words: str, threshold: float, *also: str) -> DataFrame:
+    """The rows (id and columns of ``df``) that such a pass keeps, from the table that it stores anyway: ``df`` is worked out once."""
+    join, sets, gone, copies = _sets_passed(df, key, words, threshold, *also)
+    join.park.keep("sets", "copies")
+    return sets.select("id", *also).join(few(checkpointed(gone.unionByName(copies))), "id", "left_anti")
+
+
+def _sets_passed(df: DataFrame, key: str, words: str, threshold: float, *also: str) -> tuple[Similar, DataFrame, DataFrame, DataFrame]:
+    """The join, its stored sets, and what goes: rows like kept ones and rows of an earlier equal set."""
     join = Similar(df.sparkSession, threshold)
-    sets = join.stored(df.select(F.col(key).alias("id"), F.sort_array(numbers(words)).alias("w")))
+    sets = join.stored(df.select(F.col(key).alias("id"), F.sort_array(numbers(words)).alias("w"), *also))
     named = sets.select("id", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("g"))
     firsts = named.groupBy("h", "g").agg(F.min("id").alias("id")).select("id")
     copies = join.park.put(named.select("id").join(firsts, "id", "left_anti"), "copies")
-    once = sets.join(F.broadcast(copies) if copies.count() <= SEND_ROWS else copies, "id", "left_anti")
-    gone = first_wins(_named(join.pairs(once), sets))
-    join.park.keep("copies")
-    return gone.unionByName(copies)
+    each = sets.select("id", "c", "w")
+    # without the broadcast the sets are shuffled: once, as the join reads them some times
+    once = each.join(F.broadcast(copies), "id", "left_anti") if copies.count() <= SEND_ROWS else join.park.put(each.join(copies, "id", "left_anti"), "once", **DICTIONARY)
+    return join, sets, first_wins(_named(join.pairs(once), sets)), copies
 
 
 def fuzzy_titles(spelled: DataFrame, least: float = 97.0) -> DataFrame:
@@ -101,13 +115,14 @@ def fuzzy_pairs(df: DataFrame, group: str, key: str, title: str, least: float =
 
 
 def first_wins_titles(rows: DataFrame, least: float = 97.0) -> DataFrame:
-    """Rows (id) kept of (id, u, g, t) by a sequential pass: a row goes if an earlier kept one has its url u or, in its group g, a title like its t.
+    """Rows (id, g) kept of (id, u, g, t) by a sequential pass: a row goes if an earlier kept one has its url u or, in its group g, a title like its t.
 
     No pair of rows is made. A url and a title are classes of which one row at most is kept, and only distinct titles
     are compared. In each round a row is kept that is the first open one of its url, of its title and of all titles
     like it; then all open rows of those classes go. So a round is sums by class and joins to them, and copies by the
     hundred thousand go in one. Rows of a null or empty title are held to their url alone, those of a null url to their title."""
-    open_ = checkpointed(rows.select("id", "u", "g", F.when(F.col("t") != "", F.col("t")).alias("t")))
+    park = Parked(rows.sparkSession, "titles")
+    open_ = park.put(rows.select("id", "u", "g", F.when(F.col("t") != "", F.col("t")).alias("t")), "rows")
     half = fuzzy_titles(open_.where("t is not null and g is not null").select("g", "t").distinct(), least).select("g", "ta", "tb")
     alike = checkpointed(half.unionByName(half.select("g", F.col("tb").alias("ta"), F.col("ta").alias("tb"))))
     kept = None
@@ -117,12 +132,13 @@ def first_wins_titles(rows: DataFrame, least: float = 97.0) -> DataFrame:
         told = open_.join(url, "u", "left").join(title, ["g", "t"], "left").join(near, ["g", "t"], "left")
         first = F.coalesce(F.col("id") <= F.col("mu"), F.lit(True)) & F.coalesce(F.col("id") <= F.col("mt"), F.lit(True)) & F.coalesce(F.col("id") < F.col("mn"), F.lit(True))
         new = checkpointed(told.where(first).select("id", "u", "g", "t"))
-        kept = new.select("id") if kept is None else kept.unionByName(new.select("id"))
+        kept = new.select("id", "g") if kept is None else kept.unionByName(new.select("id", "g"))
         taken = new.where("t is not null and g is not null").select("g", "t")
         taken = taken.unionByName(taken.withColumnRenamed("t", "ta").join(alike, ["g", "ta"]).select("g", F.col("tb").alias("t"))).distinct()
         rest = open_.join(new.select("id"), "id", "left_anti").join(new.select("u").distinct(), "u", "left_anti").join(taken, ["g", "t"], "left_anti")
         open_ = checkpointed(rest.select("id", "u", "g", "t"))
-    return kept if kept is not None else rows.select("id").limit(0)
+    park.keep()
+    return kept if kept is not None else rows.select("id", "g").limit(0)
 
 
 def bands(rows: int = 128, threshold: float = 0.75) -> tuple[int, int]:

@@ -18,8 +18,17 @@ def bm25(docs: DataFrame, terms: list[str], text: str = "text", decimals: int =
     Texts are parted into words once: the rows are stored with their term counts, from which the
     corpus statistics (one row) and the scores are taken. No token is exploded or shuffled."""
     words = docs.withColumn("_w", T.words(F.col(text)))
+    return bm25_of(checkpointed(words.withColumns(term_counts(terms, "_w")).drop("_w")), terms, decimals)
+
+
+def term_counts(terms: list[str], words: str) -> dict[str, Column]:
+    """How often each term stands among the words of a row (_t0 ...), and how many words there are (_len)."""
+    return {f"_t{i}": F.size(F.filter(words, _is(t))) for i, t in enumerate(terms)} | {"_len": F.size(words)}
+
+
+def bm25_of(counted: DataFrame, terms: list[str], decimals: int = 6) -> DataFrame:
+    """``counted`` with its score in place of its ``term_counts``. It is read twice: it has to be stored."""
     tf = [f"_t{i}" for i in range(len(terms))]
-    counted = checkpointed(words.withColumns({n: F.size(F.filter("_w", _is(t))) for n, t in zip(tf, terms, strict=True)}).withColumn("_len", F.size("_w")).drop("_w"))
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(n) > 0).alias(f"_d{n}") for n in tf])
     joined = counted.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)

@@ -275,6 +275,11 @@ def sketched(each: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def few(df: DataFrame, most: int = SEND_ROWS) -> DataFrame:
+    """``df``, sent to every task if it has so few rows. It is read for that: it has to be stored."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 class Similar:
     """The similarity join of (id, c, w): c numbers the rows, w are distinct numbers. Its tables lie in a folder of their own."""
 
@@ -299,9 +304,6 @@ class Similar:
         known = sets.where(F.size("w") >= least).select("c", "w").mapInArrow(cells_of(HELD), "c long, cells binary").toArrow().sort_by("c")
         return known["c"].to_numpy().tobytes(), b"".join(known["cells"].to_pylist())
 
-    def _few(self, df: DataFrame, most: int = SEND_ROWS) -> DataFrame:
-        return F.broadcast(df) if df.count() <= most else df
-
     def pairs(self, sets: DataFrame) -> DataFrame:
         """(x, y, both): the numbers of the rows that are similar, x < y."""
         park, sets = self.park, sets.where(F.size("w") > 0)
@@ -313,7 +315,7 @@ class Similar:
         met = park.put(met.groupBy("x", "y").agg(F.first("total").alias("total")), "met")
         for k, (least, cells) in enumerate(FINER):
             known = park.put(sets.where(F.size("w") >= least).select("c", "w").mapInArrow(cells_of(cells), "c long, cells binary"), f"cells{k}")
-            known = self._few(known, SEND_BYTES * 2 // cells)
+            known = few(known, SEND_BYTES * 2 // cells)
             side = lambda x, known=known: known.select(F.col("c").alias(x), F.col("cells").alias(f"c{x}"))
             judged = met.where(F.col("total") >= 2 * least).join(side("x"), "x", "left").join(side("y"), "y", "left").select("x", "y", "total", "cx", "cy")
             judged = judged.mapInArrow(finer(self.threshold, cells), "x long, y long, total int")
@@ -332,5 +334,5 @@ class Similar:
         dealt = dealt.join(sizes, "g").withColumn("part", part("x") * F.col("parts") + part("y"))
         rows = dealt.select("g", "part", F.col("x").alias("c"), F.col("y").alias("d")).unionByName(dealt.select("g", "part", F.col("y").alias("c"), F.lit(None).cast("long").alias("d")))
         rows = park.put(rows.groupBy("g", "part", "c").agg(F.collect_set("d").alias("d")), "rows")
-        full = sets.select("c", "w").join(self._few(rows), "c").select("g", "part", "c", "w", "d")
+        full = sets.select("c", "w").join(few(rows), "c").select("g", "part", "c", "w", "d")
         return park.put(full.repartition("g", "part").sortWithinPartitions("g", "part").mapInArrow(counted(self.threshold), "x long, y long, both int"), "pairs")

@@ -379,7 +379,7 @@ def eval_aggregate(spark, sf):
 )
 def render_search(spark, sf):
     """A search's answer as one markdown text (ten results at most): header, issues, sections."""
-    r = Q.search_pipeline(spark, sf).join(table(spark, sf, "pages").select("page_id", "url"), "page_id")
+    r = Q.searched(spark, sf)
     part = T.search_section(F.col("title"), F.col("url"), F.col("rank"), F.col("domain"), F.lit(None).cast("string"), F.col("scraped"), F.col("content"))
     g = r.agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))).alias("ps"), F.count("*").alias("n"))
     head = F.concat_ws("\n\n", T.kv_block(("query", F.lit("x")), ("results", F.col("n").cast("string"))), T.issues_block("issues", F.array(T.issue_line(F.lit("no_results"), F.lit("")))))
